@@ -4,10 +4,10 @@ Loops use possessive quantifiers, which Java runs without recursion, so long pag
 overflow the stack. One scan of the body returns whole elements; details are read from those.
 """
 
+import json
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pricetrail.functions import quoted, removed
 
 # The inside of a tag: anything up to '>', with quoted values allowed to hold '>'.
 _TAG_BODY = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
@@ -18,138 +18,120 @@ _ANCHOR = rf"(?is)<a\s{_TAG_BODY}>.*?(?:</a\s*+>|(?=<a[\s>])|\z)"
 _OPEN_TAG = rf"(?s)^<[A-Za-z][A-Za-z0-9]*+({_TAG_BODY})>"
 _LD_JSON = rf"(?is)<script(\s{_TAG_BODY})>(.*?)</script\s*+>"
 _VOID_TAGS = ("meta", "link", "input", "img", "br", "hr", "source")
+_CHARACTERS = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
 
 
-def without_comments_and_code(body: Column) -> Column:
+def _all(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, {quoted(pattern)}, 0)"
+
+
+def without_comments_and_code(body: str) -> str:
     """Body without comments, scripts and styles: what they hold are not elements."""
-    return F.regexp_replace(F.regexp_replace(body, _COMMENT, ""), _CODE, "")
+    return removed(removed(body, _COMMENT), _CODE)
 
 
-def attribute(attributes: Column, name: str) -> Column:
+def attribute(attributes: str, name: str) -> str:
     """Raw value of one attribute from the inside of a tag; empty when missing."""
     skip = rf"(?:\s*+(?!{name}\s*+=)(?:[^\s=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"']\S*+))?+|=))*+"
     value = r"""["']?+((?<=")[^"]*+|(?<=')[^']*+|(?<!["'])[^\s"']\S*+)"""
-    return F.regexp_extract(attributes, rf"(?is)^{skip}\s*+{name}\s*+=\s*+{value}", 1)
+    pattern = rf"(?is)^{skip}\s*+{name}\s*+=\s*+{value}"
+    return f"regexp_extract({attributes}, {quoted(pattern)}, 1)"
 
 
-def tag_attributes(element: Column) -> Column:
+def tag_attributes(element: str) -> str:
     """Attributes of the element's own opening tag."""
-    return F.regexp_extract(element, _OPEN_TAG, 1)
+    return f"regexp_extract({element}, {quoted(_OPEN_TAG)}, 1)"
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: str) -> str:
     """Named and numeric character references become characters, each decoded once."""
-    names = F.array(*[F.lit(name) for name in name2codepoint])
-    chars = F.array(*[F.lit(chr(code)) for code in name2codepoint.values()])
-    table = F.map_from_arrays(names, chars)
-
-    def decode_piece(piece: Column) -> Column:
-        decimal = F.regexp_extract(piece, r"^#0*([0-9]{1,7});?", 1)
-        hexadecimal = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]{1,6});?", 1)
-        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        code = (
-            F.when(decimal != "", decimal.try_cast("int"))
-            .when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int"))
-        )
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.when(
-            valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(32)), 8, "0")), "UTF-32")
-        ).otherwise(F.try_element_at(table, name))
-        rest = F.regexp_replace(piece, r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)", "")
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
-
-    pieces = F.split(text, "&")
-    decoded = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode_piece), ""),
+    code = (
+        "CASE WHEN rlike(e, '^#[0-9]') THEN try_cast(regexp_extract(e, '^#0*([0-9]{1,7})', 1) AS int)"
+        " WHEN rlike(e, '^#[xX][0-9a-fA-F]')"
+        " THEN try_cast(conv(regexp_extract(e, '^#[xX]0*([0-9a-fA-F]{1,6})', 1), 16, 10) AS int) END"
+    )
+    # Code, looked-up name and the text behind the reference, worked out once per reference.
+    parts = (
+        f"named_struct('code', {code}, 'name', regexp_extract(e, '^([A-Za-z][A-Za-z0-9]*);', 1), 'raw', e,"
+        " 'rest', regexp_replace(e, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)', ''))"
+    )
+    character = (
+        "CASE WHEN d.code BETWEEN 1 AND 55295 OR d.code BETWEEN 57344 AND 1114111"
+        " THEN decode(unhex(lpad(hex(d.code), 8, '0')), 'UTF-32')"
+        f" ELSE try_element_at(from_json({quoted(_CHARACTERS)}, 'map<string,string>'), d.name) END"
+    )
+    pieces = f"split({text}, '&')"
+    decoded = (
+        f"transform(transform(slice({pieces}, 2, size({pieces})), e -> {parts}),"
+        f" d -> coalesce(concat({character}, d.rest), concat('&', d.raw)))"
+    )
+    return (
+        f"CASE WHEN contains({text}, '&') THEN concat(get({pieces}, 0), array_join({decoded}, ''))"
+        f" ELSE {text} END"
     )
-    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
-def attribute_text(attributes: Column, name: str) -> Column:
+def attribute_text(attributes: str, name: str) -> str:
     return decode_entities(attribute(attributes, name))
 
 
-def text_content(markup: Column) -> Column:
+def text_content(markup: str) -> str:
     """Text of the markup: tags dropped without adding spaces, entities decoded."""
-    return decode_entities(F.regexp_replace(markup, _ANY_TAG, ""))
+    return decode_entities(removed(markup, _ANY_TAG))
 
 
-def elements(body: Column, tag: str) -> Column:
+def elements(body: str, tag: str) -> str:
     """All ``tag`` elements in document order, as markup."""
-    return F.regexp_extract_all(
-        body, F.lit(rf"(?is)<{tag}(?:\s{_TAG_BODY})?>.*?</{tag}\s*+>"), F.lit(0)
-    )
+    return _all(body, rf"(?is)<{tag}(?:\s{_TAG_BODY})?>.*?</{tag}\s*+>")
 
 
-def void_elements(body: Column, tag: str) -> Column:
+def void_elements(body: str, tag: str) -> str:
     """All tags ``tag`` that hold no content, such as meta."""
-    return F.regexp_extract_all(body, F.lit(rf"(?is)<{tag}\s{_TAG_BODY}>"), F.lit(0))
+    return _all(body, rf"(?is)<{tag}\s{_TAG_BODY}>")
 
 
-def first_with_attribute(items: Column, name: str, value: str) -> Column:
+def first_with_attribute(items: str, name: str, value: str) -> str:
     """First of the elements whose attribute has the value, else null."""
-    return F.get(
-        F.filter(items, lambda item: attribute(tag_attributes(item), name) == value), F.lit(0)
-    )
+    return f"get(filter({items}, t -> {attribute(tag_attributes('t'), name)} = {quoted(value)}), 0)"
 
 
-def anchors(body: Column) -> Column:
+def anchors(body: str) -> str:
     """Array of (position, attributes, markup) for every ``a[href]``; positions follow the document."""
-    found = F.regexp_extract_all(without_comments_and_code(body), F.lit(_ANCHOR), F.lit(0))
-    with_parts = F.transform(
-        found,
-        lambda item, index: F.struct(
-            index.cast("int").alias("position"),
-            tag_attributes(item).alias("attributes"),
-            item.alias("markup"),
-        ),
-    )
-    return F.filter(with_parts, lambda item: attribute(item["attributes"], "href") != "")
+    found = _all(without_comments_and_code(body), _ANCHOR)
+    parts = f"named_struct('position', i, 'attributes', {tag_attributes('a')}, 'markup', a)"
+    return f"filter(transform({found}, (a, i) -> {parts}), a -> {attribute('a.attributes', 'href')} <> '')"
+
 
+def opening_tags_naming(body: str, name: str) -> str:
+    """Opening tags of any kind that mention the attribute."""
+    return _all(body, rf"(?is)<[a-z][a-z0-9]*+\s(?=[^<]*?{name}){_TAG_BODY}>")
 
-def element_text_with_attribute(body: Column, name: str, value: str) -> Column:
-    """Struct (content, text) of the first element of any kind carrying ``name=value``.
 
-    Nested tags of the same kind are counted, so the text ends at the matching closing tag.
+def inner_markup(body: str, opening: str) -> str:
+    """Markup between an opening tag found in the body and its matching closing tag.
+
+    Nested tags of the same kind are counted. Void tags hold nothing.
     """
-    candidates = F.regexp_extract_all(
-        body, F.lit(rf"(?is)<[a-z][a-z0-9]*+\s(?=[^<]*?{name}){_TAG_BODY}>"), F.lit(0)
-    )
-    opening = first_with_attribute(candidates, name, value)
-    tag = F.lower(F.regexp_extract(opening, r"^<([A-Za-z][A-Za-z0-9]*+)", 1))
-    rest = F.substr(body, F.instr(body, opening) + F.length(opening))
-    pieces = F.split(rest, F.concat(F.lit(r"(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(1).alias("depth"), F.lit("").alias("text")),
-        lambda state, piece: F.when(state["depth"] <= 0, state).otherwise(
-            F.struct(
-                F.when(piece.startswith("</"), state["depth"] - 1)
-                .when(F.lower(piece).startswith(F.concat(F.lit("<"), tag)), state["depth"] + 1)
-                .otherwise(state["depth"])
-                .cast("int")
-                .alias("depth"),
-                F.when(piece.startswith("</") & (state["depth"] == 1), state["text"])
-                .otherwise(F.concat(state["text"], piece))
-                .alias("text"),
-            )
-        ),
+    tag = f"lower(regexp_extract({opening}, '^<([A-Za-z][A-Za-z0-9]*)', 1))"
+    rest = f"substr({body}, instr({body}, {opening}) + length({opening}))"
+    pieces = f"split({rest}, concat('(?i)(?=</?', {tag}, '[\\\\s/>])'))"
+    step = (
+        "CASE WHEN s.depth <= 0 THEN s"
+        " WHEN startswith(p, '</') AND s.depth = 1 THEN named_struct('depth', 0, 'markup', s.markup)"
+        " WHEN startswith(p, '</') THEN named_struct('depth', s.depth - 1, 'markup', concat(s.markup, p))"
+        f" WHEN startswith(lower(p), concat('<', {tag}))"
+        " THEN named_struct('depth', s.depth + 1, 'markup', concat(s.markup, p))"
+        " ELSE named_struct('depth', s.depth, 'markup', concat(s.markup, p)) END"
     )
-    content = attribute_text(tag_attributes(opening), "content")
-    return F.when(
-        opening.isNotNull(),
-        F.struct(
-            content.alias("content"),
-            F.when(tag.isin(*_VOID_TAGS), F.lit("")).otherwise(text_content(walked["text"])).alias("text"),
-        ),
+    void = ", ".join(quoted(name) for name in _VOID_TAGS)
+    return (
+        f"CASE WHEN {tag} IN ({void}) THEN '' ELSE"
+        f" aggregate({pieces}, named_struct('depth', 1, 'markup', ''), (s, p) -> {step}, s -> s.markup) END"
     )
 
 
-def ld_json_scripts(body: Column) -> Column:
+def ld_json_scripts(body: str) -> str:
     """Contents of all JSON-LD scripts in document order."""
-    scripts = F.regexp_extract_all(F.regexp_replace(body, _COMMENT, ""), F.lit(_LD_JSON), F.lit(0))
-    matching = F.filter(
-        scripts, lambda item: attribute(tag_attributes(item), "type") == "application/ld+json"
-    )
-    return F.transform(matching, lambda item: F.regexp_extract(item, _LD_JSON, 2))
+    scripts = _all(removed(body, _COMMENT), _LD_JSON)
+    is_ld = f"{attribute(tag_attributes('t'), 'type')} = 'application/ld+json'"
+    return f"transform(filter({scripts}, t -> {is_ld}), t -> regexp_extract(t, {quoted(_LD_JSON)}, 2))"

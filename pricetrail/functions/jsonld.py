@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetrail.functions import fixed
 
@@ -139,15 +140,32 @@ def _listed(scripts) -> list[dict]:
     return found
 
 
-PRODUCT_FACTS = "struct<name:string,internal_product_id:string,manufacturer_code:string,prices:array<string>>"
-LISTED_FACTS = "array<struct<name:string,url:string,manufacturer_code:string,prices:array<string>,sold_out:boolean>>"
+PRODUCT_FACTS = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("internal_product_id", T.StringType()),
+        T.StructField("manufacturer_code", T.StringType()),
+        T.StructField("prices", T.ArrayType(T.StringType())),
+    ]
+)
+LISTED_FACTS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("name", T.StringType()),
+            T.StructField("url", T.StringType()),
+            T.StructField("manufacturer_code", T.StringType()),
+            T.StructField("prices", T.ArrayType(T.StringType())),
+            T.StructField("sold_out", T.BooleanType()),
+        ]
+    )
+)
 
 
 @F.pandas_udf(PRODUCT_FACTS)
 def product_facts(scripts: pd.Series) -> pd.DataFrame:
     """Name, id, maker code and price candidates of a product page."""
     rows = [_product(page if page is not None else ()) for page in scripts]
-    return pd.DataFrame(rows, columns=["name", "internal_product_id", "manufacturer_code", "prices"])
+    return pd.DataFrame(rows, columns=PRODUCT_FACTS.names)
 
 
 @F.pandas_udf(LISTED_FACTS)

@@ -1,56 +1,76 @@
-"""Text normalisation, prices and product names as Column expressions."""
+"""Text normalisation, prices and product names."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from pricetrail.functions import fixed
+from pricetrail.functions import fixed, group_or_null, quoted, removed
 
 # Wide enough that an oversized price is still seen and can be rejected later.
 RAW_PRICE = "decimal(38,2)"
 _NUMERIC = r"^[ \t\n\r\x0B\f]*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]{1,3})?[ \t\n\r\x0B\f]*$"
+_NUMERIC_SPACE = r"[ \t\n\r\x0B\f]"
+_NO_BREAK_SPACE = "\u00a0"
 
 
-def normalize(text: Column) -> Column:
+def normalize(text: str) -> str:
     """Every run of Unicode white space becomes one space; trimmed; empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(""))
+    return f"nullif(trim({removed(text, r'(?U)\s+', ' ')}), '')"
+
+
+def dotted(number: str) -> str:
+    return f"translate({number}, ',', '.')"
+
+
+def _to_price(number: str) -> str:
+    return f"try_cast({dotted(number)} AS {RAW_PRICE})"
+
 
+def is_numeric(text: str) -> str:
+    return f"rlike({text}, {quoted(_NUMERIC)})"
 
-def _to_price(number: Column) -> Column:
-    return F.translate(number, ",", ".").try_cast(RAW_PRICE)
 
+def _numeric_value(text: str) -> str:
+    return f"try_cast({removed(text, _NUMERIC_SPACE)} AS {RAW_PRICE})"
 
-def numeric_price(text: Column) -> Column:
-    """Price when the whole text is a number, else null."""
-    dotted = F.translate(text, ",", ".")
-    return F.when(dotted.rlike(_NUMERIC), F.regexp_replace(dotted, r"[ \t\n\r\x0B\f]", "").try_cast(RAW_PRICE))
 
+def numeric_price(text: str) -> str:
+    """Price when the whole text is a number (comma allowed), else null."""
+    return f"CASE WHEN {is_numeric(dotted(text))} THEN {_numeric_value(dotted(text))} END"
 
-def first_price(text: Column) -> Column:
+
+def first_price(text: str) -> str:
     """First number before the rouble sign."""
-    return _to_price(F.nullif(F.regexp_extract(text, fixed.PRICE_ANY_DECIMALS, 1), F.lit("")))
+    return _to_price(group_or_null(text, fixed.PRICE_ANY_DECIMALS))
+
+
+def has_price(text: str) -> str:
+    return f"rlike({text}, {quoted(fixed.PRICE_ANY_DECIMALS)})"
 
 
-def first_positive_price(text: Column) -> Column:
+def first_positive_price(text: str) -> str:
     """First number above zero before a rouble sign."""
-    numbers = F.regexp_extract_all(text, F.lit(fixed.PRICE_TWO_DECIMALS), F.lit(1))
-    return F.get(F.filter(F.transform(numbers, _to_price), lambda price: price > 0), F.lit(0))
+    numbers = f"regexp_extract_all({text}, {quoted(fixed.PRICE_TWO_DECIMALS)}, 1)"
+    return f"get(filter(transform({numbers}, n -> {_to_price('n')}), p -> p > 0), 0)"
 
 
-def scalar_price(text: Column) -> Column:
+def scalar_price(text: str) -> str:
     """Price from an attribute or a JSON scalar: a number, else the first number in the cleaned text."""
-    bare = F.translate(text, ", \u00a0", ".")
+    bare = f"translate({text}, {quoted(', ' + _NO_BREAK_SPACE)}, '.')"
     for word in fixed.CURRENCY_WORDS:
-        bare = F.replace(bare, F.lit(word), F.lit(""))
-    found = F.nullif(F.regexp_extract(bare, r"[0-9]+(?:\.[0-9]+)?", 0), F.lit(""))
-    return F.when(
-        text.rlike(_NUMERIC), F.regexp_replace(text, r"[ \t\n\r\x0B\f]", "").try_cast(RAW_PRICE)
-    ).otherwise(found.try_cast(RAW_PRICE))
+        bare = f"replace({bare}, {quoted(word)})"
+    first_number = group_or_null(bare, r"([0-9]+(?:\.[0-9]+)?)")
+    return (
+        f"CASE WHEN {is_numeric(text)} THEN {_numeric_value(text)}"
+        f" ELSE try_cast({first_number} AS {RAW_PRICE}) END"
+    )
+
+
+def first_of(prices: str) -> str:
+    """First price of an array that is not null."""
+    return f"get(filter({prices}, p -> p IS NOT NULL), 0)"
 
 
-def name_after_price(text: Column) -> Column:
+def name_after_price(text: str) -> str:
     """Name from the text behind the first price, without discount, second price, rating and one label."""
-    tail = F.trim(F.regexp_replace(text, fixed.UP_TO_FIRST_PRICE, ""))
     labels = "|".join(label.replace("+", r"\+") for label in fixed.PROMO_LABELS)
+    tail = f"trim({removed(text, fixed.UP_TO_FIRST_PRICE)})"
     for step in (
         fixed.DISCOUNT,
         fixed.LEADING_PRICE,
@@ -58,17 +78,17 @@ def name_after_price(text: Column) -> Column:
         fixed.NO_REVIEWS_TAIL,
         rf"(?U)^({labels})\s*",
     ):
-        tail = F.regexp_replace(tail, step, "")
-    return F.nullif(F.trim(tail), F.lit(""))
+        tail = removed(tail, step)
+    return f"nullif(trim({tail}), '')"
 
 
-def cleaned_name(text: Column) -> Column:
+def cleaned_name(text: str) -> str:
     """Name left when price words, prices and shop labels are taken out of the text."""
     for step in fixed.CLEAN_STEPS:
-        text = F.regexp_replace(text, step, " ")
+        text = removed(text, step, " ")
     return normalize(text)
 
 
-def truthy(value: Column) -> Column:
+def truthy(value: str) -> str:
     """Truth of a JSON scalar kept as text; missing is false."""
-    return ~F.coalesce(F.lower(value), F.lit("")).isin("", "false", "0", "0.0", "null", "[]", "{}")
+    return f"(lower(coalesce({value}, '')) NOT IN ('', 'false', '0', '0.0', 'null', '[]', '{{}}'))"

@@ -1,55 +1,60 @@
 """URL parts, absolute links, product ids."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from pricetrail.functions import fixed
+from pricetrail.functions import fixed, group_or_null, quoted, removed
 
 # scheme, authority and path by position; query and fragment are cut off.
-_PARTS = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)"
+_PATH = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _HOST = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]*)"
+_EDGE_SPACE = r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$"
 
 
-def host(url: Column) -> Column:
+def host(url: str) -> str:
     """Host without user and port; empty when the URL has none."""
-    return F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit(""))
+    return f"coalesce(regexp_extract({url}, {quoted(_HOST)}, 1), '')"
 
 
-def path(url: Column) -> Column:
+def path(url: str) -> str:
     """Path without query and fragment; empty when the URL has none."""
-    return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
+    return f"coalesce(regexp_extract({url}, {quoted(_PATH)}, 1), '')"
 
 
-def absolute(href: Column, page_url: Column, origin: Column) -> Column:
+def absolute(href: str, page_url: str, origin: str) -> str:
     """``href`` as an absolute URL: root-relative on ``origin``, other relative below the page URL."""
     return (
-        F.when(href.startswith("http://") | href.startswith("https://"), href)
-        .when(href.startswith("/"), F.concat(F.rtrim(origin, F.lit("/")), href))
-        .otherwise(F.concat(F.rtrim(page_url, F.lit("/")), F.lit("/"), F.ltrim(href, F.lit("/"))))
+        f"CASE WHEN startswith({href}, 'http://') OR startswith({href}, 'https://') THEN {href}"
+        f" WHEN startswith({href}, '/') THEN concat(rtrim('/', {origin}), {href})"
+        f" ELSE concat(rtrim('/', {page_url}), '/', ltrim('/', {href})) END"
     )
 
 
-def page_origin(page_url: Column) -> Column:
-    return F.concat(F.lit("https://"), host(page_url))
+def page_origin(page_url: str) -> str:
+    return f"concat('https://', {host(page_url)})"
+
+
+def trimmed_href(href: str) -> str:
+    return removed(href, _EDGE_SPACE)
+
+
+def is_usable_href(href: str) -> str:
+    """False for an empty href and for a mere fragment."""
+    return f"({href} <> '' AND NOT startswith({href}, '#'))"
 
 
-def usable_href(href: Column) -> Column:
-    """Trimmed href, or null when it is empty or only a fragment."""
-    trimmed = F.regexp_replace(href, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
-    return F.when((trimmed != "") & ~trimmed.startswith("#"), trimmed)
+def magnit_catalog_id(url: str) -> str:
+    return group_or_null(url, fixed.MAGNIT_CATALOG_ID)
 
 
-def _group_or_null(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def magnit_product_id(url: str) -> str:
+    return group_or_null(url, fixed.MAGNIT_PRODUCT_ID)
 
 
-def magnit_catalog_id(url: Column) -> Column:
-    return _group_or_null(url, fixed.MAGNIT_CATALOG_ID)
+def perekrestok_id(url: str) -> str:
+    return group_or_null(path(url), fixed.PEREKRESTOK_ID)
 
 
-def magnit_product_id(url: Column) -> Column:
-    return _group_or_null(url, fixed.MAGNIT_PRODUCT_ID)
+def is_magnit_product(url: str) -> str:
+    return f"contains({path(url)}, {quoted(fixed.MAGNIT_PRODUCT_PATH)})"
 
 
-def perekrestok_id(url: Column) -> Column:
-    return _group_or_null(path(url), fixed.PEREKRESTOK_ID)
+def is_perekrestok_product(url: str) -> str:
+    return f"rlike({path(url)}, {quoted(fixed.PEREKRESTOK_PRODUCT_PATH)})"

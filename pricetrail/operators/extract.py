@@ -4,372 +4,299 @@ All work on a page happens inside its row, on arrays: no shuffle, the body is re
 shops, and the same code runs in batch and in a stream.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetrail import schemas
-from pricetrail.functions import fixed, html, jsonld, text, urls
+from pricetrail.functions import fixed, html, jsonld, quoted, text, urls
 from pricetrail.operators.routing import route
 
-PAGE_COLUMNS = ["page_url", "fetched_at", "rule", "shop_base_url"]
+_PAGE = ["page_url", "fetched_at", "rule", "shop_base_url"]
+_NO_OFFERS = f"cast(array() AS array<{schemas.PAGE_OFFER}>)"
 
 
-def _offers(items: Column, build) -> Column:
-    return F.transform(items, lambda item: build(item).cast(schemas.PAGE_OFFER))
+def _offer(position, name, price, url="NULL", product_id="NULL", maker_code="NULL", in_stock="true") -> str:
+    fields = {
+        "position": position,
+        "name": name,
+        "price": price,
+        "url": url,
+        "internal_product_id": product_id,
+        "manufacturer_code": maker_code,
+        "is_in_stock": in_stock,
+    }
+    inside = ", ".join(f"'{field}', {value}" for field, value in fields.items())
+    return f"cast(named_struct({inside}) AS {schemas.PAGE_OFFER})"
 
 
-def _offer(position, name, price, url, product_id, maker_code, in_stock) -> Column:
-    return F.struct(
-        position.cast("int").alias("position"),
-        name.alias("name"),
-        price.cast(text.RAW_PRICE).alias("price"),
-        url.cast("string").alias("url"),
-        product_id.cast("string").alias("internal_product_id"),
-        maker_code.cast("string").alias("manufacturer_code"),
-        in_stock.alias("is_in_stock"),
-    )
-
-
-def _complete(offers: Column, *extra: str) -> Column:
+def _complete(offers: str, *extra: str) -> str:
     """Offers with name, price and the extra fields."""
+    present = " AND ".join(f"o.{field} IS NOT NULL" for field in ("name", "price", *extra))
+    return f"filter({offers}, o -> {present})"
 
-    def has_all(offer: Column) -> Column:
-        present = offer["name"].isNotNull() & offer["price"].isNotNull()
-        for field in extra:
-            present = present & offer[field].isNotNull()
-        return present
-
-    return F.filter(offers, has_all)
 
+def _links(anchors: str, origin: str, is_product) -> str:
+    """Product links of a page: position, absolute URL, attributes, normalised text.
 
-def _links(anchors: Column, page_url: Column, origin: Column, is_product) -> Column:
-    """Product links of a page: position, absolute URL, attributes, text."""
-    with_href = F.transform(
-        anchors,
-        lambda a: F.struct(
-            a["position"].alias("position"),
-            urls.usable_href(html.attribute_text(a["attributes"], "href")).alias("href"),
-            a["attributes"].alias("attributes"),
-            a["markup"].alias("markup"),
-        ),
+    Each stage works a value out once and hands it on as a field.
+    """
+    href = urls.trimmed_href(html.attribute_text("a.attributes", "href"))
+    with_href = (
+        f"transform({anchors}, a -> named_struct('position', a.position, 'href', {href},"
+        " 'attributes', a.attributes, 'markup', a.markup))"
     )
-    absolute = F.transform(
-        F.filter(with_href, lambda a: a["href"].isNotNull()),
-        lambda a: F.struct(
-            a["position"].alias("position"),
-            urls.absolute(a["href"], page_url, origin).alias("url"),
-            a["attributes"].alias("attributes"),
-            a["markup"].alias("markup"),
-        ),
+    usable = f"filter({with_href}, a -> {urls.is_usable_href('a.href')})"
+    absolute = (
+        f"transform({usable}, a -> named_struct('position', a.position,"
+        f" 'url', {urls.absolute('a.href', 'page_url', origin)}, 'attributes', a.attributes, 'markup', a.markup))"
     )
-    return F.transform(
-        F.filter(absolute, lambda a: is_product(urls.path(a["url"]))),
-        lambda a: F.struct(
-            a["position"].alias("position"),
-            a["url"].alias("url"),
-            a["attributes"].alias("attributes"),
-            text.normalize(html.text_content(a["markup"])).alias("text"),
-        ),
+    products = f"filter({absolute}, a -> {is_product('a.url')})"
+    words = text.normalize(html.text_content("a.markup"))
+    return (
+        f"transform({products}, a -> named_struct('position', a.position, 'url', a.url,"
+        f" 'attributes', a.attributes, 'text', coalesce({words}, '')))"
     )
 
 
-def magnit_catalog_offers(anchors: Column, page_url: Column) -> Column:
-    links = _links(
-        anchors, page_url, F.lit(fixed.MAGNIT[1]), lambda path: path.contains(fixed.MAGNIT_PRODUCT_PATH)
-    )
-    priced = F.filter(links, lambda link: link["text"].rlike(fixed.PRICE_ANY_DECIMALS))
-    return _complete(
-        _offers(
-            priced,
-            lambda link: _offer(
-                link["position"],
-                text.name_after_price(link["text"]),
-                text.first_price(link["text"]),
-                link["url"],
-                urls.magnit_catalog_id(link["url"]),
-                F.lit(None),
-                F.lit(True),
-            ),
-        )
+def magnit_catalog_offers(anchors: str) -> str:
+    links = _links(anchors, quoted(fixed.MAGNIT[1]), urls.is_magnit_product)
+    priced = f"filter({links}, a -> {text.has_price('a.text')})"
+    offer = _offer(
+        "a.position",
+        text.name_after_price("a.text"),
+        text.first_price("a.text"),
+        "a.url",
+        urls.magnit_catalog_id("a.url"),
     )
+    return _complete(f"transform({priced}, a -> {offer})")
 
 
-def perekrestok_link_offers(anchors: Column, page_url: Column) -> Column:
-    links = _links(
-        anchors, page_url, urls.page_origin(page_url), lambda path: path.rlike(fixed.PEREKRESTOK_PRODUCT_PATH)
+def perekrestok_link_offers(anchors: str) -> str:
+    links = _links(anchors, urls.page_origin("page_url"), urls.is_perekrestok_product)
+    labels = [text.normalize(html.attribute_text("a.attributes", name)) for name in fixed.NAME_ATTRIBUTES]
+    offer = _offer(
+        "a.position",
+        f"coalesce({', '.join(labels)}, {text.cleaned_name('a.text')})",
+        text.first_positive_price("a.text"),
+        "a.url",
+        urls.perekrestok_id("a.url"),
+        in_stock=f"NOT contains(lower(a.text), {quoted(fixed.NOT_IN_STOCK_TEXT)})",
     )
-
-    def build(link: Column) -> Column:
-        words = F.coalesce(link["text"], F.lit(""))
-        labels = [
-            text.normalize(html.attribute_text(link["attributes"], name))
-            for name in fixed.NAME_ATTRIBUTES
-        ]
-        return _offer(
-            link["position"],
-            F.coalesce(*labels, text.cleaned_name(words)),
-            text.first_positive_price(words),
-            link["url"],
-            urls.perekrestok_id(link["url"]),
-            F.lit(None),
-            ~F.lower(words).contains(fixed.NOT_IN_STOCK_TEXT),
-        )
-
-    return _complete(_offers(links, build))
+    return _complete(f"transform({links}, a -> {offer})")
 
 
-def perekrestok_ld_offers(facts: Column, page_url: Column) -> Column:
-    located = F.transform(
-        facts,
-        lambda fact, index: F.struct(
-            index.alias("position"),
-            urls.absolute(text.normalize(fact["url"]), page_url, urls.page_origin(page_url)).alias("url"),
-            fact.alias("fact"),
-        ),
-    )
-    products = F.filter(
-        located, lambda item: urls.path(item["url"]).rlike(fixed.PEREKRESTOK_PRODUCT_PATH)
+def perekrestok_ld_offers(facts: str) -> str:
+    url = urls.absolute(text.normalize("f.url"), "page_url", urls.page_origin("page_url"))
+    located = f"transform({facts}, (f, i) -> named_struct('position', i, 'url', {url}, 'fact', f))"
+    products = f"filter({located}, f -> {urls.is_perekrestok_product('f.url')})"
+    prices = f"transform(f.fact.prices, n -> {text.numeric_price('n')})"
+    offer = _offer(
+        "f.position",
+        text.normalize("f.fact.name"),
+        text.first_of(prices),
+        "f.url",
+        urls.perekrestok_id("f.url"),
+        text.normalize("f.fact.manufacturer_code"),
+        "NOT f.fact.sold_out",
     )
-
-    def build(item: Column) -> Column:
-        prices = F.transform(item["fact"]["prices"], text.numeric_price)
-        return _offer(
-            item["position"],
-            text.normalize(item["fact"]["name"]),
-            F.get(F.filter(prices, lambda price: price.isNotNull()), F.lit(0)),
-            item["url"],
-            urls.perekrestok_id(item["url"]),
-            text.normalize(item["fact"]["manufacturer_code"]),
-            ~item["fact"]["sold_out"],
-        )
-
-    return _complete(_offers(products, build))
+    return _complete(f"transform({products}, f -> {offer})")
 
 
-def pyaterochka_offers(products: Column) -> Column:
-    def build(product: Column, index: Column) -> Column:
-        prices = [text.numeric_price(product["prices"][field]) for field in fixed.CATALOG_PRICE_FIELDS]
-        return _offer(
-            index,
-            text.normalize(product["name"]),
-            F.coalesce(*prices),
-            F.lit(None),
-            F.nullif(product["plu"], F.lit("")),
-            F.lit(None),
-            text.truthy(product["is_available"]),
-        ).cast(schemas.PAGE_OFFER)
-
-    return _complete(F.transform(products, build), "internal_product_id")
+def pyaterochka_offers(products: str) -> str:
+    prices = ", ".join(text.numeric_price(f"r.prices.{field}") for field in fixed.CATALOG_PRICE_FIELDS)
+    offer = _offer(
+        "i",
+        text.normalize("r.name"),
+        f"coalesce({prices})",
+        product_id="nullif(r.plu, '')",
+        in_stock=text.truthy("r.is_available"),
+    )
+    return _complete(f"transform({products}, (r, i) -> {offer})", "internal_product_id")
 
 
-def _first_per_url(df: DataFrame, column: str) -> DataFrame:
+def _first_per_url(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """Keep the first offer per URL in the page; offers without a URL all stay.
 
     Sorting makes equal URLs neighbours, so this is n log n per page and needs no shuffle. The
     sorted array is a column of its own: the comparison reads it twice.
     """
-    by_url = F.array_sort(
-        F.transform(F.col(column), lambda o: F.struct(o["url"].alias("url"), o["position"].alias("position"), o.alias("offer")))
-    )
-    first = F.filter(
-        F.col("_by_url"),
-        lambda item, index: item["url"].isNull()
-        | (index == 0)
-        | ~item["url"].eqNullSafe(F.get(F.col("_by_url"), index - 1)["url"]),
-    )
-    return (
-        df.withColumn("_by_url", by_url)
-        .withColumn(column, F.transform(first, lambda item: item["offer"]))
-        .drop("_by_url")
+    by_url = f"array_sort(transform({column}, o -> named_struct('url', o.url, 'position', o.position, 'offer', o)))"
+    is_first = "s.url IS NULL OR i = 0 OR NOT (s.url <=> get(_by_url, i - 1).url)"
+    return df.selectExpr(*keep, f"{by_url} AS _by_url").selectExpr(
+        *keep, f"transform(filter(_by_url, (s, i) -> {is_first}), s -> s.offer) AS {column}"
     )
 
 
-def _empty() -> Column:
-    return F.array().cast(f"array<{schemas.PAGE_OFFER}>")
+_LOADED = "coalesce(http_status BETWEEN 200 AND 299, false)"
+_HTTP_REASON = "concat('page did not load: HTTP ', coalesce(cast(http_status AS string), '-'))"
 
 
-def _http_reject() -> Column:
-    """Reject of a page that did not load; null when the status is a success."""
-    return F.when(
-        ~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)),
-        F.concat(F.lit("page did not load: HTTP "), F.coalesce(F.col("http_status").cast("string"), F.lit("-"))),
+def _reject(*cases: tuple[str, str, str]) -> str:
+    """Stage and reason of the first case that holds; null for a good page."""
+    whens = " ".join(
+        f"WHEN {condition} THEN named_struct('stage', '{stage}', 'reason', {reason})"
+        for condition, stage, reason in cases
     )
-
-
-def _unrouted(kind: str) -> Column:
-    return F.when(F.col("rule").isNull(), F.lit(f"no rule for this {kind} URL"))
+    return f"CASE {whens} END AS _reject"
 
 
 def extract_catalog(pages: DataFrame) -> DataFrame:
     """Catalogue pages to one row per page: ``offers`` array, or ``stage`` and ``reason`` of the reject.
 
-    A page may bring ``capture_reject`` (see ``responses.capture``); its body is then the captured payload.
+    A page may bring ``capture_reject`` (see ``responses.captured_pages``); its body is then the
+    captured payload.
     """
     if "capture_reject" not in pages.columns:
         pages = pages.withColumn("capture_reject", F.lit(None).cast("string"))
-    routed = route(pages, "catalog")
-    usable = F.col("rule").isNotNull() & _http_reject().isNull() & F.col("capture_reject").isNull()
-    rule = F.col("rule")
-    html_rules = rule.isin("magnit_catalog", "perekrestok_catalog")
-    read = routed.select(
-        *PAGE_COLUMNS,
-        "http_status",
-        "capture_reject",
-        F.when(usable & html_rules, html.anchors(F.col("body"))).alias("_anchors"),
-        F.when(usable & (rule == "perekrestok_catalog"), html.ld_json_scripts(F.col("body"))).alias("_scripts"),
-        F.when(
-            usable & (rule == "pyaterochka_catalog"),
-            F.from_json("body", schemas.CATALOG_JSON, {"columnNameOfCorruptRecord": "_corrupt"}),
-        ).alias("_json"),
-        F.when(usable & (rule == "pyaterochka_catalog"), F.json_array_length("body")).alias("_list_length"),
+    state = [*_PAGE, "http_status", "capture_reject"]
+    usable = f"{_LOADED} AND capture_reject IS NULL"
+    is_json = f"{usable} AND rule = 'pyaterochka_catalog'"
+    json_type = schemas.CATALOG_JSON.simpleString()
+    read = route(pages, "catalog").selectExpr(
+        *state,
+        f"CASE WHEN {usable} AND rule IN ('magnit_catalog', 'perekrestok_catalog')"
+        f" THEN {html.anchors('body')} END AS _anchors",
+        f"CASE WHEN {usable} AND rule = 'perekrestok_catalog' THEN {html.ld_json_scripts('body')} END AS _scripts",
+        f"CASE WHEN {is_json} THEN from_json(body, '{json_type}',"
+        " map('columnNameOfCorruptRecord', '_corrupt')) END AS _json",
+        f"CASE WHEN {is_json} THEN json_array_length(body) END AS _list_length",
+    )
+    located = read.withColumn("_facts", jsonld.listed_facts(F.col("_scripts"))).selectExpr(
+        "*", f"CASE WHEN size(_facts) > 0 THEN {perekrestok_ld_offers('_facts')} END AS _ld"
     )
-    page_url = F.col("page_url")
-    parsed = read.withColumn("_facts", jsonld.listed_facts(F.col("_scripts"))).withColumn(
-        "_ld", F.when(F.size("_facts") > 0, perekrestok_ld_offers(F.col("_facts"), page_url))
+    kept = [*state, "_json IS NOT NULL AND _json._corrupt IS NULL AS _is_object", "_list_length",
+            "coalesce(size(_json.products), 0) AS _listed"]
+    found = located.selectExpr(
+        *kept,
+        f"coalesce(CASE WHEN rule = 'magnit_catalog' THEN {magnit_catalog_offers('_anchors')}"
+        " WHEN size(_ld) > 0 THEN _ld"
+        f" WHEN rule = 'perekrestok_catalog' THEN {perekrestok_link_offers('_anchors')}"
+        f" WHEN rule = 'pyaterochka_catalog' THEN {pyaterochka_offers('_json.products')} END,"
+        f" {_NO_OFFERS}) AS offers",
     )
-    offers = parsed.withColumn(
+    facts = [*state, "_is_object", "_list_length", "_listed"]
+    deduped = _first_per_url(found, "offers", facts)
+    return deduped.selectExpr(
+        *_PAGE,
         "offers",
-        F.when(rule == "magnit_catalog", magnit_catalog_offers(F.col("_anchors"), page_url))
-        .when(
-            rule == "perekrestok_catalog",
-            F.when(F.size("_ld") > 0, F.col("_ld")).otherwise(
-                perekrestok_link_offers(F.col("_anchors"), page_url)
+        _reject(
+            ("rule IS NULL", "route", "'no rule for this catalogue URL'"),
+            (f"NOT {_LOADED}", "http", _HTTP_REASON),
+            ("capture_reject IS NOT NULL", "capture", "capture_reject"),
+            (
+                "rule = 'pyaterochka_catalog' AND NOT _is_object AND _list_length IS NULL",
+                "decode",
+                "'HTML instead of JSON'",
             ),
-        )
-        .when(rule == "pyaterochka_catalog", pyaterochka_offers(F.col("_json.products"))),
-    ).withColumn("offers", F.coalesce("offers", _empty()))
-    deduped = _first_per_url(offers, "offers")
-    not_json = F.col("_json._corrupt").isNotNull() & F.col("_list_length").isNull()
-    stage_and_reason = (
-        F.when(rule.isNull(), F.struct(F.lit("route").alias("stage"), _unrouted("catalogue").alias("reason")))
-        .when(_http_reject().isNotNull(), F.struct(F.lit("http").alias("stage"), _http_reject().alias("reason")))
-        .when(
-            F.col("capture_reject").isNotNull(),
-            F.struct(F.lit("capture").alias("stage"), F.col("capture_reject").alias("reason")),
-        )
-        .when(
-            (rule == "pyaterochka_catalog") & (not_json | F.col("_json").isNull()),
-            F.struct(F.lit("decode").alias("stage"), F.lit("HTML instead of JSON").alias("reason")),
-        )
-        .when(
-            (rule == "pyaterochka_catalog") & (F.coalesce(F.size("_json.products"), F.lit(0)) <= 0),
-            F.struct(F.lit("extract").alias("stage"), F.lit("catalogue holds no products").alias("reason")),
-        )
-        .when(
-            F.size("offers") == 0,
-            F.struct(F.lit("extract").alias("stage"), F.lit("no offers found").alias("reason")),
-        )
-    )
-    return deduped.withColumn("_reject", stage_and_reason).select(
-        *PAGE_COLUMNS, "offers", F.col("_reject.stage").alias("stage"), F.col("_reject.reason").alias("reason")
-    )
+            ("rule = 'pyaterochka_catalog' AND _listed <= 0", "extract", "'catalogue holds no products'"),
+            ("size(offers) = 0", "extract", "'no offers found'"),
+        ),
+    ).selectExpr(*_PAGE, "offers", "_reject.stage AS stage", "_reject.reason AS reason")
 
 
-def _selector_value(element: Column, meta: bool) -> Column:
-    """Normalised content of a meta tag or text of an element; "0" counts as nothing."""
-    raw = (
-        html.attribute_text(html.tag_attributes(element), "content") if meta else html.text_content(element)
-    )
-    return F.nullif(text.normalize(raw), F.lit("0"))
+def _text_of(element: str) -> str:
+    """Normalised text of an element; "0" counts as nothing."""
+    return f"nullif({text.normalize(html.text_content(element))}, '0')"
 
 
-def _first_price_of(items: Column) -> Column:
-    prices = F.transform(items, text.scalar_price)
-    return F.get(F.filter(prices, lambda price: price.isNotNull()), F.lit(0))
+def _content_of(element: str) -> str:
+    return html.attribute_text(html.tag_attributes(element), "content")
 
 
 def extract_product(pages: DataFrame) -> DataFrame:
     """Product pages to one row per page with at most one offer."""
-    routed = route(pages, "product")
-    usable = F.col("rule").isNotNull() & _http_reject().isNull()
-    body = F.when(usable, F.col("body"))
-    read = routed.select(
-        *PAGE_COLUMNS,
-        "http_status",
-        html.elements(html.without_comments_and_code(body), "h1").alias("_h1"),
-        html.void_elements(body, "meta").alias("_meta"),
-        F.get(html.elements(body, "title"), F.lit(0)).alias("_title"),
-        html.element_text_with_attribute(html.without_comments_and_code(body), "itemprop", "price").alias("_itemprop"),
-        html.ld_json_scripts(body).alias("_scripts"),
-    ).withColumn("_ld", jsonld.product_facts(F.col("_scripts")))
-    first_meta_price = html.first_with_attribute(F.col("_meta"), "itemprop", "price")
-    name = F.coalesce(
-        _selector_value(
-            html.first_with_attribute(F.col("_h1"), "data-test-id", fixed.NAME_HEADING_TEST_ID), False
-        ),
-        _selector_value(F.get("_h1", F.lit(0)), False),
-        _selector_value(html.first_with_attribute(F.col("_meta"), "property", "og:title"), True),
-        _selector_value(F.col("_title"), False),
-        F.col("_ld.name"),
-    )
-    itemprop_value = F.coalesce(
-        F.nullif(F.nullif(F.col("_itemprop.content"), F.lit("")), F.lit("0")), F.col("_itemprop.text")
+    state = [*_PAGE, "http_status"]
+    body = f"CASE WHEN rule IS NOT NULL AND {_LOADED} THEN body END"
+    read = route(pages, "product").selectExpr(
+        *state,
+        f"{html.without_comments_and_code(body)} AS _clean",
+        f"{html.ld_json_scripts(body)} AS _scripts",
     )
-    price = F.coalesce(
-        text.scalar_price(html.attribute_text(html.tag_attributes(first_meta_price), "content")),
-        text.scalar_price(itemprop_value),
-        _first_price_of(F.col("_ld.prices")),
+    scanned = read.selectExpr(
+        *state,
+        "_clean",
+        "_scripts",
+        f"{html.elements('_clean', 'h1')} AS _h1",
+        f"{html.void_elements('_clean', 'meta')} AS _meta",
+        f"get({html.elements('_clean', 'title')}, 0) AS _title",
+        f"{html.first_with_attribute(html.opening_tags_naming('_clean', 'itemprop'), 'itemprop', 'price')} AS _priced",
     )
-    found = read.select(
-        *PAGE_COLUMNS,
-        "http_status",
-        name.alias("_name"),
-        price.alias("_price"),
-        F.coalesce(F.col("_ld.internal_product_id"), urls.magnit_product_id(F.col("page_url"))).alias("_id"),
-        F.col("_ld.manufacturer_code").alias("_maker"),
+    picked = scanned.selectExpr(
+        *state,
+        "_scripts",
+        f"{html.first_with_attribute('_h1', 'data-test-id', fixed.NAME_HEADING_TEST_ID)} AS _name_h1",
+        "get(_h1, 0) AS _first_h1",
+        f"{html.first_with_attribute('_meta', 'property', 'og:title')} AS _og_title",
+        "_title",
+        f"{html.first_with_attribute('_meta', 'itemprop', 'price')} AS _meta_price",
+        f"nullif(nullif({_content_of('_priced')}, ''), '0') AS _priced_content",
+        f"{html.inner_markup('_clean', '_priced')} AS _priced_markup",
     )
-    reject = (
-        F.when(F.col("rule").isNull(), F.struct(F.lit("route").alias("stage"), _unrouted("product").alias("reason")))
-        .when(_http_reject().isNotNull(), F.struct(F.lit("http").alias("stage"), _http_reject().alias("reason")))
-        .when(F.col("_name").isNull(), F.struct(F.lit("extract").alias("stage"), F.lit("no product name").alias("reason")))
-        .when(F.col("_price").isNull(), F.struct(F.lit("extract").alias("stage"), F.lit("no product price").alias("reason")))
+    priced_text = f"coalesce(_priced_content, {html.text_content('_priced_markup')})"
+    facts = picked.withColumn("_ld", jsonld.product_facts(F.col("_scripts"))).selectExpr(
+        *state,
+        f"coalesce({_text_of('_name_h1')}, {_text_of('_first_h1')},"
+        f" nullif({text.normalize(_content_of('_og_title'))}, '0'), {_text_of('_title')}, _ld.name) AS _name",
+        f"coalesce({text.scalar_price(_content_of('_meta_price'))}, {text.scalar_price(priced_text)},"
+        f" {text.first_of(f'transform(_ld.prices, n -> {text.scalar_price("n")})')}) AS _price",
+        f"coalesce(_ld.internal_product_id, {urls.magnit_product_id('page_url')}) AS _id",
+        "_ld.manufacturer_code AS _maker",
     )
-    offer = _offer(
-        F.lit(0), F.col("_name"), F.col("_price"), F.lit(None), F.col("_id"), F.col("_maker"), F.lit(True)
-    ).cast(schemas.PAGE_OFFER)
-    return found.withColumn("_reject", reject).select(
-        *PAGE_COLUMNS,
-        F.when(F.col("_reject").isNull(), F.array(offer)).otherwise(_empty()).alias("offers"),
-        F.col("_reject.stage").alias("stage"),
-        F.col("_reject.reason").alias("reason"),
+    return facts.selectExpr(
+        *_PAGE,
+        f"array({_offer('0', '_name', '_price', product_id='_id', maker_code='_maker')}) AS offers",
+        _reject(
+            ("rule IS NULL", "route", "'no rule for this product URL'"),
+            (f"NOT {_LOADED}", "http", _HTTP_REASON),
+            ("_name IS NULL", "extract", "'no product name'"),
+            ("_price IS NULL", "extract", "'no product price'"),
+        ),
+    ).selectExpr(
+        *_PAGE,
+        f"CASE WHEN _reject IS NULL THEN offers ELSE {_NO_OFFERS} END AS offers",
+        "_reject.stage AS stage",
+        "_reject.reason AS reason",
     )
 
 
+_FITS = "try_cast(o.price AS decimal(10,2))"
+
+
 def _exploded(extracted: DataFrame) -> DataFrame:
-    return extracted.select(
-        "shop_base_url", "page_url", F.col("fetched_at").alias("observed_at"), F.explode("offers").alias("o")
-    )
+    return extracted.selectExpr("shop_base_url", "page_url", "fetched_at", "explode(offers) AS o")
 
 
 def offers(extracted: DataFrame) -> DataFrame:
     """One row per offer whose price fits decimal(10,2)."""
-    rows = _exploded(extracted)
-    fitting = F.col("o.price").try_cast("decimal(10,2)")
-    return rows.where(fitting.isNotNull()).select(
-        "shop_base_url",
-        "page_url",
-        "observed_at",
-        "o.position",
-        "o.name",
-        fitting.alias("price"),
-        "o.url",
-        "o.internal_product_id",
-        "o.manufacturer_code",
-        "o.is_in_stock",
+    return (
+        _exploded(extracted)
+        .where(f"{_FITS} IS NOT NULL")
+        .selectExpr(
+            "shop_base_url",
+            "page_url",
+            "fetched_at AS observed_at",
+            "o.position",
+            "o.name",
+            f"{_FITS} AS price",
+            "o.url",
+            "o.internal_product_id",
+            "o.manufacturer_code",
+            "o.is_in_stock",
+        )
     )
 
 
 def rejects(extracted: DataFrame) -> DataFrame:
     """Pages that gave nothing, and single offers whose price does not fit."""
-    pages = extracted.where(F.col("stage").isNotNull()).select("page_url", "fetched_at", "stage", "reason")
+    pages = extracted.where("stage IS NOT NULL").select("page_url", "fetched_at", "stage", "reason")
     oversized = (
         _exploded(extracted)
-        .where(F.col("o.price").try_cast("decimal(10,2)").isNull())
-        .select(
+        .where(f"{_FITS} IS NULL")
+        .selectExpr(
             "page_url",
-            F.col("observed_at").alias("fetched_at"),
-            F.lit("price").alias("stage"),
-            F.concat(F.lit("price out of range at position "), F.col("o.position").cast("string")).alias("reason"),
+            "fetched_at",
+            "'price' AS stage",
+            "concat('price out of range at position ', o.position) AS reason",
         )
     )
     return pages.unionByName(oversized)

@@ -2,10 +2,9 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from pricetrail.functions import fixed, urls
+from pricetrail.functions import fixed, quoted, urls
 
 
 @dataclass(frozen=True)
@@ -15,50 +14,46 @@ class Rule:
     name: str
     shop_name: str
     shop_base_url: str
-    captured: bool  # the payload is a captured network response, not the page itself
+    host_part: str
+    path_part: str = ""
+    path_prefix: str = ""
 
-    def supports(self, page_url: Column) -> Column:
-        return _PREDICATES[self.name](urls.host(page_url), urls.path(page_url))
+    def supports(self, page_url: str) -> str:
+        return (
+            f"contains({urls.host(page_url)}, {quoted(self.host_part)})"
+            f" AND contains({urls.path(page_url)}, {quoted(self.path_part)})"
+            f" AND startswith({urls.path(page_url)}, {quoted(self.path_prefix)})"
+        )
 
 
-_PREDICATES = {
-    "magnit_product": lambda host, path: host.contains(fixed.MAGNIT_HOST),
-    "magnit_catalog": lambda host, path: host.contains(fixed.MAGNIT_HOST)
-    & path.contains(fixed.CATALOG_PATH),
-    "pyaterochka_catalog": lambda host, path: host.contains(fixed.PYATEROCHKA_HOST)
-    & path.contains(fixed.CATALOG_PATH),
-    "perekrestok_catalog": lambda host, path: host.contains(fixed.PEREKRESTOK_HOST)
-    & path.startswith(fixed.PEREKRESTOK_CATALOG_PREFIX),
-}
-
-PRODUCT_RULES = [Rule("magnit_product", *fixed.MAGNIT, captured=False)]
+PRODUCT_RULES = [Rule("magnit_product", *fixed.MAGNIT, fixed.MAGNIT_HOST)]
 CATALOG_RULES = [
-    Rule("magnit_catalog", *fixed.MAGNIT, captured=False),
-    Rule("pyaterochka_catalog", *fixed.PYATEROCHKA, captured=True),
-    Rule("perekrestok_catalog", *fixed.PEREKRESTOK, captured=False),
+    Rule("magnit_catalog", *fixed.MAGNIT, fixed.MAGNIT_HOST, path_part=fixed.CATALOG_PATH),
+    Rule("pyaterochka_catalog", *fixed.PYATEROCHKA, fixed.PYATEROCHKA_HOST, path_part=fixed.CATALOG_PATH),
+    Rule(
+        "perekrestok_catalog",
+        *fixed.PEREKRESTOK,
+        fixed.PEREKRESTOK_HOST,
+        path_prefix=fixed.PEREKRESTOK_CATALOG_PREFIX,
+    ),
 ]
 RULES = {"product": PRODUCT_RULES, "catalog": CATALOG_RULES}
 
 
-def first_match(page_url: Column, rules: list[Rule], field: str) -> Column:
-    """``field`` of the first rule that supports the URL, else null; a CASE, so no shuffle."""
-    matched = F.lit(None).cast("boolean" if field == "captured" else "string")
-    for rule in reversed(rules):
-        matched = F.when(rule.supports(page_url), F.lit(getattr(rule, field))).otherwise(matched)
-    return matched
+def matching_rule(page_url: str, rules: list[Rule]) -> str:
+    """Name of the first rule that supports the URL, else null; a CASE, so no shuffle."""
+    cases = " ".join(f"WHEN {rule.supports(page_url)} THEN {quoted(rule.name)}" for rule in rules)
+    return f"CASE {cases} END"
 
 
-def by_rule(rule: Column, rules: list[Rule], field: str) -> Column:
+def of_rule(rule: str, rules: list[Rule], field: str) -> str:
     """``field`` of a rule given by name; null for no rule."""
-    picked = None
-    for entry in rules:
-        value = F.lit(getattr(entry, field))
-        picked = (F if picked is None else picked).when(rule == entry.name, value)
-    return picked
+    cases = " ".join(f"WHEN {quoted(r.name)} THEN {quoted(getattr(r, field))}" for r in rules)
+    return f"CASE {rule} {cases} END"
 
 
-def route(pages: DataFrame, kind: str) -> DataFrame:
+def route(pages: DataFrame, kind: str, rules: list[Rule] | None = None) -> DataFrame:
     """Pages with ``rule`` and ``shop_base_url``; pages no rule takes keep nulls there."""
-    rules = RULES[kind]
-    routed = pages.withColumn("rule", first_match(F.col("page_url"), rules, "name"))
-    return routed.withColumn("shop_base_url", by_rule(F.col("rule"), rules, "shop_base_url"))
+    rules = rules or RULES[kind]
+    routed = pages.selectExpr("*", f"{matching_rule('page_url', rules)} AS rule")
+    return routed.selectExpr("*", f"{of_rule('rule', rules, 'shop_base_url')} AS shop_base_url")

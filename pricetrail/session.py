@@ -1,7 +1,9 @@
 """Session helpers: settings for local runs and the shared folder for cut lineage."""
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    shipped = spark.conf.get("pricetrail.shipped", None)
+    if shipped != spark.sparkContext.applicationId:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='pricetrail-zip-')}/pricetrail", "zip", root.parent, root.name
+        )
+        spark.sparkContext.addPyFile(archive)
+        spark.conf.set("pricetrail.shipped", spark.sparkContext.applicationId)
