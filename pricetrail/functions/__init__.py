@@ -18,3 +18,8 @@ def group_or_null(text: str, pattern: str, group: int = 1) -> str:
 
 def removed(text: str, pattern: str, replacement: str = "") -> str:
     return f"regexp_replace({text}, {quoted(pattern)}, {quoted(replacement)})"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"

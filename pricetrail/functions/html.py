@@ -7,7 +7,7 @@ overflow the stack. One scan of the body returns whole elements; details are rea
 import json
 from html.entities import name2codepoint
 
-from pricetrail.functions import quoted, removed
+from pricetrail.functions import let, quoted, removed
 
 # The inside of a tag: anything up to '>', with quoted values allowed to hold '>'.
 _TAG_BODY = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
@@ -60,15 +60,13 @@ def decode_entities(text: str) -> str:
         " THEN decode(unhex(lpad(hex(d.code), 8, '0')), 'UTF-32')"
         f" ELSE try_element_at(from_json({quoted(_CHARACTERS)}, 'map<string,string>'), d.name) END"
     )
-    pieces = f"split({text}, '&')"
     decoded = (
-        f"transform(transform(slice({pieces}, 2, size({pieces})), e -> {parts}),"
-        f" d -> coalesce(concat({character}, d.rest), concat('&', d.raw)))"
-    )
-    return (
-        f"CASE WHEN contains({text}, '&') THEN concat(get({pieces}, 0), array_join({decoded}, ''))"
-        f" ELSE {text} END"
+        f"transform(transform(pieces, (e, i) -> CASE WHEN i > 0 THEN {parts} END),"
+        f" (d, i) -> CASE WHEN i = 0 THEN pieces[0]"
+        f" ELSE coalesce(concat({character}, d.rest), concat('&', d.raw)) END)"
     )
+    joined = let("pieces", "split(coded, '&')", f"array_join({decoded}, '')")
+    return let("coded", text, f"CASE WHEN contains(coded, '&') THEN {joined} ELSE coded END")
 
 
 def attribute_text(attributes: str, name: str) -> str:
@@ -112,21 +110,22 @@ def inner_markup(body: str, opening: str) -> str:
 
     Nested tags of the same kind are counted. Void tags hold nothing.
     """
-    tag = f"lower(regexp_extract({opening}, '^<([A-Za-z][A-Za-z0-9]*)', 1))"
     rest = f"substr({body}, instr({body}, {opening}) + length({opening}))"
-    pieces = f"split({rest}, concat('(?i)(?=</?', {tag}, '[\\\\s/>])'))"
     step = (
         "CASE WHEN s.depth <= 0 THEN s"
         " WHEN startswith(p, '</') AND s.depth = 1 THEN named_struct('depth', 0, 'markup', s.markup)"
         " WHEN startswith(p, '</') THEN named_struct('depth', s.depth - 1, 'markup', concat(s.markup, p))"
-        f" WHEN startswith(lower(p), concat('<', {tag}))"
+        " WHEN startswith(lower(p), concat('<', tag))"
         " THEN named_struct('depth', s.depth + 1, 'markup', concat(s.markup, p))"
         " ELSE named_struct('depth', s.depth, 'markup', concat(s.markup, p)) END"
     )
     void = ", ".join(quoted(name) for name in _VOID_TAGS)
-    return (
-        f"CASE WHEN {tag} IN ({void}) THEN '' ELSE"
-        f" aggregate({pieces}, named_struct('depth', 1, 'markup', ''), (s, p) -> {step}, s -> s.markup) END"
+    pieces = f"split({rest}, concat('(?i)(?=</?', tag, '[\\\\s/>])'))"
+    return let(
+        "tag",
+        f"lower(regexp_extract({opening}, '^<([A-Za-z][A-Za-z0-9]*)', 1))",
+        f"CASE WHEN tag IN ({void}) THEN '' ELSE"
+        f" aggregate({pieces}, named_struct('depth', 1, 'markup', ''), (s, p) -> {step}, s -> s.markup) END",
     )
 
 

@@ -1,6 +1,6 @@
 """Text normalisation, prices and product names."""
 
-from pricetrail.functions import fixed, group_or_null, quoted, removed
+from pricetrail.functions import fixed, group_or_null, let, quoted, removed
 
 # Wide enough that an oversized price is still seen and can be rejected later.
 RAW_PRICE = "decimal(38,2)"
@@ -11,7 +11,7 @@ _NO_BREAK_SPACE = "\u00a0"
 
 def normalize(text: str) -> str:
     """Every run of Unicode white space becomes one space; trimmed; empty becomes null."""
-    return f"nullif(trim({removed(text, r'(?U)\s+', ' ')}), '')"
+    return let("normal", f"trim({removed(text, r'(?U)\s+', ' ')})", "nullif(normal, '')")
 
 
 def dotted(number: str) -> str:
@@ -32,7 +32,7 @@ def _numeric_value(text: str) -> str:
 
 def numeric_price(text: str) -> str:
     """Price when the whole text is a number (comma allowed), else null."""
-    return f"CASE WHEN {is_numeric(dotted(text))} THEN {_numeric_value(dotted(text))} END"
+    return let("num", dotted(text), f"CASE WHEN {is_numeric('num')} THEN {_numeric_value('num')} END")
 
 
 def first_price(text: str) -> str:
@@ -52,13 +52,15 @@ def first_positive_price(text: str) -> str:
 
 def scalar_price(text: str) -> str:
     """Price from an attribute or a JSON scalar: a number, else the first number in the cleaned text."""
-    bare = f"translate({text}, {quoted(', ' + _NO_BREAK_SPACE)}, '.')"
+    bare = f"translate(scalar, {quoted(', ' + _NO_BREAK_SPACE)}, '.')"
     for word in fixed.CURRENCY_WORDS:
         bare = f"replace({bare}, {quoted(word)})"
     first_number = group_or_null(bare, r"([0-9]+(?:\.[0-9]+)?)")
-    return (
-        f"CASE WHEN {is_numeric(text)} THEN {_numeric_value(text)}"
-        f" ELSE try_cast({first_number} AS {RAW_PRICE}) END"
+    return let(
+        "scalar",
+        text,
+        f"CASE WHEN {is_numeric('scalar')} THEN {_numeric_value('scalar')}"
+        f" ELSE try_cast({first_number} AS {RAW_PRICE}) END",
     )
 
 
@@ -79,7 +81,7 @@ def name_after_price(text: str) -> str:
         rf"(?U)^({labels})\s*",
     ):
         tail = removed(tail, step)
-    return f"nullif(trim({tail}), '')"
+    return let("tail", f"trim({tail})", "nullif(tail, '')")
 
 
 def cleaned_name(text: str) -> str:

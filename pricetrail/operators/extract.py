@@ -263,7 +263,9 @@ _FITS = "try_cast(o.price AS decimal(10,2))"
 
 
 def _exploded(extracted: DataFrame) -> DataFrame:
-    return extracted.selectExpr("shop_base_url", "page_url", "fetched_at", "explode(offers) AS o")
+    """Offers as rows. The outer form: for the inner one Spark infers a filter on the array's size
+    and pushes it below the projections, which works every page out twice."""
+    return extracted.selectExpr("shop_base_url", "page_url", "fetched_at", "explode_outer(offers) AS o")
 
 
 def offers(extracted: DataFrame) -> DataFrame:
@@ -291,7 +293,7 @@ def rejects(extracted: DataFrame) -> DataFrame:
     pages = extracted.where("stage IS NOT NULL").select("page_url", "fetched_at", "stage", "reason")
     oversized = (
         _exploded(extracted)
-        .where(f"{_FITS} IS NULL")
+        .where(f"o IS NOT NULL AND {_FITS} IS NULL")
         .selectExpr(
             "page_url",
             "fetched_at",

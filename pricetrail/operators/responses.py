@@ -1,139 +1,135 @@
 """Rules over captured network responses: matching, block detection, diagnostics."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.functions import fixed
+from pricetrail.functions import fixed, quoted, removed
+from pricetrail.operators.routing import Rule, matching_rule
 
 PAGE = ["page_url", "fetched_at"]
+# Network lines come behind the head lines of a page's report.
+_NETWORK_LINES_FROM = 1000
 
 
-def _contains_any(text: Column, parts) -> Column:
-    found = F.lit(False)
-    for part in parts:
-        found = found | text.contains(part)
-    return F.coalesce(found, F.lit(False))
+def _contains_any(text: str, parts) -> str:
+    tests = " OR ".join(f"contains({text}, {quoted(part)})" for part in parts)
+    return f"coalesce({tests}, false)"
 
 
-def _lead_trimmed(body: Column) -> Column:
-    return F.regexp_replace(body, r"^[ \t\n\r\x00\x0B]+", "")
+def _lead_trimmed(body: str) -> str:
+    return removed(body, r"^[ \t\n\r\x00\x0B]+")
 
 
-def is_page_blocked(body: Column) -> Column:
+def is_page_blocked(body: str) -> str:
     return _contains_any(body, fixed.BLOCK_MARKERS)
 
 
-def is_api_blocked(body: Column) -> Column:
+def is_api_blocked(body: str) -> str:
     """The body is an HTML page or holds a block marker."""
-    opens_html = F.lower(F.substring(_lead_trimmed(body), 1, 5)) == "<html"
-    return F.coalesce(opens_html, F.lit(False)) | is_page_blocked(body)
+    opens_html = f"coalesce(startswith(lower({_lead_trimmed(body)}), '<html'), false)"
+    return f"({opens_html} OR {is_page_blocked(body)})"
 
 
-def is_refused(status: Column, body: Column) -> Column:
+def is_refused(status: str, body: str) -> str:
     """A matched response that must not be used; other error statuses pass."""
-    return F.coalesce(status.isin(*fixed.BLOCK_STATUSES), F.lit(False)) | is_api_blocked(body)
+    statuses = ", ".join(str(status) for status in fixed.BLOCK_STATUSES)
+    return f"(coalesce({status} IN ({statuses}), false) OR {is_api_blocked(body)})"
 
 
-def response_kind(body: Column) -> Column:
+def response_kind(body: str) -> str:
     return (
-        F.when(is_api_blocked(body), F.lit("block page"))
-        .when(F.substring(_lead_trimmed(body), 1, 1).isin("{", "["), F.lit("json"))
-        .otherwise(F.lit("unknown"))
+        f"CASE WHEN {is_api_blocked(body)} THEN 'block page'"
+        f" WHEN substring({_lead_trimmed(body)}, 1, 1) IN ('{{', '[') THEN 'json' ELSE 'unknown' END"
     )
 
 
-def body_preview(body: Column) -> Column:
-    return F.substring(body, 1, fixed.PREVIEW_CHARS)
+def body_preview(body: str) -> str:
+    return f"substring({body}, 1, {fixed.PREVIEW_CHARS})"
 
 
 def logged(responses: DataFrame) -> DataFrame:
     """Responses worth keeping in the log, by URL."""
-    return responses.where(_contains_any(F.col("url"), fixed.LOGGED_URL_PARTS))
+    return responses.where(_contains_any("url", fixed.LOGGED_URL_PARTS))
 
 
 def first_matching(responses: DataFrame, url_part: str = fixed.CAPTURE_URL_PART) -> DataFrame:
     """First response per page whose URL holds ``url_part``; reduced before the shuffle."""
-    first = F.min_by(F.struct("seq", "url", "status", "content_type", "body"), F.struct("seq", "url"))
     return (
         responses.where(F.col("url").contains(url_part))
         .groupBy(*PAGE)
-        .agg(first.alias("matched"))
+        .agg(
+            F.min_by(
+                F.struct("seq", "url", "status", "content_type", "body"), F.struct("seq", "url")
+            ).alias("matched")
+        )
     )
 
 
 def capture(pages: DataFrame, responses: DataFrame) -> DataFrame:
-    """Pages with their matched response, its kind, the block stage and the reject stage.
+    """Pages with their matched response, its kind, the block stage and the reject.
 
     A blocked page ends before the capture; a page without a match is a timeout; a refused
     response ends after it.
     """
-    joined = pages.join(first_matching(responses), PAGE, "left")
-    page_blocked = is_page_blocked(F.col("body"))
-    matched = F.col("matched.url").isNotNull()
-    refused = is_refused(F.col("matched.status"), F.col("matched.body"))
-    return joined.select(
+    joined = pages.join(first_matching(responses), PAGE, "left").selectExpr(
+        *pages.columns, "matched AS _first", f"{is_page_blocked('body')} AS _page_blocked"
+    )
+    judged = joined.selectExpr(
+        "*",
+        "_first IS NOT NULL AS _has_match",
+        f"_first IS NOT NULL AND {is_refused('_first.status', '_first.body')} AS _refused",
+    )
+    return judged.selectExpr(
         *pages.columns,
-        F.when(~page_blocked, F.col("matched")).alias("matched"),
-        F.when(page_blocked, F.lit("block page"))
-        .when(matched, response_kind(F.col("matched.body")))
-        .alias("response_kind"),
-        F.when(page_blocked, F.lit("page")).when(matched & refused, F.lit("api")).alias("block_stage"),
-        F.when(page_blocked, F.lit("page_blocked"))
-        .when(~matched, F.lit("capture_timeout"))
-        .when(refused, F.lit("api_blocked"))
-        .alias("capture_reject"),
+        "CASE WHEN NOT _page_blocked THEN _first END AS matched",
+        f"CASE WHEN _page_blocked THEN 'block page' WHEN _has_match THEN {response_kind('_first.body')} END"
+        " AS response_kind",
+        "CASE WHEN _page_blocked THEN 'page' WHEN _refused THEN 'api' END AS block_stage",
+        "CASE WHEN _page_blocked THEN 'page is blocked before the catalogue loads'"
+        " WHEN NOT _has_match THEN 'timeout waiting for the catalogue response'"
+        " WHEN _refused THEN 'catalogue API is blocked after the page loads' END AS capture_reject",
     )
 
 
+def with_payload(captured: DataFrame) -> DataFrame:
+    """Captured pages as input for extraction: the body is the matched response's body."""
+    return captured.selectExpr(
+        "page_url", "fetched_at", "http_status", "content_type", "matched.body AS body", "capture_reject"
+    )
+
+
+def catalog_payloads(pages: DataFrame, responses: DataFrame, capture_rules: list[Rule]) -> DataFrame:
+    """All catalogue pages ready for extraction; only pages of capture rules take part in the join."""
+    names = ", ".join(quoted(rule.name) for rule in capture_rules)
+    is_captured = f"coalesce({matching_rule('page_url', capture_rules)} IN ({names}), false)"
+    plain = pages.where(f"NOT {is_captured}").selectExpr(
+        "page_url", "fetched_at", "http_status", "content_type", "body", "cast(NULL AS string) AS capture_reject"
+    )
+    return plain.unionByName(with_payload(capture(pages.where(is_captured), responses)))
+
+
 def diagnostics(captured: DataFrame, responses: DataFrame) -> DataFrame:
-    """Report lines per page: a head line, the match, then one line per logged response.
+    """Report lines per page: head lines, the match, then one line per logged response.
 
     Lines are rows, not a collected list, so a page with any number of responses stays spread out.
     """
-    def line(number: Column, label: str, text: Column) -> list[Column]:
-        return [*PAGE, number.cast("long").alias("line_no"), F.lit(label).alias("label"), text.alias("text")]
-
-    def shown(value: Column) -> Column:
-        return F.coalesce(value.cast("string"), F.lit("-"))
-
-    heads = captured.select(
+    lines = {
+        "page": "page_url",
+        "kind": "coalesce(response_kind, '-')",
+        "block stage": "coalesce(block_stage, '-')",
+        "matched": "concat(matched.url, ' [status ', coalesce(cast(matched.status AS string), '-'), ']')",
+        "content type": "matched.content_type",
+        "preview": f"nullif({body_preview('matched.body')}, '')",
+    }
+    structs = ", ".join(
+        f"named_struct('line_no', {number}L, 'label', {quoted(label)}, 'text', {value})"
+        for number, (label, value) in enumerate(lines.items())
+    )
+    heads = captured.selectExpr(*PAGE, f"inline(array({structs}))").where("text IS NOT NULL")
+    network = logged(responses).selectExpr(
         *PAGE,
-        F.posexplode(
-            F.filter(
-                F.array(
-                    *[
-                        F.struct(F.lit(label).alias("label"), text.alias("text"))
-                        for label, text in (
-                            ("page", F.col("page_url")),
-                            ("kind", shown(F.col("response_kind"))),
-                            ("block_stage", shown(F.col("block_stage"))),
-                            (
-                                "matched",
-                                F.when(
-                                    F.col("matched").isNotNull(),
-                                    F.concat(
-                                        F.col("matched.url"), F.lit(" [status "),
-                                        shown(F.col("matched.status")), F.lit("]"),
-                                    ),
-                                ),
-                            ),
-                            ("content_type", F.col("matched.content_type")),
-                            ("preview", F.nullif(body_preview(F.col("matched.body")), F.lit(""))),
-                        )
-                    ]
-                ),
-                lambda item: item["text"].isNotNull(),
-            )
-        ).alias("line_no", "line"),
-    ).select(*PAGE, F.col("line_no").cast("long").alias("line_no"), "line.label", "line.text")
-    network = logged(responses).select(
-        *line(
-            F.col("seq") + 1000,
-            "network",
-            F.concat(
-                F.col("url"), F.lit(" ["), shown(F.col("status")), F.lit("] "),
-                F.coalesce(F.col("content_type"), F.lit("")),
-            ),
-        )
+        f"cast(seq AS bigint) + {_NETWORK_LINES_FROM} AS line_no",
+        "'network' AS label",
+        "concat(url, ' [', coalesce(cast(status AS string), '-'), '] ', coalesce(content_type, '')) AS text",
     )
     return heads.unionByName(network)
