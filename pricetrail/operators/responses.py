@@ -71,10 +71,10 @@ def capture(pages: DataFrame, responses: DataFrame) -> DataFrame:
     A blocked page ends before the capture; a page without a match is a timeout; a refused
     response ends after it.
     """
-    joined = pages.join(first_matching(responses), PAGE, "left").selectExpr(
-        *pages.columns, "matched AS _first", f"{is_page_blocked('body')} AS _page_blocked"
-    )
-    judged = joined.selectExpr(
+    # The block test comes before the join, so that page bodies need not go through its shuffle.
+    flagged = pages.selectExpr("*", f"{is_page_blocked('body')} AS _page_blocked")
+    joined = flagged.join(first_matching(responses), PAGE, "left")
+    judged = joined.withColumnRenamed("matched", "_first").selectExpr(
         "*",
         "_first IS NOT NULL AS _has_match",
         f"_first IS NOT NULL AND {is_refused('_first.status', '_first.body')} AS _refused",
