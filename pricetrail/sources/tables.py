@@ -7,12 +7,10 @@ after a failure. Price rows are appended: each load owns a folder, partitioned b
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetrail import schemas
 
-VERSIONED = {"shops": schemas.SHOPS, "products": schemas.PRODUCTS}
-
-
 def version_path(root: str, table: str, version: int) -> str:
     return f"{root.rstrip('/')}/{table}/v{version:012d}"
 
@@ -41,12 +39,9 @@ def read_prices(spark: SparkSession, root: str, version: int) -> DataFrame | Non
     if version < 0:
         return None
     paths = [version_path(root, "product_prices", number) for number in range(version + 1)]
-    month = f"{schemas.PRODUCT_PRICES.simpleString()[7:-1]},month:string"
-    return (
-        spark.read.schema(month.replace(":", " "))
-        .option("basePath", f"{root.rstrip('/')}/product_prices")
-        .parquet(*[f"{path}/" for path in paths])
-    )
+    with_month = T.StructType([*schemas.PRODUCT_PRICES, T.StructField("month", T.StringType())])
+    base = f"{root.rstrip('/')}/product_prices"
+    return spark.read.schema(with_month).option("basePath", base).parquet(*paths)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
