@@ -117,7 +117,7 @@ def perekrestok_catalog_pages(part: DataFrame) -> DataFrame:
         f" WHEN 1 THEN concat(', \"offers\": [{{\"price\": null}}, {{\"price\": \"', {_PRICE}, '\"}}]')"
         f" ELSE concat(', \"price\": \"\", \"offers\": {{\"lowPrice\": \"', {_COMMA_PRICE},"
         " '\", \"availability\": \"https://schema.org/OutOfStock\"}') END, '}')"
-    ).replace("{{", "{").replace("}}", "}")
+    )
     url = f"concat('https://www.perekrestok.ru/cat/c/', {_BRAND}, '?page=', {_BLOCK})"
     links = _catalog_pages(
         part.where(f"{_BLOCK} % 2 = 0"), url, anchor, "'<html><body>'", "'\\n'", "'</body></html>'"
@@ -146,7 +146,7 @@ def pyaterochka_catalog_pages(part: DataFrame) -> DataFrame:
         " CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN ', \"is_available\": false'"
         " ELSE ', \"is_available\": true' END,"
         f" ', \"prices\": {{', {prices}, '}}}}')"
-    ).replace("{{", "{").replace("}}", "}")
+    )
     return _catalog_pages(
         part,
         f"concat('https://5ka.ru/catalog/brand--', {_BRAND}, '/?page=', {_BLOCK})",
@@ -172,7 +172,7 @@ def magnit_product_pages(part: DataFrame) -> DataFrame:
         f" '{{\"@graph\": [{{\"sku\": null, \"offers\": {{\"lowPrice\": ', {_PRICE}, '}}}}, {{\"productID\": ', p_partkey + 1,"
         " ', \"gtin13\": \"G', p_partkey, '\", \"price\": 1}]}</script>')"
         f" ELSE concat({script}, '[{{\"headline\": \"', p_name, '\", \"price\": \"от ', {_COMMA_PRICE}, ' руб.\"}}]</script>') END"
-    ).replace("{{", "{").replace("}}", "}")
+    )
     return part.selectExpr(
         "concat('https://magnit.ru/product/', p_partkey, '/?shopCode=1') AS page_url",
         "timestamp'2024-03-01 00:00:00' AS fetched_at",
@@ -197,7 +197,7 @@ def event_pages(events: DataFrame) -> DataFrame:
         f" WHEN 1 THEN concat('{{\"products\": [{{\"plu\": ', user_id, ', \"name\": \"Товар ', user_id,"
         f" '\", \"is_available\": ', NOT ({sold_out}), ', \"prices\": {{\"regular\": \"', {price}, '\"}}}}]}}')"
         f" ELSE concat('<a href=\"/cat/1/p/x-', user_id, '\" title=\"Товар ', user_id, '\">Цена ', {price}, ' ₽',"
-        f" CASE WHEN {sold_out} THEN ' Нет в наличии' ELSE '' END, '</a>') END AS body".replace("{{", "{").replace("}}", "}"),
+        f" CASE WHEN {sold_out} THEN ' Нет в наличии' ELSE '' END, '</a>') END AS body",
     )
 
 
@@ -250,7 +250,7 @@ def products(part: DataFrame, n_shops: int = 3) -> DataFrame:
         f"p_partkey % {n_shops} AS shop_id",
         "concat('id:', p_partkey) AS product_key",
         "p_name AS name",
-        "CASE WHEN p_partkey % 9 <> 0 THEN cast(p_partkey % 700 AS string) END AS internal_product_id",
+        "CASE WHEN p_partkey % 9 <> 0 THEN cast(p_partkey % 300 AS string) END AS internal_product_id",
         "CASE WHEN p_partkey % 4 = 0 THEN concat('M', p_partkey % 50) END AS manufacturer_code",
         "concat('https://shop.example/product/', p_partkey) AS url",
     )
