@@ -19,17 +19,21 @@ def load_snapshots(
     version: int,
     kind: str = "catalog",
     responses: DataFrame | None = None,
+    drop_copies: bool = False,
 ) -> None:
     """Load pages as version ``version`` on top of ``version - 1``.
 
     Extraction is written once and read by every later step: pages are parsed a single time, and a
     lost executor costs a re-read, not a re-parse. A repeated load of the same version writes the
-    same tables again; the same pages in a later version write no price rows.
+    same tables again; the same pages in a later version write no price rows. ``drop_copies`` keeps
+    one of several snapshots with equal URL and time.
     """
     before = version - 1
     if responses is not None:
         pages = catalog_payloads(pages, responses, CAPTURE_RULES)
     extracted = extract.extract_catalog(pages) if kind == "catalog" else extract.extract_product(pages)
+    if drop_copies:
+        extracted = without_copies(extracted)
     tables.write_version(extracted, root, "extracted", version)
     extracted = tables.read_version(spark, root, "extracted", version)
 
@@ -49,16 +53,25 @@ def load_snapshots(
     written = tables.read_version(spark, root, "written", version)
     tables.write_prices(load.price_rows(written), root, version)
     tables.write_version(load.load_counters(offers, written, products), root, "counters", version)
-    tables.write_version(_last_prices(written, last), root, "last_prices", version)
+    tables.write_version(last_prices(written, last), root, "last_prices", version)
 
 
-def _last_prices(written: DataFrame, last: DataFrame | None) -> DataFrame:
+def without_copies(extracted: DataFrame) -> DataFrame:
+    """One row per page and time. Reduced before the shuffle, so a page with many copies is no hot spot;
+    of differing copies a good one wins over a reject."""
+    rest = ["stage", "reason", "rule", "shop_base_url", "offers"]
+    one = extracted.groupBy("page_url", "fetched_at").agg(F.min(F.struct(*rest)).alias("_one"))
+    return one.select("page_url", "fetched_at", "_one.*").select(extracted.columns)
+
+
+def last_prices(
+    written: DataFrame, last: DataFrame | None, keys: list[str] | None = None, order: list[str] | None = None
+) -> DataFrame:
     """Last written row per product after the load: one row per product, so no load scans the history."""
-    rows = written.select(
-        "product_id", "price", "is_in_stock", F.col("observed_at").alias("parsed_at"), "page_url", "position"
-    )
-    newest = last_written(rows, ["product_id"], ["parsed_at", "page_url", "position"])
+    keys, order = keys or ["product_id"], order or ORDER
+    rows = written.select(*keys, "price", "is_in_stock", F.col(order[0]).alias("parsed_at"), *order[1:])
+    newest = last_written(rows, keys, ["parsed_at", *order[1:]])
     if last is None:
         return newest
-    kept = last.join(newest.select("product_id"), "product_id", "left_anti")
+    kept = last.join(newest.select(*keys), keys, "left_anti")
     return kept.unionByName(newest)

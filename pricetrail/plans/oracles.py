@@ -379,3 +379,14 @@ ORACLES["price_validity"] = f"""
 SELECT product_id, CAST(price AS DOUBLE) AS price, parsed_at,
   lead(parsed_at) OVER (PARTITION BY product_id ORDER BY {_PRICE_ORDER.format(d="ASC")}) AS valid_to
 FROM ({_PRICES})"""
+
+_LOADED = f"""
+WITH RECURSIVE {_fold(_PAGE_EVENTS, "shop_base_url, product_key", "observed_at")}
+SELECT CASE shop_base_url WHEN 'https://magnit.ru' THEN 'Магнит' WHEN 'https://5ka.ru' THEN 'Пятёрочка'
+    ELSE 'Перекрёсток' END AS shop_name,
+  product_key, name, observed_at AS parsed_at, CAST(price AS DOUBLE) AS price, is_in_stock
+FROM written"""
+ORACLES["snapshots_loaded_in_two_versions"] = _LOADED
+ORACLES["streamed_load"] = _LOADED
+ORACLES["streamed_offers"] = ORACLES["magnit_product_offers"]
+ORACLES["streamed_history"] = ORACLES["change_history_one_cent_steps"]

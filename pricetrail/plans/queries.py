@@ -12,9 +12,11 @@ from pricetrail.functions import html, text, urls
 from pricetrail.operators import analytics, extract, load, relations, responses, routing
 from pricetrail.operators.history import change_history, last_written
 from pricetrail.plans import shapes
-from pricetrail.plans.batch import CAPTURE_RULES
+from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
 from pricetrail.plans.shapes import table
-from pricetrail.session import ship_package
+from pricetrail.session import fresh_path, ship_package
+from pricetrail.sources import tables
+from pricetrail.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,9 +97,11 @@ def latest_price_after_history(spark, sf_dir):
 
 @query
 def pages_to_history(spark, sf_dir):
-    """From page bodies of three shops to written history rows."""
+    """From page bodies of three shops to written history rows; pages are parsed once and kept."""
     pages = shapes.event_pages(table(spark, sf_dir, "events"))
-    offers = load.with_identity(extract.offers(extract.extract_catalog(pages)))
+    root = fresh_path(spark, "offers")
+    tables.write_version(extract.extract_catalog(pages), root, "extracted", 0)
+    offers = load.with_identity(extract.offers(tables.read_version(spark, root, "extracted", 0)))
     written = change_history(offers, ["shop_base_url", "product_key"])
     return written.selectExpr(
         "shop_base_url", "product_key", *_plain_time("observed_at"), "name", *_double("price"), "is_in_stock"
@@ -541,3 +545,55 @@ def price_validity(spark, sf_dir):
     return analytics.price_validity(prices, order=shapes.PRICE_ORDER).selectExpr(
         "product_id", *_double("price"), *_plain_time("parsed_at", "valid_to")
     )
+
+
+# --- whole loads and streams -----------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's file as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _loaded_out(spark: SparkSession, root: str, version: int) -> DataFrame:
+    products = tables.read_version(spark, root, "products", version)
+    shops = tables.read_version(spark, root, "shops", version)
+    named = relations.products_with_shop(products, shops)
+    return relations.products_with_prices(named, tables.read_prices(spark, root, version)).selectExpr(
+        "shop_name", "product_key", "name", *_plain_time("parsed_at"), *_double("price"), "is_in_stock"
+    )
+
+
+@query
+def snapshots_loaded_in_two_versions(spark, sf_dir):
+    """Whole loads: the second one overlaps the first and adds only what is new."""
+    pages = shapes.event_pages(table(spark, sf_dir, "events"))
+    root = fresh_path(spark, "load")
+    load_snapshots(spark, pages.where(f"fetched_at < '{SPLIT_TIME}'"), root, 0)
+    load_snapshots(spark, pages.where("fetched_at >= '2024-01-10 00:00:00'"), root, 1)
+    return _loaded_out(spark, root, 1)
+
+
+@query
+def streamed_offers(spark, sf_dir):
+    pages = shapes.magnit_product_pages(_stream(spark, sf_dir, "part"))
+    root = fresh_path(spark, "streamed-offers")
+    jobs.write_stream(jobs.offers_stream(pages, "product"), f"{root}/offers", f"{root}/checkpoint").awaitTermination()
+    return _offers_out(spark.read.parquet(f"{root}/offers"))
+
+
+@query
+def streamed_history(spark, sf_dir):
+    seen = shapes.observations(_stream(spark, sf_dir, "events"), shapes.THRESHOLD_PRICE)
+    root = fresh_path(spark, "streamed-history")
+    jobs.stream_history(seen, ["user_id"], ["observed_at"], root, f"{root}/checkpoint").awaitTermination()
+    return _history_out(jobs.all_versions(spark, root, "written"))
+
+
+@query
+def streamed_load(spark, sf_dir):
+    pages = shapes.event_pages(_stream(spark, sf_dir, "events"))
+    root = fresh_path(spark, "streamed-load")
+    jobs.stream_load(pages, root, f"{root}/checkpoint").awaitTermination()
+    return _loaded_out(spark, root, 0)

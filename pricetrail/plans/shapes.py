@@ -11,6 +11,11 @@ KEYS_PER_BLOCK = 500
 THRESHOLD_PRICE = "cast(2.24 + least(floor(value / 25), 2) * 0.01 AS decimal(10,2))"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The benchmark tables are single files; made pages are spread out as a crawl's files would be."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -173,7 +178,7 @@ def magnit_product_pages(part: DataFrame) -> DataFrame:
         " ', \"gtin13\": \"G', p_partkey, '\", \"price\": 1}]}</script>')"
         f" ELSE concat({script}, '[{{\"headline\": \"', p_name, '\", \"price\": \"от ', {_COMMA_PRICE}, ' руб.\"}}]</script>') END"
     )
-    return part.selectExpr(
+    return spread(part, "p_partkey").selectExpr(
         "concat('https://magnit.ru/product/', p_partkey, '/?shopCode=1') AS page_url",
         "timestamp'2024-03-01 00:00:00' AS fetched_at",
         "200 AS http_status",
@@ -186,7 +191,7 @@ def event_pages(events: DataFrame) -> DataFrame:
     """One catalogue page with one product per event, over the three shops."""
     price = "format_string('%.2f', value)"
     sold_out = "event_type = 'error'"
-    return events.selectExpr(
+    return spread(events, "event_id").selectExpr(
         "CASE user_id % 3 WHEN 0 THEN concat('https://magnit.ru/catalog/', user_id, '-x')"
         " WHEN 1 THEN concat('https://5ka.ru/catalog/', user_id, '/')"
         " ELSE concat('https://www.perekrestok.ru/cat/', user_id) END AS page_url",

@@ -31,17 +31,21 @@ def write_prices(prices: DataFrame, root: str, version: int) -> None:
     """Price rows of one load, by month of ``parsed_at``, so reads of a time range skip folders."""
     prices.withColumn("month", F.date_format("parsed_at", "yyyy-MM")).write.mode("overwrite").partitionBy(
         "month"
-    ).parquet(version_path(root, "product_prices", version))
+    ).parquet(f"{root.rstrip('/')}/product_prices/load={version}")
 
 
 def read_prices(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    """All price rows of loads 0..version."""
+    """All price rows of loads 0..version; ``load`` and ``month`` are folders and prune the scan."""
     if version < 0:
         return None
-    paths = [version_path(root, "product_prices", number) for number in range(version + 1)]
-    with_month = T.StructType([*schemas.PRODUCT_PRICES, T.StructField("month", T.StringType())])
-    base = f"{root.rstrip('/')}/product_prices"
-    return spark.read.schema(with_month).option("basePath", base).parquet(*paths)
+    schema = T.StructType(
+        [
+            *schemas.PRODUCT_PRICES,
+            T.StructField("load", T.IntegerType()),
+            T.StructField("month", T.StringType()),
+        ]
+    )
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/product_prices").where(F.col("load") <= version)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
