@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetrail.session import shared_dir
+from pricetrail.session import fresh_path
 
 SLICE = "_slice"
 EDGE = "_edge"
@@ -29,18 +29,20 @@ def sorted_slices(
     task: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType,
 ) -> DataFrame:
-    """Run ``task(slice number, sorted batches)`` over range slices and keep the result on stable storage.
+    """Run ``task(slice number, sorted batches)`` over range slices and keep the result as a table.
 
-    The checkpoint pins which rows met in which slice: edge rows and data rows are read from the
-    same run even when executors are lost in between.
+    The table, in the shared folder, pins which rows met in which slice: edge rows and data rows
+    are read from the same run even when executors are lost in between.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
     sliced = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(TaskContext.get().partitionId(), (b for b in batches if b.num_rows))
 
-    return sliced.mapInArrow(run, schema).checkpoint(eager=True)
+    path = fresh_path(spark, "slices")
+    sliced.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def settle_edges(edges: DataFrame, settle: Callable, schema: str) -> DataFrame:

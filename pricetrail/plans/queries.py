@@ -42,6 +42,13 @@ def _plain_time(*names: str) -> list[str]:
     return [f"cast({name} AS timestamp_ntz) AS {name}" for name in names]
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Written and read back, as a load keeps its intermediate tables: later steps read it many times."""
+    root = fresh_path(df.sparkSession, label)
+    tables.write_version(df, root, label, 0)
+    return tables.read_version(df.sparkSession, root, label, 0)
+
+
 # --- change-only history ---------------------------------------------------------------------
 
 
@@ -99,9 +106,8 @@ def latest_price_after_history(spark, sf_dir):
 def pages_to_history(spark, sf_dir):
     """From page bodies of three shops to written history rows; pages are parsed once and kept."""
     pages = shapes.event_pages(table(spark, sf_dir, "events"))
-    root = fresh_path(spark, "offers")
-    tables.write_version(extract.extract_catalog(pages), root, "extracted", 0)
-    offers = load.with_identity(extract.offers(tables.read_version(spark, root, "extracted", 0)))
+    extracted = _kept(extract.extract_catalog(pages), "extracted")
+    offers = load.with_identity(extract.offers(extracted))
     written = change_history(offers, ["shop_base_url", "product_key"])
     return written.selectExpr(
         "shop_base_url", "product_key", *_plain_time("observed_at"), "name", *_double("price"), "is_in_stock"
@@ -379,7 +385,9 @@ def shops_created(spark, sf_dir):
 
 
 def _line_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    offers = shapes.line_offers(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+    offers = _kept(
+        shapes.line_offers(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")), "line_offers"
+    )
     return offers.where("observed_at < '1999-01-01'"), offers.where("observed_at >= '1999-01-01'")
 
 
@@ -387,7 +395,7 @@ def _line_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def products_upserted(spark, sf_dir):
     """Two loads: new products, overwritten products, untouched products, ids found by URL."""
     early, late = _line_loads(spark, sf_dir)
-    first = load.upsert_products(load.with_identity(early)).drop("created")
+    first = _kept(load.upsert_products(load.with_identity(early)).drop("created"), "products")
     second = load.upsert_products(load.with_identity(late, first), first)
     return second.selectExpr(
         "shop_id",
@@ -404,7 +412,7 @@ def products_upserted(spark, sf_dir):
 @query
 def load_counters(spark, sf_dir):
     early, _ = _line_loads(spark, sf_dir)
-    offers = load.with_identity(early)
+    offers = _kept(load.with_identity(early), "offers")
     written = change_history(offers, load.PRODUCT_KEY)
     return load.load_counters(offers, written).selectExpr(
         "page_url", *_plain_time("observed_at"), "offers_found", "products_created", "history_rows"

@@ -29,7 +29,7 @@ def observations(events: DataFrame, price: str = "cast(value AS decimal(10,2))")
 
 def line_offers(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Offers with and without ids over three shops."""
-    return lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+    return spread(lineitem, "l_orderkey").join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "l_suppkey % 3 AS shop_id",
         "concat('https://shop', l_suppkey % 3, '.example/catalog/', lpad(l_orderkey, 12, '0'), '/',"
         " lpad(l_suppkey, 9, '0')) AS page_url",
