@@ -256,7 +256,8 @@ def change_history(
             T.StructField(EDGE, _EDGE_SCHEMA),
         ]
     )
-    slices = sorted_slices(prepared, keys, order, _fold_slice(keys), schema)
+    # Rows with equal order values are taken by price and stock; full copies never write twice.
+    slices = sorted_slices(prepared, keys, [*order, "_cents", "is_in_stock"], _fold_slice(keys), schema)
     edges = slices.where(F.col(EDGE).isNotNull()).select(SLICE, f"{EDGE}.*")
     settled = settle_edges(edges, _settle, f"{SLICE} int, _head_writes boolean, _case_bit int")
     candidates = slices.where(F.col(EDGE).isNull())

@@ -20,10 +20,17 @@ def products_of_shop(products: DataFrame, shops: DataFrame, base_url: str) -> Da
 
 
 def products_with_prices(products: DataFrame, prices: DataFrame) -> DataFrame:
-    """All price rows with their product; products without history stay."""
-    return products.withColumnRenamed("id", "product_id").join(
-        prices.select("product_id", "price", "is_in_stock", "parsed_at"), "product_id", "left"
-    )
+    """All price rows with their product; products without history stay.
+
+    An inner join plus the products that match nothing, instead of a left join: adaptive execution
+    splits a hot product's prices in an inner join, but not on the right of a left join.
+    """
+    keyed = products.withColumnRenamed("id", "product_id")
+    rows = prices.select("product_id", "price", "is_in_stock", "parsed_at")
+    matched = rows.join(keyed, "product_id").select(*keyed.columns, "price", "is_in_stock", "parsed_at")
+    priced = rows.groupBy("product_id").agg(F.count("*").alias("n_rows"))
+    bare = keyed.join(priced, "product_id", "left_anti")
+    return matched.unionByName(bare, allowMissingColumns=True)
 
 
 def latest_price(prices: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Work along an order inside keys, split so that no key has to fit in one task.
 
 Rows are range-partitioned by (keys, order). The order goes into the range bounds, so a key that
-holds a third of all rows is cut into as many partitions as its size asks for. Each partition is
+holds a third of all rows is cut into as many partitions as its size asks for. Copies with the
+same order values are told apart by the input partition they came from, so they are cut too. Each partition is
 sorted and read once, front to back; what it cannot know alone (how the key's part in earlier or
 later partitions ends or begins) is left open and settled from one edge row per partition.
 """
@@ -20,6 +21,7 @@ from pricetrail.session import fresh_path
 
 SLICE = "_slice"
 EDGE = "_edge"
+_TIE = "_tie"
 
 
 def sorted_slices(
@@ -35,7 +37,10 @@ def sorted_slices(
     are read from the same run even when executors are lost in between.
     """
     spark = df.sparkSession
-    sliced = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    bounds = [*keys, *order, _TIE]
+    # The input partition is the same again when a task is repeated; a random number need not be.
+    tied = df.withColumn(_TIE, F.spark_partition_id())
+    sliced = tied.repartitionByRange(*bounds).sortWithinPartitions(*bounds).drop(_TIE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(TaskContext.get().partitionId(), (b for b in batches if b.num_rows))

@@ -1,5 +1,7 @@
 """Readers for page snapshots and captured responses, batch and stream."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 def read_html_files(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     """Saved pages, one file each: the page URL is ``base_url`` plus the file's path below ``path``."""
-    below = F.regexp_extract("_metadata.file_path", F.lit(rf"\Q{path.rstrip('/')}\E/(.*?)(?:\.html?)?$"), 1)
+    folder = re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?", "", path).rstrip("/")
+    below = F.regexp_extract("_metadata.file_path", rf"\Q{folder}\E/(.*?)(?:\.html?)?$", 1)
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.concat(F.lit(base_url.rstrip("/") + "/"), below).alias("page_url"),
         F.col("_metadata.file_modification_time").alias("fetched_at"),

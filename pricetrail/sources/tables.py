@@ -28,8 +28,12 @@ def read_version(spark: SparkSession, root: str, table: str, version: int) -> Da
 
 
 def write_prices(prices: DataFrame, root: str, version: int) -> None:
-    """Price rows of one load, by month of ``parsed_at``, so reads of a time range skip folders."""
-    prices.withColumn("month", F.date_format("parsed_at", "yyyy-MM")).write.mode("overwrite").partitionBy(
+    """Price rows of one load, by month of ``parsed_at``, so reads of a time range skip folders.
+
+    The rebalance keeps the files of a month few and of even size, and splits a month that is large.
+    """
+    by_month = prices.withColumn("month", F.date_format("parsed_at", "yyyy-MM")).hint("rebalance", "month")
+    by_month.write.mode("overwrite").partitionBy(
         "month"
     ).parquet(f"{root.rstrip('/')}/product_prices/load={version}")
 

@@ -8,6 +8,7 @@ into one task.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetrail.operators import extract
@@ -20,10 +21,17 @@ def extracted_stream(pages: DataFrame, kind: str = "catalog", delay: str = "1 da
     """Snapshot stream to extracted pages, copies of a snapshot dropped within the watermark.
 
     Copies are dropped behind the extraction: page bodies stay out of the shuffle and the state.
+    They are dropped twice: first per input partition, so that a page with very many copies is
+    spread over the tasks, then over all.
     """
     extracted = extract.extract_catalog(pages) if kind == "catalog" else extract.extract_product(pages)
-    return extracted.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(
-        ["page_url", "fetched_at"]
+    page = ["page_url", "fetched_at"]
+    return (
+        extracted.withWatermark("fetched_at", delay)
+        .withColumn("_salt", F.spark_partition_id())
+        .dropDuplicatesWithinWatermark([*page, "_salt"])
+        .drop("_salt")
+        .dropDuplicatesWithinWatermark(page)
     )
 
 
