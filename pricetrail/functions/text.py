@@ -89,8 +89,3 @@ def cleaned_name(text: str) -> str:
     for step in fixed.CLEAN_STEPS:
         text = removed(text, step, " ")
     return normalize(text)
-
-
-def truthy(value: str) -> str:
-    """Truth of a JSON scalar kept as text; missing is false."""
-    return f"(lower(coalesce({value}, '')) NOT IN ('', 'false', '0', '0.0', 'null', '[]', '{{}}'))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetrail import schemas
 from pricetrail.functions import fixed, html, jsonld, quoted, text, urls
-from pricetrail.operators.routing import route
+from pricetrail.operators.routing import CATALOG_RULES, Rule, route
 
 _PAGE = ["page_url", "fetched_at", "rule", "shop_base_url"]
 _NO_OFFERS = f"cast(array() AS array<{schemas.PAGE_OFFER}>)"
@@ -102,14 +102,44 @@ def perekrestok_ld_offers(facts: str) -> str:
     return _complete(f"transform({products}, f -> {offer})")
 
 
+def _variant(value: str, path: str, kind: str) -> str:
+    return f"try_variant_get({value}, '$.{path}', '{kind}')"
+
+
+def _variant_type(value: str, path: str) -> str:
+    return f"schema_of_variant({_variant(value, path, 'variant')})"
+
+
+def catalog_json_products(document: str) -> str:
+    """Elements of ``products`` as variants, whether it is an array or an object; else null."""
+    as_array = _variant(document, "products", "array<variant>")
+    as_object = _variant(document, "products", "map<string,variant>")
+    return f"coalesce({as_array}, map_values({as_object}))"
+
+
+def _is_true(product: str, path: str) -> str:
+    """Truth of a JSON value: empty text, "0", zero, empty arrays and objects and null are false."""
+    kind = _variant_type(product, path)
+    return (
+        f"CASE WHEN {kind} = 'STRING' THEN {_variant(product, path, 'string')} NOT IN ('', '0')"
+        f" WHEN startswith({kind}, 'ARRAY') OR startswith({kind}, 'OBJECT')"
+        f" THEN to_json({_variant(product, path, 'variant')}) NOT IN ('[]', '{{}}')"
+        f" ELSE coalesce({_variant(product, path, 'boolean')}, false) END"
+    )
+
+
 def pyaterochka_offers(products: str) -> str:
-    prices = ", ".join(text.numeric_price(f"r.prices.{field}") for field in fixed.CATALOG_PRICE_FIELDS)
+    """Offers from catalogue JSON. A product that is malformed is skipped alone."""
+    prices = ", ".join(
+        text.numeric_price(_variant("r", f"prices.{field}", "string")) for field in fixed.CATALOG_PRICE_FIELDS
+    )
+    name = f"CASE WHEN {_variant_type('r', 'name')} = 'STRING' THEN {_variant('r', 'name', 'string')} END"
     offer = _offer(
         "i",
-        text.normalize("r.name"),
+        text.normalize(name),
         f"coalesce({prices})",
-        product_id="nullif(r.plu, '')",
-        in_stock=text.truthy("r.is_available"),
+        product_id=f"nullif({_variant('r', 'plu', 'string')}, '')",
+        in_stock=_is_true("r", "is_available"),
     )
     return _complete(f"transform({products}, (r, i) -> {offer})", "internal_product_id")
 
@@ -140,42 +170,64 @@ def _reject(*cases: tuple[str, str, str]) -> str:
     return f"CASE {whens} END AS _reject"
 
 
-def extract_catalog(pages: DataFrame) -> DataFrame:
+def _is_json_document(body: str, document: str) -> str:
+    """The whole body is one JSON array or object; a mere scalar is not a catalogue."""
+    closed = (
+        f"rlike({body}, {quoted(r'(?s)^[ \t\n\r]*[{].*[}][ \t\n\r]*$')})"
+        f" OR rlike({body}, {quoted(r'(?s)^[ \t\n\r]*[\[].*[\]][ \t\n\r]*$')})"
+    )
+    return f"({document} IS NOT NULL AND ({closed}))"
+
+
+def extract_catalog(
+    pages: DataFrame, more_rules: list[Rule] | None = None, more_offers: dict[str, str] | None = None
+) -> DataFrame:
     """Catalogue pages to one row per page: ``offers`` array, or ``stage`` and ``reason`` of the reject.
 
-    A page may bring ``capture_reject`` (see ``responses.captured_pages``); its body is then the
-    captured payload.
+    A page may bring ``capture_reject`` (see ``responses.catalog_payloads``); its body is then the
+    captured payload. Further shops come as rules behind the built-in ones, each with a SQL
+    expression over ``body`` and ``page_url`` that gives an array of offers.
     """
     if "capture_reject" not in pages.columns:
         pages = pages.withColumn("capture_reject", F.lit(None).cast("string"))
     state = [*_PAGE, "http_status", "capture_reject"]
     usable = f"{_LOADED} AND capture_reject IS NULL"
     is_json = f"{usable} AND rule = 'pyaterochka_catalog'"
-    json_type = schemas.CATALOG_JSON.simpleString()
-    read = route(pages, "catalog").selectExpr(
+    added = " ".join(
+        f"WHEN {quoted(name)} THEN cast({offers} AS array<{schemas.PAGE_OFFER}>)"
+        for name, offers in (more_offers or {}).items()
+    )
+    read = route(pages, "catalog", [*CATALOG_RULES, *(more_rules or [])]).selectExpr(
         *state,
         f"CASE WHEN {usable} AND rule IN ('magnit_catalog', 'perekrestok_catalog')"
         f" THEN {html.anchors('body')} END AS _anchors",
         f"CASE WHEN {usable} AND rule = 'perekrestok_catalog' THEN {html.ld_json_scripts('body')} END AS _scripts",
-        f"CASE WHEN {is_json} THEN from_json(body, '{json_type}',"
-        " map('columnNameOfCorruptRecord', '_corrupt')) END AS _json",
-        f"CASE WHEN {is_json} THEN json_array_length(body) END AS _list_length",
+        f"CASE WHEN {is_json} THEN try_parse_json(body) END AS _json",
+        f"CASE WHEN {is_json} THEN body END AS _payload",
+        f"CASE WHEN {usable} THEN CASE rule {added} END END AS _added" if added else "NULL AS _added",
+    ).selectExpr(
+        *state,
+        "_anchors",
+        "_scripts",
+        f"{_is_json_document('_payload', '_json')} AS _is_json",
+        f"{catalog_json_products('_json')} AS _products",
+        "_added",
     )
     located = read.withColumn("_facts", jsonld.listed_facts(F.col("_scripts"))).selectExpr(
         "*", f"CASE WHEN size(_facts) > 0 THEN {perekrestok_ld_offers('_facts')} END AS _ld"
     )
-    kept = [*state, "_json IS NOT NULL AND _json._corrupt IS NULL AS _is_object", "_list_length",
-            "coalesce(size(_json.products), 0) AS _listed"]
+    kept = [*state, "_is_json", "_listed"]
     found = located.selectExpr(
-        *kept,
+        *state,
+        "_is_json",
+        "coalesce(size(_products), 0) AS _listed",
         f"coalesce(CASE WHEN rule = 'magnit_catalog' THEN {magnit_catalog_offers('_anchors')}"
         " WHEN size(_ld) > 0 THEN _ld"
         f" WHEN rule = 'perekrestok_catalog' THEN {perekrestok_link_offers('_anchors')}"
-        f" WHEN rule = 'pyaterochka_catalog' THEN {pyaterochka_offers('_json.products')} END,"
-        f" {_NO_OFFERS}) AS offers",
+        f" WHEN rule = 'pyaterochka_catalog' AND _is_json THEN {pyaterochka_offers('_products')}"
+        f" ELSE _added END, {_NO_OFFERS}) AS offers",
     )
-    facts = [*state, "_is_object", "_list_length", "_listed"]
-    deduped = _first_per_url(found, "offers", facts)
+    deduped = _first_per_url(found, "offers", kept)
     return deduped.selectExpr(
         *_PAGE,
         "offers",
@@ -183,11 +235,7 @@ def extract_catalog(pages: DataFrame) -> DataFrame:
             ("rule IS NULL", "route", "'no rule for this catalogue URL'"),
             (f"NOT {_LOADED}", "http", _HTTP_REASON),
             ("capture_reject IS NOT NULL", "capture", "capture_reject"),
-            (
-                "rule = 'pyaterochka_catalog' AND NOT _is_object AND _list_length IS NULL",
-                "decode",
-                "'HTML instead of JSON'",
-            ),
+            ("rule = 'pyaterochka_catalog' AND NOT _is_json", "decode", "'HTML instead of JSON'"),
             ("rule = 'pyaterochka_catalog' AND _listed <= 0", "extract", "'catalogue holds no products'"),
             ("size(offers) = 0", "extract", "'no offers found'"),
         ),

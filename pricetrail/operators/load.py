@@ -7,7 +7,7 @@ a key with a third of all rows sends one row per input partition.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.operators.routing import RULES, of_rule
+from pricetrail.operators.routing import RULES, Rule, of_rule
 
 OFFER_ORDER = ["observed_at", "page_url", "position"]
 PRODUCT_KEY = ["shop_id", "product_key"]
@@ -23,7 +23,9 @@ def product_key(internal_id: str, url: str) -> str:
     return f"coalesce(concat('id:', {internal_id}), concat('url:', {url}))"
 
 
-def new_shops(routed: DataFrame, shops: DataFrame | None = None) -> DataFrame:
+def new_shops(
+    routed: DataFrame, shops: DataFrame | None = None, more_rules: list[Rule] | None = None
+) -> DataFrame:
     """Shops of routed pages that are not stored yet, whether or not the page loaded.
 
     The first page of a shop gives the rule kept in ``parser_config``. Pages are reduced to one row
@@ -38,7 +40,7 @@ def new_shops(routed: DataFrame, shops: DataFrame | None = None) -> DataFrame:
     )
     found = first.selectExpr(
         f"{shop_id('shop_base_url')} AS id",
-        f"{of_rule('_first.rule', _ALL_RULES, 'shop_name')} AS name",
+        f"{of_rule('_first.rule', [*_ALL_RULES, *(more_rules or [])], 'shop_name')} AS name",
         "shop_base_url AS base_url",
         "map('product_parser', _first.rule) AS parser_config",
         "_first.fetched_at AS created_at",
@@ -47,9 +49,11 @@ def new_shops(routed: DataFrame, shops: DataFrame | None = None) -> DataFrame:
     return found if shops is None else found.join(shops.select("base_url"), "base_url", "left_anti").select(found.columns)
 
 
-def get_or_create_shops(routed: DataFrame, shops: DataFrame | None = None) -> DataFrame:
+def get_or_create_shops(
+    routed: DataFrame, shops: DataFrame | None = None, more_rules: list[Rule] | None = None
+) -> DataFrame:
     """All shops after the load; stored rows are never changed."""
-    created = new_shops(routed, shops)
+    created = new_shops(routed, shops, more_rules)
     return created if shops is None else shops.unionByName(created)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pricetrail.operators import extract, load
 from pricetrail.operators.history import ORDER, change_history, last_written
 from pricetrail.operators.responses import catalog_payloads
-from pricetrail.operators.routing import CATALOG_RULES, route
+from pricetrail.operators.routing import CATALOG_RULES, Rule
 from pricetrail.sources import tables
 
 CAPTURE_RULES = [rule for rule in CATALOG_RULES if rule.name == "pyaterochka_catalog"]
@@ -20,18 +20,23 @@ def load_snapshots(
     kind: str = "catalog",
     responses: DataFrame | None = None,
     drop_copies: bool = False,
+    more_rules: list[Rule] | None = None,
+    more_offers: dict[str, str] | None = None,
 ) -> None:
     """Load pages as version ``version`` on top of ``version - 1``.
 
     Extraction is written once and read by every later step: pages are parsed a single time, and a
     lost executor costs a re-read, not a re-parse. A repeated load of the same version writes the
     same tables again; the same pages in a later version write no price rows. ``drop_copies`` keeps
-    one of several snapshots with equal URL and time.
+    one of several snapshots with equal URL and time; ``more_rules`` and ``more_offers`` add shops.
     """
     before = version - 1
     if responses is not None:
         pages = catalog_payloads(pages, responses, CAPTURE_RULES)
-    extracted = extract.extract_catalog(pages) if kind == "catalog" else extract.extract_product(pages)
+    if kind == "catalog":
+        extracted = extract.extract_catalog(pages, more_rules, more_offers)
+    else:
+        extracted = extract.extract_product(pages)
     if drop_copies:
         extracted = without_copies(extracted)
     tables.write_version(extracted, root, "extracted", version)
@@ -39,7 +44,7 @@ def load_snapshots(
 
     tables.write_version(extract.rejects(extracted), root, "rejects", version)
     shops = tables.read_version(spark, root, "shops", before)
-    tables.write_version(load.get_or_create_shops(extracted, shops), root, "shops", version)
+    tables.write_version(load.get_or_create_shops(extracted, shops, more_rules), root, "shops", version)
 
     products = tables.read_version(spark, root, "products", before)
     tables.write_version(load.with_identity(extract.offers(extracted), products), root, "offers", version)

@@ -24,36 +24,6 @@ NETWORK_RESPONSES = T.StructType(
     ]
 )
 
-# Scalars are read as text: the catalogue writes prices as strings, numbers or null.
-CATALOG_JSON = T.StructType(
-    [
-        T.StructField(
-            "products",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("plu", T.StringType()),
-                        T.StructField("name", T.StringType()),
-                        T.StructField("is_available", T.StringType()),
-                        T.StructField(
-                            "prices",
-                            T.StructType(
-                                [
-                                    T.StructField("regular", T.StringType()),
-                                    T.StructField("discount", T.StringType()),
-                                    T.StructField("cpd_promo_price", T.StringType()),
-                                    T.StructField("cpd_promo_price_from_sum_cart", T.StringType()),
-                                ]
-                            ),
-                        ),
-                    ]
-                )
-            ),
-        ),
-        T.StructField("_corrupt", T.StringType()),
-    ]
-)
-
 # One offer inside a page; prices stay wide until the range check.
 PAGE_OFFER = (
     "struct<position:int,name:string,price:decimal(38,2),url:string,"

@@ -7,6 +7,7 @@ import pytest
 
 from pricetrail import schemas
 from pricetrail.operators.extract import extract_catalog, extract_product, offers, rejects
+from pricetrail.operators.routing import Rule
 
 T0 = datetime(2024, 5, 1, 12)
 
@@ -97,12 +98,36 @@ def test_pyaterochka_json(spark):
       {"plu": 13, "name": "Сахар", "prices": {"discount": "нет", "regular": 50}},
       {"plu": 13, "name": "Сахар", "is_available": 1, "prices": {"discount": 49.994, "regular": 50}},
       {"plu": null, "name": "Без кода", "prices": {"regular": 1}},
-      {"plu": 14, "name": "", "prices": {"regular": 1}}, {"plu": 15, "name": "Без цены", "prices": {}}]}"""
+      {"plu": 14, "name": "", "prices": {"regular": 1}}, {"plu": 15, "name": "Без цены", "prices": {}},
+      {"plu": 16, "name": "Пустые цены", "prices": []}, {"plu": 17, "name": 5, "prices": {"regular": 1}}, 7, null, "x",
+      {"plu": 18, "name": "Хлеб", "is_available": "false", "prices": {"regular": "1e1"}},
+      {"plu": 19, "name": "Вода", "is_available": [], "prices": {"regular": " 3"}}]}"""
     assert catalog_rows(spark, PYATEROCHKA, body) == [
         ("Чай чёрный", Decimal("99.90"), None, "11", None, True),
         ("Кофе", Decimal("80.50"), None, "12", None, False),
         ("Сахар", Decimal("50.00"), None, "13", None, False),
         ("Сахар", Decimal("49.99"), None, "13", None, True),
+        ("Хлеб", Decimal("10.00"), None, "18", None, True),
+        ("Вода", Decimal("3.00"), None, "19", None, False),
+    ]
+
+
+def test_pyaterochka_products_may_be_an_object(spark):
+    body = '{"products": {"a": {"plu": 1, "name": "Чай", "is_available": true, "prices": {"regular": 2}}}}'
+    assert catalog_rows(spark, PYATEROCHKA, body) == [("Чай", Decimal("2.00"), None, "1", None, True)]
+
+
+def test_another_shop_joins_with_a_rule_and_an_expression(spark):
+    rule = Rule("corner_shop", "Corner", "https://corner.example", "corner.example", path_part="/list")
+    offers_of = (
+        "array(named_struct('position', 0, 'name', regexp_extract(body, '^(.*)=', 1), 'price',"
+        " try_cast(regexp_extract(body, '=(.*)$', 1) AS decimal(38,2)), 'url', page_url, 'internal_product_id',"
+        " 'x', 'manufacturer_code', cast(NULL AS string), 'is_in_stock', true))"
+    )
+    frame = pages(spark, ("https://corner.example/list", 200, "Tea=3.5"), (PYATEROCHKA, 200, "no"))
+    got = extract_catalog(frame, [rule], {"corner_shop": offers_of})
+    assert [(r.shop_base_url, r.name, r.price) for r in offers(got).collect()] == [
+        ("https://corner.example", "Tea", Decimal("3.50"))
     ]
 
 
@@ -115,6 +140,7 @@ def test_catalog_rejects(spark):
             ("https://magnit.ru/catalog/empty", 200, "<a href='/about'>5 ₽ x</a>"),
             ("https://5ka.ru/catalog/html", 200, "<html>blocked</html>"),
             ("https://5ka.ru/catalog/scalar", 200, "5"),
+            ("https://5ka.ru/catalog/tail", 200, '{"products": []} x'),
             ("https://5ka.ru/catalog/list", 200, "[]"),
             ("https://5ka.ru/catalog/none", 200, '{"products": []}'),
             ("https://5ka.ru/catalog/bad", 200, '{"products": [{"plu": 1}]}'),
@@ -127,6 +153,7 @@ def test_catalog_rejects(spark):
         ("https://magnit.ru/catalog/empty", "extract", "no offers found"),
         ("https://5ka.ru/catalog/html", "decode", "HTML instead of JSON"),
         ("https://5ka.ru/catalog/scalar", "decode", "HTML instead of JSON"),
+        ("https://5ka.ru/catalog/tail", "decode", "HTML instead of JSON"),
         ("https://5ka.ru/catalog/list", "extract", "catalogue holds no products"),
         ("https://5ka.ru/catalog/none", "extract", "catalogue holds no products"),
         ("https://5ka.ru/catalog/bad", "extract", "no offers found"),
