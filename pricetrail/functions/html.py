@@ -108,14 +108,15 @@ def opening_tags_naming(body: str, name: str) -> str:
 def inner_markup(body: str, opening: str) -> str:
     """Markup between an opening tag found in the body and its matching closing tag.
 
-    Nested tags of the same kind are counted. Void tags hold nothing.
+    Nested tags of the same kind are counted. Void tags hold nothing. The markup starts with a blank.
     """
-    rest = f"substr({body}, instr({body}, {opening}) + length({opening}))"
+    # The blank keeps the first piece apart from the tags; every other piece starts with one.
+    rest = f"concat(' ', substr({body}, instr({body}, {opening}) + length({opening})))"
     step = (
         "CASE WHEN s.depth <= 0 THEN s"
         " WHEN startswith(p, '</') AND s.depth = 1 THEN named_struct('depth', 0, 'markup', s.markup)"
         " WHEN startswith(p, '</') THEN named_struct('depth', s.depth - 1, 'markup', concat(s.markup, p))"
-        " WHEN startswith(lower(p), concat('<', tag))"
+        " WHEN startswith(p, '<')"
         " THEN named_struct('depth', s.depth + 1, 'markup', concat(s.markup, p))"
         " ELSE named_struct('depth', s.depth, 'markup', concat(s.markup, p)) END"
     )

@@ -80,7 +80,7 @@ def perekrestok_link_offers(anchors: str) -> str:
         text.first_positive_price("a.text"),
         "a.url",
         urls.perekrestok_id("a.url"),
-        in_stock=f"NOT contains(lower(a.text), {quoted(fixed.NOT_IN_STOCK_TEXT)})",
+        in_stock=f"NOT rlike(a.text, {quoted('(?iu)' + fixed.NOT_IN_STOCK_TEXT)})",
     )
     return _complete(f"transform({links}, a -> {offer})")
 

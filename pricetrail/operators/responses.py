@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.functions import fixed, quoted, removed
+from pricetrail.functions import fixed, quoted
 from pricetrail.operators.routing import Rule, matching_rule
 
 PAGE = ["page_url", "fetched_at"]
@@ -16,8 +16,9 @@ def _contains_any(text: str, parts) -> str:
     return f"coalesce({tests}, false)"
 
 
-def _lead_trimmed(body: str) -> str:
-    return removed(body, r"^[ \t\n\r\x00\x0B]+")
+def _opens_with(body: str, start: str) -> str:
+    """Does the body start so, white space aside? Reads the first characters only."""
+    return f"coalesce(rlike({body}, {quoted(r'(?i)^[ \t\n\r\x00\x0B]*+' + start)}), false)"
 
 
 def is_page_blocked(body: str) -> str:
@@ -26,8 +27,7 @@ def is_page_blocked(body: str) -> str:
 
 def is_api_blocked(body: str) -> str:
     """The body is an HTML page or holds a block marker."""
-    opens_html = f"coalesce(startswith(lower({_lead_trimmed(body)}), '<html'), false)"
-    return f"({opens_html} OR {is_page_blocked(body)})"
+    return f"({_opens_with(body, '<html')} OR {is_page_blocked(body)})"
 
 
 def is_refused(status: str, body: str) -> str:
@@ -39,7 +39,7 @@ def is_refused(status: str, body: str) -> str:
 def response_kind(body: str) -> str:
     return (
         f"CASE WHEN {is_api_blocked(body)} THEN 'block page'"
-        f" WHEN substring({_lead_trimmed(body)}, 1, 1) IN ('{{', '[') THEN 'json' ELSE 'unknown' END"
+        f" WHEN {_opens_with(body, r'[{\[]')} THEN 'json' ELSE 'unknown' END"
     )
 
 
