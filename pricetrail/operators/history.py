@@ -96,6 +96,17 @@ def _counts(from_cents: np.ndarray, to_cents: np.ndarray) -> np.ndarray:
     return np.abs(from_cents / 100.0 - to_cents / 100.0) > fixed.PRICE_STEP
 
 
+def _heads(batch: pa.RecordBatch, cents: np.ndarray, stock: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write test and following case if a row is its key's first: it meets the stored last price, if any."""
+    if "_last_cents" not in batch.schema.names:
+        return np.ones(len(cents), dtype=bool), np.zeros(len(cents), dtype=np.int64)
+    stored = batch.column("_last_cents").is_valid().to_numpy(zero_copy_only=False)
+    last = batch.column("_last_cents").fill_null(0).to_numpy()
+    last_stock = batch.column("last_stock").fill_null(True).to_numpy(zero_copy_only=False)
+    writes = ~stored | (last_stock != stock) | _counts(last, cents)
+    return writes, np.where(writes, 0, last - cents)
+
+
 def _scan(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Case before each row and after the last, for every starting case.
 
@@ -131,12 +142,7 @@ def _fold_slice(keys: list[str]):
             key = key_at(batch, keys, batch.num_rows - 1)
             cents = batch.column("_cents").to_numpy()
             stock = batch.column("is_in_stock").to_numpy(zero_copy_only=False).astype(bool)
-            seeded = batch.column("_last_cents").is_valid().to_numpy(zero_copy_only=False)
-            seed = batch.column("_last_cents").fill_null(0).to_numpy()
-            seed_stock = batch.column("last_stock").fill_null(True).to_numpy(zero_copy_only=False)
-            # A key's first row meets its stored last price, if there is one.
-            head_writes = ~seeded | (seed_stock != stock) | _counts(seed, cents)
-            head_case = np.where(head_writes, 0, seed - cents)
+            head_writes, head_case = _heads(batch, cents, stock)
 
             first_in_slice = edge is None
             if first_in_slice:
@@ -233,19 +239,16 @@ def change_history(
     order = order or ORDER
     names = observations.columns
     usable = observations.where(F.col("price").isNotNull() & F.col("is_in_stock").isNotNull())
-    if last is None:
-        seeded = usable.withColumn("_last_cents", F.lit(None).cast("long")).withColumn(
-            "last_stock", F.lit(None).cast("boolean")
+    # Prices go through the fold as whole cents only; the decimal is made again behind it.
+    sent = [name for name in names if name != "price"] + ["_cents"]
+    in_cents = usable.withColumn("_cents", (F.col("price") * 100).cast("long"))
+    if last is not None:
+        in_cents = in_cents.join(last, keys, "left").where(
+            F.col("last_parsed_at").isNull() | (F.col(order[0]) > F.col("last_parsed_at"))
         )
-    else:
-        seeded = (
-            usable.join(last, keys, "left")
-            .where(F.col("last_parsed_at").isNull() | (F.col(order[0]) > F.col("last_parsed_at")))
-            .withColumn("_last_cents", (F.col("last_price") * 100).cast("long"))
-        )
-    prepared = seeded.select(
-        *names, (F.col("price") * 100).cast("long").alias("_cents"), "_last_cents", "last_stock"
-    )
+        in_cents = in_cents.withColumn("_last_cents", (F.col("last_price") * 100).cast("long"))
+        sent += ["_last_cents", "last_stock"]
+    prepared = in_cents.select(*sent)
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in prepared.schema]
         + [
@@ -267,4 +270,4 @@ def change_history(
         ~F.col("_open")
         | (F.col("_head") & F.col("_head_writes"))
         | (~F.col("_head") & (F.col("_mask").bitwiseAND(F.col("_case_bit")) != 0))
-    ).select(*names)
+    ).withColumn("price", (F.col("_cents").cast("decimal(12,0)") / 100).cast("decimal(10,2)")).select(*names)
