@@ -53,6 +53,7 @@ NAME_KEYS = ("name", "headline")
 ID_KEYS = ("sku", "productID", "productId")
 MAKER_CODE_KEYS = ("mpn", "gtin13", "gtin", "gtin14")
 PRICE_KEYS = ("price", "lowPrice")
+JSON_DEPTH = 512  # documents nested deeper do not decode
 
 # Catalogue JSON: price fields in order of precedence.
 CATALOG_PRICE_FIELDS = ("discount", "cpd_promo_price", "cpd_promo_price_from_sum_cart", "regular")

@@ -4,7 +4,6 @@ Loops use possessive quantifiers, which Java runs without recursion, so long pag
 overflow the stack. One scan of the body returns whole elements; details are read from those.
 """
 
-import json
 from html.entities import name2codepoint
 
 from pricetrail.functions import let, quoted, removed
@@ -18,7 +17,8 @@ _ANCHOR = rf"(?is)<a\s{_TAG_BODY}>.*?(?:</a\s*+>|(?=<a[\s>])|\z)"
 _OPEN_TAG = rf"(?s)^<[A-Za-z][A-Za-z0-9]*+({_TAG_BODY})>"
 _LD_JSON = rf"(?is)<script(\s{_TAG_BODY})>(.*?)</script\s*+>"
 _VOID_TAGS = ("meta", "link", "input", "img", "br", "hr", "source")
-_CHARACTERS = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
+# "|name=character" for every named reference.
+_CHARACTERS = "".join(f"|{name}={chr(code)}" for name, code in name2codepoint.items())
 
 
 def _all(text: str, pattern: str) -> str:
@@ -51,14 +51,15 @@ def decode_entities(text: str) -> str:
         " THEN try_cast(conv(regexp_extract(e, '^#[xX]0*([0-9a-fA-F]{1,6})', 1), 16, 10) AS int) END"
     )
     # Code, looked-up name and the text behind the reference, worked out once per reference.
+    name = "regexp_extract(e, '^([A-Za-z][A-Za-z0-9]*);', 1)"
     parts = (
-        f"named_struct('code', {code}, 'name', regexp_extract(e, '^([A-Za-z][A-Za-z0-9]*);', 1), 'raw', e,"
-        " 'rest', regexp_replace(e, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)', ''))"
+        f"named_struct('code', {code}, 'name', {name}, 'at', instr({quoted(_CHARACTERS)}, concat('|', {name}, '=')),"
+        " 'raw', e, 'rest', regexp_replace(e, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)', ''))"
     )
     character = (
         "CASE WHEN d.code BETWEEN 1 AND 55295 OR d.code BETWEEN 57344 AND 1114111"
         " THEN decode(unhex(lpad(hex(d.code), 8, '0')), 'UTF-32')"
-        f" ELSE try_element_at(from_json({quoted(_CHARACTERS)}, 'map<string,string>'), d.name) END"
+        f" WHEN d.name <> '' AND d.at > 0 THEN substring({quoted(_CHARACTERS)}, d.at + length(d.name) + 2, 1) END"
     )
     decoded = (
         f"transform(transform(pieces, (e, i) -> CASE WHEN i > 0 THEN {parts} END),"

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from pricetrail.functions import fixed
 
-_MAX_DEPTH = 512
+_MAX_DEPTH = fixed.JSON_DEPTH
 
 
 class _Number(float):
@@ -30,15 +30,29 @@ def _reject(_name: str):
     raise ValueError("not a JSON number")
 
 
+def _children(node) -> list:
+    """Arrays and objects directly inside a node, in document order."""
+    values = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+    return [value for value in values if isinstance(value, dict | list)]
+
+
+def _too_deep(document) -> bool:
+    level, depth = [document], 0
+    while level and depth <= _MAX_DEPTH:
+        level = [child for node in level for child in _children(node)]
+        depth += 1
+    return depth > _MAX_DEPTH
+
+
 def _decode(script: str):
     """Decoded document, or None for what does not decode (or decodes to null)."""
     try:
         document = json.loads(script, parse_float=_Number, parse_constant=_reject)
-        script.encode()
-        json.dumps(document, ensure_ascii=False).encode()
+        if "\\u" in script:
+            json.dumps(document, ensure_ascii=False).encode()  # half a surrogate pair is no text
     except (ValueError, RecursionError):
         return None
-    return document
+    return None if _too_deep(document) else document
 
 
 def _nodes(document) -> Iterator:
@@ -47,8 +61,7 @@ def _nodes(document) -> Iterator:
     while stack:
         node = stack.pop()
         yield node
-        children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
-        stack.extend(reversed([child for child in children if isinstance(child, dict | list)]))
+        stack.extend(reversed(_children(node)))
 
 
 def _text(value) -> str | None:

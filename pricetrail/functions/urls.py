@@ -22,8 +22,8 @@ def absolute(href: str, page_url: str, origin: str) -> str:
     """``href`` as an absolute URL: root-relative on ``origin``, other relative below the page URL."""
     return (
         f"CASE WHEN startswith({href}, 'http://') OR startswith({href}, 'https://') THEN {href}"
-        f" WHEN startswith({href}, '/') THEN concat(rtrim('/', {origin}), {href})"
-        f" ELSE concat(rtrim('/', {page_url}), '/', ltrim('/', {href})) END"
+        f" WHEN startswith({href}, '/') THEN concat(trim(TRAILING '/' FROM {origin}), {href})"
+        f" ELSE concat(trim(TRAILING '/' FROM {page_url}), '/', trim(LEADING '/' FROM {href})) END"
     )
 
 

@@ -1,5 +1,8 @@
 """One load from page snapshots to the stored tables."""
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +45,36 @@ def load_snapshots(
     tables.write_version(extracted, root, "extracted", version)
     extracted = tables.read_version(spark, root, "extracted", version)
 
-    tables.write_version(extract.rejects(extracted), root, "rejects", version)
     shops = tables.read_version(spark, root, "shops", before)
-    tables.write_version(load.get_or_create_shops(extracted, shops, more_rules), root, "shops", version)
-
     products = tables.read_version(spark, root, "products", before)
-    tables.write_version(load.with_identity(extract.offers(extracted), products), root, "offers", version)
-    offers = tables.read_version(spark, root, "offers", version)
-    tables.write_version(load.upsert_products(offers, products), root, "products", version)
-
     last = tables.read_version(spark, root, "last_prices", before)
-    tables.write_version(
-        change_history(offers, ["product_id"], ORDER, last), root, "written", version
+
+    def write(name: str, make: Callable[[], DataFrame]) -> Callable[[], None]:
+        return lambda: tables.write_version(make(), root, name, version)
+
+    _side_by_side(
+        write("rejects", lambda: extract.rejects(extracted)),
+        write("shops", lambda: load.get_or_create_shops(extracted, shops, more_rules)),
+        write("offers", lambda: load.with_identity(extract.offers(extracted), products)),
+    )
+    offers = tables.read_version(spark, root, "offers", version)
+    _side_by_side(
+        write("products", lambda: load.upsert_products(offers, products)),
+        write("written", lambda: change_history(offers, ["product_id"], ORDER, last)),
     )
     written = tables.read_version(spark, root, "written", version)
-    tables.write_prices(load.price_rows(written), root, version)
-    tables.write_version(load.load_counters(offers, written, products), root, "counters", version)
-    tables.write_version(last_prices(written, last), root, "last_prices", version)
+    _side_by_side(
+        lambda: tables.write_prices(load.price_rows(written), root, version),
+        write("counters", lambda: load.load_counters(offers, written, products)),
+        write("last_prices", lambda: last_prices(written, last)),
+    )
+
+
+def _side_by_side(*writes: Callable[[], None]) -> None:
+    """Start writes that do not need each other at once, so the tail of one leaves no executor idle."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(write) for write in writes]:
+            done.result()
 
 
 def without_copies(extracted: DataFrame) -> DataFrame:
