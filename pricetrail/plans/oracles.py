@@ -54,7 +54,9 @@ _PAGE_EVENTS = f"""
 SELECT {_SHOP_OF_EVENT} AS shop_base_url, 'id:' || user_id AS product_key, ts AS observed_at,
   'Товар ' || user_id AS name, CAST(value AS DECIMAL(10,2)) AS price,
   event_type <> 'error' OR user_id % 3 = 0 AS is_in_stock
-FROM events"""
+FROM events
+-- The third shop's links are offers only with a price above zero.
+WHERE user_id % 3 <> 2 OR CAST(value AS DECIMAL(10,2)) > 0"""
 ORACLES["pages_to_history"] = f"""
 WITH RECURSIVE {_fold(_PAGE_EVENTS, "shop_base_url, product_key", "observed_at")}
 SELECT shop_base_url, product_key, observed_at, name, CAST(price AS DOUBLE) AS price, is_in_stock FROM written"""
