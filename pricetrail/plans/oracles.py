@@ -43,6 +43,12 @@ SELECT user_id, observed_at, CAST(price AS DOUBLE) AS price, is_in_stock FROM wr
 ORACLES["change_history_rows"] = _event_history(_PLAIN_PRICE)
 ORACLES["change_history_one_cent_steps"] = _event_history(_STEP_PRICE)
 ORACLES["change_history_single_product"] = _event_history(_STEP_PRICE, "CAST(1 AS BIGINT)")
+ORACLES["change_test"] = """
+SELECT event_id,
+  event_id % 10 = 0 OR (event_id % 7 <> 0) <> (event_type <> 'error')
+    OR abs(CAST(CAST(1 + (event_id % 400) * 0.01 AS DECIMAL(10,2)) AS DOUBLE)
+         - CAST(CAST(1 + (event_id % 400 + user_id % 3) * 0.01 AS DECIMAL(10,2)) AS DOUBLE)) > 0.01 AS changes
+FROM events"""
 ORACLES["change_history_in_two_loads"] = _event_history(_PLAIN_PRICE)
 ORACLES["latest_price_after_history"] = f"""
 SELECT * FROM ({_event_history(_PLAIN_PRICE)})

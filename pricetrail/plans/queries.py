@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions import html, text, urls
 from pricetrail.operators import analytics, extract, load, relations, responses, routing
-from pricetrail.operators.history import change_history, last_written
+from pricetrail.operators.history import change_history, is_change, last_written
 from pricetrail.plans import shapes
 from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
 from pricetrail.plans.shapes import table
@@ -80,6 +80,20 @@ def change_history_single_product(spark, sf_dir):
     return _history_out(change_history(seen, ["user_id"], ["observed_at"]))
 
 
+@query
+def change_test(spark, sf_dir):
+    """The write test alone: one-cent steps from different prices, stock changes, nothing stored yet."""
+    pairs = table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "CASE WHEN event_id % 10 > 0 THEN cast(1 + (event_id % 400) * 0.01 AS decimal(10,2)) END AS last_price",
+        "event_id % 7 <> 0 AS last_stock",
+        "cast(1 + (event_id % 400 + user_id % 3) * 0.01 AS decimal(10,2)) AS price",
+        "event_type <> 'error' AS is_in_stock",
+    )
+    changes = is_change(F.col("last_price"), F.col("last_stock"), F.col("price"), F.col("is_in_stock"))
+    return pairs.select("event_id", changes.alias("changes"))
+
+
 @query
 def change_history_in_two_loads(spark, sf_dir):
     """The second load starts from the last written rows and replays part of the first."""

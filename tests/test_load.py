@@ -184,6 +184,16 @@ def test_streamed_offers_drop_copies(spark, tmp_path):
     assert sorted(r.price for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [10, 11]
 
 
+def test_snapshots_and_responses_from_json_lines(spark, tmp_path):
+    pages = frame(spark, magnit(0, ("1", "Чай", "3")))
+    pages.write.json(str(tmp_path / "pages"))
+    read = snapshots.read_snapshots(spark, str(tmp_path / "pages"), "json")
+    assert read.schema == schemas.PAGE_SNAPSHOTS and read.collect() == pages.collect()
+    answers = spark.createDataFrame([("u", T0, 1, "x", 200, "t", "b")], schemas.NETWORK_RESPONSES)
+    answers.write.parquet(str(tmp_path / "answers"))
+    assert snapshots.read_responses(spark, str(tmp_path / "answers")).collect() == answers.collect()
+
+
 def test_html_files_as_snapshots(spark, tmp_path):
     (tmp_path / "catalog").mkdir()
     (tmp_path / "catalog" / "7-x.html").write_text(magnit(0, ("1", "Чай", "3"))[4], encoding="utf-8")
