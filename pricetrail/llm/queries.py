@@ -5,10 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import mixing, simhash
+from pricetrail.llm import langid, minhash, mixing, quality, sentencepieces, simhash, tokens
 from pricetrail.llm.common import table
 from pricetrail.session import ship_package
 
+#: Folder of the public vocabularies; by default the installed package's.
+TOKENIZERS: str | None = None
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +24,44 @@ def query(function):
     return function
 
 
+def vocabulary(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_quality(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.classify(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_langid(spark, sf_dir):
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op5_tokens(spark, sf_dir):
+    """Every document's ids, written as Huffman-coded files and read back."""
+    return tokens.coded(table(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op6_minhash(spark, sf_dir):
+    """Fingerprints of every document and its edited text."""
+    return minhash.fingerprints(table(spark, sf_dir))
+
+
+@query
+def op8_sentencepiece(spark, sf_dir):
+    """Every document encoded to pieces and decoded again."""
+    return sentencepieces.encoded(table(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op9_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate class of every document."""
