@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import langid, minhash, mixing, quality, sentencepieces, simhash, tokens
+from pricetrail.llm import langid, minhash, mixing, quality, sentencepieces, simhash, suffixes, tokens
 from pricetrail.llm.common import table
 from pricetrail.session import ship_package
 
@@ -38,6 +38,12 @@ def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_suffixes(spark, sf_dir):
+    """What each document loses of repeated strings of 200 bytes."""
+    return suffixes.without_repeats(table(spark, sf_dir)).drop("kept")
+
+
 @query
 def op4_langid(spark, sf_dir):
     """Language of every document."""
