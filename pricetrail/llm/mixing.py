@@ -89,25 +89,38 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", threshold.alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2)) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row per document.
+def plan(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int]) -> DataFrame:
+    """(source, _hash, size) -> (_source, _source_size, _target, _whole, _threshold), stored, one row per source.
 
-    ``taken`` is 0, one or two times the size: a source whose target is above its size gives every document once and
-    those below the threshold of the rest a second time. Null text has size 0; null sources are one source, the last;
-    rows with one id share a hash and are taken together; an empty table gives no rows; other columns are ignored.
+    A source whose target is above its size gives every document once (``_whole``) and those below the threshold of
+    the rest a second time.
     """
-    sized = stored(
-        docs.select("doc_id", "source", words(F.col("text")).alias("size"), id_hash().alias("_hash")), "mix-sized"
-    )
     totals = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "mix-targets")
     over = F.col("target") > F.col("source_size")
     budgets = totals.select("source", F.when(over, F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("budget"))
-    limits = thresholds(sized, budgets)
-    plan = totals.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source"))).select("t.*", "l.threshold")
-    plan = stored(plan, "mix-plan").alias("p")
-    times = F.when(over, 1).otherwise(0) + F.when(F.col("d._hash") < F.col("p.threshold"), 1).otherwise(0)
-    return (
-        sized.alias("d")
-        .join(plan, F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * times).alias("taken"))
+    limits = thresholds(sized, budgets).alias("l")
+    both = totals.withColumn("whole", F.when(over, 1).otherwise(0)).alias("t").join(limits, F.col("t.source").eqNullSafe(F.col("l.source")))
+    return stored(both.select("t.*", "l.threshold").toDF("_source", "_source_size", "_target", "_whole", "_threshold"), "mix-plan")
+
+
+TIMES = "_whole + if(_hash < _threshold, 1, 0)"
+
+
+def times_taken(docs: DataFrame, name: str, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2)) -> DataFrame:
+    """``docs`` with how often the mix takes each row. Rows without words count like others."""
+    sized = stored(docs.select("source", id_hash().alias("_hash"), words(F.col("text")).alias("size")), "mix-sized")
+    rows = docs.withColumn("_hash", id_hash()).join(plan(sized, weights, share), F.col("source").eqNullSafe(F.col("_source")))
+    return rows.withColumn(name, F.expr(TIMES)).select(*docs.columns, name)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2)) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row per document.
+
+    ``taken`` is 0, one or two times the size. Null text has size 0; null sources are one source, the last; rows with
+    one id share a hash and are taken together; an empty table gives no rows; other columns are ignored.
+    """
+    sized = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size"), id_hash().alias("_hash")), "mix-sized")
+    rows = sized.join(plan(sized.drop("doc_id"), weights, share), F.col("source").eqNullSafe(F.col("_source")))
+    return rows.select(
+        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.expr(TIMES)).alias("taken")
     )

@@ -34,7 +34,7 @@ def by_descending_id(docs: DataFrame, pieces: int | None = None) -> DataFrame:
         return ranged.select("_range", F.lit(False).alias("_guest"), "doc_id", "text")
     before = [r["_range"] for r in heads]
     visits = {h["k"]: before[i - 1] for i, h in enumerate(heads)}
-    tag = F.create_map(*(x for k, r in visits.items() for x in (F.lit(k), F.lit(r))))
+    tag = F.create_map(*(x for k, r in visits.items() for x in (F.lit(k).cast("long"), F.lit(r))))
     guest = tag[F.col("_key")]
     both = F.when(
         guest.isNotNull(),

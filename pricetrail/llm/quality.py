@@ -149,22 +149,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     return fit(p, u, prior) | {"prior": prior}
 
 
-def scores(docs: DataFrame, model: dict, *more: str) -> DataFrame:
-    """(doc_id, score, more columns) of every whole text; null texts count as empty."""
+def scored_rows(docs: DataFrame, model: dict, name: str) -> DataFrame:
+    """``docs`` with a score column, of every whole text; null texts count as empty. One pass, no shuffle."""
+    score = F.pandas_udf(_scorer(docs.sparkSession.sparkContext.broadcast(model)), "double")
+    return docs.withColumn(name, score("text"))
 
-    def run(batches):
-        for batch, texts in chunks(batches):
-            kept = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in kept), pa.array(predict(model, features(texts)))], names=[*kept, "score"]
-            )
 
-    cols = docs.select("doc_id", *more, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "text")
-    return arrow_map(cols, run, f"{schema}, score double")
+def _scorer(shared):
+    import pandas as pd
+
+    def run(column: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(column, pa.string())], names=["text"])
+        return pd.Series(np.concatenate([predict(shared.value, features(texts)) for _, texts in chunks([batch])] or [np.zeros(0)]))
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return run
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per document; an empty table gives no rows, null ids are held out."""
-    out = scores(docs, learn(docs, labels))
+    out = scored_rows(docs.select("doc_id", "text"), learn(docs, labels), "score")
     return out.select("doc_id", held_out(FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

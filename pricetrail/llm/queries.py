@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import langid, minhash, mixing, quality, sentencepieces, simhash, suffixes, tokens
+from pricetrail.llm import langid, minhash, mixing, pseudolikelihood, quality, search, sentencepieces, simhash, suffixes, tokens
 from pricetrail.llm.common import table
 from pricetrail.session import ship_package
 
@@ -32,6 +32,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_search(spark, sf_dir):
+    """The ten best documents for each document whose id is divisible by 100."""
+    return search.top_k(table(spark, sf_dir))
+
+
 @query
 def op2_quality(spark, sf_dir):
     """Quality score of every document."""
@@ -62,6 +68,12 @@ def op6_minhash(spark, sf_dir):
     return minhash.fingerprints(table(spark, sf_dir))
 
 
+@query
+def op7_pseudolikelihood(spark, sf_dir):
+    """Sum of the conditional log probabilities of every document's words."""
+    return pseudolikelihood.scored(table(spark, sf_dir))
+
+
 @query
 def op8_sentencepiece(spark, sf_dir):
     """Every document encoded to pieces and decoded again."""

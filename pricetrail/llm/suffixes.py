@@ -230,23 +230,27 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_spans``: what repeats in each row's text, null where nothing does."""
+    found = repeats(docs).withColumnsRenamed({"id": "_id", "same": "_same", "spans": "_spans"})
+    hit = (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_id")) & (F.xxhash64("text") == F.col("_same"))
+    return docs.join(found, hit, "left").select(*docs.columns, "_spans")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary), one row per document.
 
     Null texts are empty; texts under LENGTH bytes lose nothing; of repeated rows all lose what repeats, and so do
     null ids' texts; an empty table gives no rows; other columns are ignored.
     """
-    found = repeats(docs)
-    rows = rows_of(docs).select("*", F.col("id")).toDF("id", "same", "text", "_again").drop("_again")
-    joined = rows.join(found, ["id", "same"], "left").select("id", "text", "spans")
 
     def run(batches):
         for batch, texts in chunks(batches):
-            runs = [_merged(s) for s in batch.column("spans").to_pylist()]
+            runs = [_merged(s) for s in batch.column("_spans").to_pylist()]
             kept = [_kept(t, r) for t, r in zip(texts, runs)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([None if i == NULL_ID else i for i in batch.column("id").to_pylist()], pa.int64()),
+                    batch.column("doc_id"),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([len(t) - len(k) for t, k in zip(texts, kept)], pa.int64()),
                     pa.array([len(r) for r in runs], pa.int64()),
@@ -256,4 +260,31 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    return arrow_map(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return arrow_map(with_spans(docs.select("doc_id", "text")), run, schema)
+
+
+def rows_without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with what repeats cut from ``text``, whole characters at a time, and ``_lost``: was anything cut."""
+
+    def run(batches):
+        for batch, texts in chunks(batches):
+            out = []
+            for was_null, text, spans in zip(batch.column("text").is_null().to_pylist(), texts, batch.column("_spans").to_pylist()):
+                runs = [(_character(text, a, -1), _character(text, b, 1)) for a, b in _merged(spans)]
+                runs = _merged([{"start": a, "end": b} for a, b in runs])
+                out.append(None if was_null else _kept(text, runs).decode())
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "_spans"}
+            columns["text"] = pa.array(out, pa.string())
+            columns["_lost"] = batch.column("_spans").is_valid()
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lost boolean"
+    return arrow_map(with_spans(docs), run, schema)
+
+
+def _character(text: bytes, at: int, step: int) -> int:
+    """The nearest place before (step -1) or after (step 1) where a character starts."""
+    while 0 < at < len(text) and 0x80 <= text[at] < 0xC0:
+        at += step
+    return at

@@ -52,7 +52,7 @@ def test_fingerprints_against_sets(spark):
 
 def test_one_document_follows_itself(spark):
     r = minhash.fingerprints(spark.createDataFrame([(1, "a b c d e f", "", "")], SCHEMA)).first()
-    assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"a b c d a b").hexdigest()[:0] + hashlib.sha256(b"a b c da b").hexdigest()
+    assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"a b c d a b").hexdigest()
 
 
 def test_empty_table(spark):
