@@ -138,10 +138,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     chosen = free.join(F.broadcast(drawn), "doc_id").select("doc_id", "kind", "text")
     found = arrow_map(chosen, run, "kind int, doc_id long, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     kind = found["kind"].to_numpy()
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float16).reshape(len(kind), -1).astype(np.float32)
+    width = KINDS + 6 + TRIGRAMS
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float16).reshape(len(kind), width).astype(np.float32)
     p, u = x[kind == 1], x[kind == 0]
     if not len(p) or not len(u):
-        width = KINDS + 6 + TRIGRAMS
         return {"mean": np.zeros(width), "scale": np.ones(width), "w": [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], "prior": 0.5}
     # The prior is read off scores that the scoring model hasn't seen: fitted on one half, taken on the other.
     half = fit(p[::2], u[::2], None, rounds=6)
