@@ -18,7 +18,7 @@ _OPEN_TAG = rf"(?s)^<[A-Za-z][A-Za-z0-9]*+({_TAG_BODY})>"
 _LD_JSON = rf"(?is)<script(\s{_TAG_BODY})>(.*?)</script\s*+>"
 _VOID_TAGS = ("meta", "link", "input", "img", "br", "hr", "source")
 # "|name=character" for every named reference.
-_CHARACTERS = "".join(f"|{name}={chr(code)}" for name, code in name2codepoint.items())
+_CHARACTERS = "".join(f"|{name}={chr(code)}" for name, code in (name2codepoint | {"apos": ord("'")}).items())
 
 
 def _all(text: str, pattern: str) -> str:
@@ -46,9 +46,9 @@ def tag_attributes(element: str) -> str:
 def decode_entities(text: str) -> str:
     """Named and numeric character references become characters, each decoded once."""
     code = (
-        "CASE WHEN rlike(e, '^#[0-9]') THEN try_cast(regexp_extract(e, '^#0*([0-9]{1,7})', 1) AS int)"
+        "CASE WHEN rlike(e, '^#[0-9]') THEN try_cast(nullif(regexp_extract(e, '^#0*([0-9]{1,10})(?![0-9])', 1), '') AS int)"
         " WHEN rlike(e, '^#[xX][0-9a-fA-F]')"
-        " THEN try_cast(conv(regexp_extract(e, '^#[xX]0*([0-9a-fA-F]{1,6})', 1), 16, 10) AS int) END"
+        " THEN try_cast(conv(nullif(regexp_extract(e, '^#[xX]0*([0-9a-fA-F]{1,8})(?![0-9a-fA-F])', 1), ''), 16, 10) AS int) END"
     )
     # Code, looked-up name and the text behind the reference, worked out once per reference.
     name = "regexp_extract(e, '^([A-Za-z][A-Za-z0-9]*);', 1)"
@@ -113,21 +113,21 @@ def inner_markup(body: str, opening: str) -> str:
     """
     # The blank keeps the first piece apart from the tags; every other piece starts with one.
     rest = f"concat(' ', substr({body}, instr({body}, {opening}) + length({opening})))"
+    # Only the depth and the length so far are carried; the markup is cut out once at the end.
     step = (
         "CASE WHEN s.depth <= 0 THEN s"
-        " WHEN startswith(p, '</') AND s.depth = 1 THEN named_struct('depth', 0, 'markup', s.markup)"
-        " WHEN startswith(p, '</') THEN named_struct('depth', s.depth - 1, 'markup', concat(s.markup, p))"
-        " WHEN startswith(p, '<')"
-        " THEN named_struct('depth', s.depth + 1, 'markup', concat(s.markup, p))"
-        " ELSE named_struct('depth', s.depth, 'markup', concat(s.markup, p)) END"
+        " WHEN startswith(p, '</') AND s.depth = 1 THEN named_struct('depth', 0, 'size', s.size)"
+        " WHEN startswith(p, '</') THEN named_struct('depth', s.depth - 1, 'size', s.size + length(p))"
+        " WHEN startswith(p, '<') THEN named_struct('depth', s.depth + 1, 'size', s.size + length(p))"
+        " ELSE named_struct('depth', s.depth, 'size', s.size + length(p)) END"
     )
     void = ", ".join(quoted(name) for name in _VOID_TAGS)
-    pieces = f"split({rest}, concat('(?i)(?=</?', tag, '[\\\\s/>])'))"
+    pieces = "split(rest, concat('(?i)(?=</?', tag, '[\\\\s/>])'))"
+    size = f"aggregate({pieces}, named_struct('depth', 1, 'size', 0), (s, p) -> {step}, s -> s.size)"
     return let(
         "tag",
         f"lower(regexp_extract({opening}, '^<([A-Za-z][A-Za-z0-9]*)', 1))",
-        f"CASE WHEN tag IN ({void}) THEN '' ELSE"
-        f" aggregate({pieces}, named_struct('depth', 1, 'markup', ''), (s, p) -> {step}, s -> s.markup) END",
+        f"CASE WHEN tag IN ({void}) THEN '' ELSE {let('rest', rest, f'substring(rest, 1, {size})')} END",
     )
 
 

@@ -4,7 +4,7 @@ from pricetrail.functions import fixed, group_or_null, let, quoted, removed
 
 # Wide enough that an oversized price is still seen and can be rejected later.
 RAW_PRICE = "decimal(38,2)"
-_NUMERIC = r"^[ \t\n\r\x0B\f]*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]{1,3})?[ \t\n\r\x0B\f]*$"
+_NUMERIC = r"^[ \t\n\r\x0B\f]*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \t\n\r\x0B\f]*$"
 _NUMERIC_SPACE = r"[ \t\n\r\x0B\f]"
 _NO_BREAK_SPACE = "\u00a0"
 

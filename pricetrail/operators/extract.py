@@ -170,13 +170,16 @@ def _reject(*cases: tuple[str, str, str]) -> str:
     return f"CASE {whens} END AS _reject"
 
 
-def _is_json_document(body: str, document: str) -> str:
-    """The whole body is one JSON array or object; a mere scalar is not a catalogue."""
-    closed = (
-        f"rlike({body}, {quoted(r'(?s)^[ \t\n\r]*[{].*[}][ \t\n\r]*$')})"
-        f" OR rlike({body}, {quoted(r'(?s)^[ \t\n\r]*[\[].*[\]][ \t\n\r]*$')})"
+def _is_closed(body: str) -> str:
+    """The whole body looks like one JSON array or object; a mere scalar is not a catalogue."""
+    return (
+        f"coalesce(rlike({body}, {quoted(r'(?s)^[ \t\n\r]*[{].*[}][ \t\n\r]*$')})"
+        f" OR rlike({body}, {quoted(r'(?s)^[ \t\n\r]*[\[].*[\]][ \t\n\r]*$')}), false)"
     )
-    return f"({document} IS NOT NULL AND ({closed}))"
+
+
+# What Spark's JSON documents hold at most.
+_MOST_JSON_BYTES = 128 << 20
 
 
 def extract_catalog(
@@ -188,6 +191,8 @@ def extract_catalog(
     captured payload. Further shops come as rules behind the built-in ones, each with a SQL
     expression over ``body`` and ``page_url`` that gives an array of offers.
     """
+    # Of a key that an object holds twice the last value counts, as in most JSON readers.
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if "capture_reject" not in pages.columns:
         pages = pages.withColumn("capture_reject", F.lit(None).cast("string"))
     state = [*_PAGE, "http_status", "capture_reject"]
@@ -209,17 +214,21 @@ def extract_catalog(
         *state,
         "_anchors",
         "_scripts",
-        f"{_is_json_document('_payload', '_json')} AS _is_json",
+        f"{_is_closed('_payload')} AND _json IS NOT NULL AS _is_json",
+        f"CASE WHEN NOT {_is_closed('_payload')} THEN 'HTML instead of JSON'"
+        f" WHEN octet_length(_payload) > {_MOST_JSON_BYTES} THEN 'JSON is too large'"
+        " WHEN _json IS NULL THEN 'JSON cannot be decoded' END AS _fault",
         f"{catalog_json_products('_json')} AS _products",
         "_added",
     )
     located = read.withColumn("_facts", jsonld.listed_facts(F.col("_scripts"))).selectExpr(
         "*", f"CASE WHEN size(_facts) > 0 THEN {perekrestok_ld_offers('_facts')} END AS _ld"
     )
-    kept = [*state, "_is_json", "_listed"]
+    kept = [*state, "_is_json", "_fault", "_listed"]
     found = located.selectExpr(
         *state,
         "_is_json",
+        "_fault",
         "coalesce(size(_products), 0) AS _listed",
         f"coalesce(CASE WHEN rule = 'magnit_catalog' THEN {magnit_catalog_offers('_anchors')}"
         " WHEN size(_ld) > 0 THEN _ld"
@@ -235,7 +244,7 @@ def extract_catalog(
             ("rule IS NULL", "route", "'no rule for this catalogue URL'"),
             (f"NOT {_LOADED}", "http", _HTTP_REASON),
             ("capture_reject IS NOT NULL", "capture", "capture_reject"),
-            ("rule = 'pyaterochka_catalog' AND NOT _is_json", "decode", "'HTML instead of JSON'"),
+            ("rule = 'pyaterochka_catalog' AND NOT _is_json", "decode", "_fault"),
             ("rule = 'pyaterochka_catalog' AND _listed <= 0", "extract", "'catalogue holds no products'"),
             ("size(offers) = 0", "extract", "'no offers found'"),
         ),

@@ -61,7 +61,9 @@ def starts_new_key(batch: pa.RecordBatch, keys: list[str], previous: tuple | Non
     for key in keys:
         column = batch.column(key)
         if batch.num_rows > 1:
-            changed = pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1))
+            later, earlier = column.slice(1), column.slice(0, batch.num_rows - 1)
+            # Null keys are a key like others: two nulls are equal, a null and a value are not.
+            changed = pc.or_(pc.fill_null(pc.not_equal(later, earlier), False), pc.xor(later.is_null(), earlier.is_null()))
             new[1:] |= changed.to_numpy(zero_copy_only=False)
     new[0] = previous is None or key_at(batch, keys, 0) != previous
     return new

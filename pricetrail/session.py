@@ -3,6 +3,8 @@
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,20 +27,41 @@ def local_session(cpus: str = "8", name: str = "pricetrail") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local runs) a temporary folder is taken.
+    Only a local master that names none (tests, local runs) gets a temporary folder; on several machines
+    executors would write it each to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="pricetrail-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end: results must be stored by then."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes[:] = [scope for scope in _scopes if scope is not paths]
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship_package(spark: SparkSession) -> None:
