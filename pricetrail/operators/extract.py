@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetrail import schemas
 from pricetrail.functions import fixed, html, jsonld, quoted, text, urls
-from pricetrail.operators.routing import CATALOG_RULES, Rule, route
+from pricetrail.operators.routing import CATALOG_RULES, PRODUCT_RULES, Rule, route
 
 _PAGE = ["page_url", "fetched_at", "rule", "shop_base_url"]
 _NO_OFFERS = f"cast(array() AS array<{schemas.PAGE_OFFER}>)"
@@ -260,12 +260,25 @@ def _content_of(element: str) -> str:
     return html.attribute_text(html.tag_attributes(element), "content")
 
 
-def extract_product(pages: DataFrame) -> DataFrame:
-    """Product pages to one row per page with at most one offer."""
-    state = [*_PAGE, "http_status"]
+def extract_product(
+    pages: DataFrame, more_rules: list[Rule] | None = None, more_offers: dict[str, str] | None = None
+) -> DataFrame:
+    """Product pages to one row per page with at most one offer.
+
+    Further shops come as rules behind the built-in ones, each with a SQL expression over ``body``
+    and ``page_url`` that gives an array of offers; the first complete one counts.
+    """
+    state = [*_PAGE, "http_status", "_added"]
+    added = " ".join(
+        f"WHEN {quoted(name)} THEN cast({offers} AS array<{schemas.PAGE_OFFER}>)"
+        for name, offers in (more_offers or {}).items()
+    )
     body = f"CASE WHEN rule IS NOT NULL AND {_LOADED} THEN body END"
-    read = route(pages, "product").selectExpr(
-        *state,
+    read = route(pages, "product", [*PRODUCT_RULES, *(more_rules or [])]).selectExpr(
+        *[name for name in state if name != "_added"],
+        f"get({_complete(f'CASE WHEN {_LOADED} THEN CASE rule {added} END END')}, 0) AS _added"
+        if added
+        else f"cast(NULL AS {schemas.PAGE_OFFER}) AS _added",
         f"{html.without_comments_and_code(body)} AS _clean",
         f"{html.ld_json_scripts(body)} AS _scripts",
     )
@@ -292,16 +305,16 @@ def extract_product(pages: DataFrame) -> DataFrame:
     priced_text = f"coalesce(_priced_content, {html.text_content('_priced_markup')})"
     facts = picked.withColumn("_ld", jsonld.product_facts(F.col("_scripts"))).selectExpr(
         *state,
-        f"coalesce({_text_of('_name_h1')}, {_text_of('_first_h1')},"
+        f"coalesce(_added.name, {_text_of('_name_h1')}, {_text_of('_first_h1')},"
         f" nullif({text.normalize(_content_of('_og_title'))}, '0'), {_text_of('_title')}, _ld.name) AS _name",
-        f"coalesce({text.scalar_price(_content_of('_meta_price'))}, {text.scalar_price(priced_text)},"
+        f"coalesce(_added.price, {text.scalar_price(_content_of('_meta_price'))}, {text.scalar_price(priced_text)},"
         f" {text.first_of(f'transform(_ld.prices, n -> {text.scalar_price("n")})')}) AS _price",
         f"coalesce(_ld.internal_product_id, {urls.magnit_product_id('page_url')}) AS _id",
         "_ld.manufacturer_code AS _maker",
     )
     return facts.selectExpr(
         *_PAGE,
-        f"array({_offer('0', '_name', '_price', product_id='_id', maker_code='_maker')}) AS offers",
+        f"array(coalesce(_added, {_offer('0', '_name', '_price', product_id='_id', maker_code='_maker')})) AS offers",
         _reject(
             ("rule IS NULL", "route", "'no rule for this product URL'"),
             (f"NOT {_LOADED}", "http", _HTTP_REASON),

@@ -74,12 +74,20 @@ def is_change(last_price: Column, last_stock: Column, price: Column, stock: Colu
     return last_price.isNull() | price_changed(last_price, price) | (last_stock != stock)
 
 
+def order_key(order: list[str]) -> Column:
+    """The order columns as one value."""
+    return F.struct(*[F.col(name).alias(_FIELD.format(n)) for n, name in enumerate(order)])
+
+
 def last_written(prices: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Last written price, stock and time per key; pre-aggregates before the shuffle."""
+    """Last written price, stock and time per key, and its whole order key as ``last_seen``.
+
+    A load replaces ``last_seen`` by that of the last row it observed, written or not. Prices and
+    stock settle rows of one order key, as in the fold.
+    """
     order = order or ["parsed_at"]
-    newest = F.max_by(
-        F.struct("price", "is_in_stock", "parsed_at"), F.struct(*[F.col(c) for c in order])
-    )
+    position = order_key(order)
+    newest = F.max(F.struct(position.alias("position"), "price", "is_in_stock", "parsed_at"))
     return (
         prices.groupBy(*keys)
         .agg(newest.alias("_newest"))
@@ -88,10 +96,28 @@ def last_written(prices: DataFrame, keys: list[str], order: list[str] | None = N
             F.col("_newest.price").alias("last_price"),
             F.col("_newest.is_in_stock").alias("last_stock"),
             F.col("_newest.parsed_at").alias("last_parsed_at"),
+            F.col("_newest.position").alias("last_seen"),
         )
     )
 
 
+def is_late(order: list[str]) -> Column:
+    """Does an observation not come strictly behind the last one seen of its key (``last_seen``)?
+
+    The two are compared field by field, so that stored and new order columns may differ in name.
+    """
+    behind, equal = F.lit(False), F.lit(True)
+    for n, name in enumerate(order):
+        seen = F.col("last_seen")[_FIELD.format(n)]
+        known, before = F.coalesce(F.col(name) > seen, F.col(name).isNotNull() & seen.isNull()), equal
+        behind = behind | (before & known)
+        equal = before & F.col(name).eqNullSafe(seen)
+    return F.col("last_seen").isNotNull() & ~behind
+
+
+_FIELD = "o{}"
+
+
 def _counts(from_cents: np.ndarray, to_cents: np.ndarray) -> np.ndarray:
     return np.abs(from_cents / 100.0 - to_cents / 100.0) > fixed.PRICE_STEP
 
@@ -233,8 +259,8 @@ def change_history(
 
     ``observations`` need ``keys``, ``price`` decimal(10,2), ``is_in_stock`` and the ``order``
     columns (first of them the time). ``last`` is the output of ``last_written`` for what is stored
-    already; observations not later than a key's last written row are skipped, so loading a batch a
-    second time writes nothing.
+    already. Rows that do not come strictly behind the last one seen of their key are left out:
+    they change what follows them, so ``plans.store`` folds such keys again from all stored rows.
     """
     order = order or ORDER
     names = observations.columns
@@ -243,9 +269,7 @@ def change_history(
     sent = [name for name in names if name != "price"] + ["_cents"]
     in_cents = usable.withColumn("_cents", (F.col("price") * 100).cast("long"))
     if last is not None:
-        in_cents = in_cents.join(last, keys, "left").where(
-            F.col("last_parsed_at").isNull() | (F.col(order[0]) > F.col("last_parsed_at"))
-        )
+        in_cents = in_cents.join(last, keys, "left").where(~is_late(order))
         in_cents = in_cents.withColumn("_last_cents", (F.col("last_price") * 100).cast("long"))
         sent += ["_last_cents", "last_stock"]
     prepared = in_cents.select(*sent)

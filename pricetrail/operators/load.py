@@ -7,6 +7,7 @@ a key with a third of all rows sends one row per input partition.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricetrail.operators.history import order_key
 from pricetrail.operators.routing import RULES, Rule, of_rule
 
 OFFER_ORDER = ["observed_at", "page_url", "position"]
@@ -92,19 +93,21 @@ def with_identity(offers: DataFrame, products: DataFrame | None = None, page_url
 
 
 def newest_offers(offers: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Newest offer per product, and when the product was first seen in this load."""
+    """Newest offer per product with its order key, and when the product was first seen in this load."""
     order = order or OFFER_ORDER
     attributes = ["name", "manufacturer_code", "url", order[0]]
-    position = F.struct(*order)
+    position = order_key(order)
     return (
         offers.groupBy(*PRODUCT_KEY)
         .agg(
-            F.max_by(F.struct(*attributes), position).alias("_newest"),
+            # Offers of one order key are settled by their attributes, so that no cut into loads matters.
+            F.max(F.struct(position.alias("position"), *attributes)).alias("_newest"),
             F.min(order[0]).alias("first_seen"),
         )
         .selectExpr(
             *PRODUCT_KEY,
             "first_seen",
+            "_newest.position AS newest_order",
             *[f"_newest.{name} AS {name}" for name in attributes if name != order[0]],
             f"_newest.{order[0]} AS last_seen",
         )
@@ -116,11 +119,13 @@ def upsert_products(
 ) -> DataFrame:
     """Products after the load, with ``created`` for those that had no row before.
 
-    The newest offer overwrites all attributes, nulls too; the id stays what the key says.
+    The newest offer overwrites all attributes, nulls too; the id stays what the key says. Newest is
+    by the whole order key, which stays with the product: an older offer of a later load changes
+    nothing but ``created_at``, and of one order key the greater attributes stay.
     """
     newest = newest_offers(offers, order)
     key_id = "CASE WHEN startswith(product_key, 'id:') THEN substring(product_key, 4) END"
-    columns = ["id", *PRODUCT_KEY, "name", "internal_product_id", "manufacturer_code", "url", "created_at", "updated_at"]
+    columns = ["id", *PRODUCT_KEY, "name", "internal_product_id", "manufacturer_code", "url", "created_at", "updated_at", "newest_order"]
     fresh = newest.selectExpr(
         "xxhash64(shop_id, product_key) AS id",
         *PRODUCT_KEY,
@@ -130,23 +135,31 @@ def upsert_products(
         "url",
         "first_seen AS created_at",
         "last_seen AS updated_at",
+        "newest_order",
     )
     if products is None:
         return fresh.withColumn("created", F.lit(True))
+    if "newest_order" not in products.columns:
+        kind = fresh.schema["newest_order"].dataType
+        products = products.withColumn("newest_order", F.lit(None).cast(kind))
     before, after = products.select(columns).alias("b"), fresh.alias("a")
     joined = before.join(
         after,
         (F.col("b.shop_id") == F.col("a.shop_id")) & (F.col("b.product_key") == F.col("a.product_key")),
         "full_outer",
     )
-    touched = "a.product_key IS NOT NULL"
+    later = " > ".join(
+        f"named_struct('o', {side}.newest_order, 'n', {side}.name, 'm', {side}.manufacturer_code, 'u', {side}.url)"
+        for side in "ab"
+    )
+    touched = f"a.product_key IS NOT NULL AND (b.newest_order IS NULL OR {later})"
     merged = [
         f"CASE WHEN {touched} THEN a.{name} ELSE b.{name} END AS {name}"
         for name in columns
         if name != "created_at"
     ]
     return joined.selectExpr(
-        *merged, "coalesce(b.created_at, a.created_at) AS created_at", "b.product_key IS NULL AS created"
+        *merged, "least(b.created_at, a.created_at) AS created_at", "b.product_key IS NULL AS created"
     ).select(*columns, "created")
 
 
@@ -187,7 +200,7 @@ def load_counters(
 def price_rows(written: DataFrame, time: str = "observed_at") -> DataFrame:
     """Written observations in the columns of the stored price table."""
     return written.selectExpr(
-        "xxhash64(product_id, observed_at, page_url, position) AS id",
+        "row_id AS id" if "row_id" in written.columns else "xxhash64(product_id, observed_at, page_url, position, price, is_in_stock) AS id",
         "product_id",
         "price",
         "is_in_stock",

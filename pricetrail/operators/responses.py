@@ -53,16 +53,18 @@ def logged(responses: DataFrame) -> DataFrame:
 
 
 def first_matching(responses: DataFrame, url_part: str = fixed.CAPTURE_URL_PART) -> DataFrame:
-    """First response per page whose URL holds ``url_part``; reduced before the shuffle."""
-    return (
-        responses.where(F.col("url").contains(url_part))
-        .groupBy(*PAGE)
-        .agg(
-            F.min_by(
-                F.struct("seq", "url", "status", "content_type", "body"), F.struct("seq", "url")
-            ).alias("matched")
-        )
-    )
+    """First response per page whose URL holds ``url_part``.
+
+    The place of the first one is a hash aggregate over fixed-width values; bodies are met again only
+    by the join for that one row. Where a page has several responses of one place, the least by URL
+    counts, chosen among those few rows.
+    """
+    fitting = responses.where(F.col("url").contains(url_part))
+    place = F.coalesce(F.col("seq"), F.lit(-1))
+    first = fitting.select(*PAGE, place.alias("_seq")).groupBy(*PAGE).agg(F.min("_seq").alias("_seq"))
+    rows = fitting.withColumn("_seq", place).join(first, [*PAGE, "_seq"])
+    whole = F.struct("seq", "url", "status", "content_type", "body")
+    return rows.groupBy(*PAGE).agg(F.min_by(whole, "url").alias("matched"))
 
 
 def capture(pages: DataFrame, responses: DataFrame) -> DataFrame:
@@ -98,10 +100,19 @@ def with_payload(captured: DataFrame) -> DataFrame:
     )
 
 
+def _is_captured(capture_rules: list[Rule]) -> str:
+    names = ", ".join(quoted(rule.name) for rule in capture_rules)
+    return f"coalesce({matching_rule('page_url', capture_rules)} IN ({names}), false)"
+
+
+def captured_pages(pages: DataFrame, responses: DataFrame, capture_rules: list[Rule]) -> DataFrame:
+    """The pages of capture rules, judged by their responses."""
+    return capture(pages.where(_is_captured(capture_rules)), responses)
+
+
 def catalog_payloads(pages: DataFrame, responses: DataFrame, capture_rules: list[Rule]) -> DataFrame:
     """All catalogue pages ready for extraction; only pages of capture rules take part in the join."""
-    names = ", ".join(quoted(rule.name) for rule in capture_rules)
-    is_captured = f"coalesce({matching_rule('page_url', capture_rules)} IN ({names}), false)"
+    is_captured = _is_captured(capture_rules)
     plain = pages.where(f"NOT {is_captured}").selectExpr(
         "page_url", "fetched_at", "http_status", "content_type", "body", "cast(NULL AS string) AS capture_reject"
     )

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetrail.operators import extract, load
-from pricetrail.operators.history import ORDER, change_history, last_written
-from pricetrail.operators.responses import catalog_payloads
+from pricetrail.operators.history import ORDER
+from pricetrail.operators.responses import captured_pages, catalog_payloads, diagnostics
 from pricetrail.operators.routing import CATALOG_RULES, Rule
+from pricetrail.plans import store
+from pricetrail.session import scratch
 from pricetrail.sources import tables
 
 CAPTURE_RULES = [rule for rule in CATALOG_RULES if rule.name == "pyaterochka_catalog"]
@@ -19,35 +21,59 @@ def load_snapshots(
     spark: SparkSession,
     pages: DataFrame,
     root: str,
-    version: int,
     kind: str = "catalog",
     responses: DataFrame | None = None,
     drop_copies: bool = False,
     more_rules: list[Rule] | None = None,
     more_offers: dict[str, str] | None = None,
-) -> None:
-    """Load pages as version ``version`` on top of ``version - 1``.
+    source: str = "batch",
+    batch: int | None = None,
+) -> int:
+    """Load pages behind the newest committed version of the store at ``root``; returns the version.
 
     Extraction is written once and read by every later step: pages are parsed a single time, and a
-    lost executor costs a re-read, not a re-parse. A repeated load of the same version writes the
-    same tables again; the same pages in a later version write no price rows. ``drop_copies`` keeps
+    lost executor costs a re-read, not a re-parse. The commit comes last: a load that fails leaves
+    nothing readers see, and the next one writes the same version again. A load whose ``source`` and
+    ``batch`` number are committed already is not repeated; pages loaded again as something new add
+    no products and no prices. Product pages and catalogues share one store. ``drop_copies`` keeps
     one of several snapshots with equal URL and time; ``more_rules`` and ``more_offers`` add shops.
     """
-    before = version - 1
-    if responses is not None:
+    done = store.commits(spark, root)
+    for earlier in done:
+        if batch is not None and (earlier.source, earlier.batch) == (source, batch):
+            return earlier.version
+    before = done[-1].version if done else -1
+    version = before + 1
+    with scratch(spark):
+        _load(spark, pages, root, version, before, done, kind, responses, drop_copies, more_rules, more_offers)
+        retracts = store.fold(spark, root, version, "offers", ["product_id"], ORDER, done)
+        offers = tables.read_version(spark, root, "offers", version)
+        products = tables.read_version(spark, root, "products", before)
+        written = tables.read_version(spark, root, "written", version)
+        _side_by_side(
+            lambda: tables.write_prices(load.price_rows(written), root, version),
+            lambda: tables.write_version(load.load_counters(offers, written, products), root, "counters", version),
+        )
+    store.commit(spark, root, version, source, batch, retracts)
+    return version
+
+
+def _load(spark, pages, root, version, before, done, kind, responses, drop_copies, more_rules, more_offers) -> None:
+    """Everything up to identified offers and upserted products."""
+    if responses is not None and kind == "catalog":
+        captured = captured_pages(pages, responses, CAPTURE_RULES)
+        tables.write_version(diagnostics(captured, responses), root, "diagnostics", version)
         pages = catalog_payloads(pages, responses, CAPTURE_RULES)
     if kind == "catalog":
         extracted = extract.extract_catalog(pages, more_rules, more_offers)
     else:
-        extracted = extract.extract_product(pages)
+        extracted = extract.extract_product(pages, more_rules, more_offers)
     if drop_copies:
         extracted = without_copies(extracted)
     tables.write_version(extracted, root, "extracted", version)
     extracted = tables.read_version(spark, root, "extracted", version)
-
     shops = tables.read_version(spark, root, "shops", before)
     products = tables.read_version(spark, root, "products", before)
-    last = tables.read_version(spark, root, "last_prices", before)
 
     def write(name: str, make: Callable[[], DataFrame]) -> Callable[[], None]:
         return lambda: tables.write_version(make(), root, name, version)
@@ -58,16 +84,7 @@ def load_snapshots(
         write("offers", lambda: load.with_identity(extract.offers(extracted), products)),
     )
     offers = tables.read_version(spark, root, "offers", version)
-    _side_by_side(
-        write("products", lambda: load.upsert_products(offers, products)),
-        write("written", lambda: change_history(offers, ["product_id"], ORDER, last)),
-    )
-    written = tables.read_version(spark, root, "written", version)
-    _side_by_side(
-        lambda: tables.write_prices(load.price_rows(written), root, version),
-        write("counters", lambda: load.load_counters(offers, written, products)),
-        write("last_prices", lambda: last_prices(written, last)),
-    )
+    tables.write_version(load.upsert_products(offers, products), root, "products", version)
 
 
 def _side_by_side(*writes: Callable[[], None]) -> None:
@@ -83,16 +100,3 @@ def without_copies(extracted: DataFrame) -> DataFrame:
     rest = ["stage", "reason", "rule", "shop_base_url", "offers"]
     one = extracted.groupBy("page_url", "fetched_at").agg(F.min(F.struct(*rest)).alias("_one"))
     return one.select("page_url", "fetched_at", "_one.*").select(extracted.columns)
-
-
-def last_prices(
-    written: DataFrame, last: DataFrame | None, keys: list[str] | None = None, order: list[str] | None = None
-) -> DataFrame:
-    """Last written row per product after the load: one row per product, so no load scans the history."""
-    keys, order = keys or ["product_id"], order or ORDER
-    rows = written.select(*keys, "price", "is_in_stock", F.col(order[0]).alias("parsed_at"), *order[1:])
-    newest = last_written(rows, keys, ["parsed_at", *order[1:]])
-    if last is None:
-        return newest
-    kept = last.join(newest.select(*keys), keys, "left_anti")
-    return kept.unionByName(newest)

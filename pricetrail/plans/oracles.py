@@ -49,7 +49,7 @@ SELECT event_id,
     OR abs(CAST(CAST(1 + (event_id % 400) * 0.01 AS DECIMAL(10,2)) AS DOUBLE)
          - CAST(CAST(1 + (event_id % 400 + user_id % 3) * 0.01 AS DECIMAL(10,2)) AS DOUBLE)) > 0.01 AS changes
 FROM events"""
-ORACLES["change_history_in_two_loads"] = _event_history(_PLAIN_PRICE)
+ORACLES["change_history_in_two_loads"] = _event_history(_STEP_PRICE)
 ORACLES["latest_price_after_history"] = f"""
 SELECT * FROM ({_event_history(_PLAIN_PRICE)})
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY observed_at DESC) = 1"""
@@ -58,11 +58,9 @@ _SHOP_OF_EVENT = """CASE user_id % 3 WHEN 0 THEN 'https://magnit.ru' WHEN 1 THEN
   ELSE 'https://www.perekrestok.ru' END"""
 _PAGE_EVENTS = f"""
 SELECT {_SHOP_OF_EVENT} AS shop_base_url, 'id:' || user_id AS product_key, ts AS observed_at,
-  'Товар ' || user_id AS name, CAST(value AS DECIMAL(10,2)) AS price,
+  'Товар ' || user_id AS name, {_STEP_PRICE} AS price,
   event_type <> 'error' OR user_id % 3 = 0 AS is_in_stock
-FROM events
--- The third shop's links are offers only with a price above zero.
-WHERE user_id % 3 <> 2 OR CAST(value AS DECIMAL(10,2)) > 0"""
+FROM events"""
 ORACLES["pages_to_history"] = f"""
 WITH RECURSIVE {_fold(_PAGE_EVENTS, "shop_base_url, product_key", "observed_at")}
 SELECT shop_base_url, product_key, observed_at, name, CAST(price AS DOUBLE) AS price, is_in_stock FROM written"""
@@ -247,9 +245,9 @@ SELECT 'https://5ka.ru' AS shop_base_url, CAST(seq AS VARCHAR) AS internal_produ
 FROM ({_CAPTURED}) WHERE seq IS NOT NULL AND event_type = 'view'"""
 
 ORACLES["shops_created"] = """
-SELECT CASE user_id % 3 WHEN 0 THEN 'Магнит' WHEN 1 THEN 'Пятёрочка' ELSE 'Перекрёсток' END AS name,
+SELECT CASE user_id % 3 WHEN 0 THEN 'stored name' WHEN 1 THEN 'Пятёрочка' ELSE 'Перекрёсток' END AS name,
   CASE user_id % 3 WHEN 0 THEN 'https://magnit.ru' WHEN 1 THEN 'https://5ka.ru' ELSE 'https://www.perekrestok.ru' END AS base_url,
-  CASE user_id % 3 WHEN 0 THEN 'magnit_catalog' WHEN 1 THEN 'pyaterochka_catalog' ELSE 'perekrestok_catalog' END AS product_parser,
+  CASE user_id % 3 WHEN 0 THEN 'stored rule' WHEN 1 THEN 'pyaterochka_catalog' ELSE 'perekrestok_catalog' END AS product_parser,
   min(ts) AS created_at
 FROM events GROUP BY ALL"""
 
@@ -302,7 +300,7 @@ SELECT coalesce(n.shop_id, o.shop_id) AS shop_id, coalesce(n.product_key, o.prod
 FROM first_load o FULL JOIN second_load n ON o.shop_id = n.shop_id AND o.product_key = n.product_key"""
 
 ORACLES["load_counters"] = f"""
-WITH RECURSIVE {_ID_CTES},
+WITH RECURSIVE {_ID_CTES.replace("1999-01-01", "2999-01-01")},
 {_fold("SELECT * FROM early_keyed", "shop_id, product_key", "observed_at, page_url, position")},
 flags AS (
   SELECT page_url, observed_at, 1 AS found, CASE WHEN rn = 1 THEN 1 ELSE 0 END AS created, 0 AS history FROM o
@@ -396,5 +394,27 @@ SELECT CASE shop_base_url WHEN 'https://magnit.ru' THEN 'Магнит' WHEN 'htt
 FROM written"""
 ORACLES["snapshots_loaded_in_two_versions"] = _LOADED
 ORACLES["streamed_load"] = _LOADED
+ORACLES["loads_in_any_order"] = _LOADED
+ORACLES["loaded_products"] = f"""
+SELECT CASE shop_base_url WHEN 'https://magnit.ru' THEN 'Магнит' WHEN 'https://5ka.ru' THEN 'Пятёрочка'
+    ELSE 'Перекрёсток' END AS shop_name,
+  product_key, min(observed_at) AS created_at, max(observed_at) AS updated_at
+FROM ({_PAGE_EVENTS}) GROUP BY ALL"""
+_BOTH_KINDS = f"""
+SELECT *, '' AS page_url FROM ({_PAGE_EVENTS})
+UNION ALL
+SELECT 'https://magnit.ru', 'id:' || internal_product_id, TIMESTAMP '2024-03-01 00:00:00', name,
+  CAST(price AS DECIMAL(10,2)), true, 'https://magnit.ru/product/' || p_partkey || '/?shopCode=1'
+FROM ({ORACLES["magnit_product_offers"].replace("SELECT 'https", "SELECT p_partkey, 'https", 1)})"""
+ORACLES["product_and_catalog_streams_in_one_store"] = f"""
+WITH RECURSIVE {_fold(_BOTH_KINDS, "shop_base_url, product_key", "observed_at, page_url")},
+names AS (
+  SELECT shop_base_url, product_key, name FROM src
+  QUALIFY row_number() OVER (PARTITION BY shop_base_url, product_key ORDER BY observed_at DESC, page_url DESC) = 1)
+SELECT CASE w.shop_base_url WHEN 'https://magnit.ru' THEN 'Магнит' WHEN 'https://5ka.ru' THEN 'Пятёрочка'
+    ELSE 'Перекрёсток' END AS shop_name,
+  w.product_key, n.name, observed_at AS parsed_at, CAST(price AS DOUBLE) AS price, is_in_stock
+FROM written w JOIN names n ON w.shop_base_url = n.shop_base_url AND w.product_key = n.product_key"""
+ORACLES["snapshots_read_back"] = ORACLES["magnit_catalog_offers"]
 ORACLES["streamed_offers"] = ORACLES["magnit_product_offers"]
 ORACLES["streamed_history"] = ORACLES["change_history_one_cent_steps"]

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pricetrail.functions import html, text, urls
 from pricetrail.operators import analytics, extract, load, relations, responses, routing
 from pricetrail.operators.history import change_history, is_change, last_written
-from pricetrail.plans import shapes
+from pricetrail.plans import shapes, store
 from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
 from pricetrail.plans.shapes import table
 from pricetrail.session import fresh_path, ship_package
-from pricetrail.sources import tables
+from pricetrail.sources import snapshots, tables
 from pricetrail.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,12 +96,12 @@ def change_test(spark, sf_dir):
 
 @query
 def change_history_in_two_loads(spark, sf_dir):
-    """The second load starts from the last written rows and replays part of the first."""
-    seen = shapes.observations(table(spark, sf_dir, "events"))
+    """The second load starts from the last written rows; about half of all rows are no change."""
+    seen = shapes.observations(table(spark, sf_dir, "events"), shapes.THRESHOLD_PRICE)
     first = change_history(seen.where(f"observed_at < '{SPLIT_TIME}'"), ["user_id"], ["observed_at"])
     stored = first.withColumnRenamed("observed_at", "parsed_at")
     second = change_history(
-        seen.where("observed_at >= '2024-01-10 00:00:00'"),
+        seen.where(f"observed_at >= '{SPLIT_TIME}'"),
         ["user_id"],
         ["observed_at"],
         last_written(stored, ["user_id"]),
@@ -392,7 +392,9 @@ def captured_offers(spark, sf_dir):
 def shops_created(spark, sf_dir):
     """Shops of routed pages; one shop is stored already and stays as it is."""
     routed = routing.route(shapes.event_pages(table(spark, sf_dir, "events")), "catalog")
-    stored = load.new_shops(routed.where("rule = 'magnit_catalog'"))
+    stored = load.new_shops(routed.where("rule = 'magnit_catalog'")).withColumns(
+        {"name": F.lit("stored name"), "parser_config": F.create_map(F.lit("product_parser"), F.lit("stored rule"))}
+    )
     return load.get_or_create_shops(routed, stored).selectExpr(
         "name", "base_url", "parser_config['product_parser'] AS product_parser", *_plain_time("created_at")
     )
@@ -425,8 +427,8 @@ def products_upserted(spark, sf_dir):
 
 @query
 def load_counters(spark, sf_dir):
-    early, _ = _line_loads(spark, sf_dir)
-    offers = _kept(load.with_identity(early), "offers")
+    early, late = _line_loads(spark, sf_dir)
+    offers = _kept(load.with_identity(early.unionByName(late)), "offers")
     written = change_history(offers, load.PRODUCT_KEY)
     return load.load_counters(offers, written).selectExpr(
         "page_url", *_plain_time("observed_at"), "offers_found", "products_created", "history_rows"
@@ -572,17 +574,22 @@ def price_validity(spark, sf_dir):
 # --- whole loads and streams -----------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file as a stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def _stream(spark: SparkSession, sf_dir: str, name: str, files: int = 3) -> DataFrame:
+    """A table as a stream of files, in micro-batches of one file each; the first file comes twice.
+
+    Rows are dealt to the files by hash, so that their times interleave.
+    """
+    rows = table(spark, sf_dir, name)
+    path = fresh_path(spark, f"{name}-files")
+    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(rows.columns[0]), F.lit(files)))
+    for number in [*range(files), 0]:
+        dealt.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _loaded_out(spark: SparkSession, root: str, version: int) -> DataFrame:
-    products = tables.read_version(spark, root, "products", version)
-    shops = tables.read_version(spark, root, "shops", version)
-    named = relations.products_with_shop(products, shops)
-    return relations.products_with_prices(named, tables.read_prices(spark, root, version)).selectExpr(
+def _loaded_out(spark: SparkSession, root: str) -> DataFrame:
+    named = relations.products_with_shop(store.read(spark, root, "products"), store.read(spark, root, "shops"))
+    return relations.products_with_prices(named, store.read_prices(spark, root)).selectExpr(
         "shop_name", "product_key", "name", *_plain_time("parsed_at"), *_double("price"), "is_in_stock"
     )
 
@@ -592,9 +599,43 @@ def snapshots_loaded_in_two_versions(spark, sf_dir):
     """Whole loads: the second one overlaps the first and adds only what is new."""
     pages = shapes.event_pages(table(spark, sf_dir, "events"))
     root = fresh_path(spark, "load")
-    load_snapshots(spark, pages.where(f"fetched_at < '{SPLIT_TIME}'"), root, 0)
-    load_snapshots(spark, pages.where("fetched_at >= '2024-01-10 00:00:00'"), root, 1)
-    return _loaded_out(spark, root, 1)
+    load_snapshots(spark, pages.where(f"fetched_at < '{SPLIT_TIME}'"), root)
+    load_snapshots(spark, pages.where("fetched_at >= '2024-01-10 00:00:00'"), root)
+    return _loaded_out(spark, root)
+
+
+def _three_loads(spark: SparkSession, sf_dir: str) -> str:
+    """Loads whose times interleave, the first one repeated at the end."""
+    pages = shapes.event_pages(table(spark, sf_dir, "events"))
+    root = fresh_path(spark, "load")
+    for part in (0, 1, 2, 0):
+        load_snapshots(spark, pages.where(F.pmod(F.hash("page_url", "fetched_at"), F.lit(3)) == part), root)
+    return root
+
+
+@query
+def loads_in_any_order(spark, sf_dir):
+    """The history is the same however the pages were cut into loads."""
+    return _loaded_out(spark, _three_loads(spark, sf_dir))
+
+
+@query
+def loaded_products(spark, sf_dir):
+    """First and last time of every product over loads whose times interleave."""
+    root = _three_loads(spark, sf_dir)
+    named = relations.products_with_shop(store.read(spark, root, "products"), store.read(spark, root, "shops"))
+    return named.selectExpr("shop_name", "product_key", *_plain_time("created_at", "updated_at"))
+
+
+@query
+def snapshots_read_back(spark, sf_dir):
+    """Pages written as JSON lines and as parquet, read by the snapshot reader, and extracted."""
+    pages = shapes.magnit_catalog_pages(table(spark, sf_dir, "part"))
+    path = fresh_path(spark, "snapshots")
+    pages.where("length(page_url) % 2 = 0").write.json(f"{path}/json")
+    pages.where("length(page_url) % 2 = 1").write.parquet(f"{path}/parquet")
+    read = snapshots.read_snapshots(spark, f"{path}/json", "json").unionByName(snapshots.read_snapshots(spark, f"{path}/parquet"))
+    return _offers_out(extract.offers(extract.extract_catalog(read)))
 
 
 @query
@@ -610,7 +651,7 @@ def streamed_history(spark, sf_dir):
     seen = shapes.observations(_stream(spark, sf_dir, "events"), shapes.THRESHOLD_PRICE)
     root = fresh_path(spark, "streamed-history")
     jobs.stream_history(seen, ["user_id"], ["observed_at"], root, f"{root}/checkpoint").awaitTermination()
-    return _history_out(jobs.all_versions(spark, root, "written"))
+    return _history_out(store.read_written(spark, root))
 
 
 @query
@@ -618,4 +659,15 @@ def streamed_load(spark, sf_dir):
     pages = shapes.event_pages(_stream(spark, sf_dir, "events"))
     root = fresh_path(spark, "streamed-load")
     jobs.stream_load(pages, root, f"{root}/checkpoint").awaitTermination()
-    return _loaded_out(spark, root, 0)
+    return _loaded_out(spark, root)
+
+
+@query
+def product_and_catalog_streams_in_one_store(spark, sf_dir):
+    """Two streams with checkpoints of their own fill one store."""
+    root = fresh_path(spark, "one-store")
+    catalogs = shapes.event_pages(_stream(spark, sf_dir, "events"))
+    jobs.stream_load(catalogs, root, f"{root}/checkpoint-catalog").awaitTermination()
+    pages = shapes.magnit_product_pages(_stream(spark, sf_dir, "part", 2))
+    jobs.stream_load(pages, root, f"{root}/checkpoint-product", "product").awaitTermination()
+    return _loaded_out(spark, root)

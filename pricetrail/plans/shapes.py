@@ -188,8 +188,11 @@ def magnit_product_pages(part: DataFrame) -> DataFrame:
 
 
 def event_pages(events: DataFrame) -> DataFrame:
-    """One catalogue page with one product per event, over the three shops."""
-    price = "format_string('%.2f', value)"
+    """One catalogue page with one product per event, over the three shops, in one-cent price steps.
+
+    The steps leave about half of the offers without a change, so that what a load doesn't write shows too.
+    """
+    price = f"format_string('%.2f', cast({THRESHOLD_PRICE} AS double))"
     sold_out = "event_type = 'error'"
     return spread(events, "event_id").selectExpr(
         "CASE user_id % 3 WHEN 0 THEN concat('https://magnit.ru/catalog/', user_id, '-x')"

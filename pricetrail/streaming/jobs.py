@@ -1,19 +1,21 @@
 """Streams over page snapshots and observations.
 
 Extraction is stateless and row-local, so it is the batch code on a stream. What depends on stored
-rows runs per micro-batch on the batch operators: version N of the tables comes from micro-batch N
-and version N-1, so a replayed micro-batch writes the same version again. The change test runs as
+rows runs per micro-batch on the batch operators and ends with a commit: a replayed micro-batch is
+known by its query and number and not loaded twice. The change test runs as
 the split batch fold instead of keyed state, because keyed state puts all of a hot product's rows
 into one task.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetrail.operators import extract
-from pricetrail.operators.history import change_history
-from pricetrail.plans.batch import last_prices, load_snapshots
+from pricetrail.operators.routing import Rule
+from pricetrail.plans import store
+from pricetrail.plans.batch import load_snapshots
+from pricetrail.session import scratch
 from pricetrail.sources import tables
 
 
@@ -51,41 +53,57 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def stream_history(
-    observations: DataFrame, keys: list[str], order: list[str], root: str, checkpoint: str
-) -> StreamingQuery:
-    """Change-only history of an observation stream; tables ``written`` and ``last_prices`` by version."""
-    spark = observations.sparkSession
+def _query_id(rows: DataFrame, checkpoint: str) -> str:
+    """The running stream's id: kept in its checkpoint, so a restart has it again and a new checkpoint a new one."""
+    return rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
 
-    def load(batch: DataFrame, version: int) -> None:
-        last = tables.read_version(spark, root, "last_prices", version - 1)
-        tables.write_version(change_history(batch, keys, order, last), root, "written", version)
-        written = tables.read_version(spark, root, "written", version)
-        tables.write_version(last_prices(written, last, keys, order), root, "last_prices", version)
 
+def _per_batch(rows: DataFrame, load, checkpoint: str) -> StreamingQuery:
     return (
-        observations.writeStream.foreachBatch(load)
+        rows.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def stream_load(pages: DataFrame, root: str, checkpoint: str, kind: str = "catalog") -> StreamingQuery:
-    """Load a snapshot stream into shops, products and prices: scheduled refresh with ``availableNow``."""
-    spark = pages.sparkSession
+def stream_history(
+    observations: DataFrame, keys: list[str], order: list[str], root: str, checkpoint: str
+) -> StreamingQuery:
+    """Change-only history of an observation stream, as committed versions: see ``plans.store``."""
+    spark = observations.sparkSession
 
-    def load(batch: DataFrame, version: int) -> None:
-        load_snapshots(spark, batch, root, version, kind, drop_copies=True)
+    def load(batch: DataFrame, number: int) -> None:
+        done, source = store.commits(spark, root), _query_id(batch, checkpoint)
+        if any((c.source, c.batch) == (source, number) for c in done):
+            return
+        version = done[-1].version + 1 if done else 0
+        with scratch(spark):
+            tables.write_version(batch, root, "observed", version)
+            retracts = store.fold(spark, root, version, "observed", keys, order, done)
+        store.commit(spark, root, version, source, number, retracts)
+
+    return _per_batch(observations, load, checkpoint)
+
+
+def stream_load(
+    pages: DataFrame,
+    root: str,
+    checkpoint: str,
+    kind: str = "catalog",
+    responses: DataFrame | None = None,
+    more_rules: list[Rule] | None = None,
+    more_offers: dict[str, str] | None = None,
+) -> StreamingQuery:
+    """Load a snapshot stream into shops, products and prices: scheduled refresh with ``availableNow``.
 
-    return (
-        pages.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    ``responses`` is a table of captured responses that holds those of the pages that come. Streams
+    of product pages and of catalogues may take turns on one ``root``.
+    """
+    spark = pages.sparkSession
 
+    def load(batch: DataFrame, number: int) -> None:
+        source = _query_id(batch, checkpoint)
+        load_snapshots(spark, batch, root, kind, responses, True, more_rules, more_offers, source, number)
 
-def all_versions(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Rows of every version of an appended table."""
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{root.rstrip('/')}/{table}")
+    return _per_batch(pages, load, checkpoint)

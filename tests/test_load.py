@@ -6,6 +6,7 @@ from decimal import Decimal
 from pricetrail import schemas
 from pricetrail.operators import load, relations, responses, routing
 from pricetrail.operators.analytics import price_validity
+from pricetrail.plans import store
 from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
 from pricetrail.sources import snapshots, tables
 from pricetrail.streaming import jobs
@@ -25,7 +26,7 @@ def frame(spark, *rows):
 
 def stored_prices(spark, root, version):
     joined = relations.products_with_prices(
-        tables.read_version(spark, root, "products", version), tables.read_prices(spark, root, version)
+        tables.read_version(spark, root, "products", version), store.read_prices(spark, root)
     )
     return sorted((r.internal_product_id, r.parsed_at.hour, r.price) for r in joined.collect())
 
@@ -40,7 +41,7 @@ def test_load_and_replay(spark, tmp_path):
         magnit(2, url="https://example.com/"),
         ("https://www.perekrestok.ru/cat/1", T0, 503, "text/html", ""),
     )
-    load_snapshots(spark, day, root, 0)
+    load_snapshots(spark, day, root)
     expected = [("11", 0, Decimal("10.00")), ("12", 0, Decimal("20.00")), ("12", 1, Decimal("25.00"))]
     assert stored_prices(spark, root, 0) == expected
     # A shop exists even when its page did not load.
@@ -56,9 +57,9 @@ def test_load_and_replay(spark, tmp_path):
     }
     assert counters == {(0, 2, 2, 2), (1, 2, 0, 1)}
 
-    load_snapshots(spark, day, root, 1)
+    load_snapshots(spark, day, root)
     assert stored_prices(spark, root, 1) == expected
-    load_snapshots(spark, frame(spark, magnit(3, ("11", "Чай новый", "9"))), root, 2)
+    load_snapshots(spark, frame(spark, magnit(3, ("11", "Чай новый", "9"))), root)
     assert stored_prices(spark, root, 2) == [expected[0], ("11", 3, Decimal("9.00")), *expected[1:]]
     products = {r.internal_product_id: r for r in tables.read_version(spark, root, "products", 2).collect()}
     assert products["11"].name == "Чай новый" and products["12"].name == "Кофе"
@@ -70,14 +71,14 @@ def test_same_product_twice_in_a_page_is_taken_in_sequence(spark, tmp_path):
         f'{{"plu": 5, "name": "n{p}", "is_available": true, "prices": {{"regular": {p}}}}}' for p in (10, 12, 10)
     )
     page = ("https://5ka.ru/catalog/1/", T0, 200, "application/json", body)
-    load_snapshots(spark, frame(spark, page), str(tmp_path), 0)
+    load_snapshots(spark, frame(spark, page), str(tmp_path))
     assert [p for _, _, p in stored_prices(spark, str(tmp_path), 0)] == [10, 10, 12]
     assert [r.name for r in tables.read_version(spark, str(tmp_path), "products", 0).collect()] == ["n10"]
 
 
 def test_copies_of_a_snapshot_count_once(spark, tmp_path):
     page = magnit(0, ("11", "Чай", "10"))
-    load_snapshots(spark, frame(spark, *[page] * 50), str(tmp_path), 0, drop_copies=True)
+    load_snapshots(spark, frame(spark, *[page] * 50), str(tmp_path), drop_copies=True)
     counters = tables.read_version(spark, str(tmp_path), "counters", 0).collect()
     assert [(r.offers_found, r.products_created, r.history_rows) for r in counters] == [(1, 1, 1)]
 
@@ -132,7 +133,7 @@ def test_captured_catalogue(spark, tmp_path):
         ],
         schemas.NETWORK_RESPONSES,
     )
-    load_snapshots(spark, pages, str(tmp_path), 0, responses=answers)
+    load_snapshots(spark, pages, str(tmp_path), responses=answers)
     assert [p for _, _, p in stored_prices(spark, str(tmp_path), 0)] == [3, 5]
     reasons = {r.fetched_at.hour: r.reason for r in tables.read_version(spark, str(tmp_path), "rejects", 0).collect()}
     assert reasons == {
@@ -166,7 +167,7 @@ def test_streamed_loads_equal_one_batch_load(spark, tmp_path):
     jobs.stream_load(pages, root, str(tmp_path / "ck")).awaitTermination()
     last = max(int(p.name[1:]) for p in (tmp_path / "tables" / "products").iterdir())
     assert last == 2
-    load_snapshots(spark, frame(spark, *hours), str(tmp_path / "batch"), 0)
+    load_snapshots(spark, frame(spark, *hours), str(tmp_path / "batch"))
     assert stored_prices(spark, root, last) == stored_prices(spark, str(tmp_path / "batch"), 0)
     # New files continue from the stored checkpoint and versions.
     frame(spark, magnit(9, ("12", "Кофе", 21))).coalesce(1).write.mode("append").parquet(folder)
