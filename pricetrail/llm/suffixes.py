@@ -7,7 +7,8 @@ suffix repeats its first CONTEXT bytes. A batch's suffix table holds those begin
 merge-scanned against the levels of the family, and levels of one size merge into one of twice the size.
 
 Sampled suffixes that repeat are then settled exactly. Those whose whole surroundings (all strings of LENGTH bytes that
-choose them) repeat are covered; where surroundings differ, at the ends of passages, each string is compared.
+choose them) repeat are covered. Where surroundings differ, at the ends of passages, they are compared: a few by their
+common ends, many by the hashes of their strings.
 """
 
 import hashlib
@@ -15,6 +16,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ from pricetrail.session import fresh_path
 
 LENGTH, SAMPLE = 200, 100
 CONTEXT = LENGTH - SAMPLE + 1
-BATCHES = 4
+BATCHES = 2
+#: About so many different surroundings of one beginning are compared with each other, in one row; beyond that each
+#: string is hashed, whose groups can be split.
+FEW = 32
 
 
 def samples(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,12 +105,13 @@ class Levels:
 
 
 def bloom(keys: DataFrame, least_bits: int = 10, most_bits: int = 27) -> np.ndarray:
-    """Bits of hashed long keys as 64-bit words: 16 bits a key up to a fixed 16 MB. It only spares rows a shuffle;
-    with more keys more rows pass, and none that is needed is lost."""
+    """Bits of hashed long keys as 64-bit words, two of 32 bits a key up to a fixed 16 MB. It only spares rows a
+    shuffle; with more keys more rows pass, and none that is needed is lost."""
     n = keys.count()
-    bits = min(most_bits, max(least_bits, int(16 * n).bit_length()))
+    bits = min(most_bits, max(least_bits, int(32 * n).bit_length()))
+    both = keys.select(F.explode(F.array("key", F.shiftrightunsigned("key", 32))).alias("key"))
     place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    words = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("b"))
+    words = both.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
@@ -113,8 +119,11 @@ def bloom(keys: DataFrame, least_bits: int = 10, most_bits: int = 27) -> np.ndar
 
 
 def _in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64(len(words) * 64 - 1)
-    return ((words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+    def bit(keys):
+        place = keys & np.uint64(len(words) * 64 - 1)
+        return ((words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+    return bit(keys) & bit(keys >> np.uint64(32))
 
 
 def _marks(ids: np.ndarray, same: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -126,92 +135,154 @@ def _longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _hits(words, marks: bool):
-    """Sampled suffixes that pass the filter, by their key or their mark, with their surroundings' hash."""
+def _sampled(batches, words: list[np.ndarray], by_mark: bool):
+    """Sampled suffixes that pass one of the filters by their key or mark, chunk by chunk: (joined bytes, columns),
+    where columns hold which filters they pass, their row, key, surroundings' hash, mark and places in the bytes."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch, texts in chunks(batches):
+        data, starts, places, text, low, high = samples(texts)
+        ids, same = _longs(batch, "id"), _longs(batch, "same")
+        if by_mark:
+            keys, mark = None, _marks(ids[text], same[text], places - starts[text])
+            passed = [_in(w, mark) for w in words]
+        else:
+            keys, mark = keys_at(data, places), None
+            passed = [_in(w, keys) for w in words]
+        ok = np.logical_or.reduce(passed)
+        passed = [x[ok] for x in passed]
+        places, text, low, high = places[ok], text[ok], low[ok], high[ok]
+        keys = keys_at(data, places) if keys is None else keys[ok]
+        mark = _marks(ids[text], same[text], places - starts[text]) if mark is None else mark[ok]
+        around = [digest(data[a : b + LENGTH], (p - a) << 16 | (b - a)) for a, b, p in zip(low.tolist(), high.tolist(), places.tolist())]
+        around = np.array(around, np.uint64)
+        yield data, passed, ids[text], same[text], keys, around, mark, starts[text], places, low, high
 
-    def run(batches):
-        digest = xxhash.xxh3_64_intdigest
-        for batch, texts in chunks(batches):
-            data, starts, places, text, low, high = samples(texts)
-            ids, same = _longs(batch, "id"), _longs(batch, "same")
-            keys = keys_at(data, places)
-            mark = _marks(ids[text], same[text], places - starts[text])
-            ok = _in(words.value, mark if marks else keys)
-            places, text, keys, mark, low, high = (x[ok] for x in (places, text, keys, mark, low, high))
-            around = [digest(data[a : b + LENGTH], (p - a) << 16 | (b - a)) for a, b, p in zip(low.tolist(), high.tolist(), places.tolist())]
-            yield data, starts, ids, same, text, keys.view(np.int64), np.array(around, np.uint64).view(np.int64), mark.view(np.int64), low, high
 
-    return run
+def _batch(**columns) -> pa.RecordBatch:
+    arrays = [pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
 def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(id, same, spans): for each row with repeated strings the sorted, merged [start, end) bytes they cover."""
+    """(id, same, spans): for each row with repeated strings the sorted [start, end) bytes they cover."""
     spark = docs.sparkSession
     rows = rows_of(docs)
 
     def keys(parts):
-        for batch, texts in chunks(parts):
-            data, _, places, text, *_ = samples(texts)
-            group = _longs(batch, "batch")[text]
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(keys_at(data, places).view(np.int64), pa.int64())], names=["batch", "key"])
-
-    path = fresh_path(spark, "suffix-samples")
-    sampled = rows.select(F.pmod(F.hash("id"), F.lit(batches)).cast("long").alias("batch"), "text")
-    arrow_map(sampled, keys, "batch long, key long").write.partitionBy("batch").parquet(path)
-    sampled = spark.read.schema("key long, batch long").parquet(path)
+        for _, texts in chunks(parts):
+            data, _, places, *_ = samples(texts)
+            yield _batch(key=keys_at(data, places))
+
     family = Levels(spark)
     for number in range(batches):
-        family.insert(sampled.filter(F.col("batch") == number).select("key"))
+        part = rows.filter(F.pmod(F.hash("id"), F.lit(batches)) == number).select("text")
+        family.insert(arrow_map(part, keys, "key long"))
     words = spark.sparkContext.broadcast(bloom(family.repeated()))
     family.close()
 
     def hits(parts):
-        for _, starts, ids, same, text, key, around, mark, low, high in _hits(words, False)(parts):
-            base = starts[text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (ids[text], same[text], key, around, mark, low - base, high - base)],
-                names=["id", "same", "key", "around", "mark", "low", "high"],
-            )
+        for _, _, ids, same, key, around, mark, base, _, low, high in _sampled(parts, [words.value], False):
+            yield _batch(id=ids, same=same, key=key, around=around, mark=mark, low=low - base, high=high - base)
 
     hit = stored(arrow_map(rows, hits, "id long, same long, key long, around long, mark long, low long, high long"), "suffix-hits")
     # A class: suffixes with equal surroundings. Its least mark stands for it.
     classes = stored(hit.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("mark")), "suffix-classes")
-    whole = hit.join(classes.filter("n > 1").select("key", "around"), ["key", "around"]).select(
-        "id", "same", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")
-    )
-    mixed_keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key")
-    unlike = stored(classes.join(mixed_keys, "key").select(F.col("mark").alias("key")), "suffix-unlike")
-    chosen = spark.sparkContext.broadcast(bloom(unlike))
+    kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    unlike = stored(classes.join(kinds, "key").select(F.col("mark").alias("key"), (F.col("kinds") <= FEW).alias("few")), "suffix-unlike")
+    spans = _whole(hit, classes)
+    few, many = (spark.sparkContext.broadcast(bloom(unlike.filter(f).select("key"))) for f in ("few", "NOT few"))
+    spans = spans.union(_compared(rows, few)).union(_by_strings(rows, many)).distinct()
+    return stored(spans.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "suffix-spans")
+
+
+def _whole(hit: DataFrame, classes: DataFrame) -> DataFrame:
+    """Spans of suffixes whose whole surroundings occur again.
+
+    Most are known without a join: those that pass a filter of the classes with one member only. A row's suffixes
+    stand together in ``hit``, so their spans are joined up before they are shuffled.
+    """
+    alone = hit.sparkSession.sparkContext.broadcast(bloom(classes.filter("n = 1").select(F.col("around").alias("key"))))
+
+    def sure(parts):
+        for batch in parts:
+            ok = ~_in(alone.value, _longs(batch, "around").view(np.uint64))
+            ids, same, low, high = (_longs(batch, n)[ok] for n in ("id", "same", "low", "high"))
+            if len(ids):
+                ends = high + LENGTH
+                new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (same[1:] != same[:-1]) | (low[1:] > ends[:-1]) | (low[1:] < low[:-1])])
+                yield _batch(id=ids[new], same=same[new], start=low[new], end=np.maximum.reduceat(ends, new))
+
+    def unsure(parts):
+        for batch in parts:
+            yield batch.filter(pa.array(_in(alone.value, _longs(batch, "around").view(np.uint64))))
+
+    spans = arrow_map(hit.select("id", "same", "around", "low", "high"), sure, "id long, same long, start long, end long")
+    rest = hit.select("id", "same", "key", "around", "low", "high")
+    rest = arrow_map(rest, unsure, "id long, same long, key long, around long, low long, high long")
+    again = rest.join(classes.filter("n > 1").select("key", "around"), ["key", "around"])
+    return spans.union(again.select("id", "same", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")))
+
+
+def _compared(rows: DataFrame, few) -> DataFrame:
+    """Spans of strings that the few different surroundings of one beginning have in common."""
+
+    def surroundings(parts):
+        for data, _, ids, same, key, _, _, base, places, low, high in _sampled(parts, [few.value], True):
+            around = [data[a : b + LENGTH] for a, b in zip(low.tolist(), high.tolist())]
+            yield _batch(id=ids, same=same, key=key, low=low - base, place=places - low, last=high - low, around=pa.array(around, pa.binary()))
+
+    def compare(parts):
+        for batch in parts:
+            out = []
+            for group in batch.column("g").to_pylist():
+                ends = [(int.from_bytes(x["around"][: x["place"]], "big"), int.from_bytes(x["around"][x["place"] :], "little")) for x in group]
+                for i, x in enumerate(group):
+                    for j, y in enumerate(group):
+                        if i != j:
+                            left = min(_equal(ends[i][0] ^ ends[j][0]), x["place"], y["place"])
+                            right = min(_equal(ends[i][1] ^ ends[j][1]), len(x["around"]) - x["place"], len(y["around"]) - y["place"])
+                            first, last = max(0, x["place"] - left), min(x["last"], x["place"] + right - LENGTH)
+                            if first <= last:
+                                out.append((x["id"], x["same"], x["low"] + first, x["low"] + last + LENGTH))
+            if out:
+                yield _batch(**dict(zip(("id", "same", "start", "end"), map(np.array, zip(*sorted(set(out)))))))
+
+    found = arrow_map(rows, surroundings, "id long, same long, key long, low long, place long, last long, around binary")
+    groups = found.groupBy("key").agg(F.collect_list(F.struct("id", "same", "low", "place", "last", "around")).alias("g"))
+    return arrow_map(groups.filter(F.size("g") > 1).select("g"), compare, "id long, same long, start long, end long")
+
+
+def _equal(difference: int) -> int:
+    """Bytes before the first that differ; without a difference more than any text has."""
+    return ((difference & -difference).bit_length() - 1) // 8 if difference else 1 << 40
+
+
+def _by_strings(rows: DataFrame, many) -> DataFrame:
+    """Spans of strings that occur in several of the many different surroundings of one beginning."""
 
     def strings(parts):
         digest = xxhash.xxh3_128_intdigest
-        for data, starts, ids, same, text, key, around, _, low, high in _hits(chosen, True)(parts):
-            many = high - low + 1
-            of = np.repeat(np.arange(len(many)), many)
-            at = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        for data, _, ids, same, key, around, _, base, _, low, high in _sampled(parts, [many.value], True):
+            number = high - low + 1
+            of = np.repeat(np.arange(len(number)), number)
+            at = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
             for s in range(0, len(of), 1 << 16):
                 o, a = of[s : s + (1 << 16)], at[s : s + (1 << 16)]
                 found = [digest(data[p : p + LENGTH]) for p in a.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[text[o]]),
-                        pa.array(same[text[o]]),
-                        pa.array(a - starts[text[o]], pa.int64()),
-                        pa.array(np.array([x >> 64 for x in found], np.uint64).view(np.int64)),
-                        pa.array(np.array([x & (2**64 - 1) for x in found], np.uint64).view(np.int64)),
-                        pa.array(mixed(key[o].view(np.uint64) ^ mixed(around[o].view(np.uint64))).view(np.int64)),
-                    ],
-                    names=["id", "same", "start", "h1", "h2", "kind"],
+                yield _batch(
+                    id=ids[o],
+                    same=same[o],
+                    start=a - base[o],
+                    h1=np.array([x >> 64 for x in found], np.uint64),
+                    h2=np.array([x & (2**64 - 1) for x in found], np.uint64),
+                    kind=mixed(key[o] ^ mixed(around[o])),
                 )
 
     string = stored(arrow_map(rows, strings, "id long, same long, start long, h1 long, h2 long, kind long"), "suffix-strings")
     # The same string in two classes starts at two places; in one class only, it was settled with the class.
-    again = stored(
-        string.groupBy("h1", "h2").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).filter("a <> b").select("h1", "h2"), "suffix-again"
-    )
-    ends = string.join(again, ["h1", "h2"]).select("id", "same", "start", (F.col("start") + LENGTH).alias("end"))
-    spans = whole.union(ends).distinct()
-    return stored(spans.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "suffix-spans")
+    kinds = string.groupBy("h1", "h2").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
+    again = stored(kinds.filter("a <> b").select("h1", "h2"), "suffix-again")
+    return string.join(again, ["h1", "h2"]).select("id", "same", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -231,10 +302,31 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``: what repeats in each row's text, null where nothing does."""
+    """``docs`` with ``_spans``: what repeats in each row's text, null where nothing does. ``text`` is compressed
+    binary, for it goes through a shuffle here."""
     found = repeats(docs).withColumnsRenamed({"id": "_id", "same": "_same", "spans": "_spans"})
-    hit = (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_id")) & (F.xxhash64("text") == F.col("_same"))
-    return docs.join(found, hit, "left").select(*docs.columns, "_spans")
+    marked = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(NULL_ID)), "_s": F.xxhash64("text")})
+    names = [n for n in marked.columns if n != "text"]
+
+    def squeeze(parts):
+        for batch, texts in chunks(parts):
+            pack = zstandard.ZstdCompressor(level=3).compress
+            small = pa.array([None if z else pack(t) for z, t in zip(batch.column("text").is_null().to_pylist(), texts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), small], names=[*names, "text"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "text")
+    small = arrow_map(marked, squeeze, f"{schema}, text binary")
+    hit = (F.col("_i") == F.col("_id")) & (F.col("_s") == F.col("_same"))
+    return small.join(found, hit, "left").select(*docs.columns, "_spans")
+
+
+def _texts(parts):
+    """Batches with their texts again, and those as they were, null or not."""
+    for batch in parts:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            unpack = zstandard.ZstdDecompressor().decompress
+            yield part, [b"" if t is None else unpack(t) for t in part.column("text").to_pylist()]
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -245,7 +337,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch, texts in chunks(batches):
+        for batch, texts in _texts(batches):
             runs = [_merged(s) for s in batch.column("_spans").to_pylist()]
             kept = [_kept(t, r) for t, r in zip(texts, runs)]
             yield pa.RecordBatch.from_arrays(
@@ -268,7 +360,7 @@ def rows_without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what repeats cut from ``text``, whole characters at a time, and ``_lost``: was anything cut."""
 
     def run(batches):
-        for batch, texts in chunks(batches):
+        for batch, texts in _texts(batches):
             out = []
             for was_null, text, spans in zip(batch.column("text").is_null().to_pylist(), texts, batch.column("_spans").to_pylist()):
                 runs = [(_character(text, a, -1), _character(text, b, 1)) for a, b in _merged(spans)]

@@ -28,8 +28,9 @@ def words(rng, n):
     return " ".join("".join(rng.choices("abcdeéß", k=rng.randint(2, 8))) for _ in range(n))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_strings(spark, seed):
+@pytest.mark.parametrize("seed,few", [(1, 32), (2, 2), (3, 0)])
+def test_against_all_strings(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(suffixes, "FEW", few)
     rng = random.Random(seed)
     passages = [words(rng, 1000).encode()[:n].decode(errors="ignore") for n in (199, 200, 201, 202, 260, 300, 450, 900)]
     rows = []
