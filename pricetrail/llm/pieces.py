@@ -1,6 +1,7 @@
 """Pieces of a fixed public vocabulary in a double-array trie, walked for many words at once in numpy."""
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
@@ -150,22 +151,27 @@ def walk(trie: Trie, grid: np.ndarray, lengths: np.ndarray, start: int, longest:
             yield length, rows[hit], found[hit]
 
 
+class _Places(dict):
+    """Keys to their places in first-seen order."""
+
+    def __missing__(self, key):
+        place = self[key] = len(self)
+        return place
+
+
 class Grown:
     """Values of words in first-seen order, each computed once; forgotten when they grow beyond a bound."""
 
     def __init__(self, compute, most: int = 400_000):
-        self.compute, self.most, self.index, self.parts = compute, most, {}, None
+        self.compute, self.most, self.index, self.parts = compute, most, _Places(), None
 
     def codes(self, words: list) -> np.ndarray:
-        """Places of the words in the values; call before ``values``."""
+        """Places of the words in the values, which may have grown by then."""
         if len(self.index) > self.most:
-            self.index, self.parts = {}, None
-        index, known = self.index, len(self.index)
-        put = index.setdefault
-        out = np.fromiter((put(w, len(index)) for w in words), np.int64, len(words))
-        if len(index) > known:
-            from itertools import islice
-
-            new = self.compute(list(islice(index, known, None)))
+            self.index, self.parts = _Places(), None
+        known = len(self.index)
+        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(self.index) > known:
+            new = self.compute(list(islice(self.index, known, None)))
             self.parts = new if self.parts is None else [np.concatenate(x) for x in zip(self.parts, new)]
         return out

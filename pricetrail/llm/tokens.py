@@ -3,6 +3,7 @@
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +40,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.pretokens = Grown(self._merge, 600_000)
         self.first = Grown(lambda units: self._split(units), 50_000)
-        self.later = Grown(lambda units: self._split([" " + u for u in units]), 300_000)
+        self.later = Grown(lambda units: self._split([" " + u for u in units]), 400_000)
 
     def _merge(self, pretokens: list[str]) -> list[np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
-        number = np.array([len(x) for x in ids], np.int64)
-        return [number, np.array([i for x in ids for i in x], np.uint16)]
+        number = np.fromiter(map(len, ids), np.int64, len(ids))
+        return [number, np.fromiter(chain.from_iterable(ids), np.uint16, int(number.sum()))]
 
     def _split(self, units: list[str]) -> list[np.ndarray]:
-        parts = [PRETOKEN.findall(u) for u in units]
-        codes = self.pretokens.codes([p for x in parts for p in x])
+        parts = list(map(PRETOKEN.findall, units))
+        codes = self.pretokens.codes(list(chain.from_iterable(parts)))
         if not len(codes):
             return [np.zeros(len(units), np.int64), np.zeros(0, np.uint16)]
         ids, number = _gathered(self.pretokens, codes)
-        ends = np.cumsum([len(x) for x in parts])
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         run = np.r_[0, np.cumsum(number)]
         return [np.diff(np.r_[0, run[ends]]), ids]
 
@@ -60,7 +61,7 @@ class Encoder:
         """Ids of each whole text."""
         units = [_START.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         first, starts = _gathered(self.first, self.first.codes([u[0] for u in units]))
-        codes = self.later.codes([w for u in units for w in u[1:]])
+        codes = self.later.codes(list(chain.from_iterable(u[1:] for u in units)))
         later, sizes = _gathered(self.later, codes) if len(codes) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
         run = np.r_[0, np.cumsum(sizes)]
         ends = np.cumsum([len(u) - 1 for u in units])
@@ -150,8 +151,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> dict:
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for data in batch.column("ids").to_pylist():
-                total += np.bincount(_unsqueezed(data), minlength=1 << 16)
+            ids = [_unsqueezed(data) for data in batch.column("ids").to_pylist()]
+            total += np.bincount(np.concatenate(ids), minlength=1 << 16) if ids else 0
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
