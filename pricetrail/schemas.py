@@ -30,56 +30,6 @@ PAGE_OFFER = (
     "internal_product_id:string,manufacturer_code:string,is_in_stock:boolean>"
 )
 
-OFFERS = T.StructType(
-    [
-        T.StructField("shop_base_url", T.StringType()),
-        T.StructField("page_url", T.StringType()),
-        T.StructField("observed_at", T.TimestampType()),
-        T.StructField("position", T.IntegerType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("price", T.DecimalType(10, 2)),
-        T.StructField("url", T.StringType()),
-        T.StructField("internal_product_id", T.StringType()),
-        T.StructField("manufacturer_code", T.StringType()),
-        T.StructField("is_in_stock", T.BooleanType()),
-    ]
-)
-
-REJECTS = T.StructType(
-    [
-        T.StructField("page_url", T.StringType()),
-        T.StructField("fetched_at", T.TimestampType()),
-        T.StructField("stage", T.StringType()),
-        T.StructField("reason", T.StringType()),
-    ]
-)
-
-SHOPS = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("base_url", T.StringType()),
-        T.StructField("parser_config", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
-    ]
-)
-
-# product_key is the identity inside a shop: "id:<id>" or "url:<url>"; id is its hash.
-PRODUCTS = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("shop_id", T.LongType()),
-        T.StructField("product_key", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("internal_product_id", T.StringType()),
-        T.StructField("manufacturer_code", T.StringType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
-    ]
-)
-
 PRODUCT_PRICES = T.StructType(
     [
         T.StructField("id", T.LongType()),

@@ -40,8 +40,3 @@ def stream_snapshots(
         .option("maxFilesPerTrigger", max_files)
         .load(path)
     )
-
-
-def loaded(pages: DataFrame) -> DataFrame:
-    """Pages that loaded; the others are rejects of stage ``http``."""
-    return pages.where(F.col("http_status").between(200, 299))

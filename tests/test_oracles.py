@@ -5,8 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
 from check_oracles import TABLES, normalised
+from pricetrail.plans.oracles import ORACLES
+from pricetrail.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="benchmark tables are not here")
@@ -21,12 +22,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    got = contract.queries()[name](spark, SF_DIR).toPandas()
-    want = db.execute(contract.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF_DIR).toPandas()
+    want = db.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normalised(got) == normalised(want)
