@@ -26,9 +26,9 @@ from pricetrail.session import fresh_path
 LENGTH, SAMPLE = 200, 100
 CONTEXT = LENGTH - SAMPLE + 1
 BATCHES = 2
-#: About so many different surroundings of one beginning are compared with each other, in one row; beyond that each
-#: string is hashed, whose groups can be split.
-FEW = 32
+#: About so many different surroundings of one beginning are compared with each other, in one row; beyond that each is
+#: compared with the most frequent one, and the strings that these two don't share are hashed.
+FEW = 512
 
 
 def samples(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,11 +187,14 @@ def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     hit = stored(arrow_map(rows, hits, "id long, same long, key long, around long, mark long, low long, high long"), "suffix-hits")
     # A class: suffixes with equal surroundings. Its least mark stands for it.
     classes = stored(hit.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("mark")), "suffix-classes")
-    kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    unlike = stored(classes.join(kinds, "key").select(F.col("mark").alias("key"), (F.col("kinds") <= FEW).alias("few")), "suffix-unlike")
+    kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "mark")).alias("most")).filter("kinds > 1")
+    few_or_many = classes.join(kinds, "key").select(
+        F.col("mark").alias("key"), (F.col("kinds") <= FEW).alias("few"), (F.col("mark") == F.col("most.mark")).alias("first")
+    )
+    unlike = stored(few_or_many, "suffix-unlike")
     spans = _whole(hit, classes)
     few, many = (spark.sparkContext.broadcast(bloom(unlike.filter(f).select("key"))) for f in ("few", "NOT few"))
-    spans = spans.union(_compared(rows, few)).union(_by_strings(rows, many)).distinct()
+    spans = spans.union(_compared(rows, few)).union(_by_strings(rows, many, unlike.filter("NOT few AND first").select(F.col("key").alias("mark")))).distinct()
     return stored(spans.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "suffix-spans")
 
 
@@ -226,28 +229,19 @@ def _whole(hit: DataFrame, classes: DataFrame) -> DataFrame:
 def _compared(rows: DataFrame, few) -> DataFrame:
     """Spans of strings that the few different surroundings of one beginning have in common."""
 
-    def surroundings(parts):
-        for data, _, ids, same, key, _, _, base, places, low, high in _sampled(parts, [few.value], True):
-            around = [data[a : b + LENGTH] for a, b in zip(low.tolist(), high.tolist())]
-            yield _batch(id=ids, same=same, key=key, low=low - base, place=places - low, last=high - low, around=pa.array(around, pa.binary()))
-
     def compare(parts):
         for batch in parts:
-            out = []
+            out = set()
             for group in batch.column("g").to_pylist():
-                ends = [(int.from_bytes(x["around"][: x["place"]], "big"), int.from_bytes(x["around"][x["place"] :], "little")) for x in group]
+                ends = [_ends(x) for x in group]
                 for i, x in enumerate(group):
-                    for j, y in enumerate(group):
-                        if i != j:
-                            left = min(_equal(ends[i][0] ^ ends[j][0]), x["place"], y["place"])
-                            right = min(_equal(ends[i][1] ^ ends[j][1]), len(x["around"]) - x["place"], len(y["around"]) - y["place"])
-                            first, last = max(0, x["place"] - left), min(x["last"], x["place"] + right - LENGTH)
-                            if first <= last:
-                                out.append((x["id"], x["same"], x["low"] + first, x["low"] + last + LENGTH))
+                    for j in range(i):
+                        for a, found in zip((x, group[j]), _common(x, group[j], ends[i], ends[j]) or ()):
+                            out.add((a["id"], a["same"], a["low"] + found[0], a["low"] + found[1] + LENGTH))
             if out:
-                yield _batch(**dict(zip(("id", "same", "start", "end"), map(np.array, zip(*sorted(set(out)))))))
+                yield _batch(**dict(zip(("id", "same", "start", "end"), map(np.array, zip(*sorted(out))))))
 
-    found = arrow_map(rows, surroundings, "id long, same long, key long, low long, place long, last long, around binary")
+    found = _surroundings(rows, few)
     groups = found.groupBy("key").agg(F.collect_list(F.struct("id", "same", "low", "place", "last", "around")).alias("g"))
     return arrow_map(groups.filter(F.size("g") > 1).select("g"), compare, "id long, same long, start long, end long")
 
@@ -257,32 +251,83 @@ def _equal(difference: int) -> int:
     return ((difference & -difference).bit_length() - 1) // 8 if difference else 1 << 40
 
 
-def _by_strings(rows: DataFrame, many) -> DataFrame:
-    """Spans of strings that occur in several of the many different surroundings of one beginning."""
+def _ends(x: dict) -> tuple[int, int]:
+    """What stands before and from the sampled place, as numbers whose low bytes are next to it."""
+    return int.from_bytes(x["around"][: x["place"]], "big"), int.from_bytes(x["around"][x["place"] :], "little")
+
+
+def _common(x: dict, y: dict, a: tuple[int, int], b: tuple[int, int]) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """First and last start, in x's and in y's surroundings, of the strings both have: these grow from the place both
+    ways."""
+    left = min(_equal(a[0] ^ b[0]), x["place"], y["place"])
+    right = min(_equal(a[1] ^ b[1]), len(x["around"]) - x["place"], len(y["around"]) - y["place"])
+    # A string that chooses the place in one text chooses it in the other, so both have the same ones.
+    out = tuple((max(0, z["place"] - left), min(z["last"], z["place"] + right - LENGTH)) for z in (x, y))
+    return out if all(first <= last for first, last in out) else None
+
+
+def _surroundings(rows: DataFrame, chosen) -> DataFrame:
+    """The surroundings of the chosen suffixes, by their mark."""
+
+    def run(parts):
+        for data, _, ids, same, key, _, mark, base, places, low, high in _sampled(parts, [chosen.value], True):
+            around = pa.array([data[a : b + LENGTH] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
+            yield _batch(id=ids, same=same, key=key, mark=mark, low=low - base, place=places - low, last=high - low, around=around)
+
+    return arrow_map(rows, run, "id long, same long, key long, mark long, low long, place long, last long, around binary")
+
+
+def _by_strings(rows: DataFrame, many, first: DataFrame) -> DataFrame:
+    """Spans of strings that occur in several of the many different surroundings of one beginning.
+
+    Each is compared with the ``first`` of its beginning, the most frequent. A string that these two don't share can
+    only be shared with surroundings that don't share it with the first either: only such strings are hashed.
+    """
+    found = stored(_surroundings(rows, many), "suffix-surroundings")
+    heads = found.join(first, "mark", "left_semi").groupBy("key").agg(F.first(F.struct("mark", "place", "last", "around", "id", "same", "low")).alias("head"))
+    both = found.join(stored(heads, "suffix-heads"), "key")
+
+    def compared(parts):
+        for batch in parts:
+            out = []
+            for x in batch.to_pylist():
+                y = x.pop("head")
+                if x["mark"] == y["mark"]:
+                    mine, own = (0, x["last"]), None
+                else:
+                    mine, own = _common(x, y, _ends(x), _ends(y)) or (None, None)
+                out.append((x, mine, own, y))
+            yield from out
+
+    def shared(parts):
+        for batch in parts:
+            spans = set()
+            for x, mine, own, y in compared([batch]):
+                if own:
+                    spans.add((x["id"], x["same"], x["low"] + mine[0], x["low"] + mine[1] + LENGTH))
+                    spans.add((y["id"], y["same"], y["low"] + own[0], y["low"] + own[1] + LENGTH))
+            if spans:
+                yield _batch(**dict(zip(("id", "same", "start", "end"), map(np.array, zip(*sorted(spans))))))
 
     def strings(parts):
         digest = xxhash.xxh3_128_intdigest
-        for data, _, ids, same, key, around, _, base, _, low, high in _sampled(parts, [many.value], True):
-            number = high - low + 1
-            of = np.repeat(np.arange(len(number)), number)
-            at = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
-            for s in range(0, len(of), 1 << 16):
-                o, a = of[s : s + (1 << 16)], at[s : s + (1 << 16)]
-                found = [digest(data[p : p + LENGTH]) for p in a.tolist()]
-                yield _batch(
-                    id=ids[o],
-                    same=same[o],
-                    start=a - base[o],
-                    h1=np.array([x >> 64 for x in found], np.uint64),
-                    h2=np.array([x & (2**64 - 1) for x in found], np.uint64),
-                    kind=mixed(key[o] ^ mixed(around[o])),
-                )
-
-    string = stored(arrow_map(rows, strings, "id long, same long, start long, h1 long, h2 long, kind long"), "suffix-strings")
+        for batch in parts:
+            out = []
+            for x, mine, _, _ in compared([batch]):
+                kind = xxhash.xxh3_64_intdigest(x["around"], x["place"] << 16 | x["last"]) - (1 << 63)
+                for i in range(x["last"] + 1):
+                    if mine is None or not mine[0] <= i <= mine[1]:
+                        h = digest(x["around"][i : i + LENGTH])
+                        out.append((x["id"], x["same"], x["low"] + i, (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), kind))
+            if out:
+                yield _batch(**dict(zip(("id", "same", "start", "h1", "h2", "kind"), map(np.array, zip(*out)))))
+
+    string = stored(arrow_map(both, strings, "id long, same long, start long, h1 long, h2 long, kind long"), "suffix-strings")
     # The same string in two classes starts at two places; in one class only, it was settled with the class.
     kinds = string.groupBy("h1", "h2").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
     again = stored(kinds.filter("a <> b").select("h1", "h2"), "suffix-again")
-    return string.join(again, ["h1", "h2"]).select("id", "same", "start", (F.col("start") + LENGTH).alias("end"))
+    spans = arrow_map(both, shared, "id long, same long, start long, end long")
+    return spans.union(string.join(again, ["h1", "h2"]).select("id", "same", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
