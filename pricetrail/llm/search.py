@@ -1,10 +1,14 @@
 """Exact BM25 top-k: block-max WAND pruning over an inverted index of each shard, merged under global statistics.
 
 A query is the set of words of a text (lower-cased ASCII, parted at ASCII white space). Shards are runs of documents
-inside a task. A shard's postings of the queries' words carry maxima by word and by block of documents. With the best
-scores known so far, words are split: those of low maxima, whose sum can't reach the k-th best score, choose no
-documents; documents of the other words are scored only if their sum so far plus their block's maxima can reach it.
-Only documents that can't be in the result are passed over.
+inside a task. A shard's postings of the queries' words carry maxima by block of documents. Words that many documents
+of a shard have are kept as dense rows instead, for they can't tell documents apart: their sums, and the maxima of those
+by block, come from one matrix product for many queries. With the best scores known so far, a block is looked into only
+if its maximum of the dense words plus its maxima of the other words can reach the k-th best score, and a document is
+scored exactly only if its own sum can. So only documents that can't be in the result are passed over.
+
+The floor of the k-th best score comes from a hundredth of the documents, then from a tenth, before all are searched:
+with it, tasks send on about ten times k documents a query in each round, however many tasks there are.
 """
 
 import numpy as np
@@ -17,9 +21,13 @@ from pricetrail.llm.common import arrow_map, chunks, stored, word_hashes
 K1, B = 1.2, 0.75
 #: Words of all queries that are worked on at once; more queries take more passes over the documents.
 MOST_ENTRIES = 2_000_000
-SHARD_BYTES, BLOCK = 8 << 20, 64
-#: Scores have so many decimals, so that sums in another order tie; bounds are compared with room for it.
-DECIMALS, ROOM = 9, 1e-6
+SHARD_BYTES, BLOCK = 16 << 20, 64
+#: Words of at least one in so many documents of a shard are dense; queries are multiplied by them in such blocks.
+DENSE, TOGETHER = 16, 256
+#: Shares of the documents searched for the floor, and at last all.
+SHARES = (0.01, 0.1, 1)
+#: Scores have so many decimals, so that sums in another order tie.
+DECIMALS = 9
 
 
 class Queries:
@@ -70,7 +78,6 @@ class Shard:
         self.local = np.full(len(queries.words), -1, np.int64)
         self.local[word[first]] = np.arange(len(first))
         self.start, self.count = first, np.diff(np.r_[first, len(word)])
-        self.most = np.maximum.reduceat(value, first) if len(first) else np.zeros(0)
         block = doc // BLOCK
         cut = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(word) else first
         self.block, self.block_most = block[cut], np.maximum.reduceat(value, cut) if len(cut) else np.zeros(0)
@@ -81,27 +88,50 @@ class Shard:
         self.doc_count = np.bincount(doc, minlength=self.size)
         self.doc_start = np.cumsum(self.doc_count) - self.doc_count
         self.wanted = np.zeros(len(first))
-
-    def search(self, terms: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of all that score ``least`` or more, and above 0; some others may come along."""
-        here = self.local[terms]
-        here = here[here >= 0]
-        if not len(here):
-            return here, np.zeros(0)
-        here = here[np.argsort(self.most[here], kind="stable")]
-        idle = int(np.searchsorted(np.cumsum(self.most[here]), least - ROOM)) if least > 0 else 0
-        if idle == len(here):
-            return here[:0], np.zeros(0)
-        low, high = here[:idle], here[idle:]
-        at = _ranges(self.start[high], self.count[high])
-        sums = np.bincount(self.doc[at], self.value[at], minlength=self.size)
-        found = np.flatnonzero(sums)
-        if idle:
-            at = _ranges(self.block_start[low], self.block_count[low])
-            rest = np.bincount(self.block[at], self.block_most[at], minlength=self.size // BLOCK + 1)
-            found = found[sums[found] + rest[found // BLOCK] >= least - ROOM]
-            if not len(found):
-                return found, np.zeros(0)
+        # Frequent words as dense rows over documents, filled up to whole blocks.
+        often = np.flatnonzero(self.count * DENSE >= self.size)
+        self.row = np.full(len(first), -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.blocks = -(-self.size // BLOCK)
+        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        at = _ranges(self.start[often], self.count[often])
+        self.dense[np.repeat(np.arange(len(often)), self.count[often]), doc[at]] = value[at]
+
+    def search(self, queries: list[np.ndarray], least: np.ndarray, k: int):
+        """For each query (documents, scores) of all that may be among its best k and score ``least`` or more."""
+        for begin in range(0, len(queries), TOGETHER):
+            part = [self.local[terms] for terms in queries[begin : begin + TOGETHER]]
+            part = [here[here >= 0] for here in part]
+            wanted = np.zeros((len(part), len(self.dense)), np.float32)
+            for i, here in enumerate(part):
+                rows = self.row[here]
+                wanted[i, rows[rows >= 0]] = 1
+            sums = wanted @ self.dense
+            highest = sums.reshape(len(part), self.blocks, BLOCK).max(axis=2)
+            for i, here in enumerate(part):
+                yield self._search(here, sums[i], highest[i], least[begin + i], k)
+
+    def _search(self, here: np.ndarray, sums: np.ndarray, highest: np.ndarray, least: float, k: int):
+        none = np.zeros(0, np.int64), np.zeros(0)
+        rare = here[self.row[here] < 0]
+        # Dense sums have single precision, so bounds are compared with room for rounding.
+        room = 0.01 + 1e-4 * abs(least)
+        if least > 0:
+            at = _ranges(self.block_start[rare], self.block_count[rare])
+            bound = highest + np.bincount(self.block[at], self.block_most[at], minlength=self.blocks)
+            live = bound >= least - room
+            if not live.any():
+                return none
+        at = _ranges(self.start[rare], self.count[rare])
+        total = sums[: self.size] + np.bincount(self.doc[at], self.value[at], minlength=self.size)
+        if least > 0:
+            total[~np.repeat(live, BLOCK)[: self.size]] = 0
+        if len(total) > k:
+            floor = np.partition(total, len(total) - k)[len(total) - k]
+            least = max(least, floor - 0.01 - 1e-4 * abs(floor))
+        found = np.flatnonzero((total > 0) & (total >= least - room))
+        if not len(found):
+            return none
         self.wanted[here] = 1
         counts = self.doc_count[found]
         at = _ranges(self.doc_start[found], counts)
@@ -122,8 +152,8 @@ def _best(docs: DataFrame, shared, k: int) -> DataFrame:
             shard = Shard(queries, texts)
             null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i in range(n):
-                found, scores = shard.search(queries.row(i), least[i])
+            rows = [queries.row(i) for i in range(n)]
+            for i, (found, scores) in enumerate(shard.search(rows, least, k)):
                 ok = scores >= least[i]
                 found, scores = found[ok], scores[ok]
                 if not len(found):
@@ -189,6 +219,7 @@ def top_k(docs: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     entries = stored(arrow_map(asked, words, "id long, term long").distinct(), "query-words")
     # Blocks of queries are bounded in size, and each is sent to all tasks.
     blocks = -(-entries.count() // MOST_ENTRIES)
+    tasks = docs.rdd.getNumPartitions()
     out = []
     for block in range(blocks):
         part = entries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
@@ -196,12 +227,17 @@ def top_k(docs: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         if not len(queries.ids):
             continue
         _frequencies(docs, queries)
-        # The queries' own texts come first: the k-th best among them is a floor for the k-th best of all.
-        none = spark.sparkContext.broadcast((queries, np.zeros(len(queries.ids))))
-        first = _best(asked, none, k).filter(F.col("rank") == k).select("query_id", "score").toArrow()
         least = np.zeros(len(queries.ids))
-        least[np.searchsorted(queries.ids, first["query_id"].to_numpy())] = first["score"].to_numpy()
-        out.append(stored(_best(docs, spark.sparkContext.broadcast((queries, least)), k), "search"))
+        for share in SHARES:
+            some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1000)) < int(1000 * share)).coalesce(max(1, int(tasks * share)))
+            shared = spark.sparkContext.broadcast((queries, least))
+            if share == 1:
+                out.append(stored(_best(docs, shared, k), "search"))
+                break
+            # The k-th best of some documents is a floor for the k-th best of all.
+            first = _best(some, shared, k).filter(F.col("rank") == k).select("query_id", "score").toArrow()
+            place = np.searchsorted(queries.ids, first["query_id"].to_numpy())
+            least[place] = np.maximum(least[place], first["score"].to_numpy())
     if not out:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     found = out[0]
