@@ -101,46 +101,111 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, likeness: float = 0.8, bands: int = 32) -> DataFrame:
-    """(doc_id, component_id): classes of documents linked by a Jaccard likeness of their five-word shingle sets.
+    """(doc_id, component_id): the classes of ``duplicate_classes``, by the least doc_id of each."""
+    return duplicate_classes(docs, likeness, bands).select("doc_id", "component_id")
 
-    Texts with equal shingle sets are one class from the start. Of the others, signature bands are joined: in each
-    band bucket every member is paired with the least one (a star), and the pair's likeness is verified on the
-    whole shingle sets. Empty texts are alike; null ids never name a class; an empty table gives no rows.
+
+def duplicate_classes(docs: DataFrame, likeness: float = 0.8, bands: int = 32, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, more columns, component, component_id): classes of documents linked by a Jaccard likeness of their
+    five-word shingle sets, by a number of their own and by the least doc_id of each.
+
+    Texts with equal shingle sets are one class from the start. Of the others, signature bands are joined. First each
+    member of a band bucket is paired with the least one, and the links found are joined to classes: this settles
+    large groups of copies with few pairs. Then, in buckets whose members are still in several classes, every two
+    members of different classes are paired. A pair's likeness is verified on the whole shingle sets. Empty texts are
+    alike; null ids never name a class; an empty table gives no rows.
     """
 
     def run(batches):
         for batch, texts in chunks(batches):
-            sets = [np.unique(s) for s in np.split(*_cut(*shingles(texts, fill=False)))]
+            sets = _sets(texts)
             marks = signatures(texts, fill=False)
+            # The entries of a band stand together.
+            marks = marks.reshape(len(texts), -1, bands).transpose(0, 2, 1)
+            kept = [batch.column(n) for n in ("doc_id", *more)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([hashlib.sha256(s.tobytes()).hexdigest() for s in sets]),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array([[m[i::bands].tobytes() for i in range(bands)] for m in marks], pa.list_(pa.binary())),
-                ],
-                names=["doc_id", "same", "set", "bands"],
+                [*kept, pa.array([_name(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array([m.tobytes() for m in marks], pa.binary())],
+                names=["doc_id", *more, "same", "n", "signature"],
             )
 
-    rows = stored(arrow_map(docs.select("doc_id", "text"), run, "doc_id long, same string, set array<long>, bands array<binary>"), "minhash")
-    kinds = stored(
-        rows.groupBy("same").agg(F.min("doc_id").alias("first_id")).withColumn("kind", F.xxhash64("same")), "minhash-kinds"
-    )
-    distinct = rows.dropDuplicates(["same"]).join(kinds, "same").select("kind", "set", "bands")
-    distinct = stored(distinct, "minhash-distinct")
-    placed = distinct.select("kind", F.posexplode("bands").alias("band", "mark"))
-    stars = placed.groupBy("band", "mark").agg(F.min("kind").alias("a"), F.max("kind").alias("z")).filter("a <> z")
-    pairs = placed.join(stars, ["band", "mark"]).filter("a <> kind").select("a", F.col("kind").alias("b")).distinct()
-    left = distinct.select(F.col("kind").alias("a"), F.col("set").alias("s"))
-    right = distinct.select(F.col("kind").alias("b"), F.col("set").alias("t"))
-    checked = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("s", "t")))
-    alike = checked.filter(F.col("both") >= likeness * (F.size("s") + F.size("t") - F.col("both"))).select("a", "b")
-    nodes = components(alike).withColumnRenamed("node", "kind")
-    member = kinds.join(nodes, "kind", "left").withColumn("component", F.coalesce("component", "kind"))
+    cols = docs.select("doc_id", *more, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "text")
+    rows = stored(arrow_map(cols, run, f"{schema}, same string, n long, signature binary"), "minhash")
+    kinds = rows.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    kinds = stored(kinds.withColumn("kind", F.xxhash64("same")), "minhash-kinds")
+    width = 2 * PERMUTATIONS // bands
+    cut = F.expr(f"transform(sequence(0, {bands - 1}), i -> substring(signature, i * {width} + 1, {width}))")
+    placed = kinds.select("kind", F.posexplode(cut).alias("band", "mark"))
+    stars = placed.groupBy("band", "mark").agg(F.min("kind").alias("a"), F.max("kind").alias("z")).filter("a <> z").drop("z")
+    shared = stored(placed.join(stars, ["band", "mark"]), "minhash-shared")
+    sets = _sets_of(docs, kinds.join(shared.select("kind").distinct(), "kind", "left_semi").select("same", "kind"))
+    pairs = shared.filter("a <> kind").select("a", F.col("kind").alias("b")).distinct()
+    alike = stored(_alike(pairs, sets, likeness), "minhash-alike")
+    more_alike = _alike(_unsettled(shared, kinds, components(alike), likeness), sets, likeness)
+    nodes = components(alike.union(more_alike)).withColumnRenamed("node", "kind")
+    member = kinds.select("same", "kind", "first_id").join(nodes, "kind", "left").withColumn("component", F.coalesce("component", "kind"))
     member = stored(member, "minhash-member")
     lowest = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "same").join(member.join(lowest, "component").select("same", "component_id"), "same").select("doc_id", "component_id")
+    found = member.join(lowest, "component").select("same", "component", "component_id")
+    return rows.select("doc_id", *more, "same").join(found, "same").drop("same")
+
 
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
+    values, counts = shingles(texts, fill=False)
+    return [np.unique(s) for s in np.split(values, np.cumsum(counts)[:-1])]
 
-def _cut(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return values, np.cumsum(counts)[:-1]
+
+def _name(s: np.ndarray) -> str:
+    return hashlib.sha256(s.tobytes()).hexdigest()
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(kind, set) of the wanted (same, kind): only sets of texts that share a bucket are written."""
+
+    def run(batches):
+        for _, texts in chunks(batches):
+            sets = {_name(s): s for s in _sets(texts)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sets)), pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64()))], names=["same", "set"]
+            )
+
+    found = arrow_map(docs.select("text"), run, "same string, set array<long>").join(wanted, "same").groupBy("kind")
+    return stored(found.agg(F.first("set").alias("set")), "minhash-sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """The (a, b) whose whole shingle sets are alike."""
+    left = sets.select(F.col("kind").alias("a"), F.col("set").alias("s"))
+    right = sets.select(F.col("kind").alias("b"), F.col("set").alias("t"))
+    checked = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("s", "t")))
+    return checked.filter(F.col("both") >= likeness * (F.size("s") + F.size("t") - F.col("both"))).select("a", "b")
+
+
+def _unsettled(shared: DataFrame, kinds: DataFrame, nodes: DataFrame, likeness: float) -> DataFrame:
+    """Distinct (a, b) that share a bucket, are not of one class yet and may be alike.
+
+    A bucket's largest class is not paired with itself. Sets whose sizes differ too much cannot be alike. Signatures
+    equal in 20 points less of their entries than the likeness (over five standard deviations) are not looked into.
+    """
+    classed = shared.join(nodes.withColumnRenamed("node", "kind"), "kind", "left").withColumn("class", F.coalesce("component", "kind"))
+    classed = stored(classed.drop("component"), "minhash-classed")
+    largest = classed.groupBy("band", "mark", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "mark")
+    largest = largest.agg(F.max(F.struct("c", "class")).alias("most"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    open_ = classed.join(largest.select("band", "mark", F.col("most.class").alias("largest")), ["band", "mark"])
+    open_ = stored(open_.join(kinds.select("kind", "n", "signature"), "kind"), "minhash-open")
+    # The least one of a bucket was compared with all others.
+    open_ = open_.filter("kind <> a")
+    left = open_.filter("class <> largest").select("band", "mark", F.col("kind").alias("a"), F.col("class").alias("c"), F.col("n").alias("m"), F.col("signature").alias("s"))
+    right = open_.select("band", "mark", F.col("kind").alias("b"), F.col("class").alias("d"), "n", F.col("signature").alias("t"), F.col("class").eqNullSafe(F.col("largest")).alias("top"))
+    sizes = F.least("m", "n") >= likeness * F.greatest("m", "n")
+    pairs = left.join(right, ["band", "mark"]).filter((F.col("c") != F.col("d")) & sizes & (F.col("top") | (F.col("a") < F.col("b"))))
+
+    def close(batches):
+        for batch in batches:
+            if batch.num_rows:
+                s, t = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS) for n in ("s", "t"))
+                near = pa.array((s == t).mean(axis=1) >= likeness - 0.2)
+                yield batch.select(["a", "b"]).filter(near)
+
+    found = arrow_map(pairs.select("a", "b", "s", "t"), close, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -73,3 +73,22 @@ def test_near_duplicates(spark):
     rows += [(100, "", "", ""), (101, None, "", ""), (102, "one two", "", ""), (103, "one  two", "", "")]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: 100 if i in (100, 101) else 102 if i > 101 else i // 10 * 10 for i, *_ in rows}
+
+
+def test_links_between_texts_of_one_template_are_not_lost(spark):
+    rng = random.Random(4)
+    fresh = iter(f"u{i}" for i in range(10**6))
+    template = [next(fresh) for _ in range(260)]
+    own = lambda n: [next(fresh) for _ in range(n)]
+    # Two texts of the template have 256 of 328 shingles in common, pairs 276 of 308 or so.
+    rows = [(i, template + own(36)) for i in range(150)]
+    for i in range(60):
+        tail = own(36)
+        rows += [(1000 + 2 * i, template + tail), (1001 + 2 * i, template + tail[:20] + own(16))]
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in rows}
+    near = [(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.8]
+    assert {(1000 + 2 * i, 1001 + 2 * i) for i in range(60)} == set(near)
+    docs = spark.createDataFrame([(i, " ".join(w), "", "") for i, w in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: i - 1 if i > 1000 and i % 2 else i for i in sets}
