@@ -7,8 +7,8 @@ suffix repeats its first CONTEXT bytes. A batch's suffix table holds those begin
 merge-scanned against the levels of the family, and levels of one size merge into one of twice the size.
 
 Sampled suffixes that repeat are then settled exactly. Those whose whole surroundings (all strings of LENGTH bytes that
-choose them) repeat are covered. Where surroundings differ, at the ends of passages, they are compared: a few by their
-common ends, many by the hashes of their strings.
+choose them) repeat are covered. Where surroundings differ, at the ends of passages, one of each kind is compared with
+the others by the hashes of their strings: few within one row, many in Spark.
 """
 
 import hashlib
@@ -26,8 +26,8 @@ from pricetrail.session import fresh_path
 LENGTH, SAMPLE = 200, 100
 CONTEXT = LENGTH - SAMPLE + 1
 BATCHES = 2
-#: About so many different surroundings of one beginning are compared with each other, in one row; beyond that each is
-#: compared with the most frequent one, and the strings that these two don't share are hashed.
+#: At most so many different surroundings of one beginning are compared with each other, in one row; beyond that each
+#: is compared with the most frequent one, and the strings that these two don't share are hashed.
 FEW = 512
 
 
@@ -193,8 +193,8 @@ def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     )
     unlike = stored(few_or_many, "suffix-unlike")
     spans = _whole(hit, classes)
-    few, many = (spark.sparkContext.broadcast(bloom(unlike.filter(f).select("key"))) for f in ("few", "NOT few"))
-    spans = spans.union(_compared(rows, few)).union(_by_strings(rows, many, unlike.filter("NOT few AND first").select(F.col("key").alias("mark")))).distinct()
+    few, many = (_surroundings(rows, unlike.filter(f).select("key")) for f in ("few", "NOT few"))
+    spans = spans.union(_compared(few)).union(_by_strings(many, unlike.filter("NOT few AND first").select(F.col("key").alias("mark")))).distinct()
     return stored(spans.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "suffix-spans")
 
 
@@ -226,26 +226,44 @@ def _whole(hit: DataFrame, classes: DataFrame) -> DataFrame:
     return spans.union(again.select("id", "same", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")))
 
 
-def _compared(rows: DataFrame, few) -> DataFrame:
-    """Spans of strings that the few different surroundings of one beginning have in common."""
+def _compared(found: DataFrame) -> DataFrame:
+    """Spans of strings that the few different surroundings of one beginning have in common.
+
+    Equal strings stand at one distance from the place, so a kind of surroundings has each only once: a string that is
+    met again is shared. The work grows with the number of kinds, not of their pairs.
+    """
 
     def compare(parts):
+        digest = xxhash.xxh3_128_intdigest
         for batch in parts:
             out = set()
             for group in batch.column("g").to_pylist():
-                ends = [_ends(x) for x in group]
-                for i, x in enumerate(group):
-                    for j in range(i):
-                        for a, found in zip((x, group[j]), _common(x, group[j], ends[i], ends[j]) or ()):
-                            out.add((a["id"], a["same"], a["low"] + found[0], a["low"] + found[1] + LENGTH))
+                seen = {}
+                for x in group:
+                    around = x["around"]
+                    for i in range(x["last"] + 1):
+                        span = (x["id"], x["same"], x["low"] + i, x["low"] + i + LENGTH)
+                        earlier = seen.setdefault(digest(around[i : i + LENGTH], x["place"] - i), span)
+                        if earlier is not span:
+                            out.update((earlier, span))
             if out:
-                yield _batch(**dict(zip(("id", "same", "start", "end"), map(np.array, zip(*sorted(out))))))
+                yield _batch(**dict(zip(("id", "same", "start", "end"), map(np.array, zip(*_joined(sorted(out)))))))
 
-    found = _surroundings(rows, few)
     groups = found.groupBy("key").agg(F.collect_list(F.struct("id", "same", "low", "place", "last", "around")).alias("g"))
     return arrow_map(groups.filter(F.size("g") > 1).select("g"), compare, "id long, same long, start long, end long")
 
 
+def _joined(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Sorted (id, same, start, end) with those that overlap joined up."""
+    out = []
+    for span in spans:
+        if out and out[-1][:2] == span[:2] and span[2] <= out[-1][3]:
+            out[-1] = (*out[-1][:3], max(out[-1][3], span[3]))
+        else:
+            out.append(span)
+    return out
+
+
 def _equal(difference: int) -> int:
     """Bytes before the first that differ; without a difference more than any text has."""
     return ((difference & -difference).bit_length() - 1) // 8 if difference else 1 << 40
@@ -266,24 +284,32 @@ def _common(x: dict, y: dict, a: tuple[int, int], b: tuple[int, int]) -> tuple[t
     return out if all(first <= last for first, last in out) else None
 
 
-def _surroundings(rows: DataFrame, chosen) -> DataFrame:
-    """The surroundings of the chosen suffixes, by their mark."""
+def _surroundings(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The surroundings of the suffixes with the chosen marks, one row for each mark.
+
+    A filter spares most rows the shuffle; what passes it by chance is left out by the marks themselves.
+    """
+    words = rows.sparkSession.sparkContext.broadcast(bloom(chosen))
 
     def run(parts):
-        for data, _, ids, same, key, _, mark, base, places, low, high in _sampled(parts, [chosen.value], True):
+        for data, _, ids, same, key, _, mark, base, places, low, high in _sampled(parts, [words.value], True):
             around = pa.array([data[a : b + LENGTH] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
             yield _batch(id=ids, same=same, key=key, mark=mark, low=low - base, place=places - low, last=high - low, around=around)
 
-    return arrow_map(rows, run, "id long, same long, key long, mark long, low long, place long, last long, around binary")
+    found = arrow_map(rows, run, "id long, same long, key long, mark long, low long, place long, last long, around binary")
+    # Rows equal in id and text have one mark: they are reduced before the shuffle.
+    row = F.struct("id", "same", "key", "low", "place", "last", "around")
+    found = found.groupBy("mark").agg(F.first(row).alias("x")).join(chosen.select(F.col("key").alias("mark")), "mark", "left_semi")
+    return found.select("x.id", "x.same", "x.key", "mark", "x.low", "x.place", "x.last", "x.around")
 
 
-def _by_strings(rows: DataFrame, many, first: DataFrame) -> DataFrame:
+def _by_strings(found: DataFrame, first: DataFrame) -> DataFrame:
     """Spans of strings that occur in several of the many different surroundings of one beginning.
 
     Each is compared with the ``first`` of its beginning, the most frequent. A string that these two don't share can
     only be shared with surroundings that don't share it with the first either: only such strings are hashed.
     """
-    found = stored(_surroundings(rows, many), "suffix-surroundings")
+    found = stored(found, "suffix-surroundings")
     heads = found.join(first, "mark", "left_semi").groupBy("key").agg(F.first(F.struct("mark", "place", "last", "around", "id", "same", "low")).alias("head"))
     both = found.join(stored(heads, "suffix-heads"), "key")
 

@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pricetrail.llm import suffixes
 
@@ -52,3 +54,24 @@ def test_against_all_strings(spark, monkeypatch, seed, few):
 
 def test_empty_table(spark):
     assert suffixes.without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_groups_hold_one_row_of_each_kind(spark, monkeypatch):
+    rng = random.Random(5)
+    # The filter lets everything through, as it nearly does for very many marks.
+    monkeypatch.setattr(suffixes, "bloom", lambda keys, *bits: np.full(16, np.uint64(2**64 - 1)))
+    sizes = spark.sparkContext.accumulator(0)
+    batch = suffixes.arrow_map
+
+    def counted(df, function, schema):
+        if df.columns == ["g"]:
+            df = df.select(F.udf(lambda g: sizes.add(len(g)) or g, df.schema["g"].dataType)("g").alias("g"))
+        return batch(df, function, schema)
+
+    monkeypatch.setattr(suffixes, "arrow_map", counted)
+    passage = words(rng, 120)
+    rows = [(i, passage) for i in range(300)] + [(300, passage[:-1] + "#"), (301, passage + " and more")]
+    docs = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], SCHEMA).repartition(4)
+    got = suffixes.without_repeats(docs).drop("kept").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
+    assert 2 <= sizes.value <= 30
