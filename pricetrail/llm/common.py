@@ -56,8 +56,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return np.bitwise_xor(x, x >> np.uint64(32))
 
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,7 +65,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without ASCII white space) in order, and the number of words of each text."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    white = _WHITE[data]
+    white = WHITE[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if not white[0]:
         edge = np.r_[0, edge]

@@ -1,9 +1,11 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from the words on both sides.
 
-Words (lower-cased ASCII, parted at white space) are hashed to CLASSES * CLASSES ids; an id is a pair of a class and a
-member, each predicted by its own softmax, the member's with a term for the class. A text's score is the sum of all
-its words' conditional log probabilities. Every document takes part in learning: in each round all tasks start from
-the same weights, mask one word in STRIDE of their documents and follow the gradient; their weights are then averaged.
+Words (lower-cased ASCII, parted at white space) have ids by their frequency in the corpus; how many grows with its
+size. A word outside this vocabulary has the id RARE, and its probability is that id's times that of its bytes, each
+given the one before. An id is a row of digits of base CLASSES, each predicted by its own softmax with a term for the
+digits before. A text's score is the sum of all its words' conditional log probabilities. Every document takes part in
+learning, and every word is masked in one of the rounds: in each all tasks start from the same weights, mask one word
+in ROUNDS of their documents and follow the gradient; their weights are then averaged.
 """
 
 import numpy as np
@@ -11,39 +13,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.llm.common import arrow_map, chunks, mixed, sums_by_text, word_hashes
+from pricetrail.llm.common import WHITE, arrow_map, chunks, mixed, stored, sums_by_text, word_hashes
 
 CLASSES, WINDOW, WIDTH, HIDDEN = 64, 2, 16, 32
+#: Ids of two digits, the least that weights are made for.
 IDS = CLASSES * CLASSES
-EDGE = IDS  # stands before and after each text
-ROUNDS, STRIDE = 2, 16
+EDGE = IDS  # stands before and after each text, where there are IDS ids
+RARE = 0
+#: A word has an id of its own if it occurs twice and in a share of 1 / (SPREAD * root of all words) of them.
+SPREAD = 50
+ROUNDS = 2
 BATCH, RATE = 512, 0.08
 #: Weights travel as whole numbers of this fraction, so that their sums don't depend on the order.
 FRACTION = 1 << 20
+#: Bytes of a rare word, and what stands after its last and before its first.
+END = 256
 
-SHAPES = {
-    "embed": (IDS + 1, WIDTH),
-    "inner": (2 * WINDOW * WIDTH, HIDDEN),
-    "inner_bias": (HIDDEN,),
-    "outer": (HIDDEN, 2 * CLASSES),
-    "outer_bias": (2 * CLASSES,),
-    "member": (CLASSES, CLASSES),
-}
 
+def shapes(ids: int = IDS) -> dict[str, tuple[int, ...]]:
+    """Shapes of the weights for so many ids. ``member`` has the terms of the second digit, ``member2`` and so on those
+    of the further ones, a row for each row of digits before."""
+    digits = _digits(ids)
+    further = {f"member{d}": (-(-ids // CLASSES ** (digits - d)), CLASSES) for d in range(2, digits)}
+    return {
+        "embed": (ids + 1, WIDTH),
+        "inner": (2 * WINDOW * WIDTH, HIDDEN),
+        "inner_bias": (HIDDEN,),
+        "outer": (HIDDEN, digits * CLASSES),
+        "outer_bias": (digits * CLASSES,),
+        "member": (CLASSES, CLASSES),
+    } | further
 
-def initial(seed: int = 7) -> dict[str, np.ndarray]:
+
+def _digits(ids: int) -> int:
+    digits = 2
+    while CLASSES**digits < ids:
+        digits += 1
+    return digits
+
+
+def _parts(w: dict, ids: np.ndarray):
+    """Of each digit: its columns, its value, and the table and rows of its terms (none for the first)."""
+    digits = w["outer"].shape[1] // CLASSES
+    for d in range(digits):
+        before = ids // CLASSES ** (digits - d)
+        name = None if not d else "member" if d == 1 else f"member{d}"
+        yield slice(d * CLASSES, (d + 1) * CLASSES), ids // CLASSES ** (digits - 1 - d) % CLASSES, name, before
+
+
+def initial(seed: int = 7, ids: int = IDS) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     scale = {"embed": 0.1, "inner": 0.15, "outer": 0.1}
-    return {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes(ids).items()}
+
+
+class Vocabulary:
+    """Ids of frequent words, from 1 by falling frequency, and log probabilities of the bytes of other words."""
+
+    def __init__(self, hashes: np.ndarray, pairs: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.places = hashes[order], (order + 1).astype(np.int32)
+        self.size = max(IDS, len(hashes) + 1)
+        # Every pair counts once more, so that none is impossible.
+        self.spelling = np.log((pairs + 1.0) / (pairs + 1.0).sum(axis=1, keepdims=True))
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), RARE, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.places[at], RARE).astype(np.int32)
+
+    def spelled(self, texts: list[bytes], rare: np.ndarray) -> np.ndarray:
+        """Log probability of the bytes of each rare word given that it is one; 0 for other words."""
+        out = np.zeros(len(rare))
+        before, here, word = spelling_pairs(texts, rare)
+        return np.bincount(word, self.spelling[before, here], len(out)) if len(word) else out
 
 
-def examples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all words, the ids in their windows, words by text)."""
+def spelling_pairs(texts: list[bytes], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte before or END, byte or END, number of the word) for all bytes of the chosen words and their ends."""
+    data = np.frombuffer(b"\n" + b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
+    white = WHITE[data]
+    word = np.cumsum(white[:-1] & ~white[1:]) - 1  # of each place but the first, as it follows one
+    inside = ~white[:-1] | ~white[1:]
+    at = np.flatnonzero(inside)
+    at = at[chosen[word[at]]]
+    symbols = np.where(white, END, data.astype(np.int64))
+    return symbols[at], symbols[at + 1], word[at]
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """From the counts of all words; bytes are counted over all occurrences of the words that have no id."""
+
+    def words(batches):
+        for _, texts in chunks(batches):
+            found, n = np.unique(word_hashes([t.lower() for t in texts])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
+    counted = arrow_map(docs.select("text"), words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = counted.filter(F.col("n") >= max(2, total**0.5 / SPREAD)).orderBy(F.col("n").desc(), "word").select("word").toArrow()
+    hashes = frequent["word"].to_numpy().view(np.uint64)
+    known = Vocabulary(hashes, np.zeros((END + 1, END + 1)))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def pairs(batches):
+        sums = np.zeros((END + 1) ** 2, np.int64)
+        for _, texts in chunks(batches):
+            before, here, _ = spelling_pairs(texts, shared.value.ids(word_hashes([t.lower() for t in texts])[0]) == RARE)
+            sums += np.bincount(before * (END + 1) + here, minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["at", "n"])
+
+    found = arrow_map(docs.select("text"), pairs, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros((END + 1) ** 2)
+    sums[found["at"].to_numpy()] = found["n"].to_numpy()
+    return Vocabulary(hashes, sums.reshape(END + 1, END + 1))
+
+
+def examples(texts: list[bytes], known: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all words, the ids in their windows, words by text); without a vocabulary ids are ends of hashes."""
     hashes, counts = word_hashes([t.lower() for t in texts])
-    ids = (hashes >> np.uint64(52)).astype(np.int32)
+    ids = known.ids(hashes) if known else (hashes >> np.uint64(52)).astype(np.int32)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
     left = np.repeat(counts, counts) - place
-    around = np.full((len(ids), 2 * WINDOW), EDGE, np.int32)
+    around = np.full((len(ids), 2 * WINDOW), known.size if known else EDGE, np.int32)
     for d in range(1, WINDOW + 1):
         before, after = place >= d, left > d
         around[before, WINDOW - d] = ids[np.flatnonzero(before) - d]
@@ -62,7 +157,9 @@ def _ahead(w: dict, around: np.ndarray, ids: np.ndarray):
     x = w["embed"][around].reshape(len(ids), -1)
     hidden = np.tanh(x @ w["inner"] + w["inner_bias"])
     out = hidden @ w["outer"] + w["outer_bias"]
-    out[:, CLASSES:] += w["member"][ids // CLASSES]
+    for columns, _, name, before in _parts(w, ids):
+        if name:
+            out[:, columns] += w[name][before]
     return x, hidden, out
 
 
@@ -73,7 +170,8 @@ def log_probabilities(w: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarra
         i = ids[s : s + 8192]
         _, _, out = _ahead(w, around[s : s + 8192], i)
         row = np.arange(len(i))
-        for part, target in ((out[:, :CLASSES], i // CLASSES), (out[:, CLASSES:], i % CLASSES)):
+        for columns, target, _, _ in _parts(w, i):
+            part = out[:, columns]
             part = part - part.max(axis=1, keepdims=True)
             result[s : s + 8192] += part[row, target] - np.log(np.exp(part).sum(axis=1))
     return result
@@ -91,11 +189,20 @@ class Learner:
         self.seen[name] += slope * slope
         self.w[name] -= RATE * slope / np.sqrt(self.seen[name])
 
+    def _move_rows(self, name: str, rows: np.ndarray, slopes: np.ndarray) -> None:
+        """Only the rows that have a slope: the work does not grow with the table."""
+        order = np.argsort(rows, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
+        touched, slope = rows[order][cut], np.add.reduceat(slopes[order], cut, axis=0)
+        seen = self.seen[name][touched] + slope * slope
+        self.seen[name][touched] = seen
+        self.w[name][touched] -= RATE * slope / np.sqrt(seen)
+
     def step(self, ids: np.ndarray, around: np.ndarray) -> None:
         w, n = self.w, len(ids)
         x, hidden, out = _ahead(w, around, ids)
         row, slope = np.arange(n), np.empty_like(out)
-        for at, target in ((slice(0, CLASSES), ids // CLASSES), (slice(CLASSES, None), ids % CLASSES)):
+        for at, target, _, _ in _parts(w, ids):
             e, total = _softmax(out[:, at])
             part = e / total
             part[row, target] -= 1
@@ -103,26 +210,27 @@ class Learner:
         slope /= np.float32(np.sqrt(n))
         inner = (slope @ w["outer"].T) * (1 - hidden * hidden)
         back = (inner @ w["inner"].T).reshape(-1, WIDTH)
-        touched, place = np.unique(around.ravel(), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        cut = np.searchsorted(place[order], np.arange(len(touched)))
-        embed = np.add.reduceat(back[order], cut, axis=0)
-        member = np.zeros_like(w["member"])
-        np.add.at(member, ids // CLASSES, slope[:, CLASSES:])
+        for columns, _, name, before in _parts(w, ids):
+            if name == "member":
+                member = np.zeros_like(w["member"])
+                np.add.at(member, before, slope[:, columns])
+                self._move("member", member)
+            elif name:
+                self._move_rows(name, before, slope[:, columns])
         self._move("outer", hidden.T @ slope)
         self._move("outer_bias", slope.sum(axis=0))
         self._move("inner", x.T @ inner)
         self._move("inner_bias", inner.sum(axis=0))
-        self._move("member", member)
-        self.seen["embed"][touched] += embed * embed
-        w["embed"][touched] -= RATE * embed / np.sqrt(self.seen["embed"][touched])
+        self._move_rows("embed", around.ravel(), back)
         self.words += n
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights learned from all documents; those of an empty table are the initial ones."""
-    context, weights = docs.sparkSession.sparkContext, initial()
-    size = sum(int(np.prod(s)) for s in SHAPES.values())
+def learn(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights learned from all words of all documents; those of an empty table are the initial ones."""
+    context, weights = docs.sparkSession.sparkContext, initial(ids=known.size)
+    sizes = shapes(known.size)
+    size = sum(int(np.prod(s)) for s in sizes.values())
+    dictionary = context.broadcast(known)
     for number in range(rounds):
         start = context.broadcast(weights)
 
@@ -138,23 +246,25 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
 
             done = np.uint64(0)
             for _, texts in chunks(batches):
-                ids, around, _ = examples(texts)
+                ids, around, _ = examples(texts, dictionary.value)
                 places = np.arange(len(ids), dtype=np.uint64) + done
                 done += np.uint64(len(ids))
-                masked = mixed(places) % np.uint64(STRIDE) == number % STRIDE
+                masked = mixed(places) % np.uint64(rounds) == number
                 if masked.any():
                     rest.append((ids[masked], around[masked]))
                     steps(BATCH)
             if rest and len(rest[0][0]):
                 steps(1)
             if learner.words:
-                flat = np.concatenate([learner.w[k].ravel() for k in SHAPES]).astype(np.float64)
+                # Weights that the task did not move need not be sent.
+                flat = np.concatenate([(learner.w[k].astype(np.float64) - start.value[k]).ravel() for k in sizes])
                 moved = np.r_[np.rint(flat * FRACTION).astype(np.int64) * learner.words, learner.words]
-                for s in range(0, len(moved), 10_000):
-                    part = moved[s : s + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(part), dtype=np.int32)), pa.array(part)], names=["at", "n"])
+                at = np.flatnonzero(moved)
+                for s in range(0, len(at), 10_000):
+                    part = at[s : s + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(moved[part])], names=["at", "n"])
 
-        found = arrow_map(docs.select("text"), run, "at int, n long").groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+        found = arrow_map(docs.select("text"), run, "at long, n long").groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
         # One number for each weight comes back, whatever the number of documents.
         found = found.select("at", F.col("n").cast("double").alias("n")).toArrow()
         start.unpersist()
@@ -162,24 +272,26 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
             break
         total = np.zeros(size + 1)
         total[found["at"].to_numpy()] = found["n"].to_numpy()
-        flat = (total[:-1] / total[-1] / FRACTION).astype(np.float32)
-        ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
-        weights = {k: x.reshape(s) for (k, s), x in zip(SHAPES.items(), np.split(flat, ends[:-1]))}
+        moved = total[:-1] / total[-1] / FRACTION
+        ends = np.cumsum([int(np.prod(s)) for s in sizes.values()])
+        weights = {k: (weights[k] + x.reshape(s)).astype(np.float32) for (k, s), x in zip(sizes.items(), np.split(moved, ends[:-1]))}
     return weights
 
 
-def scored(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
+def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_probability, per_word), one row per document, over all words of its whole text.
 
     ``per_word`` is the mean, null for a text without words, whose sum is 0. Null texts are empty; null ids and
     repeated rows keep a row each; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs) if weights is None else weights)
+    known = vocabulary(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((known, learn(docs, known)))
 
     def run(batches):
         for batch, texts in chunks(batches):
-            ids, around, counts = examples(texts)
-            sums = sums_by_text(log_probabilities(shared.value, ids, around), counts)
+            known, weights = shared.value
+            ids, around, counts = examples(texts, known)
+            sums = sums_by_text(log_probabilities(weights, ids, around) + known.spelled(texts, ids == RARE), counts)
             mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), mean], names=["doc_id", "n_words", "log_probability", "per_word"]

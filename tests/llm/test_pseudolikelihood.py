@@ -62,3 +62,55 @@ def test_likely_texts_score_higher(spark):
 
 def test_empty_table(spark):
     assert pl.scored(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_vocabulary_grows_and_rare_words_are_spelled(spark):
+    words = [f"w{i}" for i in range(6000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, 6000, 50)] * 3 + ["Zq9 w1", "w0"]
+    known = pl.vocabulary(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA).repartition(3))
+    ids, around, counts = pl.examples([" ".join(words).encode(), b"zq9 junk w1"], known)
+    assert known.size == 6001 and sorted(ids[:6000]) == list(range(1, 6001)) and around.max() == 6001
+    assert ids[6000:].tolist() == [pl.RARE, pl.RARE, ids[1]] and counts.tolist() == [6000, 3]
+    spelled = known.spelled([b" Zq9  junk", b"w1"], np.array([True, True, False]))
+    e, p = pl.END, known.spelling
+    assert spelled == pytest.approx([p[e, 122] + p[122, 113] + p[113, 57] + p[57, e], p[e, 106] + p[106, 117] + p[117, 110] + p[110, 107] + p[107, e], 0])
+    assert np.exp(p).sum(axis=1) == pytest.approx(np.ones(257)) and spelled[0] > spelled[1] * 3 / 4
+
+
+def test_three_digits_sum_to_one_and_learn():
+    n = 5000
+    w = pl.initial(ids=n)
+    assert w["member2"].shape == (79, 64) and w["outer"].shape[1] == 192
+    around = np.repeat(np.array([[1, 2, n, 4999]], np.int32), 64**3, axis=0)[: 79 * 64]
+    every = np.arange(79 * 64, dtype=np.int32)
+    learner = pl.Learner(w)
+    for _ in range(200):
+        learner.step(np.array([4321, 77] * 8, np.int32), around[:16])
+    after = np.exp(pl.log_probabilities(learner.w, every, around))
+    assert after[4321] > 0.4 and after[77] > 0.4 and after.sum() <= 1.0001
+
+
+def test_every_word_is_a_target_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    step = pl.Learner.step
+
+    def counted(self, ids, around):
+        seen.add(len(ids))
+        step(self, ids, around)
+
+    monkeypatch.setattr(pl.Learner, "step", counted)
+    docs = spark.createDataFrame([(i, "a few words " * (i % 3), "", "") for i in range(100)], SCHEMA).repartition(3)
+
+    known = pl.vocabulary(docs)
+    inner = pl.arrow_map
+
+    def patched(df, function, schema):
+        def run(batches):
+            pl.Learner.step = counted
+            yield from function(batches)
+
+        return inner(df, run, schema)
+
+    monkeypatch.setattr(pl, "arrow_map", patched)
+    pl.learn(docs, known)
+    assert seen.value == 3 * sum(i % 3 for i in range(100))
