@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import langid, minhash, mixing, pseudolikelihood, quality, search, sentencepieces, simhash, suffixes, tokens
+from pricetrail.llm import langid, minhash, mixing, pseudolikelihood, quality, search, sentencepieces, simhash, suffixes, tokens, trie
 from pricetrail.llm.common import table
 from pricetrail.session import ship_package
 
@@ -93,6 +93,12 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir))
 
 
+@query
+def op12_trie(spark, sf_dir):
+    """Every prefix of the rebuilt conversations."""
+    return trie.trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
 ORACLES["op10_mixing"] = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -131,3 +137,35 @@ FROM sized s
 JOIN runs r ON s.source IS NOT DISTINCT FROM r.source AND s.h = r.h
 JOIN met m ON s.source IS NOT DISTINCT FROM m.source
 """
+
+# CRC-32 of the decimal id: bytes reflected, polynomial 0xEDB88320, eight steps for each byte.
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384::BIGINT * (xor(a, x) & 1))), 4294967295::BIGINT)"""
+
+ORACLES["op12_trie"] = rf"""
+WITH own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS base, ({_CRC32}) % 4 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.base),
+members AS (
+  SELECT conv_id, d, turns[1:d] AS path, len(turns) = d AS ends FROM rebuilt, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+nodes AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+         (count(*) - 1) * coalesce(len(regexp_extract_all(path[d].t, '[^\x20\x09-\x0D]+')), 0) AS saved
+  FROM members GROUP BY path, d),
+children AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.path = c.path),
+below AS (
+  SELECT path[1:k] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM known, LATERAL (SELECT unnest(range(depth + 1)) AS k) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM known n JOIN below b ON n.path = b.path LEFT JOIN known p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
