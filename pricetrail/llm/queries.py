@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import langid, minhash, mixing, pseudolikelihood, quality, search, sentencepieces, simhash, suffixes, tokens, trie
+from pricetrail.llm import embeddings, langid, minhash, mixing, negatives, pseudolikelihood, quality, search, sentencepieces, simhash, suffixes, tokens, trie
 from pricetrail.llm.common import table
 from pricetrail.session import ship_package
 
@@ -93,6 +93,18 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir))
 
 
+@query
+def op11_embeddings(spark, sf_dir):
+    """Links, class and whether it stays, of every vector."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_negatives(spark, sf_dir):
+    """Hard negatives of every vector whose id is divisible by 100."""
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 @query
 def op12_trie(spark, sf_dir):
     """Every prefix of the rebuilt conversations."""
@@ -169,3 +181,42 @@ below AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
 FROM known n JOIN below b ON n.path = b.path LEFT JOIN known p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
 """
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLES["op11_embeddings"] = rf"""
+WITH RECURSIVE plain AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+         coalesce({_USABLE}, false) AS ok
+  FROM embeddings),
+good AS (
+  SELECT n, vec_id, list_transform(v, lambda x: x / size) AS u
+  FROM (SELECT *, sqrt(list_dot_product(v, v)) AS size FROM plain WHERE ok) WHERE size > 0),
+links AS (
+  SELECT a.n AS a, b.n AS b FROM good a JOIN good b ON a.n <> b.n AND list_dot_product(a.u, b.u) >= 0.9),
+counts AS (SELECT a AS n, count(*) AS c FROM links GROUP BY a),
+reached(n, seen) AS (
+  SELECT n, n FROM good UNION SELECT r.n, l.b FROM reached r JOIN links l ON r.seen = l.a),
+least AS (SELECT r.n, min(p.vec_id) AS component_id FROM reached r JOIN plain p ON r.seen = p.n GROUP BY r.n)
+SELECT p.vec_id, coalesce(c.c, 0) AS n_links, CASE WHEN l.n IS NULL THEN p.vec_id ELSE l.component_id END AS component_id,
+       p.vec_id IS NOT DISTINCT FROM (CASE WHEN l.n IS NULL THEN p.vec_id ELSE l.component_id END) AS kept
+FROM plain p LEFT JOIN counts c ON p.n = c.n LEFT JOIN least l ON p.n = l.n
+"""
+
+ORACLES["op13_negatives"] = rf"""
+WITH part AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+scored AS (
+  SELECT a.n AS anchor, a.vec_id AS anchor_id, b.n, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM part a JOIN part b ON a.n <> b.n WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, n) <= 5),
+hits AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.vec_id NULLS LAST, s.n) AS rank
+  FROM positives p JOIN scored s
+    ON p.anchor = s.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM hits WHERE rank <= 5
+"""
