@@ -31,6 +31,18 @@ def held_out(folds: int, fold: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(True))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has."""
+    taken = {name.lower() for name in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 

@@ -6,6 +6,7 @@ is the product over its words. Piece probabilities are learned by expectation-ma
 """
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ ROUNDS = 2
 UNKNOWN = 1e-7
 #: Sums are scaled at every so many bytes, so that long words don't underflow.
 RESCALE = 16
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters of ``re`` are letters and numbers; digits aside, the numbers that aren't letters (as ½ or Ⅷ) are these.
+_NUMBERS = "".join(map(re.escape, (c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())))
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def letters(text: bytes) -> list[bytes]:
@@ -74,25 +77,31 @@ def expected_pieces(vocabulary: Vocabulary, words: list[bytes], counts: np.ndarr
     for places in by_length(words, 1 << 16):
         grid, lengths = matrix([words[i] for i in places])
         n, width = grid.shape
-        ahead, back, steps = np.zeros((width + 1, n)), np.zeros((width + 1, n)), []
+        # Forward sums are divided by ``tops`` at some places, so that long words don't underflow; a step over such a
+        # place loses that factor. Backward sums carry the inverse, so that the products of the two need no scaling.
+        ahead, back, steps, tops = np.zeros((width + vocabulary.longest + 1, n)), np.zeros((width + 1, n)), [], {}
         ahead[0] = 1
         for s in range(width):
+            if s and s % RESCALE == 0:
+                top = ahead[s : s + vocabulary.longest].max(axis=0)
+                top[(top == 0) | (lengths <= s)] = 1
+                ahead[s : s + vocabulary.longest] /= top
+                tops[s] = top
             for found, ends, rows, p in _steps(vocabulary, grid, lengths, s, column):
                 ahead[ends, rows] += ahead[s, rows] * p[:, 0]
                 steps.append((s, found, ends, rows, p[:, 0]))
         back[lengths, np.arange(n)] = counts[places] / np.maximum(ahead[lengths, np.arange(n)], 1e-300)
         for s, found, ends, rows, p in reversed(steps):
             later = p * back[ends, rows]
+            for at in range((s // RESCALE + 1) * RESCALE, int(np.max(ends)) + 1, RESCALE):
+                if at in tops:
+                    later = np.where(ends >= at, later / tops[at][rows], later)
             back[s, rows] += later
             if found is not None:
                 out += np.bincount(found, ahead[s, rows] * later, minlength=len(out))
     return out
 
 
-#: Learning skips runs of letters that are longer, whose sums would need scaling; predictions take all.
-LONGEST_LEARNED = 48
-
-
 def learn(docs: DataFrame, vocabulary: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log shares of documents, piece probabilities): from a bounded sample of each language's learning rows."""
     spark = docs.sparkSession
@@ -108,7 +117,7 @@ def learn(docs: DataFrame, vocabulary: Vocabulary) -> tuple[list[str], np.ndarra
         from collections import Counter
 
         for batch, texts in chunks(batches):
-            found = Counter((k, w) for k, t in zip(batch.column("lang").to_pylist(), texts) for w in letters(t) if len(w) <= LONGEST_LEARNED)
+            found = Counter((k, w) for k, t in zip(batch.column("lang").to_pylist(), texts) for w in letters(t))
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in keys]), pa.array([w for _, w in keys], pa.binary()), pa.array(list(found.values()), pa.int64())],

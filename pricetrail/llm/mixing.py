@@ -9,7 +9,7 @@ hash; nothing is sorted. Budgets nest: a larger budget of a source takes all tha
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrail.llm.common import stored
+from pricetrail.llm.common import free, stored
 
 #: A hash has 48 bits: four histogram levels of 12 bits.
 HASH_BITS, LEVEL_BITS = 48, 12
@@ -109,8 +109,10 @@ TIMES = "_whole + if(_hash < _threshold, 1, 0)"
 def times_taken(docs: DataFrame, name: str, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2)) -> DataFrame:
     """``docs`` with how often the mix takes each row. Rows without words count like others."""
     sized = stored(docs.select("source", id_hash().alias("_hash"), words(F.col("text")).alias("size")), "mix-sized")
-    rows = docs.withColumn("_hash", id_hash()).join(plan(sized, weights, share), F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn(name, F.expr(TIMES)).select(*docs.columns, name)
+    by_source = plan(sized, weights, share).select("_source", "_whole", "_threshold")
+    key, source, whole, threshold = free(docs.withColumn(name, F.lit(0)), "mix_hash", "mix_source", "mix_whole", "mix_threshold")
+    rows = docs.withColumn(key, id_hash()).join(by_source.toDF(source, whole, threshold), F.col("source").eqNullSafe(F.col(source)))
+    return rows.withColumn(name, F.col(whole) + F.when(F.col(key) < F.col(threshold), 1).otherwise(0)).select(*docs.columns, name)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2)) -> DataFrame:

@@ -53,14 +53,17 @@ def linked(fps: DataFrame) -> DataFrame:
     its others (65 at most) and no chain is lost. Every link is checked.
     """
     flips = F.expr(f"transform(sequence(0, {BITS}), i -> if(i = {BITS}, fp, fp ^ shiftleft(1L, i)))")
-    variants = fps.select("fp", F.explode(flips).alias("v"))
+    # Each row becomes 65: spread them first.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = fps.repartition(tasks, "fp").select("fp", F.explode(flips).alias("v"))
     least = variants.groupBy("v").agg(F.collect_set("fp").alias("near")).filter(F.size("near") > 1)
     pairs = least.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).filter("a <> b")
     return pairs.distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
 def classes(docs: DataFrame, shingle: int = 3, *more: str) -> DataFrame:
-    """(doc_id, fp, component_id, more columns): documents joined by chains of links, by the least doc_id of each.
+    """(doc_id, fp, component, component_id, more columns): documents joined by chains of links, by a fingerprint of
+    their own and by the least doc_id of each.
 
     Texts without words have fingerprint 0 and are linked like others. Repeated rows give a row each; null ids take
     part and are never the least one unless all are null; an empty table gives no rows.
@@ -71,5 +74,5 @@ def classes(docs: DataFrame, shingle: int = 3, *more: str) -> DataFrame:
     member = first.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     member = stored(member, "simhash-member")
     lowest = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    member = stored(member.select("fp", "component").join(lowest, "component").select("fp", "component_id"), "simhash-class")
+    member = stored(member.select("fp", "component").join(lowest, "component").select("fp", "component", "component_id"), "simhash-class")
     return rows.join(member, "fp")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.llm.common import NULL_ID, arrow_map, chunks, mixed, stored
+from pricetrail.llm.common import NULL_ID, arrow_map, chunks, free, mixed, stored
 from pricetrail.session import fresh_path
 
 LENGTH, SAMPLE = 200, 100
@@ -372,11 +372,12 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``: what repeats in each row's text, null where nothing does. ``text`` is compressed
-    binary, for it goes through a shuffle here."""
-    found = repeats(docs).withColumnsRenamed({"id": "_id", "same": "_same", "spans": "_spans"})
-    marked = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(NULL_ID)), "_s": F.xxhash64("text")})
+def with_spans(docs: DataFrame, spans: str) -> DataFrame:
+    """``docs`` with a column ``spans``: what repeats in each row's text, null where nothing does. ``text`` is
+    compressed binary, for it goes through a shuffle here."""
+    known, there, key, same = free(docs.withColumn(spans, F.lit(None)), "span_id", "span_same", "span_key", "span_hash")
+    found = repeats(docs.select("doc_id", "text")).withColumnsRenamed({"id": known, "same": there, "spans": spans})
+    marked = docs.withColumns({key: F.coalesce("doc_id", F.lit(NULL_ID)), same: F.xxhash64("text")})
     names = [n for n in marked.columns if n != "text"]
 
     def squeeze(parts):
@@ -387,8 +388,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "text")
     small = arrow_map(marked, squeeze, f"{schema}, text binary")
-    hit = (F.col("_i") == F.col("_id")) & (F.col("_s") == F.col("_same"))
-    return small.join(found, hit, "left").select(*docs.columns, "_spans")
+    hit = (F.col(key) == F.col(known)) & (F.col(same) == F.col(there))
+    return small.join(found, hit, "left").select(*docs.columns, spans)
 
 
 def _texts(parts):
@@ -424,26 +425,27 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return arrow_map(with_spans(docs.select("doc_id", "text")), run, schema)
+    return arrow_map(with_spans(docs.select("doc_id", "text"), "_spans"), run, schema)
 
 
-def rows_without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with what repeats cut from ``text``, whole characters at a time, and ``_lost``: was anything cut."""
+def rows_without_repeats(docs: DataFrame, lost: str) -> DataFrame:
+    """``docs`` with what repeats cut from ``text``, whole characters at a time, and a column ``lost``: was anything cut."""
+    (marks,) = free(docs, "spans")
 
     def run(batches):
         for batch, texts in _texts(batches):
             out = []
-            for was_null, text, spans in zip(batch.column("text").is_null().to_pylist(), texts, batch.column("_spans").to_pylist()):
+            for was_null, text, spans in zip(batch.column("text").is_null().to_pylist(), texts, batch.column(marks).to_pylist()):
                 runs = [(_character(text, a, -1), _character(text, b, 1)) for a, b in _merged(spans)]
                 runs = _merged([{"start": a, "end": b} for a, b in runs])
                 out.append(None if was_null else _kept(text, runs).decode())
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "_spans"}
+            columns = {n: batch.column(n) for n in batch.schema.names if n != marks}
             columns["text"] = pa.array(out, pa.string())
-            columns["_lost"] = batch.column("_spans").is_valid()
+            columns[lost] = batch.column(marks).is_valid()
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lost boolean"
-    return arrow_map(with_spans(docs), run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lost}` boolean"
+    return arrow_map(with_spans(docs, marks), run, schema)
 
 
 def _character(text: bytes, at: int, step: int) -> int:

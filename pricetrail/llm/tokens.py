@@ -36,8 +36,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # A special token's string in a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold the string of an added token are left to the library whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pretokens = Grown(self._merge, 600_000)
         self.first = Grown(lambda units: self._split(units), 50_000)
         self.later = Grown(lambda units: self._split([" " + u for u in units]), 400_000)
@@ -59,6 +60,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text."""
+        if self.added is None or not any(map(self.added.search, texts)):
+            return self._encode(texts)
+        odd = [n for n, t in enumerate(texts) if self.added.search(t)]
+        plain = iter(self._encode([t for t in texts if not self.added.search(t)]) if len(odd) < len(texts) else [])
+        whole = iter(self.tokenizer.encode_batch_fast([texts[n] for n in odd], add_special_tokens=False))
+        held = set(odd)
+        return [np.array(next(whole).ids, np.uint16) if n in held else next(plain) for n in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [_START.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         first, starts = _gathered(self.first, self.first.codes([u[0] for u in units]))
         codes = self.later.codes(list(chain.from_iterable(u[1:] for u in units)))

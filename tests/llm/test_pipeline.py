@@ -106,26 +106,19 @@ def test_stages(spark, made):
     assert Counter(map(key, kept.collect())) == +want and hash_of(None) != hash_of(1)
 
 
-def test_near_copies_from_0_8_on_go(spark):
-    rng = random.Random(11)
-    rows, kept = [], set()
-    for i, (size, edits) in enumerate([(200, 1), (200, 2), (200, 3), (200, 4), (1000, 5), (1000, 10), (1000, 20), (60, 1), (200, 0)] * 8):
-        text = words(rng, size).split()
-        copy = list(text)
-        for n in range(edits):
-            copy[(2 * n + 1) * size // (2 * edits)] = f"edit{i}"
-        if not edits:
-            copy = [w.upper() if w.isascii() else w for w in copy]
-        # Each edit takes five shingles of either side.
-        assert (size - 4 - 5 * edits) / (size - 4 + 5 * edits) >= 0.8
-        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
-        kept.add(2 * i)
-    for i in range(20):
-        text = words(rng, 200).split()
-        rows += [(1000 + 2 * i, " ".join(text)), (1001 + 2 * i, " ".join(text[:150] + words(rng, 50).split()))]
-        kept |= {1000 + 2 * i, 1001 + 2 * i}
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "", "") for i, t in rows], SCHEMA)
-    assert {r.doc_id for r in stages.near_copies(spark, docs, "").collect()} == kept
+CLASHES = "_id _hash _s _i _spans _lost _source _target _times _copy _score score times copy lost kept_row mix_hash span_id fp row component".split()
+
+
+def test_columns_with_clashing_names_come_back_unchanged(spark, made):
+    rows = [r for r in spark.read.parquet(f"{made}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    docs = spark.createDataFrame([(*r, *(f"{c}{n}" for c in CLASHES)) for n, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    known = {tuple(f"{c}{n}" for c in CLASHES) for n in range(len(rows))}
+    for stage in (stages.quality, stages.near_copies, stages.repeated_passages, stages.mixing):
+        out = stage(spark, docs, made)
+        assert out.columns == docs.columns
+        got = [tuple(r[c] for c in CLASHES) for r in out.select(*CLASHES).collect()]
+        assert got and set(got) <= known
+    assert "ids" in stages.pieces(spark, docs, made).columns
 
 
 def test_run_gives_every_kept_row_encoded(spark, made):

@@ -52,11 +52,10 @@ def test_files_against_the_library(spark, monkeypatch):
     path = vocabulary("byte_bpe_50k.json")
     rng = random.Random(1)
     texts = ["".join(rng.choices(["the", " ", "  ", "\n", "\t", "'s", "'", "42", "é", " ", "\x1c", ".", "***", "漢"], k=rng.randint(0, 80))) for _ in range(200)]
-    texts += [" lead", "trail ", " ", "\n ", "\n\n  x", "", "<|endoftext|> x", "word " * 30_000, "it's they'll 'll"]
+    texts += [" lead", "trail ", " ", "\n ", "\n\n  x", "", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>y  <|endoftext",  "word " * 30_000, "it's they'll 'll"]
     rows = [(i * 7, t) for i, t in enumerate(texts)] + [(7, "same id"), (None, "no id"), (5, None), (21, texts[3])]
     docs = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], SCHEMA).repartition(5)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, tokens.END], "<u4")
