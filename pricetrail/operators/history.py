@@ -124,8 +124,6 @@ def _counts(from_cents: np.ndarray, to_cents: np.ndarray) -> np.ndarray:
 
 def _heads(batch: pa.RecordBatch, cents: np.ndarray, stock: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write test and following case if a row is its key's first: it meets the stored last price, if any."""
-    if "_last_cents" not in batch.schema.names:
-        return np.ones(len(cents), dtype=bool), np.zeros(len(cents), dtype=np.int64)
     stored = batch.column("_last_cents").is_valid().to_numpy(zero_copy_only=False)
     last = batch.column("_last_cents").fill_null(0).to_numpy()
     last_stock = batch.column("last_stock").fill_null(True).to_numpy(zero_copy_only=False)
@@ -260,18 +258,28 @@ def change_history(
     ``observations`` need ``keys``, ``price`` decimal(10,2), ``is_in_stock`` and the ``order``
     columns (first of them the time). ``last`` is the output of ``last_written`` for what is stored
     already. Rows that do not come strictly behind the last one seen of their key are left out:
-    they change what follows them, so ``plans.store`` folds such keys again from all stored rows.
+    they change what follows them, so ``plans.store`` folds such keys again from a point before them.
     """
     order = order or ORDER
     names = observations.columns
     usable = observations.where(F.col("price").isNotNull() & F.col("is_in_stock").isNotNull())
+    if last is None:
+        return fold_rows(with_state(usable), keys, order).select(*names)
+    known = usable.join(last.select(*keys, "last_price", "last_stock", "last_seen"), keys, "left").where(~is_late(order))
+    return fold_rows(known.drop("last_seen"), keys, order).select(*names)
+
+
+def with_state(rows: DataFrame) -> DataFrame:
+    """Observations of products that have nothing written yet, as ``fold_rows`` takes them."""
+    return rows.withColumns({"last_price": F.lit(None).cast("decimal(10,2)"), "last_stock": F.lit(None).cast("boolean")})
+
+
+def fold_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Observations that get written; each row carries what was last written before (``last_price``, ``last_stock``)."""
+    names = [name for name in rows.columns if name not in ("last_price", "last_stock")]
     # Prices go through the fold as whole cents only; the decimal is made again behind it.
-    sent = [name for name in names if name != "price"] + ["_cents"]
-    in_cents = usable.withColumn("_cents", (F.col("price") * 100).cast("long"))
-    if last is not None:
-        in_cents = in_cents.join(last, keys, "left").where(~is_late(order))
-        in_cents = in_cents.withColumn("_last_cents", (F.col("last_price") * 100).cast("long"))
-        sent += ["_last_cents", "last_stock"]
+    sent = [name for name in names if name != "price"] + ["_cents", "_last_cents", "last_stock"]
+    in_cents = rows.withColumns({"_cents": (F.col("price") * 100).cast("long"), "_last_cents": (F.col("last_price") * 100).cast("long")})
     prepared = in_cents.select(*sent)
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in prepared.schema]

@@ -58,6 +58,15 @@ def get_or_create_shops(
     return created if shops is None else shops.unionByName(created)
 
 
+def with_url(offers: DataFrame, page_url: str = "page_url") -> DataFrame:
+    """Offers with ``shop_id``, and with the page's URL where they have none of their own."""
+    return offers.selectExpr(
+        *[c for c in offers.columns if c not in ("url", "shop_id")],
+        f"coalesce(url, {page_url}) AS url",
+        "shop_id" if "shop_id" in offers.columns else f"{shop_id('shop_base_url')} AS shop_id",
+    )
+
+
 def with_identity(offers: DataFrame, products: DataFrame | None = None, page_url: str = "page_url") -> DataFrame:
     """Offers with ``shop_id``, ``product_key``, ``product_id`` and the URL fallback.
 
@@ -65,11 +74,7 @@ def with_identity(offers: DataFrame, products: DataFrame | None = None, page_url
     first, then a stored one with id, then an offer with id of the same load. Only offers without
     id take part in that look-up.
     """
-    named = offers.selectExpr(
-        *[c for c in offers.columns if c not in ("url", "shop_id")],
-        f"coalesce(url, {page_url}) AS url",
-        "shop_id" if "shop_id" in offers.columns else f"{shop_id('shop_base_url')} AS shop_id",
-    )
+    named = with_url(offers, page_url)
     with_id = named.where("internal_product_id IS NOT NULL").selectExpr(
         "*", f"{product_key('internal_product_id', 'url')} AS product_key"
     )
@@ -83,6 +88,8 @@ def with_identity(offers: DataFrame, products: DataFrame | None = None, page_url
             "product_key",
         )
         known = known.unionByName(stored)
+    # Only URLs of offers without id are looked up; mostly there are none, and nothing more is shuffled.
+    known = known.join(without_id.select("shop_id", "url").distinct(), ["shop_id", "url"], "left_semi")
     by_url = known.groupBy("shop_id", "url").agg(F.min(F.struct("rank", "product_key")).alias("_known"))
     resolved = without_id.join(by_url, ["shop_id", "url"], "left").selectExpr(
         *named.columns, f"coalesce(_known.product_key, {product_key('NULL', 'url')}) AS product_key"

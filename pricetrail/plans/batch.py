@@ -1,8 +1,5 @@
 """One load from page snapshots to the stored tables."""
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +8,7 @@ from pricetrail.operators.history import ORDER
 from pricetrail.operators.responses import captured_pages, catalog_payloads, diagnostics
 from pricetrail.operators.routing import CATALOG_RULES, Rule
 from pricetrail.plans import store
-from pricetrail.session import scratch
-from pricetrail.sources import tables
+from pricetrail.session import fresh_path, scratch, side_by_side
 
 CAPTURE_RULES = [rule for rule in CATALOG_RULES if rule.name == "pyaterochka_catalog"]
 
@@ -28,6 +24,7 @@ def load_snapshots(
     more_offers: dict[str, str] | None = None,
     source: str = "batch",
     batch: int | None = None,
+    n_buckets: int = store.BUCKETS,
 ) -> int:
     """Load pages behind the newest committed version of the store at ``root``; returns the version.
 
@@ -36,33 +33,23 @@ def load_snapshots(
     nothing readers see, and the next one writes the same version again. A load whose ``source`` and
     ``batch`` number are committed already is not repeated; pages loaded again as something new add
     no products and no prices. Product pages and catalogues share one store. ``drop_copies`` keeps
-    one of several snapshots with equal URL and time; ``more_rules`` and ``more_offers`` add shops.
+    one of several snapshots with equal URL and time; ``more_rules`` and ``more_offers`` add shops. A new store gets
+    ``n_buckets`` key buckets; a load reads and writes those of its own products only.
     """
-    done = store.commits(spark, root)
-    for earlier in done:
-        if batch is not None and (earlier.source, earlier.batch) == (source, batch):
-            return earlier.version
-    before = done[-1].version if done else -1
-    version = before + 1
+    done = store.committed(store.state(spark, root), source, batch)
+    if done is not None:
+        return done
+    version = store.Load(spark, root, source, batch, n_buckets)
     with scratch(spark):
-        _load(spark, pages, root, version, before, done, kind, responses, drop_copies, more_rules, more_offers)
-        retracts = store.fold(spark, root, version, "offers", ["product_id"], ORDER, done)
-        offers = tables.read_version(spark, root, "offers", version)
-        products = tables.read_version(spark, root, "products", before)
-        written = tables.read_version(spark, root, "written", version)
-        _side_by_side(
-            lambda: tables.write_prices(load.price_rows(written), root, version),
-            lambda: tables.write_version(load.load_counters(offers, written, products), root, "counters", version),
-        )
-    store.commit(spark, root, version, source, batch, retracts)
-    return version
-
-
-def _load(spark, pages, root, version, before, done, kind, responses, drop_copies, more_rules, more_offers) -> None:
-    """Everything up to identified offers and upserted products."""
+        _load(version, pages, kind, responses, drop_copies, more_rules, more_offers)
+        return version.commit()
+
+
+def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules, more_offers) -> None:
+    spark = version.spark
     if responses is not None and kind == "catalog":
         captured = captured_pages(pages, responses, CAPTURE_RULES)
-        tables.write_version(diagnostics(captured, responses), root, "diagnostics", version)
+        version.append("diagnostics", diagnostics(captured, responses))
         pages = catalog_payloads(pages, responses, CAPTURE_RULES)
     if kind == "catalog":
         extracted = extract.extract_catalog(pages, more_rules, more_offers)
@@ -70,28 +57,69 @@ def _load(spark, pages, root, version, before, done, kind, responses, drop_copie
         extracted = extract.extract_product(pages, more_rules, more_offers)
     if drop_copies:
         extracted = without_copies(extracted)
-    tables.write_version(extracted, root, "extracted", version)
-    extracted = tables.read_version(spark, root, "extracted", version)
-    shops = tables.read_version(spark, root, "shops", before)
-    products = tables.read_version(spark, root, "products", before)
-
-    def write(name: str, make: Callable[[], DataFrame]) -> Callable[[], None]:
-        return lambda: tables.write_version(make(), root, name, version)
-
-    _side_by_side(
-        write("rejects", lambda: extract.rejects(extracted)),
-        write("shops", lambda: load.get_or_create_shops(extracted, shops, more_rules)),
-        write("offers", lambda: load.with_identity(extract.offers(extracted), products)),
+    path = fresh_path(spark, "extracted")
+    extracted.write.parquet(path)
+    extracted = spark.read.schema(extracted.schema).parquet(path)
+    _, _, offers = side_by_side(
+        lambda: version.append("rejects", extract.rejects(extracted)),
+        lambda: _store_shops(version, extracted, more_rules),
+        lambda: _store_offers(version, extract.offers(extracted)),
     )
-    offers = tables.read_version(spark, root, "offers", version)
-    tables.write_version(load.upsert_products(offers, products), root, "products", version)
+    touched = version.touched("offers")
+    before = version.current("products", touched)
+    _, written = side_by_side(
+        lambda: _store_products(version, offers, before, touched),
+        lambda: store.fold(version, offers, ["product_id"], ORDER),
+    )
+    version.append("counters", load.load_counters(offers, written, before))
+
+
+def _store_shops(version: store.Load, extracted: DataFrame, more_rules: list[Rule] | None) -> None:
+    """Shops are few: one new one makes the table anew, none leaves it."""
+    shops = store.in_buckets(version.spark, version.before, version.root, "shops")
+    if shops is None or not load.new_shops(extracted, shops, more_rules).isEmpty():
+        all_shops = load.get_or_create_shops(extracted, shops, more_rules)
+        touched = [r[0] for r in all_shops.select(store.bucket_of(["base_url"], version.n)).distinct().collect()]
+        version.replace("shops", all_shops, ["base_url"], touched)
+
+
+def _store_offers(version: store.Load, offers: DataFrame) -> DataFrame:
+    """Offers with the product that each one belongs to, by bucket of the product.
+
+    Products are looked up by URL for offers without id only, in the buckets of those URLs.
+    """
+    named = load.with_url(offers)
+    bare = named.where("internal_product_id IS NULL")
+    wanted = [r[0] for r in bare.select(store.bucket_of(URL_KEY, version.n)).distinct().collect()]
+    urls = version.current("urls", wanted) if wanted else None
+    found = load.with_identity(named, urls).withColumn(store.BUCKET, store.bucket_of(["product_id"], version.n))
+    return version.append("offers", found, [store.BUCKET])
+
+
+URL_KEY = ["shop_id", "url"]
 
 
-def _side_by_side(*writes: Callable[[], None]) -> None:
-    """Start writes that do not need each other at once, so the tail of one leaves no executor idle."""
-    with ThreadPoolExecutor(len(writes)) as pool:
-        for done in [pool.submit(write) for write in writes]:
-            done.result()
+def _store_products(version: store.Load, offers: DataFrame, before: DataFrame | None, touched: list[int]) -> None:
+    """The touched buckets of products, and of the look-up by URL those whose products are new or have moved."""
+    after = load.upsert_products(offers, before).drop("created")
+    after = version.replace("products", after, ["id"], touched)
+    held = ["shop_id", "url", "product_key", "internal_product_id"]
+    new, old = after.select(*held), None
+    if before is not None:
+        was = before.select("shop_id", "product_key", F.col("url").alias("_url"))
+        moved = after.select(*held).join(was, load.PRODUCT_KEY, "left").where("NOT url <=> _url")
+        path = fresh_path(version.spark, "moved")
+        moved.write.parquet(path)
+        moved = version.spark.read.schema(moved.schema).parquet(path)
+        new, old = moved.select(*held), moved.where("_url IS NOT NULL").select("shop_id", F.col("_url").alias("url"), "product_key")
+    places = new.select(*URL_KEY) if old is None else new.select(*URL_KEY).unionByName(old.select(*URL_KEY))
+    wanted = [r[0] for r in places.select(store.bucket_of(URL_KEY, version.n)).distinct().collect()]
+    if not wanted:
+        return
+    stay = version.current("urls", wanted)
+    if stay is not None:
+        new = new.unionByName(stay.join(old, [*URL_KEY, "product_key"], "left_anti").select(*held) if old is not None else stay.select(*held))
+    version.replace("urls", new, URL_KEY, wanted)
 
 
 def without_copies(extracted: DataFrame) -> DataFrame:

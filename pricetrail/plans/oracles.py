@@ -418,3 +418,42 @@ FROM written w JOIN names n ON w.shop_base_url = n.shop_base_url AND w.product_k
 ORACLES["snapshots_read_back"] = ORACLES["magnit_catalog_offers"]
 ORACLES["streamed_offers"] = ORACLES["magnit_product_offers"]
 ORACLES["streamed_history"] = ORACLES["change_history_one_cent_steps"]
+
+ORACLES["small_load_into_large_store"] = _LOADED
+ORACLES["late_rows_in_a_long_history"] = ORACLES["change_history_one_cent_steps"]
+ORACLES["load_rejects"] = ORACLES["loaded_and_failed_pages"]
+ORACLES["load_diagnostics"] = ORACLES["capture_report"]
+ORACLES["product_pages_loaded"] = f"""
+WITH offers AS (
+  SELECT * EXCLUDE (url), 'https://magnit.ru/product/' || p_partkey || '/?shopCode=1' AS url
+  FROM ({ORACLES["magnit_product_offers"].replace("SELECT 'https", "SELECT p_partkey, 'https", 1)})),
+newest AS (
+  SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY internal_product_id ORDER BY url DESC) = 1)
+SELECT n.name, o.price, n.url, o.internal_product_id, n.manufacturer_code, o.is_in_stock
+FROM offers o JOIN newest n ON o.internal_product_id = n.internal_product_id"""
+
+ORACLES["price_as_of"] = f"""
+WITH p AS (
+  SELECT CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE product_id END AS product_id, price, is_in_stock, parsed_at, l_orderkey, l_suppkey, l_linenumber
+  FROM ({_PRICES})),
+newest AS (
+  SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY product_id, parsed_at ORDER BY {_PRICE_ORDER.format(d="DESC")}) = 1),
+asked AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE o_custkey END AS product_id, CAST(o_orderdate AS TIMESTAMP) AS at FROM orders)
+SELECT q.o_orderkey, q.product_id, q.at, n.parsed_at, CAST(n.price AS DOUBLE) AS price, n.is_in_stock
+FROM asked q ASOF LEFT JOIN newest n ON q.product_id = n.product_id AND q.at >= n.parsed_at"""
+
+ORACLES["similar_products"] = """
+WITH RECURSIVE named AS (
+  SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || lower(p_type) || ' ' || (p_size % 5) ||
+    CASE p_partkey % 3 WHEN 0 THEN ' new' WHEN 1 THEN ' super offer' ELSE '' END), '[^a-z0-9]+'), lambda w: w <> ''))) AS words
+  FROM part),
+kinds AS (SELECT words, min(p.id) AS kind, len(words) AS n FROM named p GROUP BY words),
+tokens AS (SELECT kind, n, unnest(words) AS w FROM kinds),
+links AS (
+  SELECT a.kind AS a, b.kind AS b FROM tokens a JOIN tokens b ON a.w = b.w AND a.kind <> b.kind
+  GROUP BY a.kind, b.kind, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+reached(kind, seen) AS (SELECT kind, kind FROM kinds UNION SELECT r.kind, l.b FROM reached r JOIN links l ON r.seen = l.a),
+least AS (SELECT kind, min(seen) AS group_id FROM reached GROUP BY kind),
+members AS (SELECT p.id, l.group_id FROM named p JOIN kinds k ON p.words = k.words JOIN least l ON k.kind = l.kind)
+SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM members"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetrail.functions import html, text, urls
-from pricetrail.operators import analytics, extract, load, relations, responses, routing
+from pricetrail.operators import analytics, asof, extract, load, relations, responses, routing, similar
 from pricetrail.operators.history import change_history, is_change, last_written
 from pricetrail.plans import shapes, store
 from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
@@ -671,3 +671,86 @@ def product_and_catalog_streams_in_one_store(spark, sf_dir):
     pages = shapes.magnit_product_pages(_stream(spark, sf_dir, "part", 2))
     jobs.stream_load(pages, root, f"{root}/checkpoint-product", "product").awaitTermination()
     return _loaded_out(spark, root)
+
+
+# --- what loads keep -------------------------------------------------------------------------
+
+
+@query
+def small_load_into_large_store(spark, sf_dir):
+    """Pages of a few products, loaded behind all others: their buckets alone are written again; then files are merged."""
+    pages = shapes.event_pages(table(spark, sf_dir, "events"))
+    root = fresh_path(spark, "large-store")
+    few = F.regexp_extract("page_url", r"(\d+)", 1).cast("int") % 100 == 7
+    load_snapshots(spark, pages.where(~few), root)
+    load_snapshots(spark, pages.where(few & F.expr("fetched_at < '2024-01-20'")), root)
+    load_snapshots(spark, pages.where(few & F.expr("fetched_at >= '2024-01-20'")), root)
+    store.compact(spark, root, 2)
+    return _loaded_out(spark, root)
+
+
+@query
+def late_rows_in_a_long_history(spark, sf_dir):
+    """Every fifth observation comes after all others; products fold again from the day before it, as far as needed."""
+    seen = _kept(shapes.observations(table(spark, sf_dir, "events"), shapes.THRESHOLD_PRICE), "observations")
+    root = fresh_path(spark, "late-rows")
+    behind = F.pmod(F.xxhash64("user_id", "observed_at"), F.lit(5)) == 0
+    for part in (seen.where(~behind), seen.where(behind)):
+        version = store.Load(spark, root)
+        store.fold(version, part, ["user_id"], ["observed_at"], "yyyy-MM-dd")
+        version.commit()
+    return _history_out(store.read_written(spark, root))
+
+
+@query
+def load_rejects(spark, sf_dir):
+    """Pages that a load set aside, as its store tells."""
+    pages = shapes.raw_pages(table(spark, sf_dir, "pages"))
+    as_shop = pages.withColumn(
+        "page_url", F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("https://magnit.ru/catalog/"), "page_id")).otherwise(F.col("page_url"))
+    )
+    root = fresh_path(spark, "rejected")
+    load_snapshots(spark, as_shop.drop("page_id"), root)
+    return store.read(spark, root, "rejects").selectExpr("page_url", *_plain_time("fetched_at"), "stage", "reason")
+
+
+@query
+def load_diagnostics(spark, sf_dir):
+    """The report on captured responses, as a load's store tells."""
+    events = table(spark, sf_dir, "events")
+    root = fresh_path(spark, "captured")
+    load_snapshots(spark, shapes.capture_pages(events), root, responses=shapes.captured_responses(events))
+    return store.read(spark, root, "diagnostics").selectExpr("page_url", *_plain_time("fetched_at"), "line_no", "label", "text")
+
+
+@query
+def product_pages_loaded(spark, sf_dir):
+    """Product pages through a whole load; their URL is the page's, for they name none."""
+    root = fresh_path(spark, "product-pages")
+    load_snapshots(spark, shapes.magnit_product_pages(table(spark, sf_dir, "part")), root, "product")
+    prices = store.read_prices(spark, root).selectExpr("product_id AS id", "price", "is_in_stock")
+    return store.read(spark, root, "products").join(prices, "id").selectExpr(
+        "name", *_double("price"), "url", "internal_product_id", "manufacturer_code", "is_in_stock"
+    )
+
+
+# --- across shops and times ------------------------------------------------------------------
+
+
+@query
+def price_as_of(spark, sf_dir):
+    """What did a product cost on the day of an order? One product has half of the prices and of the questions."""
+    hot = "CASE WHEN {0} % 2 = 0 THEN 1 ELSE {1} END AS product_id"
+    prices = shapes.prices(table(spark, sf_dir, "lineitem")).selectExpr(
+        hot.format("l_orderkey", "product_id"), "price", "is_in_stock", "parsed_at", "l_orderkey", "l_suppkey", "l_linenumber"
+    )
+    asked = table(spark, sf_dir, "orders").selectExpr("o_orderkey", hot.format("o_orderkey", "o_custkey"), "o_orderdate AS at")
+    return asof.price_as_of(prices, asked, order=shapes.PRICE_ORDER).selectExpr(
+        "o_orderkey", "product_id", *_plain_time("at", "parsed_at"), *_double("price"), "is_in_stock"
+    )
+
+
+@query
+def similar_products(spark, sf_dir):
+    """Products of all shops whose names have most words in common."""
+    return similar.similar_products(shapes.named_products(table(spark, sf_dir, "part")))

@@ -277,3 +277,12 @@ def prices(lineitem: DataFrame) -> DataFrame:
         "l_suppkey",
         "l_linenumber",
     )
+
+
+def named_products(part: DataFrame) -> DataFrame:
+    """Products with the longer names that shops give them, a word or two more or less."""
+    return part.selectExpr(
+        "p_partkey AS id",
+        "concat(p_name, ' ', p_brand, ' ', lower(p_type), ' ', p_size % 5,"
+        " CASE p_partkey % 3 WHEN 0 THEN ' new' WHEN 1 THEN ' super offer' ELSE '' END) AS name",
+    )

@@ -3,8 +3,10 @@
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -42,28 +44,36 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    for paths in _scopes:
+    for paths in _scopes.get():
         paths.append(path)
     return path
 
 
-_scopes: list[list[str]] = []
+#: Lists of paths of the open scopes. Each thread has its own, so loads side by side in one driver don't meet.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables made inside are removed at the end: results must be stored by then."""
+    """Intermediate tables that this thread, or one of ``side_by_side``, makes inside are removed at the end: results
+    must be stored by then."""
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        _scopes[:] = [scope for scope in _scopes if scope is not paths]
+        _scopes.reset(token)
         for path in paths:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def side_by_side(*jobs: Callable) -> list:
+    """Results of jobs that do not need each other, started at once, so the tail of one leaves no executor idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(copy_context().run, job) for job in jobs]]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application."""
     shipped = spark.conf.get("pricetrail.shipped", None)

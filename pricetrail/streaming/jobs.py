@@ -16,7 +16,6 @@ from pricetrail.operators.routing import Rule
 from pricetrail.plans import store
 from pricetrail.plans.batch import load_snapshots
 from pricetrail.session import scratch
-from pricetrail.sources import tables
 
 
 def extracted_stream(pages: DataFrame, kind: str = "catalog", delay: str = "1 day") -> DataFrame:
@@ -74,14 +73,14 @@ def stream_history(
     spark = observations.sparkSession
 
     def load(batch: DataFrame, number: int) -> None:
-        done, source = store.commits(spark, root), _query_id(batch, checkpoint)
-        if any((c.source, c.batch) == (source, number) for c in done):
+        source = _query_id(batch, checkpoint)
+        if store.committed(store.state(spark, root), source, number) is not None:
             return
-        version = done[-1].version + 1 if done else 0
+        version = store.Load(spark, root, source, number)
         with scratch(spark):
-            tables.write_version(batch, root, "observed", version)
-            retracts = store.fold(spark, root, version, "observed", keys, order, done)
-        store.commit(spark, root, version, source, number, retracts)
+            store.fold(version, batch, keys, order)
+            version.commit()
+        store.compact(spark, root)
 
     return _per_batch(observations, load, checkpoint)
 
@@ -105,5 +104,6 @@ def stream_load(
     def load(batch: DataFrame, number: int) -> None:
         source = _query_id(batch, checkpoint)
         load_snapshots(spark, batch, root, kind, responses, True, more_rules, more_offers, source, number)
+        store.compact(spark, root)
 
     return _per_batch(pages, load, checkpoint)

@@ -26,7 +26,7 @@ def frame(spark, *rows):
 
 def stored_prices(spark, root, version):
     joined = relations.products_with_prices(
-        tables.read_version(spark, root, "products", version), store.read_prices(spark, root)
+        store.read(spark, root, "products", version), store.read_prices(spark, root)
     )
     return sorted((r.internal_product_id, r.parsed_at.hour, r.price) for r in joined.collect())
 
@@ -45,15 +45,15 @@ def test_load_and_replay(spark, tmp_path):
     expected = [("11", 0, Decimal("10.00")), ("12", 0, Decimal("20.00")), ("12", 1, Decimal("25.00"))]
     assert stored_prices(spark, root, 0) == expected
     # A shop exists even when its page did not load.
-    shops = {r.base_url for r in tables.read_version(spark, root, "shops", 0).collect()}
+    shops = {r.base_url for r in store.read(spark, root, "shops", 0).collect()}
     assert shops == {"https://magnit.ru", "https://www.perekrestok.ru"}
-    stages = {(r.page_url, r.stage) for r in tables.read_version(spark, root, "rejects", 0).collect()}
+    stages = {(r.page_url, r.stage) for r in store.read(spark, root, "rejects", 0).collect()}
     assert stages == {
         ("https://magnit.ru/catalog/empty", "extract"), ("https://example.com/", "route"), ("https://www.perekrestok.ru/cat/1", "http")
     }
     counters = {
         (r.observed_at.hour, r.offers_found, r.products_created, r.history_rows)
-        for r in tables.read_version(spark, root, "counters", 0).collect()
+        for r in store.read(spark, root, "counters", 0).collect()
     }
     assert counters == {(0, 2, 2, 2), (1, 2, 0, 1)}
 
@@ -61,7 +61,7 @@ def test_load_and_replay(spark, tmp_path):
     assert stored_prices(spark, root, 1) == expected
     load_snapshots(spark, frame(spark, magnit(3, ("11", "Чай новый", "9"))), root)
     assert stored_prices(spark, root, 2) == [expected[0], ("11", 3, Decimal("9.00")), *expected[1:]]
-    products = {r.internal_product_id: r for r in tables.read_version(spark, root, "products", 2).collect()}
+    products = {r.internal_product_id: r for r in store.read(spark, root, "products", 2).collect()}
     assert products["11"].name == "Чай новый" and products["12"].name == "Кофе"
     assert products["11"].created_at == T0 and products["11"].updated_at == T0 + timedelta(hours=3)
 
@@ -73,13 +73,13 @@ def test_same_product_twice_in_a_page_is_taken_in_sequence(spark, tmp_path):
     page = ("https://5ka.ru/catalog/1/", T0, 200, "application/json", body)
     load_snapshots(spark, frame(spark, page), str(tmp_path))
     assert [p for _, _, p in stored_prices(spark, str(tmp_path), 0)] == [10, 10, 12]
-    assert [r.name for r in tables.read_version(spark, str(tmp_path), "products", 0).collect()] == ["n10"]
+    assert [r.name for r in store.read(spark, str(tmp_path), "products", 0).collect()] == ["n10"]
 
 
 def test_copies_of_a_snapshot_count_once(spark, tmp_path):
     page = magnit(0, ("11", "Чай", "10"))
     load_snapshots(spark, frame(spark, *[page] * 50), str(tmp_path), drop_copies=True)
-    counters = tables.read_version(spark, str(tmp_path), "counters", 0).collect()
+    counters = store.read(spark, str(tmp_path), "counters", 0).collect()
     assert [(r.offers_found, r.products_created, r.history_rows) for r in counters] == [(1, 1, 1)]
 
 
@@ -135,7 +135,7 @@ def test_captured_catalogue(spark, tmp_path):
     )
     load_snapshots(spark, pages, str(tmp_path), responses=answers)
     assert [p for _, _, p in stored_prices(spark, str(tmp_path), 0)] == [3, 5]
-    reasons = {r.fetched_at.hour: r.reason for r in tables.read_version(spark, str(tmp_path), "rejects", 0).collect()}
+    reasons = {r.fetched_at.hour: r.reason for r in store.read(spark, str(tmp_path), "rejects", 0).collect()}
     assert reasons == {
         1: "page is blocked before the catalogue loads",
         2: "catalogue API is blocked after the page loads",
