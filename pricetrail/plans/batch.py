@@ -30,15 +30,15 @@ def load_snapshots(
 
     Extraction is written once and read by every later step: pages are parsed a single time, and a
     lost executor costs a re-read, not a re-parse. The commit comes last: a load that fails leaves
-    nothing readers see, and the next one writes the same version again. A load whose ``source`` and
+    nothing readers see, and the next one writes the same version number. A load whose ``source`` and
     ``batch`` number are committed already is not repeated; pages loaded again as something new add
     no products and no prices. Product pages and catalogues share one store. ``drop_copies`` keeps
     one of several snapshots with equal URL and time; ``more_rules`` and ``more_offers`` add shops. A new store gets
     ``n_buckets`` key buckets; a load reads and writes those of its own products only.
     """
-    done = store.committed(store.state(spark, root), source, batch)
-    if done is not None:
-        return done
+    before = store.state(spark, root)
+    if store.committed(before, source, batch):
+        return before.version
     version = store.Load(spark, root, source, batch, n_buckets)
     with scratch(spark):
         _load(version, pages, kind, responses, drop_copies, more_rules, more_offers)
@@ -67,11 +67,12 @@ def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules,
     )
     touched = version.touched("offers")
     before = version.current("products", touched)
-    _, written = side_by_side(
+    side_by_side(
         lambda: _store_products(version, offers, before, touched),
-        lambda: store.fold(version, offers, ["product_id"], ORDER),
+        lambda: store.fold(
+            version, offers, ["product_id"], ORDER, beside=lambda written: version.append("counters", load.load_counters(offers, written, before))
+        ),
     )
-    version.append("counters", load.load_counters(offers, written, before))
 
 
 def _store_shops(version: store.Load, extracted: DataFrame, more_rules: list[Rule] | None) -> None:

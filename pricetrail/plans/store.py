@@ -19,6 +19,7 @@ a replay adds nothing.
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetrail.operators.history import fold_rows, is_late, order_key, with_state
-from pricetrail.session import fresh_path
+from pricetrail.session import fresh_path, side_by_side
 from pricetrail.sources import files
 
 ROW, SLICE, BUCKET, PART = "row_id", "slice", "bucket", "part"
@@ -45,13 +46,13 @@ class ConcurrentLoad(RuntimeError):
 
 @dataclass
 class Commit:
-    """State of the store: newest batch of each source, current folder of each bucket, folders of appended tables."""
+    """State of the store: ranges of batches of each source, current folder of each bucket, folders of appended tables."""
 
     version: int = -1
     source: str = ""
     batch: int | None = None
     n_buckets: int = BUCKETS
-    sources: dict[str, list[int]] = field(default_factory=dict)
+    sources: dict[str, list[list[int]]] = field(default_factory=dict)
     buckets: dict[str, list[str | None]] = field(default_factory=dict)
     folders: dict[str, list[str]] = field(default_factory=dict)
     schemas: dict[str, str] = field(default_factory=dict)
@@ -84,11 +85,20 @@ def latest(spark: SparkSession, root: str) -> int:
     return max(_versions(spark, root), default=-1)
 
 
-def committed(done: Commit, source: str, batch: int | None) -> int | None:
-    """The version that holds a source's batch, if it is loaded already."""
-    if batch is None or source not in done.sources or batch > done.sources[source][0]:
-        return None
-    return done.sources[source][1]
+def committed(done: Commit, source: str, batch: int | None) -> bool:
+    """Is this batch of the source loaded already?"""
+    return batch is not None and any(first <= batch <= last for first, last in done.sources.get(source, []))
+
+
+def _with_batch(ranges: list[list[int]], batch: int) -> list[list[int]]:
+    """Ranges of batch numbers with one more; neighbours are joined, so a stream's batches are one range."""
+    out: list[list[int]] = []
+    for first, last in sorted([*ranges, [batch, batch]]):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return out
 
 
 def bucket_of(keys: list[str], n: int) -> Column:
@@ -220,7 +230,7 @@ class Load:
     def commit(self) -> int:
         sources = dict(self.before.sources)
         if self.batch is not None:
-            sources[self.source] = [self.batch, self.version]
+            sources[self.source] = _with_batch(sources.get(self.source, []), self.batch)
         done = Commit(self.version, self.source, self.batch, self.n, sources, self.buckets, self.folders, self.schemas)
         if not files.write_new(self.spark, _commit_path(self.root, self.version), json.dumps(asdict(done))):
             raise ConcurrentLoad(f"version {self.version} of {self.root} was committed by another load")
@@ -253,10 +263,13 @@ def _points(written: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return by_slice.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 
-def fold(load: Load, rows: DataFrame, keys: list[str], order: list[str], time_slices: str = SLICE_FORMAT) -> DataFrame:
+def fold(
+    load: Load, rows: DataFrame, keys: list[str], order: list[str], time_slices: str = SLICE_FORMAT, beside: Callable[[DataFrame], object] | None = None
+) -> DataFrame:
     """Add observations to the history: ``observed``, ``written``, ``last_prices`` and, where rows came late, ``retracted``.
 
-    ``rows`` are stored already, with ``keys``, ``order``, ``price`` and ``is_in_stock``. Returns the rows written.
+    ``rows`` are stored already, with ``keys``, ``order``, ``price`` and ``is_in_stock``. Returns the rows written;
+    ``beside`` is called with them while the state is written.
     """
     narrow = [*keys, *order, *_SAME]
     usable = rows.select(*narrow).where("price IS NOT NULL AND is_in_stock IS NOT NULL")
@@ -311,7 +324,8 @@ def fold(load: Load, rows: DataFrame, keys: list[str], order: list[str], time_sl
         F.col("_seen").alias("last_seen"),
         F.col("_points").alias("points"),
     )
-    load.replace("last_prices", current, keys, touched)
+    jobs = [lambda: load.replace("last_prices", current, keys, touched)]
+    side_by_side(*jobs, *([lambda: beside(written)] if beside else []))
     return written
 
 

@@ -74,7 +74,7 @@ def stream_history(
 
     def load(batch: DataFrame, number: int) -> None:
         source = _query_id(batch, checkpoint)
-        if store.committed(store.state(spark, root), source, number) is not None:
+        if store.committed(store.state(spark, root), source, number):
             return
         version = store.Load(spark, root, source, number)
         with scratch(spark):

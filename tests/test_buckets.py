@@ -107,7 +107,7 @@ def test_fewer_files_after_compaction(spark, tmp_path):
     assert store.remove_unread(spark, root)
     assert set(files_of(root, "written")) < set(before) and state(spark, root) == want
     # Batches are known still, and later loads go on.
-    assert load_snapshots(spark, frame(spark, PAGES[0]), root, source="s", batch=1) == 1 and store.latest(spark, root) == len(PAGES)
+    assert load_snapshots(spark, frame(spark, PAGES[0]), root, source="s", batch=1) == len(PAGES) and store.latest(spark, root) == len(PAGES)
     load_snapshots(spark, frame(spark, page(2, ("12", "Кофе", 30), at="https://magnit.ru/catalog/3-z")), root)
     load_snapshots(spark, frame(spark, *PAGES, page(2, ("12", "Кофе", 30), at="https://magnit.ru/catalog/3-z")), str(tmp_path / "one"))
     assert state(spark, root) == state(spark, str(tmp_path / "one"))
