@@ -7,6 +7,7 @@ from pricetrail.operators import extract, load
 from pricetrail.operators.history import ORDER
 from pricetrail.operators.responses import captured_pages, catalog_payloads, diagnostics
 from pricetrail.operators.routing import CATALOG_RULES, Rule
+from pricetrail.operators.similar import name_words
 from pricetrail.plans import store
 from pricetrail.session import fresh_path, scratch, side_by_side
 
@@ -25,6 +26,7 @@ def load_snapshots(
     source: str = "batch",
     batch: int | None = None,
     n_buckets: int = store.BUCKETS,
+    index_words: bool = False,
 ) -> int:
     """Load pages behind the newest committed version of the store at ``root``; returns the version.
 
@@ -34,18 +36,20 @@ def load_snapshots(
     ``batch`` number are committed already is not repeated; pages loaded again as something new add
     no products and no prices. Product pages and catalogues share one store. ``drop_copies`` keeps
     one of several snapshots with equal URL and time; ``more_rules`` and ``more_offers`` add shops. A new store gets
-    ``n_buckets`` key buckets; a load reads and writes those of its own products only.
+    ``n_buckets`` key buckets; a load reads and writes those of its own products only. With ``index_words`` the store
+    keeps the words of product names from then on, for ``store.search``. Of snapshots of one page and time that differ,
+    ``drop_copies`` leaves a reject.
     """
     before = store.state(spark, root)
     if store.committed(before, source, batch):
         return before.version
     version = store.Load(spark, root, source, batch, n_buckets)
     with scratch(spark):
-        _load(version, pages, kind, responses, drop_copies, more_rules, more_offers)
+        _load(version, pages, kind, responses, drop_copies, more_rules, more_offers, index_words)
         return version.commit()
 
 
-def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules, more_offers) -> None:
+def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules, more_offers, index_words) -> None:
     spark = version.spark
     if responses is not None and kind == "catalog":
         captured = captured_pages(pages, responses, CAPTURE_RULES)
@@ -55,20 +59,26 @@ def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules,
         extracted = extract.extract_catalog(pages, more_rules, more_offers)
     else:
         extracted = extract.extract_product(pages, more_rules, more_offers)
-    if drop_copies:
-        extracted = without_copies(extracted)
     path = fresh_path(spark, "extracted")
     extracted.write.parquet(path)
     extracted = spark.read.schema(extracted.schema).parquet(path)
+    set_aside = extract.rejects(extracted)
+    if drop_copies:
+        differing = differing_copies(extracted)
+        extracted = without_copies(extracted)
+        path = fresh_path(spark, "extracted")
+        extracted.write.parquet(path)
+        extracted = spark.read.schema(extracted.schema).parquet(path)
+        set_aside = extract.rejects(extracted).unionByName(differing)
     _, _, offers = side_by_side(
-        lambda: version.append("rejects", extract.rejects(extracted)),
+        lambda: version.append("rejects", set_aside),
         lambda: _store_shops(version, extracted, more_rules),
         lambda: _store_offers(version, extract.offers(extracted)),
     )
     touched = version.touched("offers")
     before = version.current("products", touched)
     side_by_side(
-        lambda: _store_products(version, offers, before, touched),
+        lambda: _store_products(version, offers, before, touched, index_words),
         lambda: store.fold(
             version, offers, ["product_id"], ORDER, beside=lambda written: version.append("counters", load.load_counters(offers, written, before))
         ),
@@ -100,32 +110,57 @@ def _store_offers(version: store.Load, offers: DataFrame) -> DataFrame:
 URL_KEY = ["shop_id", "url"]
 
 
-def _store_products(version: store.Load, offers: DataFrame, before: DataFrame | None, touched: list[int]) -> None:
-    """The touched buckets of products, and of the look-up by URL those whose products are new or have moved."""
+def _store_products(version: store.Load, offers: DataFrame, before: DataFrame | None, touched: list[int], words: bool) -> None:
+    """The touched buckets of products, and of the look-ups by URL and by word those that new or changed products are in."""
     after = load.upsert_products(offers, before).drop("created")
     after = version.replace("products", after, ["id"], touched)
-    held = ["shop_id", "url", "product_key", "internal_product_id"]
-    new, old = after.select(*held), None
+    held = ["id", "name", "shop_id", "url", "product_key", "internal_product_id"]
     if before is not None:
-        was = before.select("shop_id", "product_key", F.col("url").alias("_url"))
-        moved = after.select(*held).join(was, load.PRODUCT_KEY, "left").where("NOT url <=> _url")
-        path = fresh_path(version.spark, "moved")
-        moved.write.parquet(path)
-        moved = version.spark.read.schema(moved.schema).parquet(path)
-        new, old = moved.select(*held), moved.where("_url IS NOT NULL").select("shop_id", F.col("_url").alias("url"), "product_key")
-    places = new.select(*URL_KEY) if old is None else new.select(*URL_KEY).unionByName(old.select(*URL_KEY))
-    wanted = [r[0] for r in places.select(store.bucket_of(URL_KEY, version.n)).distinct().collect()]
+        was = before.select("id", F.col("name").alias("_name"), F.col("url").alias("_url"), F.lit(True).alias("_was"))
+        changed = after.select(*held).join(was, "id", "left").where("NOT url <=> _url OR NOT name <=> _name")
+        path = fresh_path(version.spark, "changed")
+        changed.write.parquet(path)
+        changed = version.spark.read.schema(changed.schema).parquet(path)
+    else:
+        changed = after.select(*held).withColumns({"_name": F.lit(None).cast("string"), "_url": F.lit(None).cast("string"), "_was": F.lit(None).cast("boolean")})
+    urls, moved = ["shop_id", "url", "product_key", "internal_product_id"], changed.where("NOT url <=> _url")
+    gone = changed.where("_was AND NOT url <=> _url").select("shop_id", F.col("_url").alias("url"), "product_key")
+    jobs = [lambda: _look_up(version, "urls", URL_KEY, moved.select(*urls), gone)]
+    # A store that has the words of names keeps them.
+    if words or "words" in version.before.buckets:
+        named = changed.where("NOT name <=> _name")
+        new, old = (named.select("id", F.explode(F.expr(name_words(c))).alias("word")) for c in ("name", "_name"))
+        jobs.append(lambda: _look_up(version, "words", ["word"], new, old))
+    side_by_side(*jobs)
+
+
+def _look_up(version: store.Load, table: str, key: list[str], new: DataFrame, gone: DataFrame) -> None:
+    """Rows of a look-up table: ``gone`` ones leave their buckets, ``new`` ones come to theirs."""
+    places = new.select(*key).unionByName(gone.select(*key))
+    wanted = [r[0] for r in places.select(store.bucket_of(key, version.n)).distinct().collect()]
     if not wanted:
         return
-    stay = version.current("urls", wanted)
+    stay = version.current(table, wanted)
     if stay is not None:
-        new = new.unionByName(stay.join(old, [*URL_KEY, "product_key"], "left_anti").select(*held) if old is not None else stay.select(*held))
-    version.replace("urls", new, URL_KEY, wanted)
+        new = new.unionByName(stay.join(gone, gone.columns, "left_anti").select(new.columns))
+    version.replace(table, new, key, wanted)
+
+
+_COPY = ["stage", "reason", "rule", "shop_base_url"]
 
 
 def without_copies(extracted: DataFrame) -> DataFrame:
-    """One row per page and time. Reduced before the shuffle, so a page with many copies is no hot spot;
-    of differing copies a good one wins over a reject."""
-    rest = ["stage", "reason", "rule", "shop_base_url", "offers"]
-    one = extracted.groupBy("page_url", "fetched_at").agg(F.min(F.struct(*rest)).alias("_one"))
-    return one.select("page_url", "fetched_at", "_one.*").select(extracted.columns)
+    """One row per page and time. Reduced before the shuffle, so a page with many copies is no hot spot.
+
+    Of differing copies a good one wins over a reject, and one with more offers over one with fewer.
+    """
+    one = F.min(F.struct(*_COPY, (-F.coalesce(F.size("offers"), F.lit(0))).alias("_n"), "offers"))
+    found = extracted.groupBy("page_url", "fetched_at").agg(one.alias("_one"))
+    return found.select("page_url", "fetched_at", "_one.*").select(extracted.columns)
+
+
+def differing_copies(extracted: DataFrame) -> DataFrame:
+    """A reject for each page and time whose snapshots are not all alike: what the others say is not loaded."""
+    kind = F.xxhash64(*_COPY, "offers")
+    found = extracted.groupBy("page_url", "fetched_at").agg(F.min(kind).alias("a"), F.max(kind).alias("b")).where("a <> b")
+    return found.selectExpr("page_url", "fetched_at", "'copy' AS stage", "'snapshots of one page and time differ' AS reason")

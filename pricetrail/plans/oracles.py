@@ -457,3 +457,16 @@ reached(kind, seen) AS (SELECT kind, kind FROM kinds UNION SELECT r.kind, l.b FR
 least AS (SELECT kind, min(seen) AS group_id FROM reached GROUP BY kind),
 members AS (SELECT p.id, l.group_id FROM named p JOIN kinds k ON p.words = k.words JOIN least l ON k.kind = l.kind)
 SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM members"""
+
+ORACLES["indexed_search"] = f"""
+WITH offers AS (
+  SELECT name, internal_product_id, 'https://magnit.ru/product/' || p_partkey || '/?shopCode=1' AS page
+  FROM ({ORACLES["magnit_product_offers"].replace("SELECT 'https", "SELECT p_partkey, 'https", 1)})),
+newest AS (
+  SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY internal_product_id ORDER BY page DESC) = 1),
+words AS (
+  SELECT DISTINCT internal_product_id, name, unnest(regexp_split_to_array(lower(name), '[^a-zа-яё0-9]+')) AS word FROM newest),
+hits AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n FROM words WHERE word IN ('red', 'widget', 'gizmo'))
+SELECT 'id:' || internal_product_id AS product_key, name, count(*) AS n_words, round(sum(1.0::DOUBLE / n), 9) AS score
+FROM hits GROUP BY ALL"""

@@ -734,6 +734,18 @@ def product_pages_loaded(spark, sf_dir):
     )
 
 
+@query
+def indexed_search(spark, sf_dir):
+    """Products with any of three words, rare ones first, from the words that two loads kept."""
+    pages = shapes.magnit_product_pages(table(spark, sf_dir, "part"))
+    root = fresh_path(spark, "words")
+    even = F.length("page_url") % 2 == 0
+    load_snapshots(spark, pages.where(even), root, "product", index_words=True)
+    load_snapshots(spark, pages.where(~even), root, "product")
+    found = store.search(spark, root, ["Red", "widget", "gizmo"], all_words=False)
+    return store.read(spark, root, "products").join(found, "id").select("product_key", "name", "n_words", F.round("score", 9).alias("score"))
+
+
 # --- across shops and times ------------------------------------------------------------------
 
 

@@ -171,6 +171,24 @@ def read_prices(spark: SparkSession, root: str) -> DataFrame | None:
     )
 
 
+def search(spark: SparkSession, root: str, words: list[str], all_words: bool = True) -> DataFrame | None:
+    """(id, n_words, score) of products whose name has the words, as whole ones in any case; rare words score more.
+
+    Reads the buckets of the words alone, from the table that loads keep with ``index_words``; None without it. The
+    score is the sum of 1 / (products with the word); with ``all_words`` products without one of them are left out.
+    """
+    done = state(spark, root)
+    wanted = sorted({w for w in (word.lower() for word in words) if w})
+    if "words" not in done.buckets or not wanted:
+        return None
+    made = spark.createDataFrame([(w,) for w in wanted], "word string")
+    buckets = [r[0] for r in made.select(bucket_of(["word"], done.n_buckets)).distinct().collect()]
+    found = in_buckets(spark, done, root, "words", buckets).where(F.col("word").isin(wanted))
+    common = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    scored = found.join(F.broadcast(common), "word").groupBy("id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(1 / F.col("n")).alias("score"))
+    return scored.where(F.col("n_words") == len(wanted)) if all_words else scored
+
+
 class Load:
     """A version in the making: tables are written to folders of its own and shown by its commit."""
 

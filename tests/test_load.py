@@ -3,6 +3,8 @@
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from pricetrail import schemas
 from pricetrail.operators import load, relations, responses, routing
 from pricetrail.operators.analytics import price_validity
@@ -83,6 +85,24 @@ def test_copies_of_a_snapshot_count_once(spark, tmp_path):
     assert [(r.offers_found, r.products_created, r.history_rows) for r in counters] == [(1, 1, 1)]
 
 
+def test_differing_copies_leave_a_reject(spark, tmp_path):
+    """Of two snapshots of one page and time the one with more offers is loaded, and the difference is told."""
+    pages = [magnit(0, ("11", "Чай", "10")), magnit(0, ("11", "Чай", "10"), ("12", "Кофе", "20")), magnit(1, ("11", "Чай", "9"))]
+    load_snapshots(spark, frame(spark, *pages, pages[2]), str(tmp_path), drop_copies=True, index_words=True)
+    assert [p for _, _, p in stored_prices(spark, str(tmp_path), 0)] == [10, 9, 20]
+    rejects = store.read(spark, str(tmp_path), "rejects", 0).collect()
+    assert [(r.page_url, r.fetched_at, r.stage) for r in rejects] == [(MAGNIT, T0, "copy")]
+    load_snapshots(spark, frame(spark, magnit(2, ("11", "Чай зелёный", "9"), ("13", "Кофе чёрный", "5"))), str(tmp_path))
+    names = {r.id: r.name for r in store.read(spark, str(tmp_path), "products").collect()}
+
+    def found(*words, **how):
+        return sorted(names[r.id] for r in store.search(spark, str(tmp_path), list(words), **how).collect())
+
+    assert found("КОФЕ") == ["Кофе", "Кофе чёрный"] and found("чай", "зелёный") == ["Чай зелёный"] and found("нет") == []
+    best = store.search(spark, str(tmp_path), ["кофе", "чёрный"], all_words=False).orderBy(F.desc("score")).collect()
+    assert [names[r.id] for r in best] == ["Кофе чёрный", "Кофе"] and best[1].score == 0.5
+
+
 OFFER = "shop_base_url string, page_url string, observed_at timestamp, position int, name string, price decimal(10,2), url string, internal_product_id string, manufacturer_code string, is_in_stock boolean"
 
 
@@ -165,7 +185,7 @@ def test_streamed_loads_equal_one_batch_load(spark, tmp_path):
     pages = snapshots.stream_snapshots(spark, folder, max_files=2)
     root = str(tmp_path / "tables")
     jobs.stream_load(pages, root, str(tmp_path / "ck")).awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "tables" / "products").iterdir())
+    last = store.latest(spark, root)
     assert last == 2
     load_snapshots(spark, frame(spark, *hours), str(tmp_path / "batch"))
     assert stored_prices(spark, root, last) == stored_prices(spark, str(tmp_path / "batch"), 0)
