@@ -6,7 +6,6 @@ is the product over its words. Piece probabilities are learned by expectation-ma
 """
 
 import re
-import sys
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +22,16 @@ ROUNDS = 2
 UNKNOWN = 1e-7
 #: Sums are scaled at every so many bytes, so that long words don't underflow.
 RESCALE = 16
-#: Word characters of ``re`` are letters and numbers; digits aside, the numbers that aren't letters (as ½ or Ⅷ) are these.
-_NUMBERS = "".join(map(re.escape, (c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())))
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Letters, and numbers that are no digits (as ½ or Ⅷ): those are cut out afterwards, for few runs hold any.
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: bytes) -> list[bytes]:
     """Lower-case runs of letters, each after a word-start mark (a space here)."""
-    return [b" " + w.encode() for w in LETTERS.findall(text.decode().lower())]
+    runs = LETTERS.findall(text.decode().lower())
+    if not all(map(str.isalpha, runs)):
+        runs = [part for w in runs for part in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else (w,))]
+    return [b" " + w.encode() for w in runs]
 
 
 def forward(vocabulary: Vocabulary, words: list[bytes], shares: np.ndarray) -> np.ndarray:
