@@ -8,7 +8,7 @@ from pricetrail.operators.history import ORDER
 from pricetrail.operators.responses import captured_pages, catalog_payloads, diagnostics
 from pricetrail.operators.routing import CATALOG_RULES, Rule
 from pricetrail.operators.similar import name_words
-from pricetrail.plans import store
+from pricetrail.plans import reports, store
 from pricetrail.session import fresh_path, scratch, side_by_side
 
 CAPTURE_RULES = [rule for rule in CATALOG_RULES if rule.name == "pyaterochka_catalog"]
@@ -27,6 +27,7 @@ def load_snapshots(
     batch: int | None = None,
     n_buckets: int = store.BUCKETS,
     index_words: bool = False,
+    keep_months: bool = False,
 ) -> int:
     """Load pages behind the newest committed version of the store at ``root``; returns the version.
 
@@ -37,7 +38,8 @@ def load_snapshots(
     no products and no prices. Product pages and catalogues share one store. ``drop_copies`` keeps
     one of several snapshots with equal URL and time; ``more_rules`` and ``more_offers`` add shops. A new store gets
     ``n_buckets`` key buckets; a load reads and writes those of its own products only. With ``index_words`` the store
-    keeps the words of product names from then on, for ``store.search``. Of snapshots of one page and time that differ,
+    keeps the words of product names from then on, for ``store.search``; with ``keep_months`` the report by month, for
+    ``reports``. Of snapshots of one page and time that differ,
     ``drop_copies`` leaves a reject.
     """
     before = store.state(spark, root)
@@ -45,11 +47,11 @@ def load_snapshots(
         return before.version
     version = store.Load(spark, root, source, batch, n_buckets)
     with scratch(spark):
-        _load(version, pages, kind, responses, drop_copies, more_rules, more_offers, index_words)
+        _load(version, pages, kind, responses, drop_copies, more_rules, more_offers, index_words, keep_months)
         return version.commit()
 
 
-def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules, more_offers, index_words) -> None:
+def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules, more_offers, index_words, keep_months) -> None:
     spark = version.spark
     if responses is not None and kind == "catalog":
         captured = captured_pages(pages, responses, CAPTURE_RULES)
@@ -77,11 +79,15 @@ def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules,
     )
     touched = version.touched("offers")
     before = version.current("products", touched)
+
+    def beside(written: DataFrame) -> None:
+        version.append("counters", load.load_counters(offers, written, before))
+        if keep_months or reports.is_kept(version.before):
+            reports.keep_months(version, written, ["product_id"], ORDER)
+
     side_by_side(
         lambda: _store_products(version, offers, before, touched, index_words),
-        lambda: store.fold(
-            version, offers, ["product_id"], ORDER, beside=lambda written: version.append("counters", load.load_counters(offers, written, before))
-        ),
+        lambda: store.fold(version, offers, ["product_id"], ORDER, beside=beside),
     )
 
 
@@ -146,7 +152,8 @@ def _look_up(version: store.Load, table: str, key: list[str], new: DataFrame, go
     version.replace(table, new, key, wanted)
 
 
-_COPY = ["stage", "reason", "rule", "shop_base_url"]
+#: What makes two snapshots of one page and time copies, beside their offers.
+COPY = ["stage", "reason", "rule", "shop_base_url"]
 
 
 def without_copies(extracted: DataFrame) -> DataFrame:
@@ -154,13 +161,13 @@ def without_copies(extracted: DataFrame) -> DataFrame:
 
     Of differing copies a good one wins over a reject, and one with more offers over one with fewer.
     """
-    one = F.min(F.struct(*_COPY, (-F.coalesce(F.size("offers"), F.lit(0))).alias("_n"), "offers"))
+    one = F.min(F.struct(*COPY, (-F.coalesce(F.size("offers"), F.lit(0))).alias("_n"), "offers"))
     found = extracted.groupBy("page_url", "fetched_at").agg(one.alias("_one"))
     return found.select("page_url", "fetched_at", "_one.*").select(extracted.columns)
 
 
 def differing_copies(extracted: DataFrame) -> DataFrame:
     """A reject for each page and time whose snapshots are not all alike: what the others say is not loaded."""
-    kind = F.xxhash64(*_COPY, "offers")
+    kind = F.xxhash64(*COPY, "offers")
     found = extracted.groupBy("page_url", "fetched_at").agg(F.min(kind).alias("a"), F.max(kind).alias("b")).where("a <> b")
     return found.selectExpr("page_url", "fetched_at", "'copy' AS stage", "'snapshots of one page and time differ' AS reason")

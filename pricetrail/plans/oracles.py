@@ -470,3 +470,31 @@ hits AS (
   SELECT *, count(*) OVER (PARTITION BY word) AS n FROM words WHERE word IN ('red', 'widget', 'gizmo'))
 SELECT 'id:' || internal_product_id AS product_key, name, count(*) AS n_words, round(sum(1.0::DOUBLE / n), 9) AS score
 FROM hits GROUP BY ALL"""
+
+_MONTH_EVENTS = _PAGE_EVENTS.replace("FROM events", "FROM (SELECT * REPLACE (ts + to_months(CAST(day(ts) % 4 AS INTEGER)) AS ts) FROM events)")
+_MONTH_HISTORY = f"""
+WITH RECURSIVE {_fold(_MONTH_EVENTS, "shop_base_url, product_key", "observed_at")},
+p AS (SELECT *, CAST(date_trunc('month', observed_at) AS TIMESTAMP) AS month FROM written)"""
+ORACLES["maintained_monthly_change"] = f"""{_MONTH_HISTORY},
+m AS (
+  SELECT product_key, month, first(price ORDER BY observed_at) AS first_price, last(price ORDER BY observed_at) AS last_price,
+    count(*) AS n_changes
+  FROM p GROUP BY ALL)
+SELECT product_key, month, CAST(first_price AS DOUBLE) AS first_price, CAST(last_price AS DOUBLE) AS last_price,
+  CAST(lag(last_price) OVER w AS DOUBLE) AS previous_price,
+  CAST(last_price - lag(last_price) OVER w AS DOUBLE) AS change, n_changes
+FROM m WINDOW w AS (PARTITION BY product_key ORDER BY month)"""
+ORACLES["maintained_shop_months"] = f"""{_MONTH_HISTORY}
+SELECT shop_base_url AS base_url, count(DISTINCT product_key) AS n_products, count(*) AS n_changes,
+  CAST(sum(CAST(price * 100 AS BIGINT)) AS DOUBLE) / count(*) / 100 AS avg_price
+FROM p WHERE month BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-03-01' GROUP BY ALL"""
+
+ORACLES["streamed_late_pages"] = f"""
+WITH pages AS (
+  SELECT p_partkey, 'https://magnit.ru/product/' || p_partkey || '/?shopCode=1' AS page_url,
+    TIMESTAMP '2024-03-01' - to_days(CAST(p_partkey % 20 AS INTEGER)) AS fetched_at, name, price
+  FROM ({ORACLES["magnit_product_offers"].replace("SELECT 'https", "SELECT p_partkey, 'https", 1)}))
+SELECT page_url, fetched_at, name, price, CAST(NULL AS VARCHAR) AS reason FROM pages
+UNION ALL
+SELECT page_url, fetched_at, NULL, NULL, 'snapshots of one page and time differ' FROM pages
+WHERE p_partkey % 4 < 2 AND p_partkey % 3 = 0"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricetrail.functions import html, text, urls
 from pricetrail.operators import analytics, asof, extract, load, relations, responses, routing, similar
 from pricetrail.operators.history import change_history, is_change, last_written
-from pricetrail.plans import shapes, store
+from pricetrail.plans import reports, shapes, store
 from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
 from pricetrail.plans.shapes import table
 from pricetrail.session import fresh_path, ship_package
@@ -766,3 +766,65 @@ def price_as_of(spark, sf_dir):
 def similar_products(spark, sf_dir):
     """Products of all shops whose names have most words in common."""
     return similar.similar_products(shapes.named_products(table(spark, sf_dir, "part")))
+
+
+# --- reports that loads keep -----------------------------------------------------------------
+
+
+def _months_store(spark: SparkSession, sf_dir: str) -> str:
+    """Three loads whose times interleave, and the first one again; the report is kept from the second one on."""
+    pages = shapes.event_pages(table(spark, sf_dir, "events"))
+    pages = _kept(pages.withColumn("fetched_at", F.expr("fetched_at + make_interval(0, cast(day(fetched_at) % 4 AS int))")), "month-pages")
+    root = fresh_path(spark, "months")
+    dealt = F.pmod(F.xxhash64("page_url", "fetched_at"), F.lit(3))
+    for number, part in enumerate((0, 1, 2, 0)):
+        load_snapshots(spark, pages.where(dealt == part), root, keep_months=number == 1)
+    return root
+
+
+@query
+def maintained_monthly_change(spark, sf_dir):
+    """First and last written price per product and month, as loads kept it; late rows take written ones back."""
+    root = _months_store(spark, sf_dir)
+    keyed = store.read(spark, root, "products").selectExpr("id AS product_id", "product_key")
+    return reports.monthly_change(spark, root).join(keyed, "product_id").selectExpr(
+        "product_key",
+        *_plain_time("month"),
+        *_double("first_price", "last_price", "previous_price", "change"),
+        "n_changes",
+    )
+
+
+@query
+def maintained_shop_months(spark, sf_dir):
+    """Average written price, changes and products of each shop over two of the months that loads kept."""
+    root = _months_store(spark, sf_dir)
+    shops = store.read(spark, root, "shops").selectExpr("id AS shop_id", "base_url")
+    return reports.shop_months(spark, root, "2024-02", "2024-03").join(shops, "shop_id").select("base_url", "n_products", "n_changes", "avg_price")
+
+
+# --- pages in any order ----------------------------------------------------------------------
+
+
+@query
+def streamed_late_pages(spark, sf_dir):
+    """Pages up to three weeks behind the newest ones, copies and differing copies of them in later micro-batches."""
+    parts = table(spark, sf_dir, "part")
+    path = fresh_path(spark, "late-part-files")
+    changed = parts.withColumn("p_retailprice", F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_retailprice + 1 ELSE p_retailprice END"))
+    for rows in (parts.where("p_partkey % 20 < 5"), parts.where("p_partkey % 20 >= 5"), changed.where("p_partkey % 4 < 2")):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    found = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    pages = shapes.magnit_product_pages(found).withColumn(
+        "fetched_at", F.expr("fetched_at - make_dt_interval(cast(regexp_extract(page_url, '([0-9]+)', 1) AS int) % 20)")
+    )
+    root = fresh_path(spark, "late-pages")
+    jobs.stream_offers(pages, root, f"{root}/checkpoint", "product").awaitTermination()
+    done = store.state(spark, root)
+    offers = store.appended(spark, done, root, "offers").selectExpr(
+        "page_url", "observed_at AS fetched_at", "name", "cast(price AS double) AS price", "cast(NULL AS string) AS reason"
+    )
+    rejects = store.appended(spark, done, root, "rejects").selectExpr(
+        "page_url", "fetched_at", "cast(NULL AS string) AS name", "cast(NULL AS double) AS price", "reason"
+    )
+    return offers.unionByName(rejects).selectExpr("page_url", *_plain_time("fetched_at"), "name", "price", "reason")

@@ -232,6 +232,12 @@ class Load:
                 out += [(name.split("=", 1)[1], int(b.split("=")[1])) for b in files.names(self.spark, f"{self.path(table)}/{name}") if b.startswith(f"{BUCKET}=")]
         return out
 
+    def retracted(self) -> DataFrame | None:
+        """Rows of older loads that this one took back; None if it met no late rows."""
+        if self.part not in self.folders.get("retracted", []):
+            return None
+        return _scan(self.spark, Commit(schemas=self.schemas), self.root, "retracted", [self.part])
+
     def current(self, table: str, wanted: list[int] | None = None) -> DataFrame | None:
         """Stored rows of a bucketed table before this load."""
         return in_buckets(self.spark, self.before, self.root, table, wanted)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pricetrail.operators import extract
 from pricetrail.operators.routing import Rule
-from pricetrail.plans import store
+from pricetrail.plans import reports, seen, store
 from pricetrail.plans.batch import load_snapshots
 from pricetrail.session import scratch
 
@@ -66,8 +66,34 @@ def _per_batch(rows: DataFrame, load, checkpoint: str) -> StreamingQuery:
     )
 
 
+def stream_offers(
+    pages: DataFrame,
+    root: str,
+    checkpoint: str,
+    kind: str = "catalog",
+    more_rules: list[Rule] | None = None,
+    more_offers: dict[str, str] | None = None,
+) -> StreamingQuery:
+    """Snapshot stream to offers, as committed versions: pages that come late are loaded, and every page that is not
+    loaded leaves a reject. ``offers_stream`` is the stateful form, which forgets pages behind its watermark.
+    """
+    spark = pages.sparkSession
+
+    def load(batch: DataFrame, number: int) -> None:
+        source = _query_id(batch, checkpoint)
+        if store.committed(store.state(spark, root), source, number):
+            return
+        version = store.Load(spark, root, source, number)
+        extracted = (extract.extract_catalog if kind == "catalog" else extract.extract_product)(batch, more_rules, more_offers)
+        with scratch(spark):
+            seen.load_offers(version, extracted)
+            version.commit()
+
+    return _per_batch(pages, load, checkpoint)
+
+
 def stream_history(
-    observations: DataFrame, keys: list[str], order: list[str], root: str, checkpoint: str
+    observations: DataFrame, keys: list[str], order: list[str], root: str, checkpoint: str, keep_months: bool = False
 ) -> StreamingQuery:
     """Change-only history of an observation stream, as committed versions: see ``plans.store``."""
     spark = observations.sparkSession
@@ -78,7 +104,8 @@ def stream_history(
             return
         version = store.Load(spark, root, source, number)
         with scratch(spark):
-            store.fold(version, batch, keys, order)
+            kept = keep_months or reports.is_kept(version.before)
+            store.fold(version, batch, keys, order, beside=(lambda written: reports.keep_months(version, written, keys, order)) if kept else None)
             version.commit()
         store.compact(spark, root)
 
