@@ -498,3 +498,27 @@ SELECT page_url, fetched_at, name, price, CAST(NULL AS VARCHAR) AS reason FROM p
 UNION ALL
 SELECT page_url, fetched_at, NULL, NULL, 'snapshots of one page and time differ' FROM pages
 WHERE p_partkey % 4 < 2 AND p_partkey % 3 = 0"""
+
+ORACLES["route_by_rule_table"] = """
+WITH rules AS (
+  SELECT 'all-' || s_suppkey AS rule, 'https://s' || s_suppkey || '.example' AS shop_base_url, 's' || s_suppkey || '.example' AS host,
+    '' AS path, 9 AS priority FROM supplier
+  UNION ALL
+  SELECT 'list-' || s_suppkey, 'https://s' || s_suppkey || '.example', 's' || s_suppkey || '.example', 'catalog', 5 FROM supplier
+  UNION ALL
+  SELECT 'shelf-' || c_custkey, 'https://all.example', 'all.example', 'shelf/' || c_custkey, c_custkey % 3 FROM customer),
+pages AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 2 THEN 'all.example' WHEN o_orderkey % 6 IN (0, 1, 4)
+      THEN 's' || (1 + o_custkey % 150) || '.example' END AS host,
+    CASE o_orderkey % 6 WHEN 0 THEN 'catalog' WHEN 1 THEN '' WHEN 2 THEN 'shelf/' || o_custkey WHEN 4 THEN 'catalog' END AS folder
+  FROM orders),
+hits AS (
+  SELECT o_orderkey, rule, shop_base_url FROM pages p JOIN rules r ON p.host = r.host AND r.path IN ('', p.folder)
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY priority, rule) = 1)
+SELECT o.o_orderkey, rule, shop_base_url FROM orders o LEFT JOIN hits h ON o.o_orderkey = h.o_orderkey"""
+ORACLES["links_in_sql"] = ORACLES["page_links"]
+ORACLES["page_facts_in_sql"] = """
+SELECT 'https://magnit.ru/product/' || p_partkey || '/?shopCode=1' AS page_url, 'magnit.ru' AS host,
+  CAST(CASE p_partkey % 5 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS INTEGER) AS n_scripts,
+  CASE WHEN p_partkey % 5 = 1 THEN CAST(round(p_retailprice, 2) AS DOUBLE) END AS text_price
+FROM part"""

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.functions import html, text, urls
-from pricetrail.operators import analytics, asof, extract, load, relations, responses, routing, similar
+from pricetrail.functions import html, sql, text, urls
+from pricetrail.operators import analytics, asof, extract, load, relations, responses, routing, rule_table, similar
 from pricetrail.operators.history import change_history, is_change, last_written
 from pricetrail.plans import reports, shapes, store
 from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
@@ -828,3 +828,53 @@ def streamed_late_pages(spark, sf_dir):
         "page_url", "fetched_at", "cast(NULL AS string) AS name", "cast(NULL AS double) AS price", "reason"
     )
     return offers.unionByName(rejects).selectExpr("page_url", *_plain_time("fetched_at"), "name", "price", "reason")
+
+
+# --- rules as a table, functions in SQL ------------------------------------------------------
+
+
+@query
+def route_by_rule_table(spark, sf_dir):
+    """Two rules for each supplier and some for each customer; URLs of orders that one, several or none of them take."""
+    suppliers = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('all-', s_suppkey) AS rule", "concat('https://s', s_suppkey, '.example') AS shop_base_url",
+        "concat('S', s_suppkey, '.Example') AS host", "cast(NULL AS string) AS path", "9 AS priority",
+    )
+    catalogs = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('list-', s_suppkey)", "concat('https://s', s_suppkey, '.example')", "concat('s', s_suppkey, '.example')", "'/catalog/'", "5"
+    )
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "concat('shelf-', c_custkey)", "'https://all.example'", "'all.example'", "concat('shelf/', c_custkey)", "cast(c_custkey % 3 AS int)"
+    )
+    rules = suppliers.union(catalogs).union(customers)
+    suppliers_known = "1 + o_custkey % 150"
+    pages = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        f"CASE o_orderkey % 6 WHEN 0 THEN concat('https://www.s', {suppliers_known}, '.example/catalog/', o_orderkey)"
+        f" WHEN 1 THEN concat('http://u@S', {suppliers_known}, '.example:80/catalogue?x=/catalog/')"
+        " WHEN 2 THEN concat('https://m.all.example//shelf/', o_custkey, '/x/y/z')"
+        f" WHEN 3 THEN concat('https://xs', {suppliers_known}, '.example/catalog/')"
+        f" WHEN 4 THEN concat('https://s', {suppliers_known}, '.example/catalog') END AS page_url",
+    )
+    return rule_table.route_by_table(pages, rules).select("o_orderkey", "rule", "shop_base_url")
+
+
+@query
+def links_in_sql(spark, sf_dir):
+    """Anchors of crawled pages, asked for in SQL."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT page_id, inline(links) FROM (SELECT page_id, pt_page_links(html, url) AS links FROM {pages})",
+        pages=table(spark, sf_dir, "pages"),
+    )
+
+
+@query
+def page_facts_in_sql(spark, sf_dir):
+    """Hosts, JSON-LD scripts and prices in the text of product pages, asked for in SQL."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT page_url, pt_host(page_url) AS host, size(pt_ld_json_scripts(body)) AS n_scripts,"
+        " cast(pt_first_positive_price(pt_html_text(body)) AS double) AS text_price FROM {pages}",
+        pages=shapes.magnit_product_pages(table(spark, sf_dir, "part")),
+    )
