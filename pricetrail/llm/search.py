@@ -1,11 +1,12 @@
 """Exact BM25 top-k: block-max WAND pruning over an inverted index of each shard, merged under global statistics.
 
 A query is the set of words of a text (lower-cased ASCII, parted at ASCII white space). Shards are runs of documents
-inside a task. A shard's postings of the queries' words carry maxima by block of documents. Words that many documents
-of a shard have are kept as dense rows instead, for they can't tell documents apart: their sums, and the maxima of those
-by block, come from one matrix product for many queries. With the best scores known so far, a block is looked into only
-if its maximum of the dense words plus its maxima of the other words can reach the k-th best score, and a document is
-scored exactly only if its own sum can. So only documents that can't be in the result are passed over.
+inside a task. The walk goes by blocks of documents: a shard's postings of the queries' words carry maxima by block, and a
+block is a pivot of a query if the maxima of the query's words in it sum up to its floor, the k-th best score known so far.
+Postings of other blocks are not looked at. Words that many documents of a shard have are kept as dense rows, whose sums in
+the pivot blocks of many queries come from one matrix product; with them the bounds are taken again, and only in blocks that
+still may reach the floor are the postings of the other words added up. A document is scored exactly only if its own sum can
+reach the floor. So only documents that can't be in the result are passed over.
 
 The floor of the k-th best score comes from a hundredth of the documents, then from a tenth, before all are searched:
 with it, tasks send on about ten times k documents a query in each round, however many tasks there are.
@@ -65,6 +66,14 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
+_NOTHING = np.zeros(0, np.int64), np.zeros(0)
+
+
+def _room(score):
+    """Dense sums have single precision, so bounds are compared with room for rounding."""
+    return 0.01 + 1e-4 * np.abs(score)
+
+
 class Shard:
     """Inverted and forward index of a run of documents, for the queries' words, with block and word maxima."""
 
@@ -81,6 +90,7 @@ class Shard:
         block = doc // BLOCK
         cut = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(word) else first
         self.block, self.block_most = block[cut], np.maximum.reduceat(value, cut) if len(cut) else np.zeros(0)
+        self.cut_start, self.cut_count = cut, np.diff(np.r_[cut, len(word)])
         self.block_start = np.searchsorted(cut, first)
         self.block_count = np.diff(np.r_[self.block_start, len(cut)])
         order = np.argsort(doc, kind="stable")
@@ -96,6 +106,9 @@ class Shard:
         self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
         at = _ranges(self.start[often], self.count[often])
         self.dense[np.repeat(np.arange(len(often)), self.count[often]), doc[at]] = value[at]
+        self.dense_most = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2)
+        #: Postings looked at so far; each dense row counts all documents of a block.
+        self.looked = 0
 
     def search(self, queries: list[np.ndarray], least: np.ndarray, k: int):
         """For each query (documents, scores) of all that may be among its best k and score ``least`` or more."""
@@ -106,32 +119,55 @@ class Shard:
             for i, here in enumerate(part):
                 rows = self.row[here]
                 wanted[i, rows[rows >= 0]] = 1
-            sums = wanted @ self.dense
-            highest = sums.reshape(len(part), self.blocks, BLOCK).max(axis=2)
+            # Nothing but maxima is looked at before it is known which blocks may hold a result.
+            bounds = [self._bounds(here) for here in part]
+            live = wanted @ self.dense_most + np.array([most for _, most in bounds]).reshape(len(part), self.blocks)
+            live = live >= (least[begin : begin + len(part)] - _room(least[begin : begin + len(part)]))[:, None]
+            some = np.flatnonzero(live.any(axis=0))
+            asked = np.flatnonzero(live.any(axis=1))
+            sums = wanted[asked] @ (self.dense if len(some) == self.blocks else self._columns(some))
+            self.looked += len(some) * BLOCK * len(self.dense)
+            sums = sums.reshape(len(asked), len(some), BLOCK)
+            highest = sums.max(axis=2) if len(some) else np.zeros((len(asked), 0))
+            row = np.full(len(part), -1, np.int64)
+            row[asked] = np.arange(len(asked))
             for i, here in enumerate(part):
-                yield self._search(here, sums[i], highest[i], least[begin + i], k)
-
-    def _search(self, here: np.ndarray, sums: np.ndarray, highest: np.ndarray, least: float, k: int):
-        none = np.zeros(0, np.int64), np.zeros(0)
+                if row[i] < 0:
+                    yield _NOTHING
+                    continue
+                # The sums of the dense words are known in these blocks, which tightens their bound.
+                at, most = bounds[i]
+                bound = highest[row[i]] + most[some]
+                slots = np.flatnonzero(live[i, some] & (bound >= least[begin + i] - _room(least[begin + i])))
+                yield self._search(here, at, some[slots], sums[row[i], slots].ravel(), least[begin + i], k) if len(slots) else _NOTHING
+
+    def _columns(self, blocks: np.ndarray) -> np.ndarray:
+        """Dense rows of some blocks."""
+        return self.dense.reshape(len(self.dense), self.blocks, BLOCK)[:, blocks].reshape(len(self.dense), len(blocks) * BLOCK)
+
+    def _bounds(self, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Block entries of a query's words that are not dense, and the sum of their maxima by block."""
         rare = here[self.row[here] < 0]
-        # Dense sums have single precision, so bounds are compared with room for rounding.
-        room = 0.01 + 1e-4 * abs(least)
-        if least > 0:
-            at = _ranges(self.block_start[rare], self.block_count[rare])
-            bound = highest + np.bincount(self.block[at], self.block_most[at], minlength=self.blocks)
-            live = bound >= least - room
-            if not live.any():
-                return none
-        at = _ranges(self.start[rare], self.count[rare])
-        total = sums[: self.size] + np.bincount(self.doc[at], self.value[at], minlength=self.size)
-        if least > 0:
-            total[~np.repeat(live, BLOCK)[: self.size]] = 0
+        at = _ranges(self.block_start[rare], self.block_count[rare])
+        return at, np.bincount(self.block[at], self.block_most[at], minlength=self.blocks)
+
+    def _search(self, here: np.ndarray, at: np.ndarray, blocks: np.ndarray, total: np.ndarray, least: float, k: int):
+        """Best documents of the live blocks; ``total`` has the sums of the dense words of their documents."""
+        docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        slot = np.full(self.blocks, -1, np.int64)
+        slot[blocks] = np.arange(len(blocks))
+        at = at[slot[self.block[at]] >= 0]
+        at = _ranges(self.cut_start[at], self.cut_count[at])
+        self.looked += len(at)
+        doc = self.doc[at]
+        total = total + np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, self.value[at], minlength=len(docs))
+        room = _room(least)
         if len(total) > k:
             floor = np.partition(total, len(total) - k)[len(total) - k]
-            least = max(least, floor - 0.01 - 1e-4 * abs(floor))
-        found = np.flatnonzero((total > 0) & (total >= least - room))
+            least = max(least, floor - _room(floor))
+        found = docs[(total > 0) & (total >= least - room)]
         if not len(found):
-            return none
+            return _NOTHING
         self.wanted[here] = 1
         counts = self.doc_count[found]
         at = _ranges(self.doc_start[found], counts)
@@ -229,7 +265,10 @@ def top_k(docs: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         _frequencies(docs, queries)
         least = np.zeros(len(queries.ids))
         for share in SHARES:
-            some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1000)) < int(1000 * share)).coalesce(max(1, int(tasks * share)))
+            some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1000)) < int(1000 * share))
+            if share < 1:
+                # All tasks read the table; a share of them searches its share of the documents.
+                some = some.repartition(max(1, int(tasks * share)))
             shared = spark.sparkContext.broadcast((queries, least))
             if share == 1:
                 out.append(stored(_best(docs, shared, k), "search"))

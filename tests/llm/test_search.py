@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pricetrail.llm import search
@@ -47,3 +48,39 @@ def test_against_all_scores(spark, monkeypatch, shard, entries):
 
 def test_empty_table(spark):
     assert search.top_k(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_blocks_that_cannot_reach_the_floor_are_not_looked_into():
+    """The queries' best documents lie in one run of the shard; with their floor the other runs stay unread."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"r{n // 128}x{i}" for i in range(60)], k=40) + rng.choices([f"s{i}" for i in range(400)], k=12) + ["all", f"c{n % 3}"]).encode() for n in range(1280)]
+    hashes, counts = search.word_hashes(texts)
+    ids = np.repeat(np.arange(len(texts)), counts)
+    pairs = np.unique(np.stack([ids, hashes.view(np.int64)]), axis=1)
+    queries = search.Queries(pairs[0], pairs[1].view(np.uint64))
+    frequency = np.bincount(search._postings(queries, texts)[0], minlength=len(queries.words)).astype(float)
+    queries.known(len(texts), int(counts.sum()), frequency)
+    rows = [queries.row(i) for i in range(0, 128, 10)]
+
+    def best(least):
+        shard = search.Shard(queries, texts)
+        assert len(shard.dense) > 1
+        found = []
+        for place, scores in shard.search(rows, least, 5):
+            order = np.lexsort((place, -scores))[:5]
+            found.append(list(zip(scores[order].tolist(), place[order].tolist())))
+        return found, shard.looked
+
+    all_found, all_looked = best(np.zeros(len(rows)))
+    floors = np.array([f[-1][0] for f in all_found])
+    again, looked = best(floors)
+    assert again == all_found
+    shard = search.Shard(queries, texts)
+    inside = 0
+    for row in rows:
+        rare = [w for w in shard.local[row] if shard.row[w] < 0]
+        inside += sum(int((shard.doc[shard.start[w] : shard.start[w] + shard.count[w]] < 128).sum()) for w in rare)
+    # No block outside the run of the queries is looked into.
+    assert looked <= inside + 128 * len(shard.dense) < all_looked
+    # Beyond every score nothing is looked into.
+    assert best(floors * 0 + 1e6) == ([[]] * len(rows), 0)
