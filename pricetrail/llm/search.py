@@ -124,6 +124,9 @@ class Shard:
             live = wanted @ self.dense_most + np.array([most for _, most in bounds]).reshape(len(part), self.blocks)
             live = live >= (least[begin : begin + len(part)] - _room(least[begin : begin + len(part)]))[:, None]
             some = np.flatnonzero(live.any(axis=0))
+            if 2 * len(some) > self.blocks:
+                # Most blocks are a pivot of one of these queries: the dense rows are taken as they are, not copied.
+                some = np.arange(self.blocks)
             asked = np.flatnonzero(live.any(axis=1))
             sums = wanted[asked] @ (self.dense if len(some) == self.blocks else self._columns(some))
             self.looked += len(some) * BLOCK * len(self.dense)
