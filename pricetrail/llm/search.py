@@ -120,8 +120,8 @@ class Shard:
                 rows = self.row[here]
                 wanted[i, rows[rows >= 0]] = 1
             # Nothing but maxima is looked at before it is known which blocks may hold a result.
-            bounds = [self._bounds(here) for here in part]
-            live = wanted @ self.dense_most + np.array([most for _, most in bounds]).reshape(len(part), self.blocks)
+            bounds = np.array([self._bounds(here)[1] for here in part]).reshape(len(part), self.blocks)
+            live = wanted @ self.dense_most + bounds
             live = live >= (least[begin : begin + len(part)] - _room(least[begin : begin + len(part)]))[:, None]
             some = np.flatnonzero(live.any(axis=0))
             if 2 * len(some) > self.blocks:
@@ -139,10 +139,9 @@ class Shard:
                     yield _NOTHING
                     continue
                 # The sums of the dense words are known in these blocks, which tightens their bound.
-                at, most = bounds[i]
-                bound = highest[row[i]] + most[some]
+                bound = highest[row[i]] + bounds[i, some]
                 slots = np.flatnonzero(live[i, some] & (bound >= least[begin + i] - _room(least[begin + i])))
-                yield self._search(here, at, some[slots], sums[row[i], slots].ravel(), least[begin + i], k) if len(slots) else _NOTHING
+                yield self._search(here, some[slots], sums[row[i], slots].ravel(), least[begin + i], k) if len(slots) else _NOTHING
 
     def _columns(self, blocks: np.ndarray) -> np.ndarray:
         """Dense rows of some blocks."""
@@ -154,11 +153,12 @@ class Shard:
         at = _ranges(self.block_start[rare], self.block_count[rare])
         return at, np.bincount(self.block[at], self.block_most[at], minlength=self.blocks)
 
-    def _search(self, here: np.ndarray, at: np.ndarray, blocks: np.ndarray, total: np.ndarray, least: float, k: int):
+    def _search(self, here: np.ndarray, blocks: np.ndarray, total: np.ndarray, least: float, k: int):
         """Best documents of the live blocks; ``total`` has the sums of the dense words of their documents."""
         docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         slot = np.full(self.blocks, -1, np.int64)
         slot[blocks] = np.arange(len(blocks))
+        at, _ = self._bounds(here)
         at = at[slot[self.block[at]] >= 0]
         at = _ranges(self.cut_start[at], self.cut_count[at])
         self.looked += len(at)
@@ -268,10 +268,7 @@ def top_k(docs: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         _frequencies(docs, queries)
         least = np.zeros(len(queries.ids))
         for share in SHARES:
-            some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1000)) < int(1000 * share))
-            if share < 1:
-                # All tasks read the table; a share of them searches its share of the documents.
-                some = some.repartition(max(1, int(tasks * share)))
+            some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1000)) < int(1000 * share)).coalesce(max(1, int(tasks * share)))
             shared = spark.sparkContext.broadcast((queries, least))
             if share == 1:
                 out.append(stored(_best(docs, shared, k), "search"))
