@@ -67,6 +67,19 @@ def with_url(offers: DataFrame, page_url: str = "page_url") -> DataFrame:
     )
 
 
+def _identified(named: DataFrame) -> DataFrame:
+    return named.selectExpr("*", f"{product_key('internal_product_id', 'url')} AS product_key")
+
+
+def _with_product_id(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("product_id", F.xxhash64("shop_id", "product_key"))
+
+
+def with_own_id(named: DataFrame) -> DataFrame:
+    """``with_identity`` for offers that all have an id, and ``with_url``: nothing is looked up."""
+    return _with_product_id(_identified(named))
+
+
 def with_identity(offers: DataFrame, products: DataFrame | None = None, page_url: str = "page_url") -> DataFrame:
     """Offers with ``shop_id``, ``product_key``, ``product_id`` and the URL fallback.
 
@@ -75,9 +88,7 @@ def with_identity(offers: DataFrame, products: DataFrame | None = None, page_url
     id take part in that look-up.
     """
     named = with_url(offers, page_url)
-    with_id = named.where("internal_product_id IS NOT NULL").selectExpr(
-        "*", f"{product_key('internal_product_id', 'url')} AS product_key"
-    )
+    with_id = _identified(named.where("internal_product_id IS NOT NULL"))
     without_id = named.where("internal_product_id IS NULL")
     known = with_id.selectExpr("shop_id", "url", "2 AS rank", "product_key")
     if products is not None:
@@ -88,15 +99,13 @@ def with_identity(offers: DataFrame, products: DataFrame | None = None, page_url
             "product_key",
         )
         known = known.unionByName(stored)
-    # Only URLs of offers without id are looked up; mostly there are none, and nothing more is shuffled.
-    known = known.join(without_id.select("shop_id", "url").distinct(), ["shop_id", "url"], "left_semi")
+    # One row per URL and product, not per offer, is shuffled and sorted; only URLs of offers without id are looked up.
+    known = known.distinct().join(without_id.select("shop_id", "url").distinct(), ["shop_id", "url"], "left_semi")
     by_url = known.groupBy("shop_id", "url").agg(F.min(F.struct("rank", "product_key")).alias("_known"))
     resolved = without_id.join(by_url, ["shop_id", "url"], "left").selectExpr(
         *named.columns, f"coalesce(_known.product_key, {product_key('NULL', 'url')}) AS product_key"
     )
-    return with_id.unionByName(resolved).withColumn(
-        "product_id", F.xxhash64("shop_id", "product_key")
-    )
+    return _with_product_id(with_id.unionByName(resolved))
 
 
 def newest_offers(offers: DataFrame, order: list[str] | None = None) -> DataFrame:

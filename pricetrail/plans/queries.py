@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions import html, sql, text, urls
 from pricetrail.operators import analytics, asof, extract, load, relations, responses, routing, rule_table, similar
-from pricetrail.operators.history import change_history, is_change, last_written
+from pricetrail.operators.history import ORDER, change_history, is_change, last_written
 from pricetrail.plans import reports, shapes, store
 from pricetrail.plans.batch import CAPTURE_RULES, load_snapshots
 from pricetrail.plans.shapes import table
@@ -400,10 +400,14 @@ def shops_created(spark, sf_dir):
     )
 
 
-def _line_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    offers = _kept(
+def _line_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(
         shapes.line_offers(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")), "line_offers"
     )
+
+
+def _line_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    offers = _line_offers(spark, sf_dir)
     return offers.where("observed_at < '1999-01-01'"), offers.where("observed_at >= '1999-01-01'")
 
 
@@ -427,9 +431,12 @@ def products_upserted(spark, sf_dir):
 
 @query
 def load_counters(spark, sf_dir):
-    early, late = _line_loads(spark, sf_dir)
-    offers = _kept(load.with_identity(early.unionByName(late)), "offers")
-    written = change_history(offers, load.PRODUCT_KEY)
+    # Both loads of ``_line_loads`` in one scan. Names and URLs are not counted, so they are not stored again.
+    found = load.with_identity(_line_offers(spark, sf_dir).where("observed_at IS NOT NULL"))
+    seen = ["product_id", *ORDER, "price", "is_in_stock"]
+    offers = _kept(found.select(*load.PRODUCT_KEY, *seen), "offers")
+    # As in a load, the key of the fold is the product's id: its columns are all shuffled, sorted and cross to Python.
+    written = change_history(offers.select(*seen), ["product_id"])
     return load.load_counters(offers, written).selectExpr(
         "page_url", *_plain_time("observed_at"), "offers_found", "products_created", "history_rows"
     )
