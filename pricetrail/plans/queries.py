@@ -581,17 +581,25 @@ def price_validity(spark, sf_dir):
 # --- whole loads and streams -----------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, files: int = 3) -> DataFrame:
-    """A table as a stream of files, in micro-batches of one file each; the first file comes twice.
+#: So many rows a file of a made stream holds; a part of more rows is written by several tasks.
+STREAM_FILE_ROWS = 250_000
 
-    Rows are dealt to the files by hash, so that their times interleave.
+
+def _stream(spark: SparkSession, sf_dir: str, name: str, parts: int = 3, file_rows: int | None = None) -> DataFrame:
+    """A table as a stream of files, in micro-batches of one part each; the first part comes twice.
+
+    Rows are dealt to the parts by hash, so that their times interleave. All parts have as many files, so a micro-batch
+    takes that many.
     """
     rows = table(spark, sf_dir, name)
     path = fresh_path(spark, f"{name}-files")
-    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(rows.columns[0]), F.lit(files)))
-    for number in [*range(files), 0]:
-        dealt.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(rows.columns[0]), F.lit(parts)))
+    files = max(1, -(-rows.count() // (parts * (file_rows or STREAM_FILE_ROWS))))
+    for number in [*range(parts), 0]:
+        part = dealt.where(F.col("_part") == number).drop("_part")
+        # Dealt out row by row, no file of a part is empty, however often a key comes.
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _loaded_out(spark: SparkSession, root: str) -> DataFrame:

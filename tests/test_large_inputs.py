@@ -1,4 +1,4 @@
-"""What keeps queries cheap on large tables."""
+"""What keeps loads and made streams cheap on large tables: narrow folds, one pass for shops, several files a part."""
 
 from datetime import datetime, timedelta
 
@@ -50,3 +50,17 @@ def test_known_urls_meet_once_each(spark):
     semi = plan[plan.index("Join LeftSemi"):]
     # Offers with one URL and product are one row before the join.
     assert semi.splitlines()[1].strip(" :+-").startswith("Aggregate")
+
+
+def test_made_stream_has_several_files_a_part(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS event_id", "id % 7 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    stream = queries._stream(spark, str(tmp_path), "events", file_rows=60)
+    batches, files = [], []
+
+    def take(batch, number):
+        batches.append(sorted(r[0] for r in batch.collect()))
+        files.append(len({r[0] for r in batch.selectExpr("input_file_name()").collect()}))
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 4 and batches[0] == batches[3] and sorted(sum(batches[:3], [])) == list(range(1000))
+    assert files == [6] * 4
