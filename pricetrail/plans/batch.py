@@ -61,16 +61,11 @@ def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules,
         extracted = extract.extract_catalog(pages, more_rules, more_offers)
     else:
         extracted = extract.extract_product(pages, more_rules, more_offers)
-    path = fresh_path(spark, "extracted")
-    extracted.write.parquet(path)
-    extracted = spark.read.schema(extracted.schema).parquet(path)
+    extracted = _kept(spark, extracted, "extracted")
     set_aside = extract.rejects(extracted)
     if drop_copies:
         differing = differing_copies(extracted)
-        extracted = without_copies(extracted)
-        path = fresh_path(spark, "extracted")
-        extracted.write.parquet(path)
-        extracted = spark.read.schema(extracted.schema).parquet(path)
+        extracted = _kept(spark, without_copies(extracted), "extracted")
         set_aside = extract.rejects(extracted).unionByName(differing)
     _, _, offers = side_by_side(
         lambda: version.append("rejects", set_aside),
@@ -91,11 +86,19 @@ def _load(version: store.Load, pages, kind, responses, drop_copies, more_rules,
     )
 
 
+def _kept(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """An intermediate table, removed with the load's scope."""
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _store_shops(version: store.Load, extracted: DataFrame, more_rules: list[Rule] | None) -> None:
-    """Shops are few: one new one makes the table anew, none leaves it."""
+    """Shops are few: one new one makes the table anew, none leaves it. The pages are reduced to shops once."""
     shops = store.in_buckets(version.spark, version.before, version.root, "shops")
-    if shops is None or not load.new_shops(extracted, shops, more_rules).isEmpty():
-        all_shops = load.get_or_create_shops(extracted, shops, more_rules)
+    new = _kept(version.spark, load.new_shops(extracted, shops, more_rules), "shops")
+    if shops is None or not new.isEmpty():
+        all_shops = new if shops is None else shops.unionByName(new)
         touched = [r[0] for r in all_shops.select(store.bucket_of(["base_url"], version.n)).distinct().collect()]
         version.replace("shops", all_shops, ["base_url"], touched)
 
@@ -109,7 +112,9 @@ def _store_offers(version: store.Load, offers: DataFrame) -> DataFrame:
     bare = named.where("internal_product_id IS NULL")
     wanted = [r[0] for r in bare.select(store.bucket_of(URL_KEY, version.n)).distinct().collect()]
     urls = version.current("urls", wanted) if wanted else None
-    found = load.with_identity(named, urls).withColumn(store.BUCKET, store.bucket_of(["product_id"], version.n))
+    # Where every offer has an id of its own, none is looked up.
+    known = load.with_identity(named, urls) if wanted else load.with_own_id(named)
+    found = known.withColumn(store.BUCKET, store.bucket_of(["product_id"], version.n))
     return version.append("offers", found, [store.BUCKET])
 
 

@@ -2,8 +2,11 @@
 
 from datetime import datetime, timedelta
 
+from pricetrail import schemas
 from pricetrail.operators import load
-from pricetrail.plans import queries
+from pricetrail.plans import queries, store
+from pricetrail.plans.batch import load_snapshots
+from pricetrail.session import fresh_path
 
 T0 = datetime(2024, 5, 1)
 
@@ -52,6 +55,25 @@ def test_known_urls_meet_once_each(spark):
     assert semi.splitlines()[1].strip(" :+-").startswith("Aggregate")
 
 
+def pages(spark, *rows):
+    return spark.createDataFrame(
+        [(f"https://magnit.ru/catalog/{n}-a", T0 + timedelta(hours=n), 200, "text/html", f'<a href="/product/{key}-x">{price} ₽ Чай</a>') for n, key, price in rows],
+        schemas.PAGE_SNAPSHOTS,
+    )
+
+
+def test_shops_come_from_one_pass_and_ids_need_no_look_up(spark, monkeypatch):
+    passes, looked_up = [], []
+    monkeypatch.setattr(load, "new_shops", lambda *a, f=load.new_shops: passes.append(1) or f(*a))
+    monkeypatch.setattr(load, "with_identity", lambda *a, f=load.with_identity: looked_up.append(1) or f(*a))
+    root = fresh_path(spark, "one-pass")
+    load_snapshots(spark, pages(spark, (0, "11", "10"), (1, "12", "20")), root)
+    load_snapshots(spark, pages(spark, (2, "11", "11")), root)
+    assert (len(passes), looked_up) == (2, [])
+    assert {r.base_url for r in store.read(spark, root, "shops").collect()} == {"https://magnit.ru"}
+    assert sorted(r.product_key for r in store.read(spark, root, "products").collect()) == ["id:11", "id:12"]
+
+
 def test_made_stream_has_several_files_a_part(spark, tmp_path):
     spark.range(1000).selectExpr("id AS event_id", "id % 7 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
     stream = queries._stream(spark, str(tmp_path), "events", file_rows=60)
