@@ -68,12 +68,16 @@ def viterbi(vocabulary: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
     return [counts, scores, np.concatenate(ids) if ids else np.zeros(0, np.int32)]
 
 
+#: Distinct parts that an encoder keeps. The pipeline's workers are there beside a heap that earlier stages have grown.
+MOST_PARTS = 150_000
+
+
 class Encoder:
     """Whole texts to piece ids; parts seen before are not searched again."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.parts = Grown(lambda words: viterbi(vocabulary, words))
+        self.parts = Grown(lambda words: viterbi(vocabulary, words), MOST_PARTS)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids by text, score by text). A text gets a leading space; an empty
@@ -111,7 +115,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches):
         vocabulary = shared.value
         encoder = Encoder(vocabulary)
-        for batch, texts in chunks(batches, limit=4 << 20):
+        for batch, texts in chunks(batches):
             ids, number, score = encoder.encode(texts)
             parts = np.split(ids, np.cumsum(number)[:-1])
             back = [decode(vocabulary, p) for p in parts]
