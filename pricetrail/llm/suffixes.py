@@ -8,7 +8,7 @@ merge-scanned against the levels of the family, and levels of one size merge int
 
 Sampled suffixes that repeat are then settled exactly. Those whose whole surroundings (all strings of LENGTH bytes that
 choose them) repeat are covered. Where surroundings differ, at the ends of passages, one of each kind is compared with
-the others by the hashes of their strings: few within one row, many in Spark.
+the others by the hashes of their strings: few within one row, many in Spark, where blocks of strings come first.
 """
 
 import hashlib
@@ -29,6 +29,8 @@ BATCHES = 2
 #: At most so many different surroundings of one beginning are compared with each other, in one row; beyond that each
 #: is compared with the most frequent one, and the strings that these two don't share are hashed.
 FEW = 512
+#: Strings in a block, in the rounds in which those of many different surroundings are compared.
+BLOCKS = (16, 4, 1)
 
 
 def samples(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,10 +193,12 @@ def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     few_or_many = classes.join(kinds, "key").select(
         F.col("mark").alias("key"), (F.col("kinds") <= FEW).alias("few"), (F.col("mark") == F.col("most.mark")).alias("first")
     )
-    unlike = stored(few_or_many, "suffix-unlike")
-    spans = _whole(hit, classes)
-    few, many = (_surroundings(rows, unlike.filter(f).select("key")) for f in ("few", "NOT few"))
-    spans = spans.union(_compared(few)).union(_by_strings(many, unlike.filter("NOT few AND first").select(F.col("key").alias("mark")))).distinct()
+    found = stored(_surroundings(rows, stored(few_or_many, "suffix-unlike")), "suffix-surroundings")
+    spans = _whole(hit, classes).union(_compared(found.filter("few")))
+    many = found.filter("NOT few")
+    for more in [] if many.isEmpty() else _by_strings(many):
+        spans = spans.union(more)
+    spans = spans.distinct()
     return stored(spans.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "suffix-spans")
 
 
@@ -285,11 +289,12 @@ def _common(x: dict, y: dict, a: tuple[int, int], b: tuple[int, int]) -> tuple[t
 
 
 def _surroundings(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The surroundings of the suffixes with the chosen marks, one row for each mark.
+    """The surroundings of the suffixes with the chosen marks (column ``key``), one row for each mark, with the other
+    columns of ``chosen``.
 
     A filter spares most rows the shuffle; what passes it by chance is left out by the marks themselves.
     """
-    words = rows.sparkSession.sparkContext.broadcast(bloom(chosen))
+    words = rows.sparkSession.sparkContext.broadcast(bloom(chosen.select("key")))
 
     def run(parts):
         for data, _, ids, same, key, _, mark, base, places, low, high in _sampled(parts, [words.value], True):
@@ -299,19 +304,19 @@ def _surroundings(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     found = arrow_map(rows, run, "id long, same long, key long, mark long, low long, place long, last long, around binary")
     # Rows equal in id and text have one mark: they are reduced before the shuffle.
     row = F.struct("id", "same", "key", "low", "place", "last", "around")
-    found = found.groupBy("mark").agg(F.first(row).alias("x")).join(chosen.select(F.col("key").alias("mark")), "mark", "left_semi")
-    return found.select("x.id", "x.same", "x.key", "mark", "x.low", "x.place", "x.last", "x.around")
+    found = found.groupBy("mark").agg(F.first(row).alias("x")).join(chosen.withColumnRenamed("key", "mark"), "mark")
+    return found.select("x.id", "x.same", "x.key", "mark", "x.low", "x.place", "x.last", "x.around", *(c for c in chosen.columns if c != "key"))
 
 
-def _by_strings(found: DataFrame, first: DataFrame) -> DataFrame:
+def _by_strings(found: DataFrame) -> list[DataFrame]:
     """Spans of strings that occur in several of the many different surroundings of one beginning.
 
     Each is compared with the ``first`` of its beginning, the most frequent. A string that these two don't share can
-    only be shared with surroundings that don't share it with the first either: only such strings are hashed.
+    only be shared with surroundings that don't share it with the first either. Such strings are looked at in blocks,
+    by what all strings of a block have in common; only blocks in which some but not all are shared are parted into
+    smaller ones, down to single strings.
     """
-    found = stored(found, "suffix-surroundings")
-    heads = found.join(first, "mark", "left_semi").groupBy("key").agg(F.first(F.struct("mark", "place", "last", "around", "id", "same", "low")).alias("head"))
-    both = found.join(stored(heads, "suffix-heads"), "key")
+    heads = found.filter("first").groupBy("key").agg(F.first(F.struct("mark", "place", "last", "around", "id", "same", "low")).alias("head"))
 
     def compared(parts):
         for batch in parts:
@@ -321,39 +326,76 @@ def _by_strings(found: DataFrame, first: DataFrame) -> DataFrame:
                 if x["mark"] == y["mark"]:
                     mine, own = (0, x["last"]), None
                 else:
-                    mine, own = _common(x, y, _ends(x), _ends(y)) or (None, None)
-                out.append((x, mine, own, y))
-            yield from out
+                    mine, own = _common(x, y, _ends(x), _ends(y)) or ((x["last"] + 1, x["last"]), None)
+                spans = [(z["id"], z["same"], z["low"] + s[0], z["low"] + s[1] + LENGTH) for z, s in ((x, mine), (y, own)) if own]
+                spans = [dict(zip(("id", "same", "start", "end"), s)) for s in spans]
+                out.append({k: x[k] for k in ("id", "same", "low", "place", "last", "around")} | {"before": mine[0], "after": mine[1], "spans": spans})
+            yield pa.RecordBatch.from_pylist(out, schema=form)
+
+    span = [("id", pa.int64()), ("same", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
+    form = [(n, pa.int64()) for n in ("id", "same", "low", "place", "last")] + [("around", pa.binary())]
+    form = pa.schema([*form, ("before", pa.int64()), ("after", pa.int64()), ("spans", pa.list_(pa.struct(span)))])
+    fields = "id long, same long, low long, place long, last long, around binary, before long, after long"
+    both = found.drop("few", "first").join(heads, "key")
+    both = stored(arrow_map(both, compared, f"{fields}, spans array<struct<id:long,same:long,start:long,end:long>>"), "suffix-compared")
+    spans = [both.select(F.explode("spans").alias("s")).select("s.*").distinct()]
+    wider: list = []
+    for width in BLOCKS:
+        string = stored(_blocks(both.filter("before > 0 OR after < last"), width, wider), "suffix-strings")
+        # The same strings in two classes start at two places; in one class only, they were settled with the class.
+        kinds = string.groupBy("h1", "h2").agg(*(f(c).alias(f"{n}_{c}") for c in ("kind", "whole") for f, n in ((F.min, "min"), (F.max, "max"))))
+        kinds = stored(kinds.filter("min_kind <> max_kind"), "suffix-again")
+        again = kinds.filter("min_whole = max_whole").select("h1", "h2")
+        spans.append(string.join(again, ["h1", "h2"]).select("id", "same", "start", "end"))
+        if width > 1:
+            parted = bloom(kinds.filter("min_whole <> max_whole").select(F.col("h1").alias("key")))
+            if not parted.any():
+                break
+            wider = [*wider, (width, found.sparkSession.sparkContext.broadcast(parted))]
+    return spans
+
+
+def _blocks(both: DataFrame, width: int, wider: list) -> DataFrame:
+    """(id, same, start, end, h1, h2, whole, kind): a row for each block of strings that the first of its beginning
+    doesn't share, if it lies in blocks to be parted.
+
+    Strings are numbered by how far before the sampled place they start. ``h1`` and ``h2`` hash the bytes that all
+    strings of a block hold, so one can only be shared where these are; where the hash ``whole`` of those that stand
+    here is the same too, all are shared.
+    """
 
-    def shared(parts):
-        for batch in parts:
-            spans = set()
-            for x, mine, own, y in compared([batch]):
-                if own:
-                    spans.add((x["id"], x["same"], x["low"] + mine[0], x["low"] + mine[1] + LENGTH))
-                    spans.add((y["id"], y["same"], y["low"] + own[0], y["low"] + own[1] + LENGTH))
-            if spans:
-                yield _batch(**dict(zip(("id", "same", "start", "end"), map(np.array, zip(*sorted(spans))))))
-
-    def strings(parts):
-        digest = xxhash.xxh3_128_intdigest
+    def run(parts):
+        digest, short = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
         for batch in parts:
             out = []
-            for x, mine, _, _ in compared([batch]):
-                kind = xxhash.xxh3_64_intdigest(x["around"], x["place"] << 16 | x["last"]) - (1 << 63)
-                for i in range(x["last"] + 1):
-                    if mine is None or not mine[0] <= i <= mine[1]:
-                        h = digest(x["around"][i : i + LENGTH])
-                        out.append((x["id"], x["same"], x["low"] + i, (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), kind))
+            for x in batch.to_pylist():
+                around, place, last = x["around"], x["place"], x["last"]
+                kind = short(around, place << 16 | last) - (1 << 63)
+                for first, end in ((0, x["before"] - 1), (x["after"] + 1, last)):
+                    for n in range((place - end) // width, (place - first) // width + 1) if first <= end else ():
+                        least, most = n * width, (n + 1) * width - 1
+                        if not all(_holds(w.value, digest(_core(around, place, n * width // size * size, size), n * width // size)) for size, w in wider):
+                            continue
+                        h = digest(_core(around, place, least, width), n)
+                        a, b = max(first, place - most), min(end, place - least)
+                        whole = short(around[a : b + LENGTH], (place - a) << 16 | (b - a)) - (1 << 63)
+                        out.append((x["id"], x["same"], x["low"] + a, x["low"] + b + LENGTH, (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), whole, kind))
             if out:
-                yield _batch(**dict(zip(("id", "same", "start", "h1", "h2", "kind"), map(np.array, zip(*out)))))
-
-    string = stored(arrow_map(both, strings, "id long, same long, start long, h1 long, h2 long, kind long"), "suffix-strings")
-    # The same string in two classes starts at two places; in one class only, it was settled with the class.
-    kinds = string.groupBy("h1", "h2").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
-    again = stored(kinds.filter("a <> b").select("h1", "h2"), "suffix-again")
-    spans = arrow_map(both, shared, "id long, same long, start long, end long")
-    return spans.union(string.join(again, ["h1", "h2"]).select("id", "same", "start", (F.col("start") + LENGTH).alias("end")))
+                yield _batch(**dict(zip(("id", "same", "start", "end", "h1", "h2", "whole", "kind"), map(np.array, zip(*out)))))
+
+    return arrow_map(both, run, "id long, same long, start long, end long, h1 long, h2 long, whole long, kind long")
+
+
+def _core(around: bytes, place: int, least: int, width: int) -> bytes:
+    """The bytes that all strings hold which start ``least`` to ``least + width - 1`` bytes before the place."""
+    return around[place - least : place + LENGTH - least - width + 1]
+
+
+def _holds(words: np.ndarray, h: int) -> bool:
+    """Does the filter of the upper halves of such hashes hold this one?"""
+    key = ((h >> 64) - (1 << 63)) & (2**64 - 1)
+    here = len(words) * 64 - 1
+    return all(int(words[(k & here) >> 6]) >> (k & 63) & 1 for k in (key, key >> 32))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -75,3 +75,25 @@ def test_groups_hold_one_row_of_each_kind(spark, monkeypatch):
     got = suffixes.without_repeats(docs).drop("kept").collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(rows)
     assert 2 <= sizes.value <= 30
+
+
+@pytest.mark.parametrize("many", [100, 200])
+def test_strings_of_many_kinds_are_hashed_in_blocks(spark, monkeypatch, many):
+    monkeypatch.setattr(suffixes, "FEW", 8)
+    made, stored = [], suffixes.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "suffix-strings":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", counted)
+    rng = random.Random(6)
+    passage, more = words(rng, 150), words(rng, 40)
+    # All go on after a passage in their own way, half of them after a second passage.
+    rows = [(i, f"{passage} {more if i % 2 else ''} {words(rng, 60)}") for i in range(many)]
+    docs = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], SCHEMA).repartition(4)
+    got = suffixes.without_repeats(docs).drop("kept").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
+    assert 0 < sum(made) <= 20 * many
