@@ -8,55 +8,99 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetrail.llm import huffman
-from pricetrail.llm.common import NULL_ID, arrow_map, chunks, stored
+from pricetrail.llm.common import NULL_ID, arrow_map, chunks, mixed, stored
 from pricetrail.llm.neighbours import id_cuts
-from pricetrail.llm.pieces import Grown
 from pricetrail.session import fresh_path
 
 END = 2
 #: Ids in a block; a longer document makes a longer block.
 BLOCK = 1 << 18
 
-#: Fixed value: how a byte-level vocabulary of this kind parts a text before it looks for merges.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A space after white space may belong to the run before it; elsewhere a space always starts a part.
-_RUN, _START = re.compile(r"\s "), re.compile(r"(?<=\S) ")
+#: Classes of characters by which a byte-level vocabulary of this kind parts a text before it looks for merges:
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+LETTER, NUMBER, WHITE, OTHER, END_OF_TEXT = range(5)
+#: Stands after each text, beyond all characters.
+_STOP = 0x110000
+#: Parts of more characters are hashed one by one.
+_SHORT = 32
+
+
+def _character_classes() -> np.ndarray:
+    out = np.full(_STOP + 1, OTHER, np.uint8)
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, _STOP))))
+    for number, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        for run in regex.finditer(pattern, every):
+            out[ord(every[run.start()]) : ord(every[run.end() - 1]) + 1] = number
+    out[_STOP] = END_OF_TEXT
+    return out
+
+
+def pretokens(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where parts start, over the code points of texts that each end with _STOP; one that follows a part counts to it."""
+    kind = np.r_[classes[points], np.full(3, END_OF_TEXT, np.uint8)]
+    new = np.r_[True, kind[1:-3] != kind[:-4]] & (kind[:-3] != END_OF_TEXT)
+    # The last of white space that does not end the text stands alone; a space goes to what follows.
+    last = np.flatnonzero((kind[:-3] == WHITE) & (kind[1:-2] != WHITE) & (kind[1:-2] != END_OF_TEXT))
+    new[last] = True
+    new[last[points[last] == 32] + 1] = False
+    # A part that starts with an apostrophe and a letter has no other characters of its kind.
+    at = np.flatnonzero((points == 39) & new & (kind[1:-2] == LETTER))
+    if len(at):
+        more = np.r_[points, np.full(3, _STOP, points.dtype)]
+        one, two = more[at + 1], more[at + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")])
+        new[at[short | long] + 1] = False
+        ends = np.r_[at[short] + 2, at[long] + 3]
+        new[ends[kind[ends] == LETTER]] = True
+    return np.flatnonzero(new)
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct part of the texts."""
+    """The tokenizers library, whose model is asked once for each distinct part of the texts.
 
-    def __init__(self, path: str):
+    Parts are known by 64-bit hashes of their characters and forgotten when there are too many.
+    """
+
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         # Texts that hold the string of an added token are left to the library whole.
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.pretokens = Grown(self._merge, 600_000)
-        self.first = Grown(lambda units: self._split(units), 50_000)
-        self.later = Grown(lambda units: self._split([" " + u for u in units]), 400_000)
-
-    def _merge(self, pretokens: list[str]) -> list[np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
-        number = np.fromiter(map(len, ids), np.int64, len(ids))
-        return [number, np.fromiter(chain.from_iterable(ids), np.uint16, int(number.sum()))]
-
-    def _split(self, units: list[str]) -> list[np.ndarray]:
-        parts = list(map(PRETOKEN.findall, units))
-        codes = self.pretokens.codes(list(chain.from_iterable(parts)))
-        if not len(codes):
-            return [np.zeros(len(units), np.int64), np.zeros(0, np.uint16)]
-        ids, number = _gathered(self.pretokens, codes)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        run = np.r_[0, np.cumsum(number)]
-        return [np.diff(np.r_[0, run[ends]]), ids]
+        self.model, self.most = self.tokenizer.model, most
+        # The library's names of bytes: its own where they can be printed, later characters in order for the others.
+        names = sorted(ByteLevel.alphabet(), key=ord)
+        printed = [ord(c) for c in names if ord(c) < 256]
+        rest = iter(names[len(printed) :])
+        self.names = {b: b if b in printed else ord(next(rest)) for b in range(256)}
+        self.classes = _character_classes()
+        self.values = mixed(np.arange(1, _STOP + 2, dtype=np.uint64))
+        self.values[_STOP] = 0
+        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(_SHORT, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        # Sorted hashes with their places in ``starts``; ids of the part at a place are those up to the next start.
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16)
+
+    def _merge(self, parts: list[str]) -> None:
+        """Appends the ids of new parts."""
+        tokenize, names = self.model.tokenize, self.names
+        found = [[x.id for x in tokenize(p.encode().decode("latin-1").translate(names))] for p in parts]
+        number = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(number)]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), np.uint16, int(number.sum()))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text."""
@@ -69,23 +113,43 @@ class Encoder:
         return [np.array(next(whole).ids, np.uint16) if n in held else next(plain) for n in range(len(texts))]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = [_START.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        first, starts = _gathered(self.first, self.first.codes([u[0] for u in units]))
-        codes = self.later.codes(list(chain.from_iterable(u[1:] for u in units)))
-        later, sizes = _gathered(self.later, codes) if len(codes) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
-        run = np.r_[0, np.cumsum(sizes)]
-        ends = np.cumsum([len(u) - 1 for u in units])
-        heads = np.split(first, np.cumsum(starts)[:-1])
-        tails = np.split(later, run[ends][:-1])
-        return [np.concatenate([h, t]) for h, t in zip(heads, tails)]
-
-
-def _gathered(grown: Grown, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(flat values, number by code) of codes just made."""
-    number, flat = grown.parts
-    starts = np.cumsum(number) - number
-    many = number[codes]
-    return flat[np.repeat(starts[codes] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))], many
+        joined = "\0".join(texts) + "\0"
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4").copy()
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        points[text_ends - 1] = _STOP
+        starts = pretokens(points, self.classes)
+        parts = np.diff(np.r_[0, np.searchsorted(starts, text_ends)])
+        places = self._places(joined, points, starts) if len(starts) else np.zeros(0, np.int64)
+        first = self.starts[places]
+        many = self.starts[places + 1] - first
+        ends = np.cumsum(many)
+        ids = self.ids[np.repeat(first - (ends - many), many) + np.arange(int(many.sum()))]
+        run = np.r_[0, ends]
+        return np.split(ids, run[np.cumsum(parts)][:-1])
+
+    def _places(self, joined: str, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        if len(self.hashes) > self.most:
+            self._forget()
+        following = np.r_[starts[1:], len(points)]
+        stops = np.r_[0, np.cumsum(points == _STOP)]
+        lengths = following - starts - (stops[following] - stops[starts])
+        place = np.arange(starts[0], len(points)) - np.repeat(starts, following - starts)
+        values = self.values[points[starts[0] :]] * self.powers[np.minimum(place, _SHORT)]
+        key = mixed(np.add.reduceat(values, starts - starts[0]) + lengths.astype(np.uint64))
+        for n in np.flatnonzero(lengths > _SHORT).tolist():
+            key[n] = xxhash.xxh3_64_intdigest(joined[starts[n] : starts[n] + lengths[n]])
+        key, first, code = np.unique(key, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, key)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == key[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            before = len(self.starts) - 1
+            self._merge([joined[a:b] for a, b in zip(starts[first[new]].tolist(), (starts + lengths)[first[new]].tolist())])
+            self.hashes = np.insert(self.hashes, at[new], key[new])
+            self.places = np.insert(self.places, at[new], np.arange(before, before + len(new), dtype=np.int32))
+            at = np.searchsorted(self.hashes, key)
+        return self.places[at][code]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -117,7 +181,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     part = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < _key))") if cuts else F.lit(0)
 
     def run(batches):
-        for batch, texts in chunks(batches, limit=4 << 20):
+        for batch, texts in chunks(batches):
             found = [np.r_[i, np.uint16(end)] for i in _encoder(tokenizer).encode([t.decode() for t in texts])]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -69,3 +69,25 @@ def test_files_against_the_library(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert tokens.coded(spark.createDataFrame([], SCHEMA), vocabulary("byte_bpe_50k.json")).collect() == []
+
+
+def test_parts_of_odd_texts_are_those_of_the_library():
+    path, rng = vocabulary("byte_bpe_50k.json"), random.Random(3)
+    encoder, tokenizer = tokens.Encoder(path, most=3000), Tokenizer.from_file(path)
+    some = ["the", "  ", "'s", "'re", "'ll", "'v", " '", "42", "é", "ab" * 20, "\x1c", "\x85", " ", "漢", "٣", "é", "😀", "½", "ª", *map(chr, range(128))]
+    for _ in range(100):
+        texts = ["".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(rng.randint(1, 40))]
+        want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in encoder.encode(texts)] == want
+
+
+def test_many_distinct_parts_are_asked_once(monkeypatch):
+    asked, merge = [], tokens.Encoder._merge
+    monkeypatch.setattr(tokens.Encoder, "_merge", lambda self, parts: asked.append(len(parts)) or merge(self, parts))
+    encoder = tokens.Encoder(vocabulary("byte_bpe_50k.json"))
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) + "qx"[n % 2] for n in range(450_000)] + ["zz" + "".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(200_000)]
+    texts = [" ".join(words[i : i + 50_000]) for i in range(0, len(words), 50_000)]
+    first = [encoder.encode([t])[0] for t in texts][0]
+    distinct = len({(" " if i % 50_000 else "") + w for i, w in enumerate(words)})
+    assert sum(asked) == distinct > 600_000
+    assert (encoder.encode([texts[0]])[0] == first).all() and sum(asked) == distinct
