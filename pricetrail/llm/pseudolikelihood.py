@@ -10,6 +10,7 @@ in ROUNDS of their documents and follow the gradient; their weights are then ave
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ ROUNDS = 2
 BATCH, RATE = 512, 0.08
 #: Weights travel as whole numbers of this fraction, so that their sums don't depend on the order.
 FRACTION = 1 << 20
+#: Weights that travel in one row.
+BLOCK = 1 << 13
 #: Bytes of a rare word, and what stands after its last and before its first.
 END = 256
 
@@ -155,8 +158,11 @@ def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _ahead(w: dict, around: np.ndarray, ids: np.ndarray):
     x = w["embed"][around].reshape(len(ids), -1)
-    hidden = np.tanh(x @ w["inner"] + w["inner_bias"])
-    out = hidden @ w["outer"] + w["outer_bias"]
+    hidden = x @ w["inner"]
+    hidden += w["inner_bias"]
+    np.tanh(hidden, out=hidden)
+    out = hidden @ w["outer"]
+    out += w["outer_bias"]
     for columns, _, name, before in _parts(w, ids):
         if name:
             out[:, columns] += w[name][before]
@@ -172,8 +178,9 @@ def log_probabilities(w: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarra
         row = np.arange(len(i))
         for columns, target, _, _ in _parts(w, i):
             part = out[:, columns]
-            part = part - part.max(axis=1, keepdims=True)
-            result[s : s + 8192] += part[row, target] - np.log(np.exp(part).sum(axis=1))
+            part -= part.max(axis=1, keepdims=True)
+            own = part[row, target]
+            result[s : s + 8192] += own - np.log(np.exp(part, out=part).sum(axis=1))
     return result
 
 
@@ -225,6 +232,37 @@ class Learner:
         self.words += n
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Compressed whole numbers, all their lowest bytes first."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8")[:, 0]
+
+
+def _sums(batches):
+    """(block, sums) of rows sorted by block: how far each task moved the weights, times its words."""
+    at, high, low = None, 0, 0
+
+    def row():
+        # Two halves of the words, so that no product or sum of whole numbers is too large.
+        sums = high.astype(np.longdouble) * 65536 + low
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.astype(np.float64).tobytes()], pa.binary())], names=["block", "sums"])
+
+    for batch in batches:
+        for block, words, data in zip(*(batch.column(n).to_pylist() for n in ("block", "words", "moved"))):
+            if block != at:
+                if at is not None:
+                    yield row()
+                at, high, low = block, 0, 0
+            moved = _unsqueezed(data)
+            high, low = high + moved * (words >> 16), low + moved * (words & 0xFFFF)
+    if at is not None:
+        yield row()
+
+
 def learn(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights learned from all words of all documents; those of an empty table are the initial ones."""
     context, weights = docs.sparkSession.sparkContext, initial(ids=known.size)
@@ -256,22 +294,23 @@ def learn(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> dict[str,
             if rest and len(rest[0][0]):
                 steps(1)
             if learner.words:
-                # Weights that the task did not move need not be sent.
                 flat = np.concatenate([(learner.w[k].astype(np.float64) - start.value[k]).ravel() for k in sizes])
-                moved = np.r_[np.rint(flat * FRACTION).astype(np.int64) * learner.words, learner.words]
-                at = np.flatnonzero(moved)
-                for s in range(0, len(at), 10_000):
-                    part = at[s : s + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(moved[part])], names=["at", "n"])
-
-        found = arrow_map(docs.select("text"), run, "at long, n long").groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+                moved = np.r_[np.rint(flat * FRACTION).astype(np.int64), 1]
+                # Blocks of weights that the task did not move need not be sent.
+                for n, part in enumerate(np.split(moved, range(BLOCK, len(moved), BLOCK))):
+                    if part.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([learner.words]), pa.array([_squeezed(part)], pa.binary())], names=["block", "words", "moved"])
+
+        rows = arrow_map(docs.select("text"), run, "block int, words long, moved binary")
+        rows = rows.repartition("block").sortWithinPartitions("block")
         # One number for each weight comes back, whatever the number of documents.
-        found = found.select("at", F.col("n").cast("double").alias("n")).toArrow()
+        found = arrow_map(rows, _sums, "block int, sums binary").toArrow()
         start.unpersist()
         if not found.num_rows:
             break
         total = np.zeros(size + 1)
-        total[found["at"].to_numpy()] = found["n"].to_numpy()
+        for n, sums in zip(found["block"].to_pylist(), found["sums"].to_pylist()):
+            total[n * BLOCK : (n + 1) * BLOCK] = np.frombuffer(sums)
         moved = total[:-1] / total[-1] / FRACTION
         ends = np.cumsum([int(np.prod(s)) for s in sizes.values()])
         weights = {k: (weights[k] + x.reshape(s)).astype(np.float32) for (k, s), x in zip(sizes.items(), np.split(moved, ends[:-1]))}

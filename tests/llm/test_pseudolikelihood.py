@@ -114,3 +114,37 @@ def test_every_word_is_a_target_once(spark, monkeypatch):
     monkeypatch.setattr(pl, "arrow_map", patched)
     pl.learn(docs, known)
     assert seen.value == 3 * sum(i % 3 for i in range(100))
+
+
+def test_moved_weights_travel_compressed(spark, monkeypatch):
+    sent = spark.sparkContext.accumulator(0)
+    inner = pl.arrow_map
+
+    def patched(df, function, schema):
+        def run(batches):
+            for batch in function(batches):
+                if not {"at", "moved"}.isdisjoint(batch.schema.names):
+                    sent.add(batch.nbytes)
+                yield batch
+
+        return inner(df, run, schema)
+
+    monkeypatch.setattr(pl, "arrow_map", patched)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=200)), "", "") for i in range(60)], SCHEMA).repartition(3)
+    known = pl.vocabulary(docs)
+    sent.value = 0
+    learned = pl.learn(docs, known)
+    # Each of three tasks sends nearly all weights in both rounds; as pairs of numbers they would take 16 bytes each.
+    weights = sum(w.size for w in learned.values())
+    assert 0 < sent.value < 4 * 6 * weights
+
+
+def test_sums_of_moved_weights_are_exact():
+    big = np.array([1 << 40, -(1 << 31), 0, 5], np.int64)
+    rows = [(0, 7, big), (0, (1 << 20) + 1, -big), (2, 3, big[:2])]
+    columns = [[n for n, _, _ in rows], [w for _, w, _ in rows], [pl._squeezed(x) for *_, x in rows]]
+    batch = pl.pa.RecordBatch.from_arrays([pl.pa.array(c) for c in columns], names=["block", "words", "moved"])
+    got = {b.column("block")[0].as_py(): np.frombuffer(b.column("sums")[0].as_py()).tolist() for b in pl._sums([batch])}
+    assert got == {0: [float(int(x) * (7 - (1 << 20) - 1)) for x in big], 2: [float(3 * int(x)) for x in big[:2]]}
