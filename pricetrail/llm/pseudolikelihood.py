@@ -55,13 +55,15 @@ def _digits(ids: int) -> int:
     return digits
 
 
-def _parts(w: dict, ids: np.ndarray):
-    """Of each digit: its columns, its value, and the table and rows of its terms (none for the first)."""
+def _parts(w: dict, ids: np.ndarray) -> tuple[np.ndarray, list]:
+    """The column of each digit's own value, and of each digit after the first: its columns, table and rows of terms."""
     digits = w["outer"].shape[1] // CLASSES
-    for d in range(digits):
-        before = ids // CLASSES ** (digits - d)
-        name = None if not d else "member" if d == 1 else f"member{d}"
-        yield slice(d * CLASSES, (d + 1) * CLASSES), ids // CLASSES ** (digits - 1 - d) % CLASSES, name, before
+    before = [ids // CLASSES ** (digits - d) for d in range(1, digits)] + [ids]
+    own = np.empty((len(ids), digits), np.int64)
+    own[:, 0] = before[0]
+    for d in range(1, digits):
+        own[:, d] = before[d] - CLASSES * (before[d - 1] - d)
+    return own, [(slice(d * CLASSES, (d + 1) * CLASSES), "member" if d == 1 else f"member{d}", before[d - 1]) for d in range(1, digits)]
 
 
 def initial(seed: int = 7, ids: int = IDS) -> dict[str, np.ndarray]:
@@ -97,12 +99,12 @@ def spelling_pairs(texts: list[bytes], chosen: np.ndarray) -> tuple[np.ndarray,
     """(byte before or END, byte or END, number of the word) for all bytes of the chosen words and their ends."""
     data = np.frombuffer(b"\n" + b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
     white = WHITE[data]
-    word = np.cumsum(white[:-1] & ~white[1:]) - 1  # of each place but the first, as it follows one
-    inside = ~white[:-1] | ~white[1:]
-    at = np.flatnonzero(inside)
-    at = at[chosen[word[at]]]
-    symbols = np.where(white, END, data.astype(np.int64))
-    return symbols[at], symbols[at + 1], word[at]
+    edges = np.flatnonzero(white[1:] != white[:-1])  # before each word, and its last byte
+    word = np.flatnonzero(chosen)
+    starts, pairs = edges[::2][word], (edges[1::2] - edges[::2])[word] + 1
+    at = np.arange(pairs.sum()) + np.repeat(starts - np.cumsum(pairs) + pairs, pairs)
+    before, here = (np.where(white[x], END, data[x].astype(np.int64)) for x in (at, at + 1))
+    return before, here, np.repeat(word, pairs)
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
@@ -135,52 +137,81 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(hashes, sums.reshape(END + 1, END + 1))
 
 
+def numbered(texts: list[bytes], known: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, words by text); without a vocabulary ids are ends of hashes."""
+    hashes, counts = word_hashes([t.lower() for t in texts])
+    return known.ids(hashes) if known else (hashes >> np.uint64(52)).astype(np.int32), counts
+
+
+def windows(ids: np.ndarray, counts: np.ndarray, edge: int = EDGE, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The ids around the chosen words; ``edge`` stands where a text has no more words."""
+    # All words in a line, with edges between the texts.
+    at = np.arange(WINDOW, len(ids) + WINDOW) + WINDOW * np.repeat(np.arange(len(counts)), counts)
+    line = np.full(len(ids) + WINDOW * (len(counts) + 1), edge, np.int32)
+    line[at] = ids
+    return line[at[chosen, None] + np.r_[-WINDOW:0, 1 : WINDOW + 1]]
+
+
 def examples(texts: list[bytes], known: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all words, the ids in their windows, words by text); without a vocabulary ids are ends of hashes."""
-    hashes, counts = word_hashes([t.lower() for t in texts])
-    ids = known.ids(hashes) if known else (hashes >> np.uint64(52)).astype(np.int32)
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-    left = np.repeat(counts, counts) - place
-    around = np.full((len(ids), 2 * WINDOW), known.size if known else EDGE, np.int32)
-    for d in range(1, WINDOW + 1):
-        before, after = place >= d, left > d
-        around[before, WINDOW - d] = ids[np.flatnonzero(before) - d]
-        around[after, WINDOW + d - 1] = ids[np.flatnonzero(after) + d]
-    return ids, around, counts
-
-
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials, their sums) row by row, safe for large values; ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    return x, x.sum(axis=1, keepdims=True)
-
-
-def _ahead(w: dict, around: np.ndarray, ids: np.ndarray):
-    x = w["embed"][around].reshape(len(ids), -1)
-    hidden = x @ w["inner"]
+    ids, counts = numbered(texts, known)
+    return ids, windows(ids, counts, known.size if known else EDGE), counts
+
+
+class _Room:
+    """Arrays of a batch, used again for the next: fresh ones of this size cost more time than the work on them."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, like: np.ndarray, *shape: int) -> np.ndarray:
+        held = self.kept.get(name)
+        if held is None or len(held) < shape[0] or held.shape[1:] != shape[1:] or held.dtype != like.dtype:
+            held = self.kept[name] = np.empty(shape, like.dtype)
+        return held[: shape[0]]
+
+
+def _rows(table: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows of a table; without ``mode`` numpy would write them to a copy first. All places are inside the table."""
+    return np.take(table, at, axis=0, out=out, mode="clip")
+
+
+def _below_tops(out: np.ndarray, room: _Room) -> np.ndarray:
+    """Outputs less the greatest of their digit, in place, digit by digit."""
+    cells = out.reshape(-1, CLASSES)
+    # Halves against each other, then by columns: numpy reduces many short rows slowly.
+    half = np.maximum(cells[:, : CLASSES // 2], cells[:, CLASSES // 2 :], out=room("half", out, len(cells), CLASSES // 2))
+    quarter = np.maximum(half[:, : CLASSES // 4], half[:, CLASSES // 4 :], out=room("quarter", out, len(cells), CLASSES // 4))
+    cells -= np.ascontiguousarray(quarter.T).max(axis=0)[:, None]
+    return cells
+
+
+def _ahead(w: dict, around: np.ndarray, parts: list, room: _Room):
+    """(embedded windows, hidden values, outputs); they stand in ``room`` until its next batch."""
+    n, outer = len(around), w["outer"]
+    x = _rows(w["embed"], around, room("x", w["embed"], n, 2 * WINDOW, WIDTH)).reshape(n, -1)
+    hidden = np.matmul(x, w["inner"], out=room("hidden", outer, n, HIDDEN))
     hidden += w["inner_bias"]
     np.tanh(hidden, out=hidden)
-    out = hidden @ w["outer"]
+    out = np.matmul(hidden, outer, out=room("out", outer, n, outer.shape[1]))
     out += w["outer_bias"]
-    for columns, _, name, before in _parts(w, ids):
-        if name:
-            out[:, columns] += w[name][before]
+    for columns, name, before in parts:
+        out[:, columns] += _rows(w[name], before, room("terms", outer, n, CLASSES))
     return x, hidden, out
 
 
 def log_probabilities(w: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Of each word given the words around it."""
-    result = np.zeros(len(ids))
-    for s in range(0, len(ids), 8192):
-        i = ids[s : s + 8192]
-        _, _, out = _ahead(w, around[s : s + 8192], i)
-        row = np.arange(len(i))
-        for columns, target, _, _ in _parts(w, i):
-            part = out[:, columns]
-            part -= part.max(axis=1, keepdims=True)
-            own = part[row, target]
-            result[s : s + 8192] += own - np.log(np.exp(part, out=part).sum(axis=1))
+    result, room = np.zeros(len(ids)), _Room()
+    for s in range(0, len(ids), BATCH):
+        i = ids[s : s + BATCH]
+        own, parts = _parts(w, i)
+        out = _ahead(w, around[s : s + BATCH], parts, room)[2]
+        cells = _below_tops(out, room)
+        owns = np.take_along_axis(out, own, axis=1)
+        logs = np.log(np.exp(cells, out=cells).sum(axis=1)).reshape(own.shape)
+        for d in range(own.shape[1]):
+            result[s : s + BATCH] += owns[:, d] - logs[:, d]
     return result
 
 
@@ -191,6 +222,7 @@ class Learner:
         self.w = {k: v.copy() for k, v in weights.items()}
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in weights.items()}
         self.words = 0
+        self.room = _Room()
 
     def _move(self, name: str, slope: np.ndarray) -> None:
         self.seen[name] += slope * slope
@@ -198,33 +230,46 @@ class Learner:
 
     def _move_rows(self, name: str, rows: np.ndarray, slopes: np.ndarray) -> None:
         """Only the rows that have a slope: the work does not grow with the table."""
-        order = np.argsort(rows, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-        touched, slope = rows[order][cut], np.add.reduceat(slopes[order], cut, axis=0)
-        seen = self.seen[name][touched] + slope * slope
+        # Sorted together with their places, rows keep the order of the batch.
+        n = len(rows)
+        bits = n.bit_length()
+        keys = rows.astype(np.int64) << bits
+        keys |= np.arange(n)
+        keys.sort()
+        order, rows = keys & ((1 << bits) - 1), keys >> bits
+        first = np.ones(n, bool)
+        np.not_equal(rows[1:], rows[:-1], out=first[1:])
+        cut = np.flatnonzero(first)
+        touched = rows[cut]
+        slope = np.add.reduceat(_rows(slopes, order, self.room(name, slopes, n, slopes.shape[1])), cut, axis=0)
+        seen = self.seen[name].take(touched, axis=0) + slope * slope
         self.seen[name][touched] = seen
         self.w[name][touched] -= RATE * slope / np.sqrt(seen)
 
     def step(self, ids: np.ndarray, around: np.ndarray) -> None:
-        w, n = self.w, len(ids)
-        x, hidden, out = _ahead(w, around, ids)
-        row, slope = np.arange(n), np.empty_like(out)
-        for at, target, _, _ in _parts(w, ids):
-            e, total = _softmax(out[:, at])
-            part = e / total
-            part[row, target] -= 1
-            slope[:, at] = part
+        w, n, room = self.w, len(ids), self.room
+        own, parts = _parts(w, ids)
+        x, hidden, slope = _ahead(w, around, parts, room)
+        cells = _below_tops(slope, room)
+        np.exp(cells, out=cells)
+        cells /= cells.sum(axis=1, keepdims=True)
+        slope.reshape(-1)[own + np.arange(0, slope.size, slope.shape[1])[:, None]] -= 1
         slope /= np.float32(np.sqrt(n))
-        inner = (slope @ w["outer"].T) * (1 - hidden * hidden)
-        back = (inner @ w["inner"].T).reshape(-1, WIDTH)
-        for columns, _, name, before in _parts(w, ids):
+        inner = np.matmul(slope, w["outer"].T, out=room("inner", slope, n, HIDDEN))
+        inner *= 1 - hidden * hidden
+        back = np.matmul(inner, w["inner"].T, out=room("back", slope, n, x.shape[1])).reshape(-1, WIDTH)
+        for columns, name, before in parts:
+            part = room("part", slope, n, CLASSES)
+            part[:] = slope[:, columns]
             if name == "member":
                 member = np.zeros_like(w["member"])
-                np.add.at(member, before, slope[:, columns])
+                # One sum for each digit that comes in the batch; numpy's sums at given rows are far slower.
+                for digit in np.flatnonzero(np.bincount(before)):
+                    part[before == digit].sum(axis=0, out=member[digit])
                 self._move("member", member)
-            elif name:
-                self._move_rows(name, before, slope[:, columns])
-        self._move("outer", hidden.T @ slope)
+            else:
+                self._move_rows(name, before, part)
+        self._move("outer", np.ascontiguousarray(hidden.T) @ slope)
         self._move("outer_bias", slope.sum(axis=0))
         self._move("inner", x.T @ inner)
         self._move("inner_bias", inner.sum(axis=0))
@@ -284,12 +329,12 @@ def learn(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> dict[str,
 
             done = np.uint64(0)
             for _, texts in chunks(batches):
-                ids, around, _ = examples(texts, dictionary.value)
+                ids, counts = numbered(texts, dictionary.value)
                 places = np.arange(len(ids), dtype=np.uint64) + done
                 done += np.uint64(len(ids))
                 masked = mixed(places) % np.uint64(rounds) == number
                 if masked.any():
-                    rest.append((ids[masked], around[masked]))
+                    rest.append((ids[masked], windows(ids, counts, dictionary.value.size, masked)))
                     steps(BATCH)
             if rest and len(rest[0][0]):
                 steps(1)

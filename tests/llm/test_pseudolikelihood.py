@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -148,3 +149,61 @@ def test_sums_of_moved_weights_are_exact():
     batch = pl.pa.RecordBatch.from_arrays([pl.pa.array(c) for c in columns], names=["block", "words", "moved"])
     got = {b.column("block")[0].as_py(): np.frombuffer(b.column("sums")[0].as_py()).tolist() for b in pl._sums([batch])}
     assert got == {0: [float(int(x) * (7 - (1 << 20) - 1)) for x in big], 2: [float(3 * int(x)) for x in big[:2]]}
+
+
+def test_steps_are_those_of_plain_sums():
+    rng = np.random.default_rng(5)
+    n = 5000
+    start = {k: v.astype(np.float64) for k, v in pl.initial(ids=n).items()}
+    learner, w = pl.Learner(start), {k: v.copy() for k, v in start.items()}
+    seen = {k: np.full(v.shape, 1e-2) for k, v in w.items()}
+    # Smaller and larger batches in turn use the same room.
+    for size in (pl.BATCH, 100, 1, pl.BATCH):
+        ids, around = rng.integers(0, n, size).astype(np.int32), np.minimum(rng.zipf(1.3, (size, 4)), n).astype(np.int32)
+        learner.step(ids, around)
+        x = w["embed"][around].reshape(size, -1)
+        hidden = np.tanh(x @ w["inner"] + w["inner_bias"])
+        out = (hidden @ w["outer"] + w["outer_bias"]).reshape(size, 3, 64) + np.stack([np.zeros((size, 64)), w["member"][ids // 4096], w["member2"][ids // 64]], axis=1)
+        slope = np.exp(out) / np.exp(out).sum(axis=2, keepdims=True)
+        for d, own in enumerate((ids // 4096, ids // 64 % 64, ids % 64)):
+            slope[np.arange(size), d, own] -= 1
+        slope /= np.float32(np.sqrt(size))
+        flat = slope.reshape(size, -1)
+        inner = flat @ w["outer"].T * (1 - hidden * hidden)
+        moves = {k: np.zeros_like(v) for k, v in w.items()}
+        moves |= {"outer": hidden.T @ flat, "outer_bias": flat.sum(axis=0), "inner": x.T @ inner, "inner_bias": inner.sum(axis=0)}
+        np.add.at(moves["member"], ids // 4096, slope[:, 1])
+        np.add.at(moves["member2"], ids // 64, slope[:, 2])
+        np.add.at(moves["embed"], around, (inner @ w["inner"].T).reshape(size, 4, -1))
+        for k, v in moves.items():
+            seen[k] += v * v
+            w[k] -= pl.RATE * v / np.sqrt(seen[k])
+    for k in w:
+        # The state of the gradients is held in single precision.
+        assert learner.w[k] == pytest.approx(w[k], rel=1e-5, abs=1e-6), k
+
+
+def test_steps_and_scores_make_few_new_arrays():
+    rng = np.random.default_rng(6)
+    n = 5000
+    learner = pl.Learner(pl.initial(ids=n))
+    ids, around = rng.integers(0, n, pl.BATCH).astype(np.int32), np.minimum(rng.zipf(1.3, (pl.BATCH, 4)), n).astype(np.int32)
+    learner.step(ids, around)
+    outputs = ids.size * learner.w["outer"].shape[1] * 4
+    tracemalloc.start()
+    learner.step(ids, around)
+    step = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    many = np.tile(ids, 20), np.tile(around, (20, 1))
+    pl.log_probabilities(learner.w, *many)
+    scores = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A batch's outputs stand in an array that the next one uses again.
+    assert step < 2 * outputs and scores < 6 * outputs
+
+
+def test_windows_of_chosen_words():
+    texts = [b"a b c d e", b"", b" f\n", b"g h"]
+    ids, around, counts = pl.examples(texts)
+    chosen = np.array([True, False, False, True, False, True, False, True])
+    assert pl.windows(ids, counts, chosen=chosen).tolist() == around[chosen].tolist()
