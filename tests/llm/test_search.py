@@ -84,3 +84,62 @@ def test_blocks_that_cannot_reach_the_floor_are_not_looked_into():
     assert looked <= inside + 128 * len(shard.dense) < all_looked
     # Beyond every score nothing is looked into.
     assert best(floors * 0 + 1e6) == ([[]] * len(rows), 0)
+
+
+def test_rounds_for_the_floor_are_dealt_to_several_tasks(spark, monkeypatch):
+    dealt, arrow_map = [], search.arrow_map
+
+    def counted(df, function, schema):
+        if "score" in schema:
+            dealt.append(df.rdd.getNumPartitions())
+        return arrow_map(df, function, schema)
+
+    monkeypatch.setattr(search, "arrow_map", counted)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(50)], k=20))) for i in range(0, 4000, 20)]
+    docs = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], SCHEMA).repartition(4)
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in search.top_k(docs, 3).collect())
+    assert got == [b[:3] for b in brute(rows, 3)]
+    assert len(dealt) == 3 and min(dealt) >= 4
+
+
+def test_long_queries_look_at_each_posting_once():
+    """Where most blocks are pivots, no bounds by block are made: sums of all documents, each posting taken once."""
+    rng = random.Random(9)
+    kinds = [[f"{kind}{int(rng.paretovariate(0.6))}" for _ in range(3000)] for kind in "abc"]
+    texts = [" ".join(rng.choices(kinds[n % 3], k=rng.choice([0, 5, 80, 150]))).encode() for n in range(900)]
+    texts = [texts[i] for i in search._like_together(texts)]
+    hashes, counts = search.word_hashes(texts)
+    pairs = np.unique(np.stack([np.repeat(np.arange(len(texts)), counts), hashes.view(np.int64)]), axis=1)
+    queries = search.Queries(pairs[0], pairs[1].view(np.uint64))
+    word, doc, frequency, lengths = search._postings(queries, texts)
+    assert lengths.tolist() == [len(t.split()) for t in texts]
+    queries.known(len(texts), int(counts.sum()), np.bincount(word, minlength=len(queries.words)).astype(float))
+    rows = [queries.row(i) for i in range(len(queries.ids))]
+    shard = search.Shard(queries, texts)
+    assert sorted(shard.alike(rows).tolist()) == list(range(len(rows)))
+    norm = search.K1 * (1 - search.B + search.B * lengths / queries.mean)
+    value = queries.weight[word] * frequency * (search.K1 + 1) / (frequency + norm[doc])
+    for least in (np.zeros(len(rows)), np.full(len(rows), 40.0)):
+        shard.looked = 0
+        found = list(shard.search(rows, least, 4))
+        assert len(found) == len(rows)
+        for row, floor, (docs, scores) in zip(rows, least, found):
+            mine = np.isin(word, row)
+            total = np.bincount(doc[mine], value[mine], minlength=len(texts)).round(search.DECIMALS)
+            best = [t for t in np.sort(total)[::-1][:4] if t > 0 and t >= floor]
+            assert np.sort(scores)[::-1][: len(best)].tolist() == pytest.approx(best)
+            assert scores.tolist() == pytest.approx(total[docs].tolist())
+        groups = -(-len(rows) // search.TOGETHER)
+        rare = sum(int(shard.count[w].sum()) for w in (x[shard.row[x] < 0] for x in (shard.local[r] for r in rows)))
+        assert shard.looked <= rare + 2 * groups * shard.dense.size
+
+
+def test_words_of_queries_are_found_by_their_first_bits():
+    rng = np.random.default_rng(1)
+    for words in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.array([0, 1, 2, 3, 2**63, 2**64 - 2, 2**64 - 1], np.uint64), rng.integers(0, 2**64, 5000, np.uint64)):
+        queries = search.Queries(np.zeros(len(words), np.int64), words)
+        hashes = np.concatenate([words, words + np.uint64(1), rng.integers(0, 2**64, 300, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        found, place = queries.places(hashes)
+        assert found.tolist() == np.flatnonzero(np.isin(hashes, words)).tolist()
+        assert (queries.words[place] == hashes[found]).all()
