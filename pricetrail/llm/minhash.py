@@ -29,7 +29,7 @@ def shingles(texts: list[bytes], size: int = SHINGLE, fill: bool = True) -> tupl
     out = np.zeros(len(words), np.uint64)
     for back in range(size):
         moved = np.zeros(len(words), np.uint64)
-        moved[back:] = words[: len(words) - back] if back else words
+        moved[back:] = words[: max(0, len(words) - back)]
         moved[place < back] = np.uint64(0x51ED270B)
         out = out * np.uint64(0xC2B2AE3D27D4EB4F) + moved
     if not fill:

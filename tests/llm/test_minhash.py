@@ -92,3 +92,24 @@ def test_links_between_texts_of_one_template_are_not_lost(spark):
     docs = spark.createDataFrame([(i, " ".join(w), "", "") for i, w in rows], SCHEMA)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
     assert got == {i: i - 1 if i > 1000 and i % 2 else i for i in sets}
+
+
+def test_few_words_alone(spark):
+    """The last text of a list is hashed again by itself: its fingerprint is the one it has among others."""
+    texts = [" ".join("abcdefg"[:n]).encode() for n in range(8)]
+    for fill in (True, False):
+        together = minhash.signatures(texts, fill)
+        for text, row in zip(texts, together):
+            assert (minhash.signatures([text], fill) == row).all()
+            assert (minhash.signatures([b"", text, b" "], fill)[1] == row).all()
+    for size in range(1, 7):
+        for n in range(8):
+            assert minhash.shingles([texts[n]], size)[1].tolist() == [n]
+    for rows in ([(1, "two words")], [(2, "three short words"), (1, "a b")], [(3, "x"), (2, None), (1, "a b c")]):
+        got = minhash.fingerprints(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()
+        by_id = {r.doc_id: r for r in got}
+        for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+            n = len(t or "") // 3
+            changed = (t or "")[: len(t or "") - n] + (nxt or "")[:n]
+            assert by_id[i].fingerprint == minhash.signatures([(t or "").encode()])[0].tobytes().hex()
+            assert by_id[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
