@@ -97,3 +97,26 @@ def test_strings_of_many_kinds_are_hashed_in_blocks(spark, monkeypatch, many):
     got = suffixes.without_repeats(docs).drop("kept").collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(rows)
     assert 0 < sum(made) <= 20 * many
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"abcdefghij ", bytes(range(256))])
+def test_no_string_is_left_out_by_the_chosen_places(letters):
+    """Every string of 200 bytes has one chosen place, and one that occurs again has a key that occurs again."""
+    rng = random.Random(len(letters))
+    draw = lambda n: bytes(rng.choices(letters, k=n))
+    passages = [draw(n) for n in (200, 201, 230, 320, 900)]
+    texts = [b"".join(rng.choice([draw(rng.randint(0, 150)), rng.choice(passages)]) for _ in range(rng.randint(0, 6))) for _ in range(30)]
+    texts += [b"", b"xy" * 300, b"z" * 199, b"z" * 700]
+    data, starts, places, _, low, high = suffixes.samples(texts)
+    keys = suffixes.keys_at(data, places).tolist()
+    times = Counter(keys)
+    key_of = {}
+    for key, first, last in zip(keys, low.tolist(), high.tolist()):
+        for at in range(first, last + 1):
+            assert key_of.setdefault(at, key) == key
+    seen = {}
+    for base, text in zip(starts.tolist(), texts):
+        for i in range(len(text) - 199):
+            seen.setdefault(text[i : i + 200], []).append(key_of[base + i])
+    again = [found for found in seen.values() if len(found) > 1]
+    assert again and all(len(set(found)) == 1 and times[found[0]] > 1 for found in again)
